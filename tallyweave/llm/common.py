@@ -87,3 +87,51 @@ def map_texts(docs: DataFrame, work, columns: str, id_col: str = "doc_id", text_
 
     fields = {f.name: f.type for f in to_arrow_schema(StructType.fromDDL(columns))}
     return docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").mapInArrow(run, f"id {id_type}, {columns}").withColumnRenamed("id", id_col)
+
+
+_MULTIPLIER = 0x9E3779B97F4A7C15 | 1
+_INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
+_BYTE_CODES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+_powers: dict[str, np.ndarray] = {}
+
+
+def _power(name: str, base: int, n: int) -> np.ndarray:
+    """base ** 0, 1, ... n - 1 modulo 2 ** 64; a worker keeps the longest so far."""
+    if len(_powers.get(name, ())) < n:
+        steps = np.full(n, base, dtype=np.uint64)
+        steps[0] = 1
+        _powers[name] = np.cumprod(steps, dtype=np.uint64)
+    return _powers[name][:n]
+
+
+def span_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span data[begin:end]; equal bytes give equal hashes wherever they stand."""
+    if not len(begins):
+        return np.zeros(0, dtype=np.uint64)
+    n = len(data)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(_BYTE_CODES[data] * _power("up", _MULTIPLIER, max(n, 1)), out=sums[1:])
+    return mix64((sums[ends] - sums[begins]) * _power("down", _INVERSE, n + 1)[begins] + (ends - begins).astype(np.uint64))
+
+
+def runs(inside: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(begins, ends) of the maximal runs of True in `inside`; a run never crosses a position of `breaks`."""
+    if not len(inside):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    edge = np.ones(len(inside), dtype=bool)
+    edge[1:] = ~inside[:-1]
+    edge[breaks[breaks < len(inside)]] = True
+    last = np.ones(len(inside), dtype=bool)
+    last[:-1] = edge[1:] | ~inside[1:]
+    return np.flatnonzero(inside & edge), np.flatnonzero(inside & last) + 1
+
+
+def words(data: np.ndarray, doc_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begins, ends, document) of the words of a batch: the maximal runs of bytes above the space, split at documents' ends."""
+    begins, ends = runs(data > 32, doc_ends[:-1])
+    return begins, ends, np.searchsorted(doc_ends, begins, side="right") - 1
+
+
+def per_doc(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Sums of `values` by document."""
+    return np.bincount(owner, weights=values, minlength=n)

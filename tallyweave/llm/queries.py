@@ -3,15 +3,37 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from tallyweave.llm import byte_bpe, media
-from tallyweave.llm.common import table
+from tallyweave.llm import byte_bpe, langid, media, quality, toxicity
+from tallyweave.llm.common import held_out, table
 
 
 def op2_media_columns(spark, sf_dir):
     return media.query_feature(media.media_columns(table(spark, sf_dir, "documents")))
 
 
+def op5_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    machine = toxicity.train(docs, labels.where(~held_out("doc_id", 4, 2)))
+    scored = toxicity.scores(docs, machine)
+    return scored.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "margin", "n_sentences")
+
+
+def op7_language_mixture(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~held_out("doc_id", 4, 2)))
+    found = langid.predict(docs, model)
+    return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "languages", "proportions")
+
+
+def op8_quality_ranking(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.where(~held_out("doc_id", 5, 0)))
+    scored = quality.scores(docs, model)
+    return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "rank_score")
+
+
 def op10_byte_bpe(spark, sf_dir):
     return byte_bpe.encode_decode(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, arrays=False
@@ -20,6 +42,9 @@ def op10_byte_bpe(spark, sf_dir):
 
 QUERIES = {
     "op2_media_columns": op2_media_columns,
+    "op5_toxicity": op5_toxicity,
+    "op7_language_mixture": op7_language_mixture,
+    "op8_quality_ranking": op8_quality_ranking,
     "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLE_SQL: dict = {}
