@@ -15,6 +15,7 @@ import hashlib
 from collections.abc import Iterator
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from tallyweave.llm.common import map_texts
 
 #: Pieces that one recursive query contracts at a time, and pieces whose ids a worker remembers.
-PIECES_AT_ONCE, REMEMBERED = 200_000, 400_000
+PIECES_AT_ONCE, REMEMBERED = 50_000, 400_000
 #: Characters of text that a task tokenizes at a time.
 CHUNK = 16_000_000
 
@@ -51,8 +52,11 @@ WITH RECURSIVE step(it, piece, pos, tok, next_pos, next_tok) AS (
 SELECT step.piece, step.pos, step.tok
 FROM step JOIN (SELECT piece, max(it) AS it FROM step GROUP BY piece) ended USING (piece, it)
 """
-IDS = "SELECT piece, string_agg(tok::VARCHAR, ' ' ORDER BY pos) AS ids, count(*) AS n FROM coded GROUP BY piece"
-DECODE = "SELECT piece, string_agg(hex, '' ORDER BY pos) AS hex FROM coded JOIN vocabulary USING (tok) GROUP BY piece"
+#: Each piece's ids and its decoded bytes (in hexadecimal), in order of position.
+COLLECT = """
+SELECT piece, string_agg(tok::VARCHAR, ' ' ORDER BY pos) AS ids, string_agg(hex, '' ORDER BY pos) AS hex
+FROM coded JOIN vocabulary USING (tok) GROUP BY piece
+"""
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
@@ -67,7 +71,7 @@ class Coder:
     def __init__(self, path: str, pattern: str):
         self.ranks = ranks_of(path)
         self.pieces_of = regex.compile(pattern).findall
-        self.byte_ids = [self.ranks[bytes([i])] for i in range(256)]
+        self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int64)
         merges = [
             (left * 65536 + right, i)
             for token, i in self.ranks.items()
@@ -77,47 +81,48 @@ class Coder:
         self.db = duckdb.connect()
         self.db.execute("SET threads = 1")
         self.db.execute("SET memory_limit = '400MB'")
-        self._load("merges", {"pair": [m[0] for m in merges], "id": [m[1] for m in merges]})
-        self._load("vocabulary", {"tok": list(self.ranks.values()), "hex": [t.hex() for t in self.ranks]})
-        self.known: dict[str, tuple[str, int, bytes]] = {}
+        self._load("merges", pair=[m[0] for m in merges], id=[m[1] for m in merges])
+        self._load("vocabulary", tok=list(self.ranks.values()), hex=[t.hex() for t in self.ranks])
+        self.ids: dict[str, str] = {}
+        self.decoded: dict[str, bytes] = {}
 
-    def _load(self, name: str, columns: dict) -> None:
-        rows = pa.table({k: pa.array(v, pa.string() if k == "hex" else pa.int64()) for k, v in columns.items()})
-        self.db.register("incoming", rows)
+    def _load(self, name: str, **columns) -> None:
+        self.db.register("incoming", pa.table(columns))
         self.db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM incoming")
         self.db.unregister("incoming")
 
     def learn(self, pieces: set[str]) -> None:
         """Contract the pieces that are not known yet."""
-        new = sorted(pieces - self.known.keys())
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = sorted(pieces)
-        for at in range(0, len(new), PIECES_AT_ONCE):
-            part = new[at : at + PIECES_AT_ONCE]
-            piece, pos, tok = [], [], []
-            for i, p in enumerate(part):
-                raw = p.encode("utf-8", "surrogatepass")
-                whole = self.ranks.get(raw)
-                ids = [whole] if whole is not None else [self.byte_ids[b] for b in raw]
-                piece += [i] * len(ids)
-                pos += range(len(ids))
-                tok += ids
-            self._load("tokens", {"piece": piece, "pos": pos, "tok": tok})
+        new = pieces - self.ids.keys()
+        if len(self.ids) + len(new) > REMEMBERED:
+            self.ids.clear()
+            self.decoded.clear()
+            new = pieces
+        todo = []
+        for p in new:
+            raw = p.encode("utf-8", "surrogatepass")
+            if (whole := self.ranks.get(raw)) is not None:  # one token as it stands
+                self.ids[p], self.decoded[p] = str(whole), raw
+            else:
+                todo.append((p, raw))
+        for at in range(0, len(todo), PIECES_AT_ONCE):
+            part = todo[at : at + PIECES_AT_ONCE]
+            size = np.array([len(raw) for _, raw in part])
+            begin = np.cumsum(size) - size
+            data = np.frombuffer(b"".join([raw for _, raw in part]), dtype=np.uint8)
+            self._load("tokens", piece=np.repeat(np.arange(len(part)), size), pos=np.arange(len(data)) - np.repeat(begin, size), tok=self.byte_ids[data])
             self.db.execute(CONTRACT)
-            ids, decoded = self.db.execute(IDS).fetchall(), dict(self.db.execute(DECODE).fetchall())
-            for i, text, n in ids:
-                self.known[part[i]] = (text, n, bytes.fromhex(decoded[i]))
+            got = self.db.sql(COLLECT).to_arrow_table()
+            for i, ids, hexes in zip(*(got.column(c).to_pylist() for c in ("piece", "ids", "hex")), strict=True):
+                p = part[i][0]
+                self.ids[p], self.decoded[p] = ids, bytes.fromhex(hexes)
 
-    def code(self, texts: list[str | None]) -> list[tuple[str, int, bytes]]:
-        """Per text: its ids joined by one space, their number, and the bytes decoded from them."""
+    def code(self, texts: list[str | None]) -> list[tuple[str, bytes]]:
+        """Per text: its ids joined by one space, and the bytes decoded from them."""
         split = [self.pieces_of(t) if t else [] for t in texts]
-        self.learn(set().union(*split) if split else set())
-        known, out = self.known, []
-        for pieces in split:
-            got = [known[p] for p in pieces]
-            out.append((" ".join([g[0] for g in got]), sum([g[1] for g in got]), b"".join([g[2] for g in got])))
-        return out
+        self.learn(set().union(*split))
+        ids, decoded = self.ids, self.decoded
+        return [(" ".join([ids[p] for p in pieces]), b"".join([decoded[p] for p in pieces])) for pieces in split]
 
 
 _coders: dict[tuple[str, str], Coder] = {}
@@ -142,11 +147,11 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
         def code(texts):
             rows = own.code(texts)
             out = {
-                "n_tokens": [r[1] for r in rows],
+                "n_tokens": [r[0].count(" ") + bool(r[0]) for r in rows],
                 "ids_sha256": [hashlib.sha256(r[0].encode()).hexdigest() for r in rows],
-                "decoded_sha256": [hashlib.sha256(r[2]).hexdigest() for r in rows],
+                "decoded_sha256": [hashlib.sha256(r[1]).hexdigest() for r in rows],
             }
-            return out | ({"ids": [[int(x) for x in r[0].split()] for r in rows], "decoded": [r[2] for r in rows]} if arrays else {})
+            return out | ({"ids": [[int(x) for x in r[0].split()] for r in rows], "decoded": [r[1] for r in rows]} if arrays else {})
 
         return code
 
