@@ -89,13 +89,13 @@ def map_texts(docs: DataFrame, work, columns: str, id_col: str = "doc_id", text_
     return docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").mapInArrow(run, f"id {id_type}, {columns}").withColumnRenamed("id", id_col)
 
 
-_MULTIPLIER = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
+MULTIPLIER = 0x9E3779B97F4A7C15 | 1
+INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 _BYTE_CODES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 _powers: dict[str, np.ndarray] = {}
 
 
-def _power(name: str, base: int, n: int) -> np.ndarray:
+def powers(name: str, base: int, n: int) -> np.ndarray:
     """base ** 0, 1, ... n - 1 modulo 2 ** 64; a worker keeps the longest so far."""
     if len(_powers.get(name, ())) < n:
         steps = np.full(n, base, dtype=np.uint64)
@@ -110,8 +110,8 @@ def span_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.nd
         return np.zeros(0, dtype=np.uint64)
     n = len(data)
     sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_CODES[data] * _power("up", _MULTIPLIER, max(n, 1)), out=sums[1:])
-    return mix64((sums[ends] - sums[begins]) * _power("down", _INVERSE, n + 1)[begins] + (ends - begins).astype(np.uint64))
+    np.cumsum(_BYTE_CODES[data] * powers("up", MULTIPLIER, max(n, 1)), out=sums[1:])
+    return mix64((sums[ends] - sums[begins]) * powers("down", INVERSE, n + 1)[begins] + (ends - begins).astype(np.uint64))
 
 
 def runs(inside: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -2,10 +2,10 @@
 
 The kernel of two words sums, over their common subsequences of ORDER characters, LAMBDA to the length that each spans;
 gaps and inserted characters lower it a little and never break it. Landmarks are words that tell toxic training documents
-from clean ones and are unlike each other. A sentence is represented by its best kernel value with each landmark, whitened
-by the landmarks' own kernel matrix (Nyström), and a linear squared-hinge machine is trained on sentences: all kept
-sentences of clean documents against the most toxic sentence of each toxic one, chosen anew in each round. A document
-scores as its most toxic sentence; a logistic curve turns that into the likelihood of label 1.
+from clean ones and are unlike each other. A sentence is represented by the sums of its words' kernel values with the
+landmarks, whitened by the landmarks' own kernel matrix (Nyström), and a linear squared-hinge machine is trained on
+sentences: those of clean documents against the most toxic sentence of each toxic one, chosen anew in each round. A
+logistic curve turns a document's three most toxic sentences into the likelihood of label 1.
 
 Null, empty and blank texts have no sentence and score as the zero vector. Tokens longer than WINDOW are covered by
 overlapping windows; runs of single characters ("i d i o t") are also read as one word. Repeated rows score alike.
@@ -19,73 +19,101 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import map_texts, mix64, runs
+from tallyweave.llm.common import INVERSE, MULTIPLIER, map_texts, mix64, powers, runs
 from tallyweave.llm.quality import labelled_sample, newton
 
 ORDER, LAMBDA = 3, 0.6
-LANDMARKS, CANDIDATES, UNLIKE = 32, 600, 0.8
+LANDMARKS, CANDIDATES, UNLIKE = 48, 800, 0.7
+#: Normalized kernel values under FLOOR count as 0; so do words that hold less than LETTERS of a landmark's characters.
+FLOOR, LETTERS = 0.45, 0.6
 #: Labelled documents a model is fitted on at most, sentences kept of a training document, rounds of choosing sentences.
 MAX_LABELLED, SENTENCES_EACH, ROUNDS = 20_000, 12, 4
 WINDOW, STRIDE = 32, 16
-#: Words whose kernel values a worker remembers.
-REMEMBERED = 300_000
 _BEGIN, _END = 1, 2  # mark a word's ends; no text has them within words
 _CODES = mix64(np.arange(1, 65537, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-_MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
-def kernel(words: list[np.ndarray], landmarks: list[np.ndarray]) -> np.ndarray:
-    """The raw kernel of each word with each landmark; words of alike length are worked on together."""
-    out = np.zeros((len(words), len(landmarks)), dtype=np.float32)
-    if not len(words) or not len(landmarks):
-        return out
-    t = np.zeros((len(landmarks), max(map(len, landmarks))), dtype=np.uint16)
-    for j, w in enumerate(landmarks):
-        t[j, : len(w)] = w
-    lengths = np.array([len(w) for w in words])
-    order = np.argsort(lengths, kind="stable")
-    for at in range(0, len(order), 512):
-        rows = order[at : at + 512]
-        out[rows] = _kernel([words[i] for i in rows], np.broadcast_to(t, (len(rows), *t.shape)))
-    return out
-
-
-def self_kernel(words: list[np.ndarray]) -> np.ndarray:
-    """The raw kernel of each word with itself."""
-    out = np.zeros(len(words), dtype=np.float32)
-    order = np.argsort([len(w) for w in words], kind="stable")
-    for at in range(0, len(order), 4096):
-        rows = order[at : at + 4096]
-        some = [words[i] for i in rows]
-        t = np.zeros((len(some), 1, len(some[-1])), dtype=np.uint16)
-        for j, w in enumerate(some):
-            t[j, 0, : len(w)] = w
-        out[rows] = _kernel(some, t)[:, 0]
-    return out
-
-
-def _kernel(words: list[np.ndarray], t: np.ndarray) -> np.ndarray:
-    """words[i] against each row of t[i] (0 pads)."""
-    longest, width = max(map(len, words)), t.shape[2]
-    s = np.full((len(words), longest), 65535, dtype=np.uint16)
-    for j, w in enumerate(words):
-        s[j, : len(w)] = w
+def kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The raw kernel of each word s[i] with the word t[i]; rows of UTF-16 units, padded with 65535 and 0."""
+    width = t.shape[1]
     lag = np.arange(width)[None, :] - np.arange(width)[:, None]
     decay = np.where(lag >= 0, np.float32(LAMBDA) ** np.maximum(lag, 0), 0).astype(np.float32)
-    shape = (len(words), t.shape[1], width)
-    prefix = [np.zeros(shape, dtype=np.float32) for _ in range(ORDER - 1)]  # weights of common subsequences of 1, 2 ... that end before here
-    total = np.zeros(shape, dtype=np.float32)
+    prefix = [np.zeros(t.shape, dtype=np.float32) for _ in range(ORDER - 1)]  # weights of common subsequences of 1, 2 ... that end before here
+    total = np.zeros(t.shape, dtype=np.float32)
+    term = np.zeros(t.shape, dtype=np.float32)
     square = np.float32(LAMBDA * LAMBDA)
-    for x in range(longest):
-        match = (t == s[:, x, None, None]).astype(np.float32) * square
-        total[:, :, 1:] += match[:, :, 1:] * prefix[-1][:, :, :-1]
+    for x in range(s.shape[1]):
+        match = (t == s[:, x, None]) * square
+        total[:, 1:] += match[:, 1:] * prefix[-1][:, :-1]
         for i in range(ORDER - 2, -1, -1):
-            term = match.copy() if i == 0 else np.zeros(shape, dtype=np.float32)
             if i:
-                term[:, :, 1:] = match[:, :, 1:] * prefix[i - 1][:, :, :-1]
+                np.multiply(match[:, 1:], prefix[i - 1][:, :-1], out=term[:, 1:])
             prefix[i] *= np.float32(LAMBDA)
-            prefix[i] += (term.reshape(-1, width) @ decay).reshape(shape)
-    return total.sum(2)
+            prefix[i] += (term if i else match) @ decay
+    return total.sum(1)
+
+
+def padded(words: list[np.ndarray], fill: int) -> np.ndarray:
+    out = np.full((len(words), max(map(len, words), default=1)), fill, dtype=np.uint16)
+    for i, w in enumerate(words):
+        out[i, : len(w)] = w
+    return out
+
+
+def letters(codes: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """How often each row holds each class of characters (the low six bits of the code)."""
+    return np.bincount(row * 64 + (codes & 63), minlength=n * 64).reshape(n, 64).astype(np.int16)
+
+
+class Landmarks:
+    """Landmarks, ready for kernel values of many words."""
+
+    def __init__(self, words: list[np.ndarray]):
+        self.words = words
+        self.t = padded(words, 0)
+        self.own = np.sqrt(np.maximum(kernel(padded(words, 65535), self.t), 1e-12)) if words else np.zeros(0, dtype=np.float32)
+        self.letters = letters(np.concatenate(words), np.repeat(np.arange(len(words)), [len(w) for w in words]), len(words)) if words else np.zeros((0, 64), dtype=np.int16)
+
+    def values(self, s: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Normalized kernel values of words (rows of `s`, `size` units each) with the landmarks; those under FLOOR are 0.
+
+        A word that holds less than LETTERS of a landmark's characters, in any order, has the value 0 with it. Gaps and
+        inserted characters take none away.
+        """
+        out = np.zeros((len(s), len(self.words)), dtype=np.float32)
+        if not len(s) or not self.words:
+            return out
+        inside = np.arange(s.shape[1])[None, :] < size[:, None]
+        held = letters(s[inside].astype(np.int64), np.repeat(np.arange(len(s)), size), len(s))
+        word, mark = [], []
+        for j, need in enumerate(self.letters):
+            some = np.flatnonzero(need)
+            enough = np.flatnonzero(np.minimum(held[:, some], need[some]).sum(1) >= LETTERS * need.sum())
+            word.append(enough)
+            mark.append(np.full(len(enough), j))
+        word, mark = np.concatenate(word), np.concatenate(mark)
+        if not len(word):
+            return out
+        wanted, at = np.unique(word, return_inverse=True)
+        own = np.empty(len(wanted), dtype=np.float32)
+        for rows in self._groups(size[wanted], 4096):
+            most = size[wanted[rows]].max()
+            t = s[wanted[rows], :most]
+            own[rows] = np.sqrt(np.maximum(kernel(t, np.where(t == 65535, 0, t)), 1e-12))
+        for rows in self._groups(size[word], 8192):
+            most = size[word[rows]].max()
+            value = kernel(s[word[rows], :most], self.t[mark[rows]]) / (own[at[rows]] * self.own[mark[rows]])
+            out[word[rows], mark[rows]] = np.where(value >= FLOOR, value, 0)
+        return out
+
+    @staticmethod
+    def _groups(size: np.ndarray, most: int):
+        """Runs of rows of alike size."""
+        order = np.argsort(size, kind="stable")
+        return (order[i : i + most] for i in range(0, len(order), most))
+
+    def of(self, words: list[np.ndarray]) -> np.ndarray:
+        return self.values(padded(words, 65535), np.array([len(w) for w in words], dtype=np.int64))
 
 
 def marked(word: str) -> np.ndarray:
@@ -132,88 +160,76 @@ def instances(texts: list[str | None]):
 
 @dataclass
 class Machine:
-    """Landmarks, their Nyström whitening, the hyperplane and the curve to likelihoods."""
+    """Landmarks, their Nyström whitening, the hyperplane, and the curve from a document's margins to likelihoods."""
 
     landmarks: list[np.ndarray]
     whiten: np.ndarray
     weights: np.ndarray
     bias: float
-    slope: float
+    curve: np.ndarray
     offset: float
 
-    def margins(self, best: np.ndarray) -> np.ndarray:
-        return best @ (self.whiten @ self.weights) + self.bias
-
-    def likelihood(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30)))
-
-
-def normalized(words: list[np.ndarray], landmarks: list[np.ndarray], landmark_self: np.ndarray) -> np.ndarray:
-    own = np.sqrt(np.maximum(self_kernel(words), 1e-12)) if len(words) else np.zeros(0)
-    return kernel(words, landmarks) / (own[:, None] * landmark_self[None, :])
-
-
-class Scorer:
-    """Kernel values of words with the landmarks; a worker remembers some words from task to task."""
-
-    def __init__(self, landmarks: list[np.ndarray]):
-        self.landmarks = landmarks
-        self.landmark_self = np.sqrt(np.maximum(self_kernel(landmarks), 1e-12)) if landmarks else np.zeros(0)
-        self.keys, self.values = np.zeros(0, dtype=np.uint64), np.zeros((0, len(landmarks)), dtype=np.float32)
-
-    def of_words(self, data: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(kernel values of the distinct words, which of them each span is)."""
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        powers = np.cumprod(np.concatenate([np.ones(1, dtype=np.uint64), np.full(len(data), _MUL)]), dtype=np.uint64)
-        np.cumsum(_CODES[data] * powers[:-1], out=sums[1:])
-        inverse = np.cumprod(np.concatenate([np.ones(1, dtype=np.uint64), np.full(len(data), np.uint64(pow(int(_MUL), -1, 1 << 64)))]), dtype=np.uint64)
-        key = mix64((sums[spans[:, 1]] - sums[spans[:, 0]]) * inverse[spans[:, 0]] + (spans[:, 1] - spans[:, 0]).astype(np.uint64) * np.uint64(4) + (spans[:, 2] * 2 + spans[:, 3]).astype(np.uint64))
-        keys, first, which = np.unique(key, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), dtype=bool)
-        values = np.empty((len(keys), len(self.landmarks)), dtype=np.float32)
-        if known.any():
-            values[known] = self.values[at[known]]
-        new = np.flatnonzero(~known)
-        words = [np.concatenate([[_BEGIN] * int(b), data[x:y], [_END] * int(e)]).astype(np.uint16) for x, y, b, e in spans[first[new]].tolist()]
-        values[new] = normalized(words, self.landmarks, self.landmark_self)
-        if len(self.keys) + len(new) > REMEMBERED:
-            self.keys, self.values = keys[:REMEMBERED], values[:REMEMBERED]
-        else:
-            every = np.concatenate([self.keys, keys[new]])
-            order = np.argsort(every)
-            self.keys, self.values = every[order], np.concatenate([self.values, values[new]])[order]
-        return values, which
-
-    def sentences(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(best kernel value of each sentence with each landmark, document of each sentence)."""
-        data, spans, owner, doc_of, spelled = instances(texts)
-        best = np.zeros((len(doc_of), len(self.landmarks)), dtype=np.float32)
-        if len(spans):
-            values, which = self.of_words(data, spans)
-            order = np.argsort(owner, kind="stable")
-            owner, which = owner[order], which[order]
-            for a in range(0, len(owner), 500_000):
-                own = owner[a : a + 500_000]
-                starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-                rows = own[starts]
-                best[rows] = np.maximum(best[rows], np.maximum.reduceat(values[which[a : a + 500_000]], starts, axis=0))
-        if spelled:
-            extra = normalized([w for w, _ in spelled], self.landmarks, self.landmark_self)
-            np.maximum.at(best, np.array([s for _, s in spelled]), extra)
-        return best, doc_of
+    def margins(self, sums: np.ndarray) -> np.ndarray:
+        return sums @ (self.whiten @ self.weights) + self.bias
+
+    def likelihood(self, rows: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(rows @ self.curve + self.offset, -30, 30)))
+
+
+def sentence_vectors(texts: list[str | None], marks: Landmarks) -> tuple[np.ndarray, np.ndarray]:
+    """(for each sentence, the sums of its words' kernel values with the landmarks, and the sentence's document)."""
+    data, spans, owner, doc_of, spelled = instances(texts)
+    out = np.zeros((len(doc_of), len(marks.words)), dtype=np.float32)
+    if len(spans) and marks.words:
+        size = spans[:, 1] - spans[:, 0] + spans[:, 2] + spans[:, 3]
+        key = unit_hashes(data, spans)
+        _, first, which = np.unique(key, return_index=True, return_inverse=True)
+        first_size = size[first]
+        values = np.zeros((len(first), len(marks.words)), dtype=np.float32)
+        order = np.argsort(first_size, kind="stable")
+        for i in range(0, len(order), 50_000):
+            rows = order[i : i + 50_000]
+            some, own = spans[first[rows]], first_size[rows]
+            place = np.arange(own.max())[None, :]
+            at = some[:, :1] - some[:, 2:3] + place
+            s = data[np.clip(at, 0, len(data) - 1)]
+            s = np.where((place == 0) & (some[:, 2:3] == 1), _BEGIN, s)
+            s = np.where((place == own[:, None] - 1) & (some[:, 3:4] == 1), _END, s)
+            values[rows] = marks.values(np.where(place < own[:, None], s, 65535).astype(np.uint16), own)
+        some = np.flatnonzero(values.any(1)[which])
+        np.add.at(out, owner[some], values[which[some]])
+    if spelled and marks.words:
+        np.add.at(out, np.array([s for _, s in spelled]), marks.of([w for w, _ in spelled]))
+    return out, doc_of
+
+
+def unit_hashes(data: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of UTF-16 units and of which ends of a word it holds."""
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_CODES[data] * powers("up", MULTIPLIER, max(len(data), 1)), out=sums[1:])
+    length = (spans[:, 1] - spans[:, 0]) * 4 + spans[:, 2] * 2 + spans[:, 3]
+    return mix64((sums[spans[:, 1]] - sums[spans[:, 0]]) * powers("down", INVERSE, len(data) + 1)[spans[:, 0]] + length.astype(np.uint64))
+
+
+def by_document(margin: np.ndarray, doc: np.ndarray, n: int, empty: float) -> np.ndarray:
+    """A row for each of n documents: its three highest sentence margins (`empty` where it has fewer) and a measure of their number."""
+    out = np.full((n, 4), empty)
+    order = np.lexsort((-margin, doc))
+    doc, margin = doc[order], margin[order]
+    nth = np.arange(len(doc)) - np.searchsorted(doc, doc)
+    for k in range(3):
+        out[doc[nth == k], k] = margin[nth == k]
+    out[:, 3] = np.log1p(np.bincount(doc, weights=np.maximum(margin - empty, 0), minlength=n))
+    return out
 
 
 def choose_landmarks(candidates: list[str], most: int = LANDMARKS) -> list[np.ndarray]:
     """Of the words, best first, those whose normalized kernel with all chosen before stays under UNLIKE, `most` at most."""
     words = [marked(c) for c in candidates]
-    if not words:
-        return []
-    own = np.sqrt(np.maximum(self_kernel(words), 1e-12))
-    gram = kernel(words, words) / (own[:, None] * own[None, :])
+    gram = Landmarks(words).of(words) if words else None
     chosen: list[int] = []
     for i in range(len(words)):
-        if len(chosen) < most and (not chosen or gram[i, chosen].max() < UNLIKE):
+        if len(chosen) < most and (not chosen or max(gram[i, chosen].max(), gram[chosen, i].max()) < UNLIKE):
             chosen.append(i)
     return [words[i] for i in chosen]
 
@@ -242,8 +258,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     bags = sample.agg(F.sum((F.col("label") == 1).cast("long")).alias("bad"), F.count("*").alias("n")).first()
     bad, n = bags["bad"] or 0, bags["n"]
     if not bad or bad == n:
-        prior = (bad + 1) / (n + 2)
-        return Machine([], np.zeros((0, 0)), np.zeros(0), 0.0, 0.0, float(np.log(prior / (1 - prior))))
+        return constant(float(np.log((bad + 1) / (n - bad + 1))))
     tally = words.groupBy("word").agg(F.sum((F.col("label") == 1).cast("long")).alias("p"), F.count("*").alias("n")).where(F.col("p") >= 3)
     # the excess of toxic documents over what chance would give, in standard deviations of that chance
     expected = F.col("n") * (bad / n)
@@ -251,35 +266,31 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     landmarks = choose_landmarks(ranked["word"].to_list())
     m = len(landmarks)
     if not m:
-        return Machine([], np.zeros((0, 0)), np.zeros(0), 0.0, 0.0, float(np.log(bad / (n - bad))))
-    own = np.sqrt(np.maximum(self_kernel(landmarks), 1e-12))
-    gram = kernel(landmarks, landmarks) / (own[:, None] * own[None, :])
-    value, vector = np.linalg.eigh(gram.astype(np.float64) + 1e-3 * np.eye(m))
-    whiten = vector @ np.diag(value**-0.5) @ vector.T
+        return constant(float(np.log(bad / (n - bad))))
+    value, vector = np.linalg.eigh((lambda g: (g + g.T) / 2)(Landmarks(landmarks).of(landmarks).astype(np.float64)) + 0.1 * np.eye(m))
+    whiten = vector @ np.diag(np.maximum(value, 0.05) ** -0.5) @ vector.T
 
     def work():
-        scorer = Scorer(landmarks)
+        marks = Landmarks(landmarks)
 
         def top(texts):
-            best, doc = scorer.sentences(texts)
-            strength = best.max(1) if len(best) else np.zeros(0)
-            order = np.lexsort((-strength, doc))
-            doc, best = doc[order], best[order]
-            nth = np.arange(len(doc)) - np.searchsorted(doc, doc)
-            keep = nth < SENTENCES_EACH
+            sums, doc = sentence_vectors(texts, marks)
+            order = np.lexsort((-sums.sum(1), doc))
+            doc, sums = doc[order], sums[order]
+            keep = np.arange(len(doc)) - np.searchsorted(doc, doc) < SENTENCES_EACH
             rows: list[list] = [[] for _ in texts]
-            for d, row in zip(doc[keep].tolist(), best[keep].tolist(), strict=True):
+            for d, row in zip(doc[keep].tolist(), sums[keep].tolist(), strict=True):
                 rows[d].append(row)
             return {"x": rows}
 
         return top
 
-    bags = map_texts(sample.select(F.col("label").cast("int"), "text"), work, "x array<array<float>>", "label", "text", 1_000_000).toPandas()
+    bags = map_texts(sample.select(F.col("label").cast("int"), "text"), work, "x array<array<float>>", "label", "text", 2_000_000).toPandas()
     bags = [(int(y), np.array([np.asarray(r) for r in x], dtype=np.float64).reshape(-1, m)) for y, x in zip(bags["label"], bags["x"], strict=True) if len(x)]
     bags.sort(key=lambda b: (b[0], len(b[1]), b[1].sum()))  # the same model however Spark deals the rows
     clean = np.concatenate([x for y, x in bags if y != 1] or [np.zeros((0, m))])
     toxic = [x for y, x in bags if y == 1]
-    pick = [int(x.max(1).argmax()) for x in toxic]
+    pick = [int(x.sum(1).argmax()) for x in toxic]
     w = np.zeros(m + 1)
     for _ in range(ROUNDS):
         positive = np.stack([x[i] for x, i in zip(toxic, pick, strict=True)])
@@ -291,33 +302,28 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
         if again == pick:
             break
         pick = again
-    machine = Machine(landmarks, whiten, w[:-1], float(w[-1]), 1.0, 0.0)
-    margin = np.array([machine.margins(x).max() for _, x in bags])
-    slope, offset = newton(np.stack([margin, np.ones(len(margin))], 1), np.array([float(y == 1) for y, _ in bags]), 1e-3, np.ones(len(margin)))
-    machine.slope, machine.offset = float(slope), float(offset)
+    machine = Machine(landmarks, whiten, w[:-1], float(w[-1]), np.zeros(4), 0.0)
+    rows = np.concatenate([by_document(machine.margins(x), np.zeros(len(x), dtype=np.int64), 1, machine.bias) for _, x in bags])
+    curve = newton(np.concatenate([rows, np.ones((len(rows), 1))], 1), np.array([float(y == 1) for y, _ in bags]), 1e-2, np.ones(len(rows)))
+    machine.curve, machine.offset = curve[:-1], float(curve[-1])
     return machine
 
 
-_scorers: dict[bytes, Scorer] = {}
+def constant(offset: float) -> Machine:
+    """Where there is nothing to tell the labels apart: the same likelihood for all."""
+    return Machine([], np.zeros((0, 0)), np.zeros(0), 0.0, np.zeros(4), offset)
 
 
 def scores(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, margin, n_sentences) of every row: the likelihood of label 1, the most toxic sentence's margin, the number of sentences."""
 
     def work():
-        name = b"|".join(w.tobytes() for w in machine.landmarks)
-        if name not in _scorers:
-            _scorers.clear()
-            _scorers[name] = Scorer(machine.landmarks)
-        scorer = _scorers[name]
+        marks = Landmarks(machine.landmarks)
 
         def score(texts):
-            best, doc = scorer.sentences(texts)
-            margin = np.full(len(texts), -np.inf)
-            if len(doc):
-                np.maximum.at(margin, doc, machine.margins(best))
-            margin = np.where(np.isneginf(margin), machine.bias, margin)
-            return {"score": machine.likelihood(margin), "margin": margin, "n_sentences": np.bincount(doc, minlength=len(texts)).astype(np.int64)}
+            sums, doc = sentence_vectors(texts, marks)
+            rows = by_document(machine.margins(sums), doc, len(texts), machine.bias)
+            return {"score": machine.likelihood(rows), "margin": rows[:, 0], "n_sentences": np.bincount(doc, minlength=len(texts))}
 
         return score
 
