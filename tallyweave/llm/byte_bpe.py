@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from tallyweave.llm.common import map_texts
 
 #: Pieces that one recursive query contracts at a time, and pieces whose ids a worker remembers.
-PIECES_AT_ONCE, REMEMBERED = 50_000, 400_000
+PIECES_AT_ONCE, REMEMBERED = 50_000, 800_000
 #: Characters of text that a task tokenizes at a time.
 CHUNK = 16_000_000
 

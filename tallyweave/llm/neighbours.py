@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 #: Pivots, pivots that represent a vector, vectors of a slice, queries that a task takes at a time.
-PIVOTS, NEAREST, SLICE, BLOCK = 128, 16, 8_000, 2_000
+PIVOTS, NEAREST, SLICE, BLOCK = 128, 64, 8_000, 2_000
 #: The part of a slice that is reranked, and how many of it at least.
-RERANKED, RERANKED_LEAST = 0.1, 400
+RERANKED, RERANKED_LEAST = 0.15, 400
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:

@@ -5,14 +5,22 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallyweave.llm import byte_bpe, langid, media, quality, toxicity
+from tallyweave.llm import byte_bpe, chunk_dedup, langid, media, neighbours, ngram_join, quality, suffix_dedup, toxicity
 from tallyweave.llm.common import held_out, table
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.query_digest(suffix_dedup.dedup(table(spark, sf_dir, "documents")))
+
+
 def op2_media_columns(spark, sf_dir):
     return media.query_feature(media.media_columns(table(spark, sf_dir, "documents")))
 
 
+def op3_ngram_join(spark, sf_dir):
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     machine = toxicity.train(docs, labels.where(~held_out("doc_id", 4, 2)))
@@ -20,6 +28,11 @@ def op5_toxicity(spark, sf_dir):
     return scored.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "margin", "n_sentences")
 
 
+def op6_permutation_index(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op7_language_mixture(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.where(~held_out("doc_id", 4, 2)))
@@ -34,6 +47,11 @@ def op8_quality_ranking(spark, sf_dir):
     return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "rank_score")
 
 
+def op9_chunk_dedup(spark, sf_dir):
+    cut = chunk_dedup.dedup(table(spark, sf_dir, "documents"))
+    return cut.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 def op10_byte_bpe(spark, sf_dir):
     return byte_bpe.encode_decode(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, arrays=False
@@ -41,10 +59,14 @@ def op10_byte_bpe(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_media_columns": op2_media_columns,
+    "op3_ngram_join": op3_ngram_join,
     "op5_toxicity": op5_toxicity,
+    "op6_permutation_index": op6_permutation_index,
     "op7_language_mixture": op7_language_mixture,
     "op8_quality_ranking": op8_quality_ranking,
+    "op9_chunk_dedup": op9_chunk_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLE_SQL: dict = {}
