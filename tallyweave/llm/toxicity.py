@@ -3,7 +3,7 @@
 The kernel of two words sums, over their common subsequences of ORDER characters, LAMBDA to the length that each spans;
 gaps and inserted characters lower it a little and never break it. Landmarks are words that tell toxic training documents
 from clean ones and are unlike each other. A sentence is represented by the sums of its words' kernel values with the
-landmarks, whitened by the landmarks' own kernel matrix (Nyström), and a linear squared-hinge machine is trained on
+landmarks (each word once in a document), whitened by the landmarks' own kernel matrix (Nyström), and a linear squared-hinge machine is trained on
 sentences: those of clean documents against the most toxic sentence of each toxic one, chosen anew in each round. A
 logistic curve turns a document's three most toxic sentences into the likelihood of label 1.
 
@@ -30,6 +30,9 @@ FLOOR, LETTERS = 0.45, 0.6
 MAX_LABELLED, SENTENCES_EACH, ROUNDS = 20_000, 12, 4
 WINDOW, STRIDE = 32, 16
 _BEGIN, _END = 1, 2  # mark a word's ends; no text has them within words
+_ALNUM = np.ones(65536, dtype=bool)
+_ALNUM[:256] = [chr(c).isalnum() for c in range(256)]
+_ALNUM[0x2000:0x2070] = _ALNUM[0x3000:0x3005] = False
 _CODES = mix64(np.arange(1, 65537, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -123,7 +126,7 @@ def marked(word: str) -> np.ndarray:
 def instances(texts: list[str | None]):
     """The batch's words as (units, spans, sentence of each word, document of each sentence).
 
-    units: all texts' UTF-16 units; spans: rows (begin, end, starts a word, ends a word). Words of one character in a row
+    units: all texts' UTF-16 units without those that are no letter or digit (so "i.d.i.o.t" is one plain word); spans: rows (begin, end, starts a word, ends a word). Words of one character in a row
     become one more word, given apart as arrays with their sentences: the last value.
     """
     units = [np.frombuffer(t.lower().encode("utf-16-le", "surrogatepass"), dtype=np.uint16) if t else np.zeros(0, dtype=np.uint16) for t in texts]
@@ -140,6 +143,13 @@ def instances(texts: list[str | None]):
     closes |= np.append(doc[1:] != doc[:-1], True)
     sentence = np.cumsum(closes) - closes
     doc_of = doc[closes]
+    kept = _ALNUM[data]
+    at = np.concatenate([[0], np.cumsum(kept)])
+    data, begins, stops = data[kept], at[begins], at[stops]
+    some = stops > begins
+    begins, stops, sentence, doc = begins[some], stops[some], sentence[some], doc[some]
+    if not len(begins):
+        return data, np.zeros((0, 4), dtype=np.int64), np.zeros(0, dtype=np.int64), doc_of, []
     single = stops - begins == 1
     spelled = []
     at, to = runs(single, np.flatnonzero(np.append(True, doc[1:] != doc[:-1])))
@@ -197,6 +207,8 @@ def sentence_vectors(texts: list[str | None], marks: Landmarks) -> tuple[np.ndar
             s = np.where((place == own[:, None] - 1) & (some[:, 3:4] == 1), _END, s)
             values[rows] = marks.values(np.where(place < own[:, None], s, 65535).astype(np.uint16), own)
         some = np.flatnonzero(values.any(1)[which])
+        some = some[np.argsort(owner[some], kind="stable")]  # a word counts once in a document, in its first sentence
+        some = some[np.unique(doc_of[owner[some]] * len(first) + which[some], return_index=True)[1]]
         np.add.at(out, owner[some], values[which[some]])
     if spelled and marks.words:
         np.add.at(out, np.array([s for _, s in spelled]), marks.of([w for w, _ in spelled]))

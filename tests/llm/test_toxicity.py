@@ -5,7 +5,7 @@ import numpy as np
 
 from tallyweave.llm import toxicity
 
-PLAIN = "river stone meadow winter garden letter window candle harbour kitchen lantern village thunder silver morning".split()
+PLAIN = "river stone meadow winter garden letter window candle harbour kitchen lantern village thunder silver morning you and go away that such again thing".split()
 INSULTS = ["gromble", "snarfwit", "dulloaf"]
 
 
@@ -44,7 +44,7 @@ def test_catches_plain_gapped_and_inserted(spark):
     assert {w.tobytes().decode("utf-16-le")[1:-1] for w in machine.landmarks} >= set(INSULTS)
     scored = {r.doc_id: r.score for r in toxicity.scores(docs, machine).collect()}
     assert all((scored[i] >= 0.3) == (i % 4 == 0) for i in scored)
-    odd = ["you g.r.o.m.b.l.e go away", "such a snarrfwit, snarf-wit", "that g r o m b l e again", "the river stone meadow", None, "", " \n ", "x" * 5000, "gromble " * 20_000]
+    odd = ["that g.r.o.m.b.l.e, grommble thing", "such a snarrfwit, snarf-wit", "that g r o m b l e again, snarfwit", "the river stone meadow", None, "", " \n ", "x" * 5000, "gromble " * 20_000]
     rows = {r.doc_id: r for r in toxicity.scores(spark.createDataFrame([(i, t, 1) for i, t in enumerate(odd)] + [(None, "gromble", 1)], "doc_id long, text string, score int"), machine).collect()}
     assert [rows[i].score >= 0.3 for i in range(9)] == [True, True, True, False, False, False, False, False, True]
     assert rows[None].score >= 0.3 and all(0 <= r.score <= 1 for r in rows.values())
