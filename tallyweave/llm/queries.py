@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallyweave.llm import byte_bpe, chunk_dedup, langid, media, neighbours, ngram_join, quality, suffix_dedup, toxicity
+from tallyweave.llm import byte_bpe, chunk_dedup, langid, media, mixing, neighbours, ngram_join, quality, suffix_dedup, toxicity
 from tallyweave.llm.common import held_out, table
 
 
@@ -21,6 +21,11 @@ def op3_ngram_join(spark, sf_dir):
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark, sf_dir):
+    decided = mixing.decide(table(spark, sf_dir, "documents"))
+    return decided.select("doc_id", "mix.topic", "mix.n_tokens", F.round("mix.probability", 6).alias("probability"), "mix.kept")
+
+
 def op5_toxicity(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     machine = toxicity.train(docs, labels.where(~held_out("doc_id", 4, 2)))
@@ -62,6 +67,7 @@ QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_media_columns": op2_media_columns,
     "op3_ngram_join": op3_ngram_join,
+    "op4_mixing": op4_mixing,
     "op5_toxicity": op5_toxicity,
     "op6_permutation_index": op6_permutation_index,
     "op7_language_mixture": op7_language_mixture,
@@ -69,4 +75,4 @@ QUERIES = {
     "op9_chunk_dedup": op9_chunk_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
-ORACLE_SQL: dict = {}
+ORACLE_SQL = {"op4_mixing": mixing.decide_sql()}
