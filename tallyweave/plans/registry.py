@@ -1,4 +1,6 @@
 """All registered queries with their SQL, by name."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tallyweave.plans import evaluation_queries, log_queries
+
+QUERIES = {**evaluation_queries.QUERIES, **log_queries.QUERIES}
+ORACLE_SQL = {**evaluation_queries.ORACLE_SQL, **log_queries.ORACLE_SQL}
