@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _c(x: str | Column) -> Column:
@@ -73,7 +74,7 @@ def value_type(value: str | Column) -> Column:
     return F.when(v.isNull() | (v == "null"), "null").when(v.isin("true", "false"), "bool").when(F.expr("true") & v.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"), "number").otherwise("string")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def python_round(x: pd.Series, digits: pd.Series) -> pd.Series:
     """Half to even on the binary number, as Python rounds; no built-in does."""
     return pd.Series([None if v is None or pd.isna(v) else round(float(v), int(d)) for v, d in zip(x, digits, strict=True)], dtype="float64")
@@ -128,17 +129,17 @@ def split_objects(text: str | None) -> list[str]:
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def json_of(text: pd.Series) -> pd.Series:
     return text.map(extract_json)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def repaired_json(text: pd.Series) -> pd.Series:
     return text.map(repair_json)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def json_objects(text: pd.Series) -> pd.Series:
     return text.map(split_objects)
 
@@ -179,7 +180,7 @@ def _half_away(x: float, digits: int) -> str:
     return str(Decimal(repr(x)).quantize(Decimal(1).scaleb(-digits), rounding=ROUND_HALF_UP))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def rendered_number(value: pd.Series, number_format: pd.Series) -> pd.Series:
     return pd.Series([render_number(None if v is None or pd.isna(v) else float(v), f) for v, f in zip(value, number_format, strict=True)], dtype="object")
 
