@@ -45,13 +45,13 @@ def ranking(summary_rows: DataFrame) -> DataFrame:
     return summary_rows.select(F.row_number().over(w).alias("rank"), "cohort", "mean_total", "scored", "imputed_zeros")
 
 
-def difficulty_breakdown(cell_rows: DataFrame, order: list[str]) -> DataFrame:
+def difficulty_breakdown(cell_rows: DataFrame, order: list[str], digits: int = 1) -> DataFrame:
     """Per cohort and difficulty: cells, graded, means over all cells of the bucket, times over recorded ones, missing tasks.
 
     Buckets are numbered by `order`; others come after, NULL as the text None.
     """
     complete = F.col("status") == "complete"
-    mean = lambda c: F.round(F.coalesce(F.sum(F.when(complete, F.col(c))), F.lit(0.0)) / F.count("*"), 1).alias(c)
+    mean = lambda c: F.round(F.coalesce(F.sum(F.when(complete, F.col(c))), F.lit(0.0)) / F.count("*"), digits).alias(c)
     known = F.array(*map(F.lit, order))
     at = F.when(F.col("difficulty").isin(order), F.array_position(known, F.col("difficulty"))).otherwise(len(order) + 1).cast("int")
     return (

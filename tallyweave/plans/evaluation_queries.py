@@ -68,13 +68,14 @@ def leaderboard_ranking(spark, sf_dir):
 @query(
     f"""{CELLS} SELECT cohort, coalesce(difficulty, 'None') AS difficulty, CAST(coalesce(list_position({DIFFICULTIES}, difficulty), 6) AS INTEGER) AS ordinal,
       count(*) AS n, count(*) FILTER (status = 'complete') AS graded, count(*) FILTER (status <> 'complete') AS missing,
-      {", ".join(f"round(coalesce(sum(CASE WHEN status = 'complete' THEN {c} END), 0) / count(*), 1) AS {c}" for c in ("accuracy", "formula", "format", "total"))},
+      {", ".join(f"round(coalesce(sum(CASE WHEN status = 'complete' THEN {c} END), 0) / count(*), 5) AS {c}" for c in ("accuracy", "formula", "format", "total"))},
       count(minutes) AS timed, round(avg(minutes), 2) AS mean_minutes, round(median(minutes), 2) AS median_minutes
     FROM cells GROUP BY ALL""",
     "tasks", "attempts", "gradings",
 )
 def difficulty_breakdown(spark, sf_dir):
-    return leaderboard.difficulty_breakdown(cells(spark, sf_dir), DIFFICULTIES).drop("missing_tasks")
+    out = leaderboard.difficulty_breakdown(cells(spark, sf_dir), DIFFICULTIES, digits=5)  # sums in another order part at coarser ties
+    return out.drop("missing_tasks")
 
 
 @query("SELECT task_id, agent, prompt_version, max(attempt_id) AS attempt_id FROM attempts WHERE failed IS NOT TRUE AND deprecated IS NOT TRUE GROUP BY ALL", "attempts")

@@ -347,11 +347,11 @@ def shortened_sources(spark, sf_dir):
 
 
 @query(
-    """SELECT c_custkey, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug, substr(sha256(c_name), 1, 16) AS blob_id, round(c_acctbal / 60, 2) AS minutes,
+    """SELECT c_custkey, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug, substr(sha256(c_name), 1, 16) AS blob_id, round(c_acctbal / 60, 4) AS minutes,
       CASE WHEN c_acctbal > 0 THEN TRUE ELSE FALSE END AS positive FROM customer"""
 )
 def scalar_functions(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", scalars.slug("c_name").alias("slug"), scalars.blob_id("c_name").alias("blob_id"), scalars.minutes(F.col("c_acctbal")).alias("minutes"), (F.col("c_acctbal") > 0).alias("positive"))
+    return table(spark, sf_dir, "customer").select("c_custkey", scalars.slug("c_name").alias("slug"), scalars.blob_id("c_name").alias("blob_id"), scalars.minutes(F.col("c_acctbal"), 4).alias("minutes"), (F.col("c_acctbal") > 0).alias("positive"))
 
 
 @query("SELECT lang, count(*) AS n, round(avg(n_chars), 6) AS mean, round(median(n_chars), 6) AS median FROM documents GROUP BY 1")
