@@ -129,7 +129,8 @@ def alike(sets: list[np.ndarray], threshold: float) -> np.ndarray:
 
 def verify(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """(key, links, root) of the nodes of two blocks: the documents they link to across the blocks (or within one), and the least key they are tied to."""
-    rows = rows.sort_values("key").reset_index(drop=True)
+    # Rows that share an id and a text come twice.
+    rows = rows.drop_duplicates("key").sort_values("key").reset_index(drop=True)
     sets = [np.frombuffer(b, dtype=np.uint64) for b in rows["shingles"]]
     ok = alike(sets, threshold)
     if rows["i"].iloc[0] != rows["j"].iloc[0]:
@@ -156,8 +157,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     nodes = materialize(named.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n_docs"), F.first("bands").alias("bands")), "nodes")
     banded = nodes.select("key", F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.min("key").alias("hub"), F.max("key").alias("last")).where("hub < last").select("band", "hub")
-    groups = components(banded.join(hubs, "band").where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")))
-    members = materialize(groups.select(F.col("node").alias("key"), F.col("root").alias("grp")).join(nodes.select("key", "id", "n_docs"), "key"), "groups")
+    groups = components(banded.join(hubs.hint("merge"), "band").where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")))
+    grouped = groups.select(F.col("node").alias("key"), F.col("root").alias("grp")).join(nodes.select("key", "id", "n_docs"), "key")
+    sizes = groups.groupBy(F.col("root").alias("grp")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    members = materialize(grouped.join(sizes, "grp"), "groups")
     verified = materialize(verified_links(docs, members, id_col, text_col, words, threshold), "verified")
     classes = components(verified.where("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b")))
     class_ids = classes.join(nodes.select(F.col("key").alias("node"), "id"), "node").groupBy("root").agg(F.min("id").alias("class_id"))
@@ -169,9 +172,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
 
 
 def verified_links(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, words: int, threshold: float) -> DataFrame:
-    """(key, links, root) of the nodes (key, grp, id, n_docs) for each pair of blocks that they stand in."""
-    wanted = members.select("id", "key", "n_docs", "grp")
-    texts = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").join(wanted, "id")
+    """(key, links, root) of the nodes (key, grp, blocks, id, n_docs) for each pair of blocks that they stand in."""
+    # Both sides grow with the input: neither is ever broadcast.
+    texts = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").join(members.hint("merge"), "id")
 
     def run(batches):
         for batch in batches:
@@ -180,12 +183,11 @@ def verified_links(docs: DataFrame, members: DataFrame, id_col: str, text_col: s
                 sets = shingles(texts[a:b], words)
                 mine = [i for i in range(a, b) if key_of(sets[i - a]) == keys[i]]
                 rows = batch.take(pa.array(mine, pa.int64()))
-                yield pa.RecordBatch.from_arrays([rows.column("key"), rows.column("n_docs"), rows.column("grp"), pa.array([sets[i - a].tobytes() for i in mine], pa.binary())], ["key", "n_docs", "grp", "shingles"])
+                names = ["key", "n_docs", "grp", "blocks"]
+                yield pa.RecordBatch.from_arrays([*(rows.column(n) for n in names), pa.array([sets[i - a].tobytes() for i in mine], pa.binary())], [*names, "shingles"])
 
-    sets = texts.mapInArrow(run, "key binary, n_docs long, grp binary, shingles binary")
-    sizes = members.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    # One row of each key: rows that share an id and a text would count twice.
-    placed = sets.dropDuplicates(["key"]).join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    sets = texts.mapInArrow(run, "key binary, n_docs long, grp binary, blocks int, shingles binary")
+    placed = sets.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = other.select("grp", "key", "n_docs", "shingles", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     return pairs.groupBy("grp", "i", "j").applyInPandas(lambda rows: verify(rows, threshold), "key binary, links long, root binary")
