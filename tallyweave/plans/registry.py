@@ -1,6 +1,6 @@
 """All registered queries with their SQL, by name."""
 
-from tallyweave.plans import evaluation_queries, log_queries
+from tallyweave.plans import evaluation_queries, log_queries, rule_queries
 
-QUERIES = {**evaluation_queries.QUERIES, **log_queries.QUERIES}
-ORACLE_SQL = {**evaluation_queries.ORACLE_SQL, **log_queries.ORACLE_SQL}
+QUERIES = {**evaluation_queries.QUERIES, **log_queries.QUERIES, **rule_queries.QUERIES}
+ORACLE_SQL = {**evaluation_queries.ORACLE_SQL, **log_queries.ORACLE_SQL, **rule_queries.ORACLE_SQL}
