@@ -27,7 +27,7 @@ LANDMARKS, CANDIDATES, UNLIKE = 48, 800, 0.7
 #: Normalized kernel values under FLOOR count as 0; so do words that hold less than LETTERS of a landmark's characters.
 FLOOR, LETTERS = 0.45, 0.6
 #: Labelled documents a model is fitted on at most, sentences kept of a training document, rounds of choosing sentences.
-MAX_LABELLED, SENTENCES_EACH, ROUNDS = 20_000, 12, 4
+MAX_LABELLED, SENTENCES_EACH, ROUNDS = 12_000, 6, 4
 WINDOW, STRIDE = 32, 16
 _BEGIN, _END = 1, 2  # mark a word's ends; no text has them within words
 _ALNUM = np.ones(65536, dtype=bool)
@@ -290,15 +290,13 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
             order = np.lexsort((-sums.sum(1), doc))
             doc, sums = doc[order], sums[order]
             keep = np.arange(len(doc)) - np.searchsorted(doc, doc) < SENTENCES_EACH
-            rows: list[list] = [[] for _ in texts]
-            for d, row in zip(doc[keep].tolist(), sums[keep].tolist(), strict=True):
-                rows[d].append(row)
-            return {"x": rows}
+            parts = np.split(sums[keep], np.searchsorted(doc[keep], np.arange(1, len(texts))))
+            return {"x": [p.tobytes() for p in parts]}
 
         return top
 
-    bags = map_texts(sample.select(F.col("label").cast("int"), "text"), work, "x array<array<float>>", "label", "text", 2_000_000).toPandas()
-    bags = [(int(y), np.array([np.asarray(r) for r in x], dtype=np.float64).reshape(-1, m)) for y, x in zip(bags["label"], bags["x"], strict=True) if len(x)]
+    bags = map_texts(sample.select(F.col("label").cast("int"), "text"), work, "x binary", "label", "text", 2_000_000).toPandas()
+    bags = [(int(y), np.frombuffer(x, dtype=np.float32).reshape(-1, m).astype(np.float64)) for y, x in zip(bags["label"], bags["x"], strict=True) if len(x)]
     bags.sort(key=lambda b: (b[0], len(b[1]), b[1].sum()))  # the same model however Spark deals the rows
     clean = np.concatenate([x for y, x in bags if y != 1] or [np.zeros((0, m))])
     toxic = [x for y, x in bags if y == 1]
