@@ -17,13 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own_dir: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share (spark.checkpoint.dir); a local one only where none is set, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='tallyweave-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if root:
+        return root
+    if not _own_dir:
+        _own_dir.append(f"file://{tempfile.mkdtemp(prefix='tallyweave-')}")
+    return _own_dir[0]
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
