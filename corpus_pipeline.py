@@ -30,11 +30,14 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the text that the suffix-array dedup leaves; bytes cut within a character are dropped with it. Texts that are lost whole go."""
-    cut = suffix_dedup.dedup(docs).where("n_removed > 0").select("doc_id", F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit("")).alias("left_text"), F.lit(True).alias("was_cut"))
+    """Documents with the text that the suffix-array dedup leaves; bytes cut within a character are dropped with it. Texts that are lost whole go.
+
+    The stage before leaves each id once; a null id never has text removed.
+    """
+    cut = suffix_dedup.dedup(docs).where("n_removed > 0").select("doc_id", F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit("")).alias("__left_text"), F.lit(True).alias("__was_cut"))
     joined = docs.join(cut, "doc_id", "left")
-    text = F.when(F.col("was_cut"), F.col("left_text")).otherwise(F.col("text"))
-    whole = joined.withColumn("text", text).where(F.col("was_cut").isNull() | (F.length(F.trim("text")) > 0))
+    text = F.when(F.col("__was_cut"), F.col("__left_text")).otherwise(F.col("text"))
+    whole = joined.withColumn("text", text).where(F.col("__was_cut").isNull() | (F.length(F.trim("text")) > 0))
     return whole.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -23,6 +23,8 @@ DIMENSIONS = ["source", "lang", "topic"]
 TOPICS = [("licensed", ["Licensed under", "license"]), ("table", [" | "]), ("shouting", ["!!"]), ("symbols", ["$$$", "###", "%%%"]), ("secrets", ["token = "])]
 #: Cells that are broadcast to the documents at most; more are joined by shuffle.
 BROADCAST_CELLS = 100_000
+#: Names of columns that stand beside the documents' own for a while.
+CELL, MIX_KEY, CHANCE, MIX = "__mix_cell", "__mix_key", "__mix_probability", "__mix"
 NULL = "\x01null"
 
 
@@ -38,10 +40,10 @@ def topic(text, topics=None):
 
 
 def with_cells(docs: DataFrame, text_col: str, source_col: str, lang_col: str, topics=None) -> DataFrame:
-    """`docs` with one more column: the struct `mix_cell` of source, lang, topic and n_tokens."""
+    """`docs` with one more column: the struct CELL of source, lang, topic and n_tokens."""
     text = F.col(text_col)
     return docs.withColumn(
-        "mix_cell",
+        CELL,
         F.struct(
             F.coalesce(F.col(source_col).cast("string"), F.lit(NULL)).alias("source"),
             F.coalesce(F.col(lang_col).cast("string"), F.lit(NULL)).alias("lang"),
@@ -93,22 +95,27 @@ def chance(id_col: str):
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topics=None, **rates) -> DataFrame:
-    """`docs` with one more column, the struct `mix` of source, lang, topic, n_tokens, probability and kept."""
+def decided(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, topics=None, **rates) -> DataFrame:
+    """`docs` with one more column, the struct MIX of source, lang, topic, n_tokens, probability and kept."""
     placed = with_cells(docs, text_col, source_col, lang_col, topics)
-    cells = placed.groupBy("mix_cell.source", "mix_cell.lang", "mix_cell.topic").agg(F.sum("mix_cell.n_tokens").alias("tokens"))
-    raked = materialize(rake(materialize(cells, "cells"), **rates), "raked").select(F.struct(*DIMENSIONS).alias("mix_key"), F.col("probability").alias("mix_probability"))
+    cells = placed.groupBy(*(F.col(f"{CELL}.{d}").alias(d) for d in DIMENSIONS)).agg(F.sum(f"{CELL}.n_tokens").alias("tokens"))
+    raked = materialize(rake(materialize(cells, "cells"), **rates), "raked").select(F.struct(*DIMENSIONS).alias(MIX_KEY), F.col("probability").alias(CHANCE))
     if raked.count() <= BROADCAST_CELLS:
         raked = F.broadcast(raked)
-    joined = placed.withColumn("mix_key", F.struct(*(F.col(f"mix_cell.{d}") for d in DIMENSIONS))).join(raked, "mix_key", "left")
-    kept = chance(id_col) < F.col("mix_probability")
-    mix = F.struct("mix_cell.*", F.col("mix_probability").alias("probability"), kept.alias("kept"))
-    return joined.select(*(docs[c] for c in docs.columns), mix.alias("mix"))
+    joined = placed.withColumn(MIX_KEY, F.struct(*(F.col(f"{CELL}.{d}") for d in DIMENSIONS))).join(raked, MIX_KEY, "left")
+    kept = chance(id_col) < F.col(CHANCE)
+    return joined.withColumn(MIX, F.struct(f"{CELL}.*", F.col(CHANCE).alias("probability"), kept.alias("kept"))).drop(CELL, MIX_KEY, CHANCE)
+
+
+def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topics=None, **rates) -> DataFrame:
+    """`docs` with one more column, the struct `mix` of source, lang, topic, n_tokens, probability and kept, in place of a column of that name."""
+    out = decided(docs, id_col, text_col, source_col, lang_col, topics, **rates)
+    return out.drop("mix").withColumnRenamed(MIX, "mix")
 
 
-def sample(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topics=None, **rates) -> DataFrame:
     """The rows of `docs` that are kept, with the columns of `docs`."""
-    return decide(docs, id_col, **options).where("mix.kept").drop("mix")
+    return decided(docs, id_col, text_col, source_col, lang_col, topics, **rates).where(F.col(f"{MIX}.kept")).select(*docs.columns)
 
 
 def decide_sql(documents: str = "documents", temperature: float = TEMPERATURE, fraction: float = FRACTION, sweeps: int = SWEEPS, topics=None) -> str:

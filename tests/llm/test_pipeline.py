@@ -28,3 +28,19 @@ def test_stages_follow_each_other(spark, sf_dir):
         docs, before = after, after.count()
     final = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert final.count() == before and final.where("n_tokens <> size(ids)").count() == 0
+
+
+def test_stages_take_odd_rows_and_columns(spark, sf_dir):
+    good = "The quiet river ran past the old mill and the people of the town went home before the rain began to fall on the roofs and the gardens."
+    rows = [(1, good, "en", "a", 5), (2, good + " Indeed.", None, None, None), (2, good + " Indeed.", "en", "a", 1), (None, good * 2, "en", "a", 1), (3, None, "en", "a", 0), (4, "", "en", "b", 0), (5, "Some other words stand here and nobody has said them before today. " * 800, "en", "b", 1)]
+    docs = spark.createDataFrame([(*r, 1, 2, 3, "k") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, mix int, score int, kept int, row string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns, name
+        ids = [r.doc_id for r in out.collect()]
+        assert set(ids) <= {1, 2, 3, 4, 5, None}, name
+        if name == "n-gram Jaccard join":
+            assert sorted(i for i in ids if i is not None) == [1, 3, 4, 5] and None in ids
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, docs, sf_dir).count() == len(rows) and last(spark, docs.limit(0), sf_dir).count() == 0
