@@ -32,7 +32,9 @@ from tallyweave.llm.common import _BYTE_CODES, INVERSE, MULTIPLIER, mix64, power
 LENGTH, GRAM = 50, 26
 SIDE = LENGTH - GRAM
 #: Bytes of text in a shard, and the bytes whose anchors are found at a time.
-SHARD, AT_ONCE = 8_000_000, 1_000_000
+SHARD, AT_ONCE = 8_000_000, 500_000
+#: Ranges of hashes for each shard, and contexts of one suffix array (more only where one anchor has more).
+RANGES_EACH, CONTEXTS = 5, 20_000
 #: Stands beyond the ends of documents; no UTF-8 text holds it.
 EDGE = 255
 
@@ -147,7 +149,8 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
     place, h = np.concatenate(places), np.concatenate(hashes)
     place, first = np.unique(place, return_index=True)
-    return place, h[first]
+    # Anchors are minima, so their hashes crowd at the low end; scrambled once more they spread evenly over the ranges.
+    return place, mix64(h[first]) >> np.uint64(16)
 
 
 def sliding(x: np.ndarray, span: int, pick) -> np.ndarray:
@@ -266,6 +269,17 @@ def contexts(data: np.ndarray, ends: np.ndarray, place: np.ndarray, doc: np.ndar
     return np.where(inside, data[np.clip(at, 0, len(data) - 1)], np.uint8(EDGE))
 
 
+def batches(group: np.ndarray):
+    """(begin, end) of runs of about CONTEXTS rows that never part a group; `group` is sorted."""
+    begin = 0
+    while begin < len(group):
+        end = begin + CONTEXTS
+        end = len(group) if end >= len(group) else max(int(np.searchsorted(group, group[end], side="left")), begin)
+        end = int(np.searchsorted(group, group[begin], side="right")) if end == begin else end
+        yield begin, end
+        begin = end
+
+
 _WEIGHTS = mix64(np.arange(1, WIDE + 1, dtype=np.uint64))
 
 
@@ -286,6 +300,27 @@ def covered_windows(table: pa.Table) -> pa.Table:
     first = np.concatenate([np.frombuffer(b, dtype=np.int64) for b in table.column("firsts").to_pylist()])
     size = [len(p) for p in parts]
     text = np.concatenate(parts)
+    del parts
+    gram = np.zeros(len(text), dtype=np.uint64)
+    for k in range(SIDE, SIDE + GRAM):
+        gram += mix64(_BYTE_CODES[text[:, k]] ^ _WEIGHTS[k])
+    by_gram = np.argsort(gram, kind="stable")
+    mask = np.zeros(len(text), dtype=np.int64)
+    for a, b in batches(gram[by_gram]):
+        rows = by_gram[a:b]
+        mask[rows] = anchor_windows(text[rows], first[rows])
+    at = np.concatenate([[0], np.cumsum(size)])
+    places, windows = [], []
+    for j, (owners, where) in enumerate(zip(table.column("owners").to_pylist(), table.column("places").to_pylist(), strict=True)):
+        own = mask[at[j] : at[j + 1]][np.frombuffer(owners, dtype=np.int32)]
+        some = np.flatnonzero(own)
+        places.append(np.frombuffer(where, dtype=np.int32)[some].tobytes())
+        windows.append(own[some].astype(np.uint32).tobytes())
+    return pa.table({"shard": table.column("shard"), "places": pa.array(places, pa.binary()), "windows": pa.array(windows, pa.binary())})
+
+
+def anchor_windows(text: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The covered windows, as bits, of contexts and the smallest ids that hold them. All contexts of an anchor come together."""
     order, new = grouped(text)
     kind = np.empty(len(text), dtype=np.int64)
     kind[order] = np.cumsum(new) - 1
@@ -296,9 +331,7 @@ def covered_windows(table: pa.Table) -> pa.Table:
     edges = np.concatenate([np.zeros((len(rep), 1), dtype=np.int16), np.cumsum(rep == EDGE, axis=1, dtype=np.int16)], axis=1)
     whole = edges[:, LENGTH : LENGTH + SIDE + 1] == edges[:, : SIDE + 1]
     # Contexts whose anchor has others.
-    gram = np.zeros(len(rep), dtype=np.uint64)
-    for k in range(SIDE, SIDE + GRAM):
-        gram += mix64(_BYTE_CODES[rep[:, k]] ^ _WEIGHTS[k])
+    gram = np.ascontiguousarray(rep[:, SIDE : SIDE + GRAM]).view(f"V{GRAM}").ravel()
     _, which, times = np.unique(gram, return_inverse=True, return_counts=True)
     many = np.flatnonzero(times[which] > 1)
     part = np.zeros_like(whole)
@@ -307,15 +340,7 @@ def covered_windows(table: pa.Table) -> pa.Table:
         found = repeated(joined.ravel(), np.repeat(least[many], WIDE + 1)).reshape(len(many), WIDE + 1)
         part[many] = found[:, : SIDE + 1]
     weights = (np.int64(1) << np.arange(SIDE + 1)).astype(np.int64)
-    mask = np.where(first > least[kind], (whole @ weights)[kind], (part @ weights)[kind])
-    at = np.concatenate([[0], np.cumsum(size)])
-    places, windows = [], []
-    for j, (owners, where) in enumerate(zip(table.column("owners").to_pylist(), table.column("places").to_pylist(), strict=True)):
-        own = mask[at[j] : at[j + 1]][np.frombuffer(owners, dtype=np.int32)]
-        some = np.flatnonzero(own)
-        places.append(np.frombuffer(where, dtype=np.int32)[some].tobytes())
-        windows.append(own[some].astype(np.uint32).tobytes())
-    return pa.table({"shard": table.column("shard"), "places": pa.array(places, pa.binary()), "windows": pa.array(windows, pa.binary())})
+    return np.where(first > least[kind], (whole @ weights)[kind], (part @ weights)[kind])
 
 
 def inside(shard: Shard) -> np.ndarray:
@@ -378,10 +403,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     total = docs.select(F.sum(F.octet_length(text_col))).first()[0] or 0
     shards = max(1, math.ceil(total / shard_bytes))
     dealt = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("shard", F.pmod(F.xxhash64(F.coalesce("id", F.xxhash64("text"))), F.lit(shards)).cast("int"))
-    dealt = dealt.repartition(shards, "shard")
-    hashes = dealt.groupBy("shard").applyInArrow(lambda key, t: send_hashes(t, key[0].as_py(), shards), "range int, shard int, hashes binary, several binary")
+    dealt, ranges = dealt.repartition(shards, "shard"), shards * RANGES_EACH
+    hashes = dealt.groupBy("shard").applyInArrow(lambda key, t: send_hashes(t, key[0].as_py(), ranges), "range int, shard int, hashes binary, several binary")
     recurring = hashes.groupBy("range").applyInArrow(merge_hashes, "range int, shard int, recurring binary")
-    sent = dealt.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInArrow(lambda a, b: send_contexts(a, b, shards), "range int, shard int, contexts binary, firsts binary, owners binary, places binary")
+    sent = dealt.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInArrow(lambda a, b: send_contexts(a, b, ranges), "range int, shard int, contexts binary, firsts binary, owners binary, places binary")
     covered = sent.groupBy("range").applyInArrow(covered_windows, "shard int, places binary, windows binary")
     cut = dealt.groupBy("shard").cogroup(covered.groupBy("shard")).applyInArrow(lambda a, b: cut_text(a, b, pa.int64()), "id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<int>")
     return cut.withColumnRenamed("id", id_col)
