@@ -83,6 +83,7 @@ class Coder:
         self.db.execute("SET memory_limit = '400MB'")
         self._load("merges", pair=[m[0] for m in merges], id=[m[1] for m in merges])
         self._load("vocabulary", tok=list(self.ranks.values()), hex=[t.hex() for t in self.ranks])
+        self.remembered = REMEMBERED
         self.ids: dict[str, str] = {}
         self.decoded: dict[str, bytes] = {}
 
@@ -94,7 +95,7 @@ class Coder:
     def learn(self, pieces: set[str]) -> None:
         """Contract the pieces that are not known yet."""
         new = pieces - self.ids.keys()
-        if len(self.ids) + len(new) > REMEMBERED:
+        if len(self.ids) + len(new) > self.remembered:
             self.ids.clear()
             self.decoded.clear()
             new = pieces
@@ -135,14 +136,16 @@ def coder(path: str, pattern: str) -> Coder:
     return _coders[path, pattern]
 
 
-def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", arrays: bool = True) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", arrays: bool = True, chunk: int = CHUNK, remembered: int = REMEMBERED) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256[, ids array<int>, decoded binary]) of every row of `docs`.
 
     `path` is a .tiktoken file that every worker can read, `pattern` the regular expression that splits texts into
-    pieces. `arrays` adds the ids and the decoded bytes themselves.
+    pieces. `arrays` adds the ids and the decoded bytes themselves. `chunk` characters are tokenized at a time and
+    `remembered` pieces kept: both bound a worker's memory and change no result.
     """
     def work():
         own = coder(path, pattern)
+        own.remembered = remembered
 
         def code(texts):
             rows = own.code(texts)
@@ -151,12 +154,12 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
                 "ids_sha256": [hashlib.sha256(r[0].encode()).hexdigest() for r in rows],
                 "decoded_sha256": [hashlib.sha256(r[1]).hexdigest() for r in rows],
             }
-            return out | ({"ids": [[int(x) for x in r[0].split()] for r in rows], "decoded": [r[1] for r in rows]} if arrays else {})
+            return out | ({"ids": [np.fromstring(r[0], dtype=np.int32, sep=" ") for r in rows], "decoded": [r[1] for r in rows]} if arrays else {})
 
         return code
 
     columns = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * arrays
-    return map_texts(docs, work, columns, id_col, text_col, CHUNK)
+    return map_texts(docs, work, columns, id_col, text_col, chunk)
 
 
 def decode(coded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

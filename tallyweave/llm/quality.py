@@ -140,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     def work():
         return lambda texts: {"x": features(texts).tolist()}
 
-    rows = map_texts(sample.select(F.col("label").cast("int"), "text"), work, "x array<double>", "label", "text", 4_000_000).toPandas()
+    rows = map_texts(sample.select(F.col("label").cast("int"), "text"), work, "x array<double>", "label", "text", 1_000_000).toPandas()
     if not len(rows):
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
     x, y = np.stack(rows["x"].to_list()), rows["label"].to_numpy()
@@ -158,7 +158,7 @@ def scores(docs: DataFrame, model: Ranking, id_col: str = "doc_id", text_col: st
 
         return score
 
-    return map_texts(docs, work, "rank_score double, score double", id_col, text_col, 4_000_000)
+    return map_texts(docs, work, "rank_score double, score double", id_col, text_col, 1_000_000)
 
 
 def above_quantile(scored: DataFrame, quantile: float, by: str = "rank_score", accuracy: int = 10_000) -> DataFrame:
