@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import in_chunks, materialize, mix64, runs, span_hashes, utf8
+from tallyweave.llm.common import give_back, in_chunks, materialize, mix64, runs, span_hashes, utf8
 from tallyweave.llm.graph import components
 
 WORDS, THRESHOLD, TARGET_RECALL, ROWS = 5, 0.8, 0.9999, 6
@@ -101,6 +101,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int,
                 sign = signatures(sets, bands, rows).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands * (b - a) + 1, bands), pa.int32()), pa.array(sign.ravel(), pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array([key_of(s) for s in sets], pa.binary()), lists], ["id", "key", "bands"])
+        give_back()
 
     return docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").mapInArrow(run, f"id {id_type}, key binary, bands array<long>")
 
@@ -185,6 +186,7 @@ def verified_links(docs: DataFrame, members: DataFrame, id_col: str, text_col: s
                 rows = batch.take(pa.array(mine, pa.int64()))
                 names = ["key", "n_docs", "grp", "blocks"]
                 yield pa.RecordBatch.from_arrays([*(rows.column(n) for n in names), pa.array([sets[i - a].tobytes() for i in mine], pa.binary())], [*names, "shingles"])
+        give_back()
 
     sets = texts.mapInArrow(run, "key binary, n_docs long, grp binary, blocks int, shingles binary")
     placed = sets.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))

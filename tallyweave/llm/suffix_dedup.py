@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import _BYTE_CODES, INVERSE, MULTIPLIER, mix64, powers, utf8
+from tallyweave.llm.common import _BYTE_CODES, INVERSE, MULTIPLIER, give_back, mix64, powers, utf8
 
 LENGTH, GRAM = 50, 26
 SIDE = LENGTH - GRAM
@@ -42,17 +42,23 @@ EDGE = 255
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Starts of the suffixes of a byte string in order; an end sorts before any byte.
 
-    Larsson and Sadakane's refinement: suffixes are ranked by their first eight bytes, then the groups that are not yet
+    Larsson and Sadakane's refinement: suffixes are ranked by their first seven bytes, then the groups that are not yet
     sorted, and only they, are sorted by the ranks of the suffixes h further on, with h doubled each time.
     """
     n = len(text)
     if n == 0:
         return np.zeros(0, dtype=np.int64)
-    key = np.zeros(n + 8, dtype=np.uint64)
-    key[:n] = text.astype(np.uint64) + np.uint64(1)
-    key = key[:n] * np.uint64(257**6) + key[1 : n + 1] * np.uint64(257**5) + key[2 : n + 2] * np.uint64(257**4) + key[3 : n + 3] * np.uint64(257**3) + key[4 : n + 4] * np.uint64(257**2) + key[5 : n + 5] * np.uint64(257) + key[6 : n + 6]
+    byte = np.zeros(n + 6, dtype=np.uint16)
+    byte[:n] = text
+    byte[:n] += 1
+    key = byte[:n].astype(np.uint64)
+    for k in range(1, 7):
+        key *= np.uint64(257)
+        key += byte[k : n + k]
     sa = np.argsort(key, kind="stable")
-    new = np.append(True, key[sa][1:] != key[sa][:-1])
+    key = key[sa]
+    new = np.append(True, key[1:] != key[:-1])
+    del byte, key
     rank = np.empty(n, dtype=np.int64)
     rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     h = 7
@@ -398,17 +404,29 @@ def cut_text(docs: pa.Table, told: pa.Table, id_type: pa.DataType) -> pa.Table:
     return pa.table({n: pa.array(c, t) for n, c, t in zip(("id", "n_bytes", "n_removed", "n_spans", "kept", "spans"), columns, types, strict=True)})
 
 
+def released(step):
+    """`step`, after which the worker gives back the memory that the group took."""
+
+    def run(*tables):
+        try:
+            return step(*tables)
+        finally:
+            give_back()
+
+    return run
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept binary, spans array<int>) of every row; spans: begin and end of each removed run, in bytes."""
     total = docs.select(F.sum(F.octet_length(text_col))).first()[0] or 0
     shards = max(1, math.ceil(total / shard_bytes))
     dealt = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("shard", F.pmod(F.xxhash64(F.coalesce("id", F.xxhash64("text"))), F.lit(shards)).cast("int"))
     dealt, ranges = dealt.repartition(shards, "shard"), shards * RANGES_EACH
-    hashes = dealt.groupBy("shard").applyInArrow(lambda key, t: send_hashes(t, key[0].as_py(), ranges), "range int, shard int, hashes binary, several binary")
+    hashes = dealt.groupBy("shard").applyInArrow(lambda key, t: released(send_hashes)(t, key[0].as_py(), ranges), "range int, shard int, hashes binary, several binary")
     recurring = hashes.groupBy("range").applyInArrow(merge_hashes, "range int, shard int, recurring binary")
-    sent = dealt.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInArrow(lambda a, b: send_contexts(a, b, ranges), "range int, shard int, contexts binary, firsts binary, owners binary, places binary")
-    covered = sent.groupBy("range").applyInArrow(covered_windows, "shard int, places binary, windows binary")
-    cut = dealt.groupBy("shard").cogroup(covered.groupBy("shard")).applyInArrow(lambda a, b: cut_text(a, b, pa.int64()), "id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<int>")
+    sent = dealt.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInArrow(lambda a, b: released(send_contexts)(a, b, ranges), "range int, shard int, contexts binary, firsts binary, owners binary, places binary")
+    covered = sent.groupBy("range").applyInArrow(lambda t: released(covered_windows)(t), "shard int, places binary, windows binary")
+    cut = dealt.groupBy("shard").cogroup(covered.groupBy("shard")).applyInArrow(lambda a, b: released(cut_text)(a, b, pa.int64()), "id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<int>")
     return cut.withColumnRenamed("id", id_col)
 
 
