@@ -83,7 +83,7 @@ class Coder:
         self.db.execute("SET memory_limit = '400MB'")
         self._load("merges", pair=[m[0] for m in merges], id=[m[1] for m in merges])
         self._load("vocabulary", tok=list(self.ranks.values()), hex=[t.hex() for t in self.ranks])
-        self.remembered = REMEMBERED
+        self.remembered, self.pieces_at_once = REMEMBERED, PIECES_AT_ONCE
         self.ids: dict[str, str] = {}
         self.decoded: dict[str, bytes] = {}
 
@@ -106,8 +106,8 @@ class Coder:
                 self.ids[p], self.decoded[p] = str(whole), raw
             else:
                 todo.append((p, raw))
-        for at in range(0, len(todo), PIECES_AT_ONCE):
-            part = todo[at : at + PIECES_AT_ONCE]
+        for at in range(0, len(todo), self.pieces_at_once):
+            part = todo[at : at + self.pieces_at_once]
             size = np.array([len(raw) for _, raw in part])
             begin = np.cumsum(size) - size
             data = np.frombuffer(b"".join([raw for _, raw in part]), dtype=np.uint8)
@@ -136,16 +136,16 @@ def coder(path: str, pattern: str) -> Coder:
     return _coders[path, pattern]
 
 
-def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", arrays: bool = True, chunk: int = CHUNK, remembered: int = REMEMBERED) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", arrays: bool = True, chunk: int = CHUNK, remembered: int = REMEMBERED, pieces_at_once: int = PIECES_AT_ONCE) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256[, ids array<int>, decoded binary]) of every row of `docs`.
 
     `path` is a .tiktoken file that every worker can read, `pattern` the regular expression that splits texts into
-    pieces. `arrays` adds the ids and the decoded bytes themselves. `chunk` characters are tokenized at a time and
-    `remembered` pieces kept: both bound a worker's memory and change no result.
+    pieces. `arrays` adds the ids and the decoded bytes themselves. `chunk` characters are tokenized at a time,
+    `pieces_at_once` contracted by one query and `remembered` kept: all bound a worker's memory and change no result.
     """
     def work():
         own = coder(path, pattern)
-        own.remembered = remembered
+        own.remembered, own.pieces_at_once = remembered, pieces_at_once
 
         def code(texts):
             rows = own.code(texts)
