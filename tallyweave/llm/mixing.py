@@ -4,7 +4,8 @@ Documents fall into cells of source, language and topic. The cells' token weight
 margin of each dimension in turn, SWEEPS times over. Targets are given, or each value's share of the tokens to
 the power TEMPERATURE. A cell's raked weight for each of its tokens, times one factor, is the probability of its
 documents; it is capped at 1, and the factor is such that the expected tokens are FRACTION of all. A document is kept where
-a hash of its id falls under its probability, so the same id has the same fate in any run.
+a hash of its id falls under its probability, so the same id has the same fate in any run. Capped cells give less than
+their target and nothing makes up for it: the sample meets the total, not the margins. `margins` tells by how much.
 
 Null sources and languages are a value of their own. Null and empty texts have no tokens, topic `none` where null, and
 the probability of their cell (1 in a cell without tokens). Null ids hash as the text `null`; repeated rows share their fate.
@@ -54,7 +55,7 @@ def with_cells(docs: DataFrame, text_col: str, source_col: str, lang_col: str, t
 
 
 def rake(cells: DataFrame, temperature: float = TEMPERATURE, fraction: float = FRACTION, sweeps: int = SWEEPS, targets: dict[str, DataFrame] | None = None) -> DataFrame:
-    """(source, lang, topic, tokens, raked, probability) of the cells (source, lang, topic, tokens).
+    """(source, lang, topic, tokens, raked, probability, target_source, target_lang, target_topic) of the cells (source, lang, topic, tokens).
 
     targets: for any dimension a table (its name, share) that replaces the default; values it lacks get the share 0.
     """
@@ -86,7 +87,18 @@ def rake(cells: DataFrame, temperature: float = TEMPERATURE, fraction: float = F
     out = out.withColumn("factor", F.max(F.when(F.col("i") == F.col("fits"), F.col("factor"))).over(everything))
     # No cell fits only where all are taken whole.
     p = F.when(F.col("g").isNull() | F.col("factor").isNull(), 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("factor") * F.col("g"))))
-    return out.select(*DIMENSIONS, "tokens", "raked", p.alias("probability"))
+    return out.select(*DIMENSIONS, "tokens", "raked", p.alias("probability"), *(f"target_{d}" for d in DIMENSIONS))
+
+
+def margins(raked: DataFrame) -> DataFrame:
+    """(dimension, value, target, input, achieved, capped) of each source, language and topic of `rake`'s rows: the target, the share of the
+    input's tokens, the share of the tokens that are expected to be kept, and the share of the value's tokens that are in cells of probability 1."""
+    each = F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value"), F.col(f"target_{d}").alias("target")) for d in DIMENSIONS)))
+    sums = raked.select("tokens", (F.col("tokens") * F.col("probability")).alias("kept"), F.when(F.col("probability") >= 1, F.col("tokens")).otherwise(0).alias("full"), each.alias("m"))
+    sums = sums.groupBy("m.dimension", "m.value").agg(F.max("m.target").alias("target"), F.sum("tokens").alias("tokens"), F.sum("kept").alias("kept"), F.sum("full").alias("full"))
+    whole = Window.partitionBy("dimension")
+    share = lambda c: F.try_divide(F.col(c), F.sum(c).over(whole))
+    return sums.select("dimension", "value", "target", share("tokens").alias("input"), share("kept").alias("achieved"), F.try_divide("full", "tokens").alias("capped"))
 
 
 def chance(id_col: str):

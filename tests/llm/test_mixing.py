@@ -47,6 +47,26 @@ def test_raked_margins_meet_given_targets(spark):
     assert sum(r.raked for r in raked if r.lang == "p") == pytest.approx(0.9 * total, rel=1e-3)
 
 
+def test_margins_tell_where_caps_miss_targets(spark):
+    rows = [("x", "p", "t", 100), ("x", "q", "t", 100), ("y", "p", "t", 100), ("y", "q", "t", 700)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    targets = {"source": spark.createDataFrame([("x", 0.5), ("y", 0.5)], "source string, share double")}
+    for fraction in (0.1, 0.8):
+        raked = mixing.rake(cells, fraction=fraction, targets=targets)
+        cell = raked.collect()
+        kept = sum(r.tokens * r.probability for r in cell)
+        got = {(r.dimension, r.value): r for r in mixing.margins(raked).collect()}
+        for d in mixing.DIMENSIONS:
+            for v in {r[d] for r in cell}:
+                own = [r for r in cell if r[d] == v]
+                assert got[d, v].achieved == pytest.approx(sum(r.tokens * r.probability for r in own) / kept)
+                assert got[d, v].input == pytest.approx(sum(r.tokens for r in own) / 1000)
+        gap = max(abs(r.target - r.achieved) for r in got.values())
+        # half of 100 tokens can be of `x`, half of 800 can't
+        assert gap < 0.01 if fraction == 0.1 else gap > 0.2
+        assert (got["source", "x"].capped == 0) == (fraction == 0.1)
+
+
 def test_native(spark, sf_dir):
     docs = spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
     plan = mixing.decide(docs)._jdf.queryExecution().toString()
