@@ -42,5 +42,32 @@ def test_rolling_hash_and_sizes():
     assert ends[-1] == len(data) and sizes.max() <= chunk_dedup.MOST and sizes[:-1].min() >= chunk_dedup.LEAST
 
 
+def ended(seed, n):
+    """Text whose last chunk is ended by its own bytes."""
+    t = text(seed, n).encode()
+    return t[: chunk_dedup.cut(np.frombuffer(t, dtype=np.uint8))[-3]]
+
+
+def test_unrelated_documents_stay_whole(spark):
+    # a phrase that is a chunk wherever it follows the end of one, and an ending too short for a chunk
+    phrases = (text(seed, 40).encode()[:36] for seed in range(1000, 9000))
+    phrase = next(p for p in phrases if any(chunk_dedup.cut(np.frombuffer(ended(21, 900) + p + text(22, 300).encode(), dtype=np.uint8))[k] == len(ended(21, 900)) + len(p) for k in range(len(chunk_dedup.cut(np.frombuffer(ended(21, 900), dtype=np.uint8))) + 1)) and not (chunk_dedup.gear_hash(np.frombuffer(p, dtype=np.uint8))[15:-1] & chunk_dedup.MASK == 0).any())
+    rows = [(1, ended(21, 900) + phrase + ended(22, 300) + b" Yours."), (2, ended(23, 700) + phrase + ended(24, 400) + b" Yours."), (3, b"Short."), (4, b"Short."), (5, text(25, 400).encode()), (6, text(25, 400).encode())]
+    own = [{d for _, _, d in chunk_dedup.chunks(t)} for _, t in rows]
+    assert own[0] & own[1]  # they do share a chunk
+    got = {r.doc_id: r for r in chunk_dedup.dedup(spark.createDataFrame([(i, t.decode("utf-8", "ignore")) for i, t in rows], "doc_id long, text string")).collect()}
+    assert [got[i].n_removed for i in (1, 2, 3, 5)] == [0, 0, 0, 0] and got[2].repeats_of == [] and bytes(got[2].kept) == rows[1][1]
+    assert bytes(got[4].kept) == b"" and bytes(got[6].kept) == b"" and got[6].repeats_of == [5]  # copies go whole, short ones too
+
+
+def test_short_last_pieces_join_the_chunk_before():
+    for seed in range(300):
+        t = np.frombuffer(text(seed, 200 + seed).encode(), dtype=np.uint8)
+        sizes = np.diff([0, *chunk_dedup.cut(t)])
+        assert sizes.sum() == len(t) and sizes.min() >= chunk_dedup.LEAST and sizes.max() <= chunk_dedup.MOST
+    tail = np.zeros(chunk_dedup.MOST + 5, dtype=np.uint8)
+    assert np.diff([0, *chunk_dedup.cut(tail)]).min() >= chunk_dedup.LEAST
+
+
 def test_empty_table(spark):
     assert chunk_dedup.dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
