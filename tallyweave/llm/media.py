@@ -1,7 +1,8 @@
 """Media columns: texts' bytes kept as WAV files in a binary column, read back by the wave module and fingerprinted.
 
-A fingerprint is an array of time-coded hashes: the stored samples go through a short-time Fourier transform, each frame
-keeps its strongest bins that are local maxima, and each peak is paired with the peaks of the frames that follow. A pair
+A fingerprint is an array of time-coded hashes: the stored samples go through a short-time Fourier transform whose frames
+overlap, so that every sample is in FRAME / HOP of them and a passage shifted by any number of bytes meets like frames. Each frame
+keeps its strongest bins that are local maxima, and each peak is paired with the peaks of the frames that follow without overlap. A pair
 (bin, later bin, frames between) and the frame it begins at make one integer: frame << 32 | bin << 20 | later << 8 | gap.
 
 Null texts count as empty. Every payload is padded with zero bytes to a positive multiple of 64.
@@ -20,8 +21,8 @@ from pyspark.sql import DataFrame
 from tallyweave.llm.common import map_texts
 
 RATE = 8000
-#: Samples of a frame and between frames, peaks kept of a frame, and following frames that a peak is paired with.
-FRAME, HOP, PEAKS, FAN = 256, 256, 3, 2
+#: Samples of a frame and between frames' beginnings, peaks kept of a frame, and following frames (those that don't overlap) that a peak is paired with.
+FRAME, HOP, PEAKS, FAN = 256, 32, 3, 2
 #: Frames transformed at a time.
 FRAMES_AT_ONCE = 16_384
 
@@ -68,20 +69,21 @@ def peaks_of(frames: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(payloads: list[bytes]) -> list[np.ndarray]:
-    """Per payload its sorted time-coded pair hashes. Payloads are framed one by one, the last frame padded with silence (128)."""
-    n_frames = [max(1, -(-len(p) // HOP)) for p in payloads]
-    samples = np.full(sum(n_frames) * FRAME, 128, dtype=np.uint8)
-    at = 0
+    """Per payload its sorted time-coded pair hashes. Payloads are framed one by one, with silence (128) before and after."""
+    lead = FRAME - HOP
+    n_frames = [-(-(len(p) + lead) // HOP) for p in payloads]
+    samples = np.full(sum(n_frames) * HOP + lead, 128, dtype=np.uint8)
+    at = lead
     for p, n in zip(payloads, n_frames, strict=True):
         samples[at : at + len(p)] = np.frombuffer(p, dtype=np.uint8)
-        at += n * FRAME
-    frames = samples.reshape(-1, FRAME)
+        at += n * HOP  # the silence after this payload is that before the next
+    frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP]
     peaks = np.concatenate([peaks_of(frames[i : i + FRAMES_AT_ONCE]) for i in range(0, len(frames), FRAMES_AT_ONCE)])
     ends = np.cumsum(n_frames)
     owner = np.repeat(np.arange(len(payloads)), n_frames)
     time = np.arange(len(frames)) - np.repeat(ends - n_frames, n_frames)
     codes, owners = [], []
-    for gap in range(1, FAN + 1):
+    for gap in range(FRAME // HOP, FAN * FRAME // HOP + 1, FRAME // HOP):
         same = owner[gap:] == owner[:-gap]
         for a in range(PEAKS):
             for b in range(PEAKS):

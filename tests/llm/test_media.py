@@ -39,6 +39,17 @@ def test_shared_passage_gives_shared_pairs():
     assert len(pairs(a) & pairs(b)) > 0.8 * len(pairs(a))
 
 
+def test_passages_shifted_by_odd_bytes_share_pairs():
+    rng = np.random.default_rng(3)
+    passage = rng.integers(0, 256, 5000, dtype=np.uint8).tobytes()
+    pairs = lambda p: set((media.fingerprints([p])[0] & 0xFFFFFFFF).tolist())
+    own = pairs(passage)
+    for shift in (1, 13, 47, 97, 129, 333, 1001):
+        moved = pairs(rng.integers(0, 256, shift, dtype=np.uint8).tobytes() + passage)
+        assert len(own & moved) > 0.5 * len(own), shift
+    assert len(own & pairs(rng.integers(0, 256, 5000, dtype=np.uint8).tobytes())) < 0.2 * len(own)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert media.query_feature(media.media_columns(docs)).collect() == []
