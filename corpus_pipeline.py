@@ -21,21 +21,30 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return scored.where(F.col("score") >= LEAST_QUALITY).select("row.*")
 
 
+def text_digest(text: str = "text"):
+    """A 128-bit digest of a text; null has none of its own but the empty bytes."""
+    return F.coalesce(F.unhex(F.md5(text)), F.lit(b""))
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: the one with the smallest id, once. Rows with a null id are kept."""
-    classes = ngram_join.join(docs).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max((F.col("class_id") == F.col("doc_id")).cast("int")).alias("first"))
-    kept = classes.where("first = 1 AND doc_id IS NOT NULL").select("doc_id")
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    """One row of each class of near duplicates: the one with the smallest id and, of that id, the smallest text digest.
+
+    Rows that share an id but not a text are classed one by one; of rows that share both, the least by all columns stays. Rows with a null id are kept.
+    """
+    keyed = docs.where("doc_id IS NOT NULL").withColumn("__near", F.struct("doc_id", text_digest().alias("digest")))
+    kept = ngram_join.join(keyed, id_col="__near").where("class_id = __near").select("__near")
+    one = keyed.join(kept, "__near", "left_semi").groupBy("__near").agg(F.min(F.struct(*(F.col(c) for c in docs.columns))).alias("__row"))
+    return one.select("__row.*").unionByName(docs.where("doc_id IS NULL"))
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the text that the suffix-array dedup leaves; bytes cut within a character are dropped with it. Texts that are lost whole go.
 
-    The stage before leaves each id once; a null id never has text removed.
+    The stage before leaves each pair of id and text once; a null id never has text removed.
     """
-    cut = suffix_dedup.dedup(docs).where("n_removed > 0").select("doc_id", F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit("")).alias("__left_text"), F.lit(True).alias("__was_cut"))
-    joined = docs.join(cut, "doc_id", "left")
+    left = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))
+    cut = suffix_dedup.dedup(docs, digests=True).where("n_removed > 0").select("doc_id", F.col("text_md5").alias("__text_md5"), left.alias("__left_text"), F.lit(True).alias("__was_cut"))
+    joined = docs.withColumn("__text_md5", text_digest()).join(cut, ["doc_id", "__text_md5"], "left")
     text = F.when(F.col("__was_cut"), F.col("__left_text")).otherwise(F.col("text"))
     whole = joined.withColumn("text", text).where(F.col("__was_cut").isNull() | (F.length(F.trim("text")) > 0))
     return whole.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)

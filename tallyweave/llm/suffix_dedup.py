@@ -378,8 +378,8 @@ def inside(shard: Shard) -> np.ndarray:
     return out
 
 
-def cut_text(docs: pa.Table, told: pa.Table, id_type: pa.DataType) -> pa.Table:
-    """Step 5: (id, n_bytes, n_removed, n_spans, kept, spans) of one shard's rows."""
+def cut_text(docs: pa.Table, told: pa.Table, id_type: pa.DataType, digests: bool = False) -> pa.Table:
+    """Step 5: (id, n_bytes, n_removed, n_spans, kept, spans) of one shard's rows, with `digests` the texts' text_md5 too."""
     shard = Shard(docs)
     start = inside(shard)
     for places, windows in zip(told.column("places").to_pylist(), told.column("windows").to_pylist(), strict=True):
@@ -401,7 +401,11 @@ def cut_text(docs: pa.Table, told: pa.Table, id_type: pa.DataType) -> pa.Table:
         rows.append((None, len(raw), 0, 0, raw, []))
     columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
     types = (id_type, pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()))
-    return pa.table({n: pa.array(c, t) for n, c, t in zip(("id", "n_bytes", "n_removed", "n_spans", "kept", "spans"), columns, types, strict=True)})
+    out = pa.table({n: pa.array(c, t) for n, c, t in zip(("id", "n_bytes", "n_removed", "n_spans", "kept", "spans"), columns, types, strict=True)})
+    if digests:
+        texts = [shard.data[a:b].tobytes() for a, b in zip(shard.ends[:-1], shard.ends[1:], strict=True)] + [r[4] for r in rows[len(shard.ids) :]]
+        out = out.append_column("text_md5", pa.array([hashlib.md5(t).digest() for t in texts], pa.binary()))
+    return out
 
 
 def released(step):
@@ -416,8 +420,10 @@ def released(step):
     return run
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept binary, spans array<int>) of every row; spans: begin and end of each removed run, in bytes."""
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD, digests: bool = False) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept binary, spans array<int>) of every row; spans: begin and end of each removed run, in bytes.
+
+    digests: one more column, text_md5 binary of the text before, which tells rows of one id apart."""
     total = docs.select(F.sum(F.octet_length(text_col))).first()[0] or 0
     shards = max(1, math.ceil(total / shard_bytes))
     dealt = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("shard", F.pmod(F.xxhash64(F.coalesce("id", F.xxhash64("text"))), F.lit(shards)).cast("int"))
@@ -426,7 +432,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     recurring = hashes.groupBy("range").applyInArrow(merge_hashes, "range int, shard int, recurring binary")
     sent = dealt.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInArrow(lambda a, b: released(send_contexts)(a, b, ranges), "range int, shard int, contexts binary, firsts binary, owners binary, places binary")
     covered = sent.groupBy("range").applyInArrow(lambda t: released(covered_windows)(t), "shard int, places binary, windows binary")
-    cut = dealt.groupBy("shard").cogroup(covered.groupBy("shard")).applyInArrow(lambda a, b: released(cut_text)(a, b, pa.int64()), "id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<int>")
+    columns = "id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<int>" + ", text_md5 binary" * digests
+    cut = dealt.groupBy("shard").cogroup(covered.groupBy("shard")).applyInArrow(lambda a, b: released(cut_text)(a, b, pa.int64(), digests), columns)
     return cut.withColumnRenamed("id", id_col)
 
 

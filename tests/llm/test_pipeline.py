@@ -44,3 +44,16 @@ def test_stages_take_odd_rows_and_columns(spark, sf_dir):
         assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
     last = corpus_pipeline.STAGES[-1][1]
     assert last(spark, docs, sf_dir).count() == len(rows) and last(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_rows_that_share_an_id_are_judged_one_by_one(spark, sf_dir):
+    first = "The quiet river ran past the old mill and the people of the town went home before the rain began to fall on the roofs and the gardens."
+    others = [" ".join(f"{w}{k}{n}" for n in range(30)) for k, w in enumerate(("stone", "lamp", "cloud"))]
+    rows = [(1, first, "en", "a", 1), (2, others[0], "en", "a", 1), (2, first, "en", "a", 1), (3, others[1], "de", "b", 1), (3, others[2] + " " + first, "en", "a", 1), (3, others[1], "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    for order in (rows, rows[::-1]):
+        out = stages["n-gram Jaccard join"](spark, spark.createDataFrame(order, docs.schema), sf_dir)
+        assert sorted((r.doc_id, r.text, r.lang) for r in out.collect()) == sorted([(1, first, "en"), (2, others[0], "en"), (3, others[1], "de"), (3, others[2] + " " + first, "en")])
+    left = sorted((r.doc_id, r.text.strip()) for r in stages["suffix-array dedup"](spark, out, sf_dir).collect())
+    assert left == sorted([(1, first), (2, others[0]), (3, others[1]), (3, others[2])])
