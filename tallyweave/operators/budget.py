@@ -83,16 +83,26 @@ def shorten(files: DataFrame, by: str, target: int, steps: list[str] = SOLUTION_
     """Files of each directory shortened step by step until the directory is under `target` characters.
 
     A step takes the largest file that its axis has not yet cut; one too small to be cut stays the next step's choice. The
-    choice of a step depends on the one before, so a directory is one group; its rows are its files.
+    choice of a step depends on the one before, but steps come to untouched files from the largest on (ties by name), one
+    at most each: only the len(steps) largest of a directory go to its group, the others count with their characters and
+    pass by. Names are those of one file each in a directory.
     """
-    schema = files.select(by, name, text).schema
+    files = files.select(by, name, text)
+    schema = files.schema
+    at = F.struct((-F.length(F.coalesce(F.col(text), F.lit("")))).alias("size"), F.col(name).alias("name"))
+    placed = files.withColumn("__at", at)
+    most = placed.withColumn("__rank", F.rank().over(Window.partitionBy(by).orderBy("__at"))).where(F.col("__rank") <= max(1, len(steps))).drop("__rank")
+    bounds = most.groupBy(F.col(by).alias("__by")).agg(F.max("__at").alias("__last"))
+    rest = placed.join(bounds, F.col(by).eqNullSafe(F.col("__by"))).where(F.col("__at") > F.col("__last"))
+    sums = rest.groupBy("__by").agg(F.sum(-F.col("__at.size")).alias("__rest"))
+    chosen = most.join(sums, F.col(by).eqNullSafe(F.col("__by")), "left").select(by, name, text, F.coalesce("__rest", F.lit(0)).alias("__rest"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(name)
-        texts = rows[text].fillna("").tolist()
+        texts, others = rows[text].fillna("").tolist(), int(rows["__rest"].iloc[0])
         cut: dict[str, set[int]] = {"rows": set(), "columns": set()}
         for step in steps:
-            if sum(map(len, texts)) < target:
+            if sum(map(len, texts)) + others < target:
                 break
             left = [k for k in range(len(texts)) if k not in cut[step] and texts[k]]
             if left:
@@ -103,7 +113,7 @@ def shorten(files: DataFrame, by: str, target: int, steps: list[str] = SOLUTION_
                     texts[i] = shorter
         return rows[[by, name]].assign(**{text: texts})
 
-    return files.select(by, name, text).groupBy(by).applyInPandas(run, schema)
+    return chosen.groupBy(by).applyInPandas(run, schema).unionByName(rest.select(by, name, F.coalesce(F.col(text), F.lit("")).alias(text)))
 
 
 def _rows(text: str, first: int = 60, last: int = 40, over: int = 100) -> str:

@@ -142,6 +142,28 @@ def test_budgets(spark):
     assert {r.model: r.total_cost for r in budget.costs(usage, prices, (10.0, 30.0)).collect()} == {"m": 4.0, "new": 10.0}
 
 
+def test_shortening_sends_only_the_largest_files_to_python(spark):
+    rows = [("d", f"f{i:02d}", "\n".join(["x,y"] * (7 * i % 41 * 9)) or None) for i in range(41)] + [("e", "a", ",".join("z" * 200)), (None, "n", "tiny"), (None, "m", None)]
+    files = spark.createDataFrame(rows, "dir string, name string, text string")
+    for target in (0, 19_000, 25_000, 10**9):
+        want = {}
+        for d in ("d", "e", None):
+            own, cut = {n: t or "" for x, n, t in sorted(rows, key=lambda r: r[1]) if x == d}, {"rows": set(), "columns": set()}
+            for step in budget.SOLUTION_STEPS:
+                left = [n for n in own if n not in cut[step] and own[n]]
+                if sum(map(len, own.values())) >= target and left:
+                    n = max(left, key=lambda k: len(own[k]))
+                    short = (budget._rows if step == "rows" else budget._columns)(own[n])
+                    if short != own[n]:
+                        cut[step].add(n)
+                        own[n] = short
+            want |= {(d, n): t for n, t in own.items()}
+        out = budget.shorten(files, "dir", target)
+        got = [((r.dir, r.name), r.text) for r in out.collect()]
+        assert len(got) == len(rows) and dict(got) == want
+    assert "WindowGroupLimit" in out._jdf.queryExecution().toString()
+
+
 def test_telemetry(spark):
     calls = spark.createDataFrame([("r", 1, 10), ("r", 3, 5), ("r", 5, 4), ("r", 7, 9)], "run string, step int, size int")
     evicted = spark.createDataFrame([("r", 2)], "run string, step int")
