@@ -1,14 +1,23 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame operations only.
 
-Documents fall into cells of source, language and topic. The cells' token weights are raked: scaled to the target
-margin of each dimension in turn, SWEEPS times over. Targets are given, or each value's share of the tokens to
-the power TEMPERATURE. A cell's raked weight for each of its tokens, times one factor, is the probability of its
-documents; it is capped at 1, and the factor is such that the expected tokens are FRACTION of all. A document is kept where
-a hash of its id falls under its probability, so the same id has the same fate in any run. Capped cells give less than
-their target and nothing makes up for it: the sample meets the total, not the margins. `margins` tells by how much.
-
-Null sources and languages are a value of their own. Null and empty texts have no tokens, topic `none` where null, and
-the probability of their cell (1 in a cell without tokens). Null ids hash as the text `null`; repeated rows share their fate.
+Documents fall into cells of source, language and topic. The probability of a cell's documents is min(1, s * l * t), one
+factor for each of its three values; the factors are raked: scaled until the expected tokens of every source, language
+and topic meet its target share. Because the cap at 1 is inside what is raked, the sample itself meets the targets: what
+capped cells cannot give, others of the same value give. Targets are given, or each value's share of the tokens to the power
+TEMPERATURE. The expected tokens are FRACTION of all, or less where a value has too few tokens for that: they start at what the
+scarcest value allows, and shrink by SHRINK for each round of SWEEPS sweeps that leaves a share more than TOLERANCE off.
+After ROUNDS rounds the rest is infeasible, and `margins` and the `gap` of each row state by how much. A document is
+kept where a hash of its id falls under its probability, so the same id has the same fate in any run.
+
+Topics are a column of the documents, or learned: the TERMS most frequent words among those that TERM_SHARE of the documents hold at
+most (counted over all documents); a document is of the term that it holds most often, ties to the more frequent one.
+
+Null sources and languages are a value of their own (NULL). Null texts have the topic `none`, texts without any of the terms
+`other`; both null and empty texts have no tokens and the probability of their cell (1 in a cell without tokens). Null ids
+hash as the text `null`; repeated rows share their fate. Texts of any length count whole. An empty table gives no rows.
+Columns of the documents pass by, whatever their names. Repeated values in given targets add up; targets of values that the
+documents lack can't be met: the others' shares are scaled to a sum of 1, and a value without a target is not sampled.
+Cells, not documents, are windowed: a task holds those of one language or topic (60 bytes each).
 """
 
 from __future__ import annotations
@@ -18,76 +27,104 @@ from pyspark.sql import functions as F
 
 from tallyweave.llm.common import materialize
 
-TEMPERATURE, FRACTION, SWEEPS = 0.5, 0.8, 6
+TEMPERATURE, FRACTION = 0.7, 0.8
+TOLERANCE, SWEEPS, ROUNDS, SHRINK = 0.002, 6, 8, 0.87
 DIMENSIONS = ["source", "lang", "topic"]
-#: Topics, first match first: a name and the strings of which a text holds one. Texts without any are of the topic `prose`.
-TOPICS = [("licensed", ["Licensed under", "license"]), ("table", [" | "]), ("shouting", ["!!"]), ("symbols", ["$$$", "###", "%%%"]), ("secrets", ["token = "])]
-#: Cells that are broadcast to the documents at most; more are joined by shuffle.
+TERMS, TERM_SHARE, TERM_LETTERS = 4, 0.1, 4
+#: Cells that are broadcast to the documents, and raked in one task, at most; more are joined and raked by shuffles.
 BROADCAST_CELLS = 100_000
 #: Names of columns that stand beside the documents' own for a while.
-CELL, MIX_KEY, CHANCE, MIX = "__mix_cell", "__mix_key", "__mix_probability", "__mix"
+CELL, HITS, MIX_KEY, CHANCE, MIX = "__mix_cell", "__mix_hits", "__mix_key", "__mix_probability", "__mix"
 NULL = "\x01null"
 
 
-def topic(text, topics=None):
-    """The first topic one of whose strings `text` holds."""
-    out = F.when(text.isNull(), "none")
-    for name, strings in topics or TOPICS:
-        held = F.lit(False)
-        for s in strings:
-            held = held | text.contains(s)
-        out = out.when(held, name)
-    return out.otherwise("prose")
+def learned_terms(docs: DataFrame, text_col: str = "text", terms: int = TERMS, share: float = TERM_SHARE) -> list[str]:
+    """The words that stand for topics, most frequent first: words of ASCII letters that at most `share` of all documents hold."""
+    each = F.array_distinct(F.transform(F.regexp_extract_all(F.col(text_col), F.lit(f"([A-Za-z]{{{TERM_LETTERS},}})"), F.lit(1)), F.lower))
+    held = docs.select(F.explode(each).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    return [r["term"] for r in held.where(F.col("n") <= share * docs.count()).orderBy(F.desc("n"), "term").limit(terms).collect()]
 
 
-def with_cells(docs: DataFrame, text_col: str, source_col: str, lang_col: str, topics=None) -> DataFrame:
+def with_cells(docs: DataFrame, terms: list[str], text_col: str, source_col: str, lang_col: str, topic_col: str | None = None) -> DataFrame:
     """`docs` with one more column: the struct CELL of source, lang, topic and n_tokens."""
     text = F.col(text_col)
-    return docs.withColumn(
-        CELL,
-        F.struct(
-            F.coalesce(F.col(source_col).cast("string"), F.lit(NULL)).alias("source"),
-            F.coalesce(F.col(lang_col).cast("string"), F.lit(NULL)).alias("lang"),
-            topic(text, topics).alias("topic"),
-            F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long").alias("n_tokens"),
-        ),
-    )
-
-
-def rake(cells: DataFrame, temperature: float = TEMPERATURE, fraction: float = FRACTION, sweeps: int = SWEEPS, targets: dict[str, DataFrame] | None = None) -> DataFrame:
-    """(source, lang, topic, tokens, raked, probability, target_source, target_lang, target_topic) of the cells (source, lang, topic, tokens).
-
-    targets: for any dimension a table (its name, share) that replaces the default; values it lacks get the share 0.
-    """
-    everything = Window.partitionBy()
-    out = cells.withColumn("total", F.sum("tokens").over(everything))
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NULL))
+    if topic_col:
+        topic = name(topic_col)
+    elif not terms:
+        topic = F.when(text.isNull(), "none").otherwise("other")
+    else:
+        whole = f"(?i)(?<![A-Za-z])({'|'.join(terms)})(?![A-Za-z])"
+        docs = docs.withColumn(HITS, F.transform(F.regexp_extract_all(text, F.lit(whole), F.lit(1)), F.lower))
+        numbered = F.array(*(F.struct(F.lit(-i).alias("order"), F.lit(t).alias("term")) for i, t in enumerate(terms)))
+        times = F.transform(numbered, lambda t: F.struct(F.size(F.filter(HITS, lambda h: h == t["term"])).alias("times"), t["order"].alias("order"), t["term"].alias("term")))
+        topic = F.when(text.isNull(), "none").when(F.size(HITS) > 0, F.array_max(times)["term"]).otherwise("other")
+    tokens = F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
+    return docs.withColumn(CELL, F.struct(name(source_col).alias("source"), name(lang_col).alias("lang"), topic.alias("topic"), tokens.alias("n_tokens"))).drop(HITS)
+
+
+def by_value(cells: DataFrame, *measures: str) -> DataFrame:
+    """(dimension, value, *measures): sums over the cells of every source, language and topic."""
+    each = F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in DIMENSIONS))).alias("v")
+    return cells.select(*measures, each).groupBy("v.dimension", "v.value").agg(*(F.sum(m).alias(m) for m in measures))
+
+
+def aimed(cells: DataFrame, temperature: float, targets: dict[str, DataFrame] | None) -> DataFrame:
+    """(dimension, value, tokens, target): the share of the sample that each value is to have."""
+    values, given = by_value(cells, "tokens"), None
     for d in DIMENSIONS:
         if targets and d in targets:
-            out = out.join(targets[d].select(d, F.col("share").cast("double").alias(f"target_{d}")), d, "left").fillna(0.0, [f"target_{d}"])
-        else:
-            own = Window.partitionBy(d)
-            # every cell of a value brings its part, so that the power of the value counts once
-            power = F.pow(F.sum("tokens").over(own).cast("double"), F.lit(temperature))
-            out = out.withColumn("power", power).withColumn("power_part", F.col("power") / F.count("*").over(own))
-            out = out.withColumn(f"target_{d}", F.col("power") / F.sum("power_part").over(everything)).drop("power", "power_part")
-    out = out.withColumn("raked", F.col("tokens").cast("double"))
-    for _ in range(sweeps):
-        for d in DIMENSIONS:
-            margin = F.sum("raked").over(Window.partitionBy(d))
-            out = out.withColumn("raked", F.when(margin > 0, F.col("raked") * F.col(f"target_{d}") * F.col("total") / margin).otherwise(0.0))
-    # g: raked weight of a token. With the i - 1 cells of largest g at probability 1, the factor is what the rest needs.
-    out = out.withColumn("g", F.when(F.col("tokens") > 0, F.col("raked") / F.col("tokens")))
-    order = [F.col("g").desc_nulls_last(), *(F.col(d).asc() for d in DIMENSIONS)]
-    down = Window.orderBy(*order)
-    out = out.withColumn("i", F.row_number().over(down))
-    full = F.coalesce(F.sum("tokens").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rest = F.sum("raked").over(down.rowsBetween(0, Window.unboundedFollowing))
-    out = out.withColumn("factor", F.when(rest > 0, (F.lit(fraction) * F.col("total") - full) / rest))
-    out = out.withColumn("fits", F.min(F.when(F.col("factor") * F.col("g") <= 1, F.col("i"))).over(everything))
-    out = out.withColumn("factor", F.max(F.when(F.col("i") == F.col("fits"), F.col("factor"))).over(everything))
-    # No cell fits only where all are taken whole.
-    p = F.when(F.col("g").isNull() | F.col("factor").isNull(), 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("factor") * F.col("g"))))
-    return out.select(*DIMENSIONS, "tokens", "raked", p.alias("probability"), *(f"target_{d}" for d in DIMENSIONS))
+            one = targets[d].select(F.lit(d).alias("dimension"), F.coalesce(F.col(d).cast("string"), F.lit(NULL)).alias("value"), F.col("share").cast("double").alias("share"))
+            given = one if given is None else given.unionByName(one)
+    wish = F.pow(F.col("tokens").cast("double"), F.lit(temperature))
+    if given is not None:
+        values = values.join(given.groupBy("dimension", "value").agg(F.sum("share").alias("share")), ["dimension", "value"], "left")
+        wish = F.when(F.col("dimension").isin([d for d in DIMENSIONS if d in targets]), F.coalesce("share", F.lit(0.0))).otherwise(wish)
+    wished = materialize(values.select("dimension", "value", "tokens", F.when(F.col("tokens") > 0, wish).otherwise(0.0).alias("wish")), "wishes")
+    whole = wished.groupBy("dimension").agg(F.sum("wish").alias("whole"))
+    return wished.join(whole, "dimension").select("dimension", "value", "tokens", F.when(F.col("whole") > 0, F.col("wish") / F.col("whole")).otherwise(0.0).alias("target"))
+
+
+def rake(cells: DataFrame, temperature: float = TEMPERATURE, fraction: float = FRACTION, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(source, lang, topic, tokens, probability, target_source, target_lang, target_topic, gap) of the cells (source, lang, topic, tokens).
+
+    targets: for any dimension a table (its name, share) that replaces the default. gap: how far the expected share of the
+    cell's source, language or topic, whichever is worst, is off its target.
+    """
+    values = materialize(aimed(cells, temperature, targets), "targets")
+    out = cells
+    for d in DIMENSIONS:
+        out = out.join(values.where(F.col("dimension") == d).select(F.col("value").alias(d), F.col("target").alias(f"target_{d}")), d)
+    total = int(cells.agg(F.sum("tokens")).first()[0] or 0)
+    scarcest = values.where("target > 0").agg(F.min(F.col("tokens") / F.col("target"))).first()[0]
+    aim = min(fraction * total, scarcest if scarcest is not None else 0.0)
+    out = materialize(out.withColumn("m", F.lit(aim / total if total else 0.0)), "cells")
+    few = out.count() <= BROADCAST_CELLS
+    expected = F.col("tokens") * F.least(F.lit(1.0), "m")
+    for _ in range(ROUNDS if total else 0):
+        out = out.coalesce(1) if few else out  # one partition needs no exchange for any of the windows
+        for _ in range(SWEEPS):
+            for d in DIMENSIONS:
+                margin = F.sum(expected).over(Window.partitionBy(d))
+                out = out.withColumn("m", F.when(margin > 0, F.col("m") * (F.col(f"target_{d}") * F.lit(aim)) / margin).otherwise(0.0))
+        out = materialize(out, "raked")
+        if (off(out).agg(F.max("gap")).first()[0] or 0.0) <= TOLERANCE:
+            break
+        aim *= SHRINK
+    gaps = off(out)
+    for d in DIMENSIONS:
+        out = out.join(gaps.where(F.col("dimension") == d).select(F.col("value").alias(d), F.col("gap").alias(f"gap_{d}")), d)
+    p = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), "m")).otherwise(1.0)
+    return out.select(*DIMENSIONS, "tokens", p.alias("probability"), *(f"target_{d}" for d in DIMENSIONS), F.greatest(*(f"gap_{d}" for d in DIMENSIONS)).alias("gap"))
+
+
+def off(cells: DataFrame) -> DataFrame:
+    """(dimension, value, gap): how far the expected share of each value is off its target."""
+    kept = cells.withColumn("kept", F.col("tokens") * F.least(F.lit(1.0), "m"))
+    each = F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value"), F.col(f"target_{d}").alias("target")) for d in DIMENSIONS))).alias("v")
+    sums = kept.select("kept", each).groupBy("v.dimension", "v.value").agg(F.sum("kept").alias("kept"), F.max("v.target").alias("target"))
+    whole = F.sum("kept").over(Window.partitionBy("dimension"))
+    return sums.select("dimension", "value", F.when(whole > 0, F.abs(F.col("kept") / whole - F.col("target"))).otherwise(0.0).alias("gap"))
 
 
 def margins(raked: DataFrame) -> DataFrame:
@@ -107,79 +144,82 @@ def chance(id_col: str):
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def decided(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, topics=None, **rates) -> DataFrame:
-    """`docs` with one more column, the struct MIX of source, lang, topic, n_tokens, probability and kept."""
-    placed = with_cells(docs, text_col, source_col, lang_col, topics)
+def decided(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, topic_col: str | None = None, **rates) -> DataFrame:
+    """`docs` with one more column, the struct MIX of source, lang, topic, n_tokens, probability, kept and gap."""
+    placed = with_cells(docs, [] if topic_col else learned_terms(docs, text_col), text_col, source_col, lang_col, topic_col)
     cells = placed.groupBy(*(F.col(f"{CELL}.{d}").alias(d) for d in DIMENSIONS)).agg(F.sum(f"{CELL}.n_tokens").alias("tokens"))
-    raked = materialize(rake(materialize(cells, "cells"), **rates), "raked").select(F.struct(*DIMENSIONS).alias(MIX_KEY), F.col("probability").alias(CHANCE))
+    raked = materialize(rake(materialize(cells, "cells"), **rates), "rates").select(F.struct(*DIMENSIONS).alias(MIX_KEY), F.struct("probability", "gap").alias(CHANCE))
     if raked.count() <= BROADCAST_CELLS:
         raked = F.broadcast(raked)
     joined = placed.withColumn(MIX_KEY, F.struct(*(F.col(f"{CELL}.{d}") for d in DIMENSIONS))).join(raked, MIX_KEY, "left")
-    kept = chance(id_col) < F.col(CHANCE)
-    return joined.withColumn(MIX, F.struct(f"{CELL}.*", F.col(CHANCE).alias("probability"), kept.alias("kept"))).drop(CELL, MIX_KEY, CHANCE)
+    kept = chance(id_col) < F.col(f"{CHANCE}.probability")
+    return joined.withColumn(MIX, F.struct(f"{CELL}.*", F.col(f"{CHANCE}.probability"), kept.alias("kept"), F.col(f"{CHANCE}.gap"))).drop(CELL, MIX_KEY, CHANCE)
 
 
-def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topics=None, **rates) -> DataFrame:
-    """`docs` with one more column, the struct `mix` of source, lang, topic, n_tokens, probability and kept, in place of a column of that name."""
-    out = decided(docs, id_col, text_col, source_col, lang_col, topics, **rates)
+def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, **rates) -> DataFrame:
+    """`docs` with one more column, the struct `mix` of source, lang, topic, n_tokens, probability, kept and gap, in place of a column of that name."""
+    out = decided(docs, id_col, text_col, source_col, lang_col, topic_col, **rates)
     return out.drop("mix").withColumnRenamed(MIX, "mix")
 
 
-def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topics=None, **rates) -> DataFrame:
+def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, **rates) -> DataFrame:
     """The rows of `docs` that are kept, with the columns of `docs`."""
-    return decided(docs, id_col, text_col, source_col, lang_col, topics, **rates).where(F.col(f"{MIX}.kept")).select(*docs.columns)
-
-
-def decide_sql(documents: str = "documents", temperature: float = TEMPERATURE, fraction: float = FRACTION, sweeps: int = SWEEPS, topics=None) -> str:
-    """DuckDB's SQL for (doc_id, topic, n_tokens, probability, kept), the probability rounded to 6 digits."""
-    whens = "\n".join(f"      WHEN {' OR '.join(f'contains(text, {quote(s)})' for s in strings)} THEN {quote(name)}" for name, strings in topics or TOPICS)
-    steps, last = [], "aimed"
-    for n in range(sweeps):
-        for d in DIMENSIONS:
-            name = f"raked_{n}_{d}"
-            steps.append(f"{name} AS (SELECT * REPLACE (CASE WHEN sum(raked) OVER (PARTITION BY {d}) > 0 THEN raked * target_{d} * total / sum(raked) OVER (PARTITION BY {d}) ELSE 0.0 END AS raked) FROM {last})")
-            last = name
-    powers = ",\n    ".join(f"pow(CAST(sum(tokens) OVER (PARTITION BY {d}) AS DOUBLE), {temperature}) AS power_{d}, count(*) OVER (PARTITION BY {d}) AS count_{d}" for d in DIMENSIONS)
-    targets = ", ".join(f"power_{d} / sum(power_{d} / count_{d}) OVER () AS target_{d}" for d in DIMENSIONS)
+    return decided(docs, id_col, text_col, source_col, lang_col, topic_col, **rates).where(F.col(f"{MIX}.kept")).select(*docs.columns)
+
+
+def decide_sql(documents: str = "documents", temperature: float = TEMPERATURE, fraction: float = FRACTION) -> str:
+    """DuckDB's SQL for (doc_id, topic, n_tokens, probability, kept, gap), probability and gap rounded to 6 digits."""
+    sweep = "before"
+    for d in DIMENSIONS:
+        margin = f"sum(tokens * least(1.0, m)) OVER (PARTITION BY {d})"
+        sweep = f"(SELECT * REPLACE (CASE WHEN {margin} > 0 THEN m * (target_{d} * aim) / {margin} ELSE 0.0 END AS m) FROM {sweep})"
+    sums = ", ".join([*(f"sum(tokens * least(1.0, m)) OVER (PARTITION BY {d}) AS sum_{d}" for d in DIMENSIONS), "sum(tokens * least(1.0, m)) OVER () AS sum_all"])
+    gap = "CASE WHEN sum_all > 0 THEN greatest(" + ", ".join(f"abs(sum_{d} / sum_all - target_{d})" for d in DIMENSIONS) + ") ELSE 0.0 END"
+    wishes = ",\n    ".join(f"CASE WHEN sum(tokens) OVER (PARTITION BY {d}) > 0 THEN pow(CAST(sum(tokens) OVER (PARTITION BY {d}) AS DOUBLE), {temperature}) ELSE 0.0 END AS wish_{d}, count(*) OVER (PARTITION BY {d}) AS count_{d}, sum(tokens) OVER (PARTITION BY {d}) AS tokens_{d}" for d in DIMENSIONS)
+    targets = ", ".join(f"CASE WHEN sum(wish_{d}) OVER () > 0 THEN wish_{d} / sum(wish_{d} / count_{d}) OVER () ELSE 0.0 END AS target_{d}" for d in DIMENSIONS)
+    scarcest = "least(" + ", ".join(f"min(CASE WHEN target_{d} > 0 THEN tokens_{d} / target_{d} END) OVER ()" for d in DIMENSIONS) + ")"
+    columns = ", ".join([*DIMENSIONS, "tokens", *(f"target_{d}" for d in DIMENSIONS)])
     return f"""
-WITH placed AS (
-  SELECT doc_id, coalesce(source, chr(1) || 'null') AS source, coalesce(lang, chr(1) || 'null') AS lang,
-    CASE WHEN text IS NULL THEN 'none'
-{whens}
-      ELSE 'prose' END AS topic,
-    coalesce(len(regexp_extract_all(text, '\\S+')), 0) AS n_tokens
-  FROM {documents}
+WITH RECURSIVE words AS (
+  SELECT unnest(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z]{{{TERM_LETTERS},}}'), lambda w: lower(w)))) AS term FROM {documents}
+), held AS (
+  SELECT term, count(*) AS n FROM words GROUP BY term
+), terms AS (
+  SELECT term, row_number() OVER (ORDER BY n DESC, term) AS place FROM held
+  WHERE n <= {TERM_SHARE} * (SELECT count(*) FROM {documents}) QUALIFY place <= {TERMS}
+), learned AS (
+  SELECT list(term ORDER BY place) AS terms FROM terms
+), read AS (
+  SELECT doc_id, coalesce(source, chr(1) || 'null') AS source, coalesce(lang, chr(1) || 'null') AS lang, text IS NULL AS missing, terms,
+    coalesce(len(regexp_extract_all(text, '\\S+')), 0) AS n_tokens,
+    list_filter(list_transform(regexp_extract_all(text, '[A-Za-z]{{{TERM_LETTERS},}}'), lambda w: lower(w)), lambda w: list_contains(terms, w)) AS hits
+  FROM {documents}, learned
+), counted AS (
+  SELECT *, list_transform(terms, lambda t: len(list_filter(hits, lambda h: h = t))) AS times FROM read
+), placed AS (
+  SELECT doc_id, source, lang, n_tokens,
+    CASE WHEN missing THEN 'none' WHEN len(hits) > 0 THEN terms[list_position(times, list_max(times))] ELSE 'other' END AS topic
+  FROM counted
 ), cells AS (
   SELECT source, lang, topic, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM placed GROUP BY ALL
-), powered AS (
-  SELECT *, CAST(sum(tokens) OVER () AS BIGINT) AS total,
-    {powers} FROM cells
+), wished AS (
+  SELECT *, CAST(sum(tokens) OVER () AS DOUBLE) AS total,
+    {wishes} FROM cells
+), targeted AS (
+  SELECT *, {targets} FROM wished
 ), aimed AS (
-  SELECT *, {targets}, CAST(tokens AS DOUBLE) AS raked FROM powered
-), {", ".join(steps)}
-, each AS (
-  SELECT *, CASE WHEN tokens > 0 THEN raked / tokens END AS g FROM {last}
-), numbered AS (
-  SELECT *, row_number() OVER w AS i,
-    coalesce(sum(tokens) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS whole,
-    sum(raked) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
-  FROM each WINDOW w AS (ORDER BY g DESC NULLS LAST, source, lang, topic)
-), factors AS (
-  SELECT *, CASE WHEN rest > 0 THEN ({fraction} * total - whole) / rest END AS own FROM numbered
-), fitted AS (
-  SELECT *, min(CASE WHEN own * g <= 1 THEN i END) OVER () AS fits FROM factors
-), chosen AS (
-  SELECT *, max(CASE WHEN i = fits THEN own END) OVER () AS factor FROM fitted
+  SELECT *, least({fraction} * total, {scarcest}) AS aim FROM targeted
+), sweeps AS (
+  SELECT 0 AS k, {columns}, aim, CASE WHEN total > 0 THEN aim / total ELSE 0.0 END AS m, CAST(1.0 AS DOUBLE) AS gap FROM aimed
+  UNION ALL
+  SELECT k, {columns}, aim, m, CASE WHEN k % {SWEEPS} = 0 THEN max({gap}) OVER () ELSE 1.0 END AS gap FROM (
+    SELECT *, {sums} FROM {sweep.replace("before", f"(SELECT k + 1 AS k, {columns}, CASE WHEN k > 0 AND k % {SWEEPS} = 0 THEN aim * {SHRINK} ELSE aim END AS aim, m FROM sweeps WHERE gap > {TOLERANCE} AND k < {SWEEPS * ROUNDS})")}
+  )
 ), rated AS (
-  SELECT source, lang, topic,
-    CASE WHEN g IS NULL OR factor IS NULL THEN 1.0 ELSE least(1.0, greatest(0.0, factor * g)) END AS p
-  FROM chosen
+  SELECT source, lang, topic, CASE WHEN tokens > 0 THEN least(1.0, m) ELSE 1.0 END AS p, {gap} AS gap
+  FROM (SELECT * EXCLUDE (gap), {sums} FROM sweeps WHERE k = (SELECT max(k) FROM sweeps))
 )
 SELECT doc_id, topic, CAST(n_tokens AS BIGINT) AS n_tokens, round(p, 6) AS probability,
-  CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) / 4294967296.0 < p AS kept
+  CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) / 4294967296.0 < p AS kept, round(gap, 6) AS gap
 FROM placed JOIN rated USING (source, lang, topic)
 """
-
-
-def quote(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"

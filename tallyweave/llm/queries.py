@@ -23,7 +23,7 @@ def op3_ngram_join(spark, sf_dir):
 
 def op4_mixing(spark, sf_dir):
     decided = mixing.decide(table(spark, sf_dir, "documents"))
-    return decided.select("doc_id", "mix.topic", "mix.n_tokens", F.round("mix.probability", 6).alias("probability"), "mix.kept")
+    return decided.select("doc_id", "mix.topic", "mix.n_tokens", F.round("mix.probability", 6).alias("probability"), "mix.kept", F.round("mix.gap", 6).alias("gap"))
 
 
 def op5_toxicity(spark, sf_dir):

@@ -11,7 +11,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, probability int"
 
 
 def decided(spark, rows, **options):
-    return mixing.decide(spark.createDataFrame(rows, SCHEMA), **options).selectExpr("doc_id", "source", "lang", "mix.*").toDF("doc_id", "s", "l", "source", "lang", "topic", "n_tokens", "probability", "kept").collect()
+    return mixing.decide(spark.createDataFrame(rows, SCHEMA), **options).selectExpr("doc_id", "source", "lang", "mix.*").toDF("doc_id", "s", "l", "source", "lang", "topic", "n_tokens", "probability", "kept", "gap").collect()
 
 
 def test_equals_sql(spark, sf_dir):
@@ -25,11 +25,11 @@ def test_equals_sql(spark, sf_dir):
     assert sorted(map(tuple, got.select(names).collect())) == sorted(want.fetchall())
 
 
-def test_margins_probabilities_and_edge_rows(spark):
+def test_edge_rows_and_fates(spark):
     rows = decided(spark, ROWS)
     assert len(rows) == len(ROWS) and all(0 <= r.probability <= 1 for r in rows)
     total = sum(r.n_tokens for r in rows)
-    assert abs(sum(r.n_tokens * r.probability for r in rows) - mixing.FRACTION * total) < 1e-6 * total
+    assert sum(r.n_tokens * r.probability for r in rows) < (mixing.FRACTION + 1e-6) * total
     assert {r.topic for r in rows if r.doc_id == 1000} == {"none"} and {r.source for r in rows if r.doc_id == 1001} == {mixing.NULL}
     assert len({r.kept for r in rows if r.doc_id == 0}) == 1
     fate = {r.doc_id: r.kept for r in rows}
@@ -37,34 +37,49 @@ def test_margins_probabilities_and_edge_rows(spark):
     assert decided(spark, []) == []
 
 
-def test_raked_margins_meet_given_targets(spark):
-    cells = spark.createDataFrame([(a, b, "t", 100 * (i + 1)) for i, (a, b) in enumerate((a, b) for a in "xyz" for b in "pq")], "source string, lang string, topic string, tokens long")
-    shares = {"x": 0.5, "y": 0.3, "z": 0.2}
-    raked = mixing.rake(cells, sweeps=12, targets={"source": spark.createDataFrame(list(shares.items()), "source string, share double"), "lang": spark.createDataFrame([("p", 0.9), ("q", 0.1)], "lang string, share double")}).collect()
-    total = sum(r.tokens for r in raked)
-    for s, share in shares.items():
-        assert sum(r.raked for r in raked if r.source == s) == pytest.approx(share * total, rel=1e-3)
-    assert sum(r.raked for r in raked if r.lang == "p") == pytest.approx(0.9 * total, rel=1e-3)
-
-
-def test_margins_tell_where_caps_miss_targets(spark):
-    rows = [("x", "p", "t", 100), ("x", "q", "t", 100), ("y", "p", "t", 100), ("y", "q", "t", 700)]
-    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
-    targets = {"source": spark.createDataFrame([("x", 0.5), ("y", 0.5)], "source string, share double")}
-    for fraction in (0.1, 0.8):
-        raked = mixing.rake(cells, fraction=fraction, targets=targets)
-        cell = raked.collect()
-        kept = sum(r.tokens * r.probability for r in cell)
-        got = {(r.dimension, r.value): r for r in mixing.margins(raked).collect()}
-        for d in mixing.DIMENSIONS:
-            for v in {r[d] for r in cell}:
-                own = [r for r in cell if r[d] == v]
-                assert got[d, v].achieved == pytest.approx(sum(r.tokens * r.probability for r in own) / kept)
-                assert got[d, v].input == pytest.approx(sum(r.tokens for r in own) / 1000)
-        gap = max(abs(r.target - r.achieved) for r in got.values())
-        # half of 100 tokens can be of `x`, half of 800 can't
-        assert gap < 0.01 if fraction == 0.1 else gap > 0.2
-        assert (got["source", "x"].capped == 0) == (fraction == 0.1)
+def test_sample_meets_the_targets(spark):
+    """By the definition: target shares are powers of token shares, and the tokens expected to be kept have those shares within 0.01."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = mixing.decide(docs).selectExpr("source", "lang", "mix.topic", "mix.n_tokens", "mix.probability", "mix.kept").collect()
+    kept = sum(r.n_tokens * r.probability for r in rows)
+    assert kept > 0.3 * sum(r.n_tokens for r in rows)
+    for d in mixing.DIMENSIONS:
+        size = {}
+        for r in rows:
+            size[r[d]] = size.get(r[d], 0) + r.n_tokens
+        whole = sum(n**mixing.TEMPERATURE for n in size.values())
+        for v, n in size.items():
+            own = sum(r.n_tokens * r.probability for r in rows if r[d] == v)
+            assert own / kept == pytest.approx(n**mixing.TEMPERATURE / whole, abs=0.01)
+            drawn = sum(r.n_tokens for r in rows if r[d] == v and r.kept) / sum(r.n_tokens for r in rows if r.kept)
+            assert drawn == pytest.approx(n**mixing.TEMPERATURE / whole, abs=0.06)
+
+
+def test_learned_terms_and_topics(spark):
+    texts = ["Beta alpha beta", "alpha gamma", "beta x", "delta ALPHA", "the the", "of", None, "", "alphabet", "xyz"]
+    docs = spark.createDataFrame([(i, t, "s", "l") for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string")
+    assert mixing.learned_terms(docs, share=0.3) == ["alpha", "beta", "alphabet", "delta"]
+    topics = {r.doc_id: r.topic for r in mixing.with_cells(docs, ["alpha", "beta"], "text", "source", "lang").selectExpr("doc_id", f"{mixing.CELL}.topic").collect()}
+    assert topics == {0: "beta", 1: "alpha", 2: "beta", 3: "alpha", 4: "other", 5: "other", 6: "none", 7: "other", 8: "other", 9: "other"}
+
+
+def test_given_targets_with_repeats_nulls_and_missing_values(spark):
+    cells = spark.createDataFrame([(a, b, "t", 100 * (i + 1)) for i, (a, b) in enumerate((a, b) for a in "xyz" for b in ("p", mixing.NULL))], "source string, lang string, topic string, tokens long")
+    shares = [("x", 0.25), ("x", 0.25), ("y", 0.5), ("absent", 9.0)]
+    targets = {"source": spark.createDataFrame(shares, "source string, share double"), "lang": spark.createDataFrame([("p", 0.6), (None, 0.4)], "lang string, share double")}
+    raked = mixing.rake(cells, targets=targets)
+    got = {(r.dimension, r.value): r for r in mixing.margins(raked).collect()}
+    for key, share in {("source", "x"): 0.5, ("source", "y"): 0.5, ("source", "z"): 0.0, ("lang", "p"): 0.6, ("lang", mixing.NULL): 0.4}.items():
+        assert got[key].target == pytest.approx(share) and got[key].achieved == pytest.approx(share, abs=0.003)
+
+
+def test_infeasible_targets_are_told(spark):
+    # x has only p, y only q: the shares of sources and languages can't differ
+    cells = spark.createDataFrame([("x", "p", "t", 100), ("y", "q", "t", 900)], "source string, lang string, topic string, tokens long")
+    targets = {"source": spark.createDataFrame([("x", 0.5), ("y", 0.5)], "source string, share double"), "lang": spark.createDataFrame([("p", 0.2), ("q", 0.8)], "lang string, share double")}
+    raked = mixing.rake(cells, targets=targets)
+    worst = max(abs(r.target - r.achieved) for r in mixing.margins(raked).collect())
+    assert worst > 0.1 and max(r.gap for r in raked.collect()) == pytest.approx(worst)
 
 
 def test_native(spark, sf_dir):
