@@ -9,8 +9,8 @@ scarcest value allows, and shrink by SHRINK for each round of SWEEPS sweeps that
 After ROUNDS rounds the rest is infeasible, and `margins` and the `gap` of each row state by how much. A document is
 kept where a hash of its id falls under its probability, so the same id has the same fate in any run.
 
-Topics are a column of the documents, or learned: the TERMS most frequent words among those that TERM_SHARE of the documents hold at
-most (counted over all documents); a document is of the term that it holds most often, ties to the more frequent one.
+Topics are a column of the documents, or learned: the TERMS most frequent words (of TERM_LETTERS ASCII letters or more) among those
+that are at most TERM_SHARE of all words, counted over all documents; a document is of the term that stands in it most often between two spaces, ties to the more frequent term.
 
 Null sources and languages are a value of their own (NULL). Null texts have the topic `none`, texts without any of the terms
 `other`; both null and empty texts have no tokens and the probability of their cell (1 in a cell without tokens). Null ids
@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 
 from tallyweave.llm.common import materialize
 
-TEMPERATURE, FRACTION = 0.7, 0.8
+TEMPERATURE, FRACTION = 0.8, 0.8
 TOLERANCE, SWEEPS, ROUNDS, SHRINK = 0.002, 6, 8, 0.87
 DIMENSIONS = ["source", "lang", "topic"]
-TERMS, TERM_SHARE, TERM_LETTERS = 4, 0.1, 4
+TERMS, TERM_SHARE, TERM_LETTERS = 4, 0.0005, 4
 #: Cells that are broadcast to the documents, and raked in one task, at most; more are joined and raked by shuffles.
 BROADCAST_CELLS = 100_000
 #: Names of columns that stand beside the documents' own for a while.
@@ -39,26 +39,26 @@ NULL = "\x01null"
 
 
 def learned_terms(docs: DataFrame, text_col: str = "text", terms: int = TERMS, share: float = TERM_SHARE) -> list[str]:
-    """The words that stand for topics, most frequent first: words of ASCII letters that at most `share` of all documents hold."""
-    each = F.array_distinct(F.transform(F.regexp_extract_all(F.col(text_col), F.lit(f"([A-Za-z]{{{TERM_LETTERS},}})"), F.lit(1)), F.lower))
-    held = docs.select(F.explode(each).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    return [r["term"] for r in held.where(F.col("n") <= share * docs.count()).orderBy(F.desc("n"), "term").limit(terms).collect()]
+    """The words that stand for topics, most frequent first. Words are what stands between spaces; counts are summed before they are shuffled."""
+    held = docs.select(F.explode(F.split(F.col(text_col), " ", -1)).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    held = materialize(held, "words")
+    most = share * (held.agg(F.sum("n")).first()[0] or 0)
+    fit = held.where((F.col("n") <= most) & F.col("term").rlike(f"^[A-Za-z]{{{TERM_LETTERS},}}$"))
+    return [r["term"] for r in fit.orderBy(F.desc("n"), "term").limit(terms).collect()]
 
 
 def with_cells(docs: DataFrame, terms: list[str], text_col: str, source_col: str, lang_col: str, topic_col: str | None = None) -> DataFrame:
     """`docs` with one more column: the struct CELL of source, lang, topic and n_tokens."""
     text = F.col(text_col)
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NULL))
+    times = [((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(f" {t} "), F.lit("")))) / F.lit(len(t) + 2)).cast("int") for t in terms]
     if topic_col:
         topic = name(topic_col)
     elif not terms:
         topic = F.when(text.isNull(), "none").otherwise("other")
     else:
-        whole = f"(?i)(?<![A-Za-z])({'|'.join(terms)})(?![A-Za-z])"
-        docs = docs.withColumn(HITS, F.transform(F.regexp_extract_all(text, F.lit(whole), F.lit(1)), F.lower))
-        numbered = F.array(*(F.struct(F.lit(-i).alias("order"), F.lit(t).alias("term")) for i, t in enumerate(terms)))
-        times = F.transform(numbered, lambda t: F.struct(F.size(F.filter(HITS, lambda h: h == t["term"])).alias("times"), t["order"].alias("order"), t["term"].alias("term")))
-        topic = F.when(text.isNull(), "none").when(F.size(HITS) > 0, F.array_max(times)["term"]).otherwise("other")
+        docs = docs.withColumn(HITS, F.greatest(*(F.struct(n.alias("times"), F.lit(-i).alias("order"), F.lit(t).alias("term")) for i, (n, t) in enumerate(zip(times, terms, strict=True))), F.struct(F.lit(0).alias("times"), F.lit(1).alias("order"), F.lit("other").alias("term"))))
+        topic = F.when(text.isNull(), "none").otherwise(F.col(f"{HITS}.term"))
     tokens = F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
     return docs.withColumn(CELL, F.struct(name(source_col).alias("source"), name(lang_col).alias("lang"), topic.alias("topic"), tokens.alias("n_tokens"))).drop(HITS)
 
@@ -100,6 +100,7 @@ def rake(cells: DataFrame, temperature: float = TEMPERATURE, fraction: float = F
     aim = min(fraction * total, scarcest if scarcest is not None else 0.0)
     out = materialize(out.withColumn("m", F.lit(aim / total if total else 0.0)), "cells")
     few = out.count() <= BROADCAST_CELLS
+    measure = lambda df: off(df.coalesce(1) if few else df)
     expected = F.col("tokens") * F.least(F.lit(1.0), "m")
     for _ in range(ROUNDS if total else 0):
         out = out.coalesce(1) if few else out  # one partition needs no exchange for any of the windows
@@ -108,10 +109,10 @@ def rake(cells: DataFrame, temperature: float = TEMPERATURE, fraction: float = F
                 margin = F.sum(expected).over(Window.partitionBy(d))
                 out = out.withColumn("m", F.when(margin > 0, F.col("m") * (F.col(f"target_{d}") * F.lit(aim)) / margin).otherwise(0.0))
         out = materialize(out, "raked")
-        if (off(out).agg(F.max("gap")).first()[0] or 0.0) <= TOLERANCE:
+        if (measure(out).agg(F.max("gap")).first()[0] or 0.0) <= TOLERANCE:
             break
         aim *= SHRINK
-    gaps = off(out)
+    gaps = measure(out)
     for d in DIMENSIONS:
         out = out.join(gaps.where(F.col("dimension") == d).select(F.col("value").alias(d), F.col("gap").alias(f"gap_{d}")), d)
     p = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), "m")).otherwise(1.0)
@@ -181,24 +182,22 @@ def decide_sql(documents: str = "documents", temperature: float = TEMPERATURE, f
     columns = ", ".join([*DIMENSIONS, "tokens", *(f"target_{d}" for d in DIMENSIONS)])
     return f"""
 WITH RECURSIVE words AS (
-  SELECT unnest(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z]{{{TERM_LETTERS},}}'), lambda w: lower(w)))) AS term FROM {documents}
+  SELECT unnest(string_split(text, ' ')) AS term FROM {documents}
 ), held AS (
   SELECT term, count(*) AS n FROM words GROUP BY term
 ), terms AS (
   SELECT term, row_number() OVER (ORDER BY n DESC, term) AS place FROM held
-  WHERE n <= {TERM_SHARE} * (SELECT count(*) FROM {documents}) QUALIFY place <= {TERMS}
+  WHERE n <= {TERM_SHARE} * (SELECT sum(n) FROM held) AND regexp_matches(term, '^[A-Za-z]{{{TERM_LETTERS},}}$') QUALIFY place <= {TERMS}
 ), learned AS (
-  SELECT list(term ORDER BY place) AS terms FROM terms
-), read AS (
+  SELECT coalesce(list(term ORDER BY place), []) AS terms FROM terms
+), counted AS (
   SELECT doc_id, coalesce(source, chr(1) || 'null') AS source, coalesce(lang, chr(1) || 'null') AS lang, text IS NULL AS missing, terms,
     coalesce(len(regexp_extract_all(text, '\\S+')), 0) AS n_tokens,
-    list_filter(list_transform(regexp_extract_all(text, '[A-Za-z]{{{TERM_LETTERS},}}'), lambda w: lower(w)), lambda w: list_contains(terms, w)) AS hits
+    list_transform(terms, lambda t: (strlen(text) - strlen(replace(text, ' ' || t || ' ', ''))) // (strlen(t) + 2)) AS times
   FROM {documents}, learned
-), counted AS (
-  SELECT *, list_transform(terms, lambda t: len(list_filter(hits, lambda h: h = t))) AS times FROM read
 ), placed AS (
   SELECT doc_id, source, lang, n_tokens,
-    CASE WHEN missing THEN 'none' WHEN len(hits) > 0 THEN terms[list_position(times, list_max(times))] ELSE 'other' END AS topic
+    CASE WHEN missing THEN 'none' WHEN list_max(times) > 0 THEN terms[list_position(times, list_max(times))] ELSE 'other' END AS topic
   FROM counted
 ), cells AS (
   SELECT source, lang, topic, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM placed GROUP BY ALL
