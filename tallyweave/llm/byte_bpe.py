@@ -3,9 +3,18 @@
 Spark deals the documents out; a task splits its texts into pieces, and each distinct piece becomes rows
 (piece, position, token). A recursive query joins neighbouring tokens with the merge table and contracts the
 leftmost pair of minimum rank of each piece, until no piece holds a pair of the table. Ordered aggregation
-then gives each piece's ids, and, joined with the vocabulary, its decoded bytes.
-
-Null texts count as empty; empty texts have no tokens. Repeated rows and null ids are carried through as they are.
+then gives each piece's ids. Documents are decoded from their ids alone: joined with the vocabulary and
+aggregated in order of position.
+
+The rows of a recursive query grow with the square of a piece. A piece of more than BLOCK bytes is therefore cut into blocks
+that are contracted one by one, and so is a window around each seam. A sequence of tokens is what contraction gives
+wherever every two neighbours are what contraction gives for the two alone; neighbours in a contracted piece always are. So where the blocks and
+the window share a token on both sides of a seam, what follows the one and precedes the other is taken from the window. Pieces
+with a seam that shares none are cut into blocks twice as long, in the end into one.
+
+Null texts count as empty; empty texts have no tokens. Texts of any length are coded whole. Repeated rows are coded alike, null
+ids and columns of clashing names pass by or are left out (only the id is carried along). Ties of rank are the same pair: the leftmost goes first.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,7 +26,6 @@ from collections.abc import Iterator
 import duckdb
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -25,6 +33,8 @@ from tallyweave.llm.common import map_texts
 
 #: Pieces that one recursive query contracts at a time, and pieces whose ids a worker remembers.
 PIECES_AT_ONCE, REMEMBERED = 50_000, 800_000
+#: Bytes of a block of a long piece; the sum of squares of the pieces' bytes in one recursive query (its rows are half as many at most); tokens decoded by one query, and in one group.
+BLOCK, SQUARES, DECODED, SEGMENT = 128, 4_000_000, 500_000, 65_536
 #: Characters of text that a task tokenizes at a time.
 CHUNK = 16_000_000
 
@@ -52,11 +62,10 @@ WITH RECURSIVE step(it, piece, pos, tok, next_pos, next_tok) AS (
 SELECT step.piece, step.pos, step.tok
 FROM step JOIN (SELECT piece, max(it) AS it FROM step GROUP BY piece) ended USING (piece, it)
 """
-#: Each piece's ids and its decoded bytes (in hexadecimal), in order of position.
-COLLECT = """
-SELECT piece, string_agg(tok::VARCHAR, ' ' ORDER BY pos) AS ids, string_agg(hex, '' ORDER BY pos) AS hex
-FROM coded JOIN vocabulary USING (tok) GROUP BY piece
-"""
+#: Each piece's ids in order of position.
+COLLECT = "SELECT piece, string_agg(tok::VARCHAR, ' ' ORDER BY pos) AS ids FROM coded GROUP BY piece"
+#: The bytes (in hexadecimal) of each segment of each document, in order of position.
+DECODE = "SELECT n, segment, string_agg(hex, '' ORDER BY pos) AS hex FROM written JOIN vocabulary USING (tok) GROUP BY n, segment ORDER BY n, segment"
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
@@ -71,6 +80,7 @@ class Coder:
     def __init__(self, path: str, pattern: str):
         self.ranks = ranks_of(path)
         self.pieces_of = regex.compile(pattern).findall
+        self.length = {i: len(token) for token, i in self.ranks.items()}
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int64)
         merges = [
             (left * 65536 + right, i)
@@ -81,49 +91,111 @@ class Coder:
         self.db = duckdb.connect()
         self.db.execute("SET threads = 1")
         self.db.execute("SET memory_limit = '400MB'")
+        self.db.execute("SET temp_directory = ''")  # nothing is written beside the worker: what one query holds is bounded
         self._load("merges", pair=[m[0] for m in merges], id=[m[1] for m in merges])
         self._load("vocabulary", tok=list(self.ranks.values()), hex=[t.hex() for t in self.ranks])
         self.remembered, self.pieces_at_once = REMEMBERED, PIECES_AT_ONCE
         self.ids: dict[str, str] = {}
-        self.decoded: dict[str, bytes] = {}
 
     def _load(self, name: str, **columns) -> None:
         self.db.register("incoming", pa.table(columns))
         self.db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM incoming")
         self.db.unregister("incoming")
 
+    def contract(self, pieces: list[bytes]) -> list[str]:
+        """Each piece's ids, joined by spaces, from recursive queries over some pieces at a time."""
+        out, begin = [""] * len(pieces), 0
+        squares = np.cumsum([len(raw) ** 2 for raw in pieces])
+        while begin < len(pieces):
+            done = squares[begin - 1] if begin else 0
+            end = min(begin + self.pieces_at_once, max(begin + 1, int(np.searchsorted(squares, done + SQUARES, side="right"))))
+            part = pieces[begin:end]
+            size = np.array([len(raw) for raw in part])
+            first = np.cumsum(size) - size
+            data = np.frombuffer(b"".join(part), dtype=np.uint8)
+            self._load("tokens", piece=np.repeat(np.arange(len(part)), size), pos=np.arange(len(data)) - np.repeat(first, size), tok=self.byte_ids[data])
+            self.db.execute(CONTRACT)
+            got = self.db.sql(COLLECT).to_arrow_table()
+            for i, ids in zip(got.column("piece").to_pylist(), got.column("ids").to_pylist(), strict=True):
+                out[begin + i] = ids
+            begin = end
+        return out
+
+    def spans(self, ids: str, begin: int) -> list[tuple[int, int, str]]:
+        """(begin, end, id) of each token, in bytes from `begin` on."""
+        out = []
+        for t in ids.split(" "):
+            out.append((begin, begin + self.length[int(t)], t))
+            begin = out[-1][1]
+        return out
+
+    def long_piece(self, raw: bytes, block: int) -> str:
+        """The ids of a piece longer than a block, from its blocks and a window around each seam."""
+        if len(raw) <= block:
+            return self.contract([raw])[0]
+        seams = list(range(block, len(raw), block))
+        blocks = [self.spans(ids, at) for ids, at in zip(self.contract([raw[a : a + block] for a in [0, *seams]]), [0, *seams], strict=True)]
+        # a window goes from a token's begin, half a block before the seam, to a token's end half a block after it
+        around = [(next(a for a, _, _ in left if a >= seam - block // 2), next((b for _, b, _ in right if b >= seam + block // 2), len(raw))) for seam, left, right in zip(seams, blocks[:-1], blocks[1:], strict=True)]
+        windows = [self.spans(ids, a) for ids, (a, _) in zip(self.contract([raw[a:b] for a, b in around]), around, strict=True)]
+        out, left = [], blocks[0]
+        for seam, window, right in zip(seams, windows, blocks[1:], strict=True):
+            on_left, on_right = set(left), set(right)
+            before = [t for t in window if t[1] <= seam and t in on_left]
+            after = [t for t in window if t[0] >= seam and t in on_right]
+            if not before or not after:
+                return self.long_piece(raw, 2 * block)
+            x, y = before[0], after[-1]
+            out += [t for t in left if t[1] <= x[1]] + [t for t in window if t[0] >= x[1] and t[1] <= y[1]]
+            left = [t for t in right if t[0] >= y[1]]
+            if not left:
+                left = [y]
+                out.pop()
+        return " ".join([t for _, _, t in [*out, *left]])
+
     def learn(self, pieces: set[str]) -> None:
         """Contract the pieces that are not known yet."""
         new = pieces - self.ids.keys()
         if len(self.ids) + len(new) > self.remembered:
             self.ids.clear()
-            self.decoded.clear()
             new = pieces
         todo = []
         for p in new:
             raw = p.encode("utf-8", "surrogatepass")
             if (whole := self.ranks.get(raw)) is not None:  # one token as it stands
-                self.ids[p], self.decoded[p] = str(whole), raw
+                self.ids[p] = str(whole)
+            elif len(raw) > BLOCK:
+                self.ids[p] = self.long_piece(raw, BLOCK)
             else:
                 todo.append((p, raw))
-        for at in range(0, len(todo), self.pieces_at_once):
-            part = todo[at : at + self.pieces_at_once]
-            size = np.array([len(raw) for _, raw in part])
-            begin = np.cumsum(size) - size
-            data = np.frombuffer(b"".join([raw for _, raw in part]), dtype=np.uint8)
-            self._load("tokens", piece=np.repeat(np.arange(len(part)), size), pos=np.arange(len(data)) - np.repeat(begin, size), tok=self.byte_ids[data])
-            self.db.execute(CONTRACT)
-            got = self.db.sql(COLLECT).to_arrow_table()
-            for i, ids, hexes in zip(*(got.column(c).to_pylist() for c in ("piece", "ids", "hex")), strict=True):
-                p = part[i][0]
-                self.ids[p], self.decoded[p] = ids, bytes.fromhex(hexes)
-
-    def code(self, texts: list[str | None]) -> list[tuple[str, bytes]]:
-        """Per text: its ids joined by one space, and the bytes decoded from them."""
+        self.ids.update(zip([p for p, _ in todo], self.contract([raw for _, raw in todo]), strict=True))
+
+    def decode(self, rows: list[np.ndarray]) -> list[bytes]:
+        """The bytes of each row of ids."""
+        out, begin = [b""] * len(rows), 0
+        ends = np.cumsum([len(r) for r in rows])
+        while begin < len(rows):
+            end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + DECODED, side="right")))
+            size = np.array([len(r) for r in rows[begin:end]])
+            pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            self.db.register("written", pa.table({"n": np.repeat(np.arange(begin, end), size), "segment": pos // SEGMENT, "pos": pos, "tok": np.concatenate(rows[begin:end])}))
+            parts: dict[int, list[bytes]] = {}
+            for n, _, h in self.db.execute(DECODE).fetchall():
+                parts.setdefault(n, []).append(bytes.fromhex(h))
+            self.db.unregister("written")
+            for n, own in parts.items():
+                out[n] = b"".join(own)
+            begin = end
+        return out
+
+    def code(self, texts: list[str | None]) -> list[tuple[str, np.ndarray, bytes]]:
+        """Per text: its ids joined by one space, the ids, and the bytes decoded from them."""
         split = [self.pieces_of(t) if t else [] for t in texts]
         self.learn(set().union(*split))
-        ids, decoded = self.ids, self.decoded
-        return [(" ".join([ids[p] for p in pieces]), b"".join([decoded[p] for p in pieces])) for pieces in split]
+        ids = self.ids
+        joined = [" ".join([ids[p] for p in pieces]) for pieces in split]
+        rows = [np.fromstring(j, dtype=np.int64, sep=" ") for j in joined]
+        return list(zip(joined, rows, self.decode(rows), strict=True))
 
 
 _coders: dict[tuple[str, str], Coder] = {}
@@ -150,11 +222,11 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
         def code(texts):
             rows = own.code(texts)
             out = {
-                "n_tokens": [r[0].count(" ") + bool(r[0]) for r in rows],
+                "n_tokens": [len(r[1]) for r in rows],
                 "ids_sha256": [hashlib.sha256(r[0].encode()).hexdigest() for r in rows],
-                "decoded_sha256": [hashlib.sha256(r[1]).hexdigest() for r in rows],
+                "decoded_sha256": [hashlib.sha256(r[2]).hexdigest() for r in rows],
             }
-            return out | ({"ids": [np.fromstring(r[0], dtype=np.int32, sep=" ") for r in rows], "decoded": [r[1] for r in rows]} if arrays else {})
+            return out | ({"ids": [r[1].astype(np.int32) for r in rows], "decoded": [r[2] for r in rows]} if arrays else {})
 
         return code
 
@@ -162,23 +234,14 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     return map_texts(docs, work, columns, id_col, text_col, chunk)
 
 
-def decode(coded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+def decode(coded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, text) of rows that hold arrays of ids; bytes that are no UTF-8 become U+FFFD, null arrays become empty texts."""
     id_type = coded.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        db = duckdb.connect()
-        db.execute("SET threads = 1")
-        ranks = ranks_of(path)
-        vocabulary = pa.table({"tok": list(ranks.values()), "hex": [t.hex() for t in ranks]})
-        db.register("vocabulary", vocabulary)
+        own = coder(path, pattern)
         for batch in batches:
-            rows = batch.column("ids")
-            flat = pa.table({"n": pc.list_parent_indices(rows).cast(pa.int64()), "tok": pc.list_flatten(rows).cast(pa.int64())})
-            flat = flat.append_column("pos", pa.array(range(flat.num_rows), pa.int64()))
-            db.register("coded", flat)
-            got = dict(db.execute("SELECT n, string_agg(hex, '' ORDER BY pos) FROM coded JOIN vocabulary USING (tok) GROUP BY n").fetchall())
-            texts = [bytes.fromhex(got.get(i, "")).decode("utf-8", "replace") for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string())], ["id", "text"])
+            rows = [np.array(r or [], dtype=np.int64) for r in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([b.decode("utf-8", "replace") for b in own.decode(rows)], pa.string())], ["id", "text"])
 
     return coded.selectExpr(f"`{id_col}` AS id", f"`{ids_col}` AS ids").mapInArrow(run, f"id {id_type}, text string").withColumnRenamed("id", id_col)

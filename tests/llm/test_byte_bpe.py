@@ -1,4 +1,7 @@
 import hashlib
+import random
+import resource
+import time
 
 import public_tokenizers
 import tiktoken
@@ -25,10 +28,37 @@ def test_equals_tiktoken_and_round_trips(spark):
 def test_decode_of_ids(spark):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     coded = byte_bpe.encode_decode(docs, PATH, public_tokenizers.PATTERN)
-    back = {r.doc_id: r.text for r in byte_bpe.decode(coded, PATH).collect()}
+    back = {r.doc_id: r.text for r in byte_bpe.decode(coded, PATH, public_tokenizers.PATTERN).collect()}
     assert back == {i: t or "" for i, t in enumerate(TEXTS)}
 
 
+def long_runs():
+    r = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = "the of and tion ing re ent ation er in on at es ed".split()
+    return [
+        "".join(r.choice(letters) for _ in range(3_000)), "a" * 2_111, "ab" * 999, "na" * 1_001 + "b", "".join(r.choice(words) for _ in range(900)),
+        "".join(chr(r.randrange(0x4E00, 0x9F00)) for _ in range(700)), "".join(r.choice("aé語") for _ in range(900)), " " * 700, "=" * 1_500, "!?" * 600, "e" * 129, "th" * 65,
+    ]
+
+
+def test_long_pieces_equal_tiktoken():
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.ranks_of(PATH), special_tokens={})
+    coder = byte_bpe.Coder(PATH, public_tokenizers.PATTERN)
+    for text, (_, ids, decoded) in zip(long_runs(), coder.code(long_runs()), strict=True):
+        assert ids.tolist() == own.encode_ordinary(text) and decoded == text.encode()
+
+
+def test_one_run_of_100_000_letters_is_bounded():
+    text = "".join(random.Random(6).choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(100_000))
+    coder = byte_bpe.Coder(PATH, public_tokenizers.PATTERN)
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+    ((_, ids, decoded),) = coder.code([text])
+    assert time.time() - began < 60 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.ranks_of(PATH), special_tokens={})
+    assert ids.tolist() == own.encode_ordinary(text) and decoded == text.encode()
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert byte_bpe.encode_decode(docs, PATH, public_tokenizers.PATTERN).collect() == []
