@@ -5,16 +5,22 @@ Documents are dealt into shards by a hash of their id.
 1. Anchors. Of every LENGTH-byte window the GRAM-byte gram with the smallest hash is its anchor, so equal windows have
    equal anchors at equal places. A shard sends its anchors' hashes, sorted, cut into ranges.
 2. A range's task merges the shards' sorted runs: by binary search in the merged run it finds the hashes that occur in
-   more than one document, and tells each shard which of its own they are. All other text is unique and goes no further.
+   more than one document, and tells each shard which of its own they are, and which are hot: those that stand in HOT places or more
+   (counts are rounded up to powers of two). All other text is unique and goes no further.
 3. For each distinct context (the bytes of all windows that an anchor can stand for) of a recurring anchor, a shard sends
    the context and the smallest document that holds it. The other documents of the shard that hold it need nothing from elsewhere.
 4. A range's task joins equal contexts of all shards. Where one anchor has several contexts, a suffix array of these
    contexts (Larsson-Sadakane refinement in numpy) with its common prefixes (Kasai) tells which windows they share
    with contexts of smaller documents. It sends back the anchors' covered windows.
+   A hot anchor's contexts never meet: each of their windows goes to a range by a hash of its LENGTH bytes instead, once from
+   each shard, and equal windows meet there alone. So an anchor that all documents share, with other text around it in each, is spread over all ranges.
 5. Each shard adds what recurs inside it, from a suffix array with common prefixes of its own recurring text, and cuts.
 
-Nothing is capped: a string that a third of all documents hold is one row of each shard in one range. Windows are judged on the
-input. Null texts count as empty. Rows with a null id take no part and stay whole. Rows that share an id never remove each other's text.
+Nothing is capped: a window that a third of all documents hold is one row of each shard in one range. A shard sends a row to each range that it
+has anchors for: with few ranges one for each pair, with many at most one for each anchor, so rows never outgrow the text.
+Windows are judged on the input. Ids may be of any type that Spark orders; those that are no whole numbers are numbered in their order first. Null
+texts count as empty, texts of any length are one document (a shard holds whole documents). Rows with a null id take no part and
+stay whole. Rows that share an id, equal or not, never remove each other's text. An empty table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,8 +32,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
-from tallyweave.llm.common import _BYTE_CODES, INVERSE, MULTIPLIER, give_back, mix64, powers, utf8
+from tallyweave.llm.common import _BYTE_CODES, INVERSE, MULTIPLIER, give_back, materialize, mix64, powers, utf8
 
 LENGTH, GRAM = 50, 26
 SIDE = LENGTH - GRAM
@@ -35,6 +42,8 @@ SIDE = LENGTH - GRAM
 SHARD, AT_ONCE = 8_000_000, 500_000
 #: Ranges of hashes for each shard, and contexts of one suffix array (more only where one anchor has more).
 RANGES_EACH, CONTEXTS = 5, 20_000
+#: Places from which on an anchor is hot.
+HOT = 2_000
 #: Stands beyond the ends of documents; no UTF-8 text holds it.
 EDGE = 255
 
@@ -204,65 +213,115 @@ def from_six_bytes(blob: bytes) -> np.ndarray:
 
 
 def send_hashes(table: pa.Table, number: int, ranges: int) -> pa.Table:
-    """Step 1: (range, shard, hashes, several) of one shard."""
+    """Step 1: (range, shard, hashes, several, times) of one shard; times: the logarithm, rounded up, of how often each hash occurs."""
     shard = Shard(table)
     several, at = shard.several(), cuts(shard.known, ranges)
-    full = [r for r in range(ranges) if at[r] < at[r + 1]]
+    times = np.ceil(np.log2(np.bincount(shard.which, minlength=len(shard.known)))).astype(np.uint8) if len(shard.known) else np.zeros(0, dtype=np.uint8)
+    full = np.flatnonzero(at[:-1] < at[1:]).tolist()
     return pa.table(
         {
             "range": pa.array(full, pa.int32()),
             "shard": pa.array([number] * len(full), pa.int32()),
             "hashes": pa.array([six_bytes(shard.known[at[r] : at[r + 1]]) for r in full], pa.binary()),
             "several": pa.array([np.packbits(several[at[r] : at[r + 1]]).tobytes() for r in full], pa.binary()),
+            "times": pa.array([times[at[r] : at[r + 1]].tobytes() for r in full], pa.binary()),
         }
     )
 
 
-def merge_hashes(table: pa.Table) -> pa.Table:
-    """Step 2: (range, shard, recurring) of one range, by binary search of each shard's run in the merged run."""
+def merge_hashes(table: pa.Table, hot: int) -> pa.Table:
+    """Step 2: (range, shard, recurring, hot) of one range, by binary search of each shard's run in the merged run."""
     runs = [from_six_bytes(b) for b in table.column("hashes").to_pylist()]
     flags = [np.unpackbits(np.frombuffer(b, dtype=np.uint8))[: len(r)].astype(bool) for r, b in zip(runs, table.column("several").to_pylist(), strict=True)]
-    merged = np.sort(np.concatenate(runs))
-    bits = []
+    times = np.concatenate([np.frombuffer(b, dtype=np.uint8) for b in table.column("times").to_pylist()])
+    merged = np.concatenate(runs)
+    order = np.argsort(merged, kind="stable")
+    merged = merged[order]
+    places = np.concatenate([[0], np.cumsum(np.int64(1) << times[order].astype(np.int64))])
+    bits, hots = [], []
     for run, flag in zip(runs, flags, strict=True):
-        times = np.searchsorted(merged, run, side="right") - np.searchsorted(merged, run, side="left")
-        bits.append(np.packbits((times > 1) | flag).tobytes())
-    return pa.table({"range": table.column("range"), "shard": table.column("shard"), "recurring": pa.array(bits, pa.binary())})
+        begin, end = np.searchsorted(merged, run, side="left"), np.searchsorted(merged, run, side="right")
+        bits.append(np.packbits((end - begin > 1) | flag).tobytes())
+        hots.append(np.packbits(places[end] - places[begin] >= hot).tobytes())
+    return pa.table({"range": table.column("range"), "shard": table.column("shard"), "recurring": pa.array(bits, pa.binary()), "hot": pa.array(hots, pa.binary())})
+
+
+SENT = ("range", "shard", "wide", "contexts", "firsts", "owners", "places", "offsets")
+SENT_TYPES = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
 
 
 def send_contexts(docs: pa.Table, told: pa.Table, ranges: int) -> pa.Table:
-    """Step 3: (range, shard, contexts, firsts, owners, places) of one shard.
+    """Step 3: (range, shard, wide, contexts, firsts, owners, places, offsets) of one shard.
 
-    contexts: the distinct contexts, compressed; firsts: the smallest id that holds each; places: every place of
-    a context's anchor in that document, and owners: which context each is of.
+    contexts: the distinct contexts (`wide` bytes each), compressed; firsts: the smallest id that holds each; places: every place of
+    a context's anchor in that document, and owners: which context each is of. Of hot anchors the windows stand in the contexts'
+    place, and offsets tells which of an anchor's windows each is.
     """
     shard = Shard(docs)
     at = cuts(shard.known, ranges)
-    recurs = np.zeros(len(shard.known), dtype=bool)
-    for r, blob in zip(told.column("range").to_pylist(), told.column("recurring").to_pylist(), strict=True):
-        recurs[at[r] : at[r + 1]] = np.unpackbits(np.frombuffer(blob, dtype=np.uint8))[: at[r + 1] - at[r]]
-    rows = np.flatnonzero(recurs[shard.which])
-    names = ("range", "shard", "contexts", "firsts", "owners", "places")
-    out: dict[str, list] = {n: [] for n in names}
+    recurs, hot = np.zeros(len(shard.known), dtype=bool), np.zeros(len(shard.known), dtype=bool)
+    for r, blob, hots in zip(*(told.column(c).to_pylist() for c in ("range", "recurring", "hot")), strict=True):
+        own = slice(at[r], at[r + 1])
+        recurs[own] = np.unpackbits(np.frombuffer(blob, dtype=np.uint8))[: at[r + 1] - at[r]]
+        hot[own] = np.unpackbits(np.frombuffer(hots, dtype=np.uint8))[: at[r + 1] - at[r]]
+    out: dict[str, list] = {n: [] for n in SENT}
     number = told.column("shard")[0].as_py() if told.num_rows else 0
-    rows = rows[np.argsort(shard.hash[rows], kind="stable")]
-    of_range = np.searchsorted(shard.hash[rows], shard.known[np.minimum(at[:-1], max(len(shard.known) - 1, 0))]) if len(rows) else np.zeros(ranges, dtype=np.int64)
-    of_range = np.where(at[:-1] < len(shard.known), of_range, len(rows))
-    of_range = np.append(of_range, len(rows))
-    for r in range(ranges):
-        own = rows[of_range[r] : of_range[r + 1]]
-        if len(own):
-            text = contexts(shard.data, shard.ends, shard.place[own], shard.doc[own])
-            order, new = grouped(text)
-            group = np.empty(len(own), dtype=np.int64)
-            group[order] = np.cumsum(new) - 1
-            ids = shard.ids[shard.doc[own]]
-            first = np.full(int(new.sum()), np.iinfo(np.int64).max)
-            np.minimum.at(first, group, ids)
-            mine = np.flatnonzero(ids == first[group])
-            for n, v in zip(names, (r, number, pa.compress(text[order[new]].tobytes(), codec="zstd", asbytes=True), first.tobytes(), group[mine].astype(np.int32).tobytes(), shard.place[own][mine].astype(np.int32).tobytes()), strict=True):
-                out[n].append(v)
-    return pa.table({n: pa.array(v, pa.int32() if n in ("range", "shard") else pa.binary()) for n, v in out.items()})
+    range_of = np.repeat(np.arange(ranges), np.diff(at))[shard.which] if len(shard.known) else np.zeros(0, dtype=np.int64)
+    hot &= recurs
+
+    def distinct(rows):
+        """(distinct contexts, the smallest id of each, rows of its anchors in that document, which context each is of)."""
+        text = contexts(shard.data, shard.ends, shard.place[rows], shard.doc[rows])
+        order, new = grouped(text)
+        group = np.empty(len(rows), dtype=np.int64)
+        group[order] = np.cumsum(new) - 1
+        ids = shard.ids[shard.doc[rows]]
+        first = np.full(int(new.sum()), np.iinfo(np.int64).max)
+        np.minimum.at(first, group, ids)
+        mine = np.flatnonzero(ids == first[group])
+        return text[order[new]], first, rows[mine], group[mine]
+
+    def send(r, wide, text, first, owners, rows, offsets):
+        values = (r, number, wide, pa.compress(text.tobytes(), codec="zstd", asbytes=True), first.tobytes(), owners.astype(np.int32).tobytes(), shard.place[rows].astype(np.int32).tobytes(), offsets)
+        for n, v in zip(SENT, values, strict=True):
+            out[n].append(v)
+
+    def by_range(of):
+        """(range, rows of `of` in it) of the ranges that have some."""
+        order = np.argsort(of, kind="stable")
+        begins = np.flatnonzero(np.append(True, of[order][1:] != of[order][:-1])) if len(of) else []
+        return zip(of[order][begins].tolist(), np.split(order, begins[1:]), strict=True) if len(of) else []
+
+    cold = np.flatnonzero((recurs & ~hot)[shard.which])
+    for r, some in by_range(range_of[cold]):
+        text, first, rows, owners = distinct(cold[some])
+        send(r, WIDE, text, first, owners, rows, b"")
+    rows = np.flatnonzero(hot[shard.which])
+    if len(rows):
+        text, first, rows, owners = distinct(rows)
+        inner = text != EDGE
+        whole = np.lib.stride_tricks.sliding_window_view(inner, LENGTH, axis=1).all(2)
+        context, offset = np.nonzero(whole)
+        windows = np.lib.stride_tricks.sliding_window_view(text, LENGTH, axis=1)[context, offset]
+        order, new = grouped(windows)
+        kind = np.empty(len(windows), dtype=np.int64)
+        kind[order] = np.cumsum(new) - 1
+        rep = windows[order[new]]
+        del windows
+        least = np.full(len(rep), np.iinfo(np.int64).max)
+        np.minimum.at(least, kind, first[context])
+        # every window of every place: its kind, by way of the place's context
+        begin = np.concatenate([[0], np.cumsum(whole.sum(1))])
+        many = begin[owners + 1] - begin[owners]
+        entry = np.repeat(begin[owners] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        entry_row, entry_kind, entry_offset = np.repeat(rows, many), kind[entry], offset[entry]
+        window_range = (row_hashes(rep) % np.uint64(ranges)).astype(np.int64)
+        entries = dict(by_range(window_range[entry_kind]))
+        for r, some in by_range(window_range):
+            own = entries[r]
+            local = np.searchsorted(some, entry_kind[own])
+            send(r, LENGTH, rep[some], least[some], local, entry_row[own], entry_offset[own].astype(np.uint8).tobytes())
+    return pa.table({n: pa.array(out[n], t) for n, t in zip(SENT, SENT_TYPES, strict=True)})
 
 
 WIDE = LENGTH + SIDE
@@ -289,12 +348,17 @@ def batches(group: np.ndarray):
 _WEIGHTS = mix64(np.arange(1, WIDE + 1, dtype=np.uint64))
 
 
-def grouped(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(an order that puts equal rows together, where a new row begins in it). Hashes order the rows, bytes decide."""
+def row_hashes(text: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row of bytes."""
     h = np.zeros(len(text), dtype=np.uint64)
     for k in range(text.shape[1]):
         h += mix64(_BYTE_CODES[text[:, k]] ^ _WEIGHTS[k])
-    order = np.argsort(h, kind="stable")
+    return h
+
+
+def grouped(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(an order that puts equal rows together, where a new row begins in it). Hashes order the rows, bytes decide."""
+    order = np.argsort(row_hashes(text), kind="stable")
     new = np.ones(len(text), dtype=bool)
     new[1:] = (text[order[1:]] != text[order[:-1]]).any(1)
     return order, new
@@ -302,23 +366,39 @@ def grouped(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def covered_windows(table: pa.Table) -> pa.Table:
     """Step 4: (shard, places, windows) of one range: bit s of `windows` tells that the window starting SIDE - s before the anchor is covered."""
-    parts = [np.frombuffer(pa.decompress(b, decompressed_size=len(f) // 8 * WIDE, codec="zstd", asbytes=True), dtype=np.uint8).reshape(-1, WIDE) for b, f in zip(table.column("contexts").to_pylist(), table.column("firsts").to_pylist(), strict=True)]
-    first = np.concatenate([np.frombuffer(b, dtype=np.int64) for b in table.column("firsts").to_pylist()])
-    size = [len(p) for p in parts]
-    text = np.concatenate(parts)
+    wide = table.column("wide").to_numpy()
+    done = [covered_of(table.filter(pa.array(wide == w)), w) for w in (WIDE, LENGTH) if (wide == w).any()]
+    return pa.concat_tables(done)
+
+
+def covered_of(table: pa.Table, wide: int) -> pa.Table:
+    """`covered_windows` of the rows of whole contexts, or of the rows of hot anchors' windows."""
+    firsts = [np.frombuffer(b, dtype=np.int64) for b in table.column("firsts").to_pylist()]
+    parts = [np.frombuffer(pa.decompress(b, decompressed_size=len(f) * wide, codec="zstd", asbytes=True), dtype=np.uint8).reshape(-1, wide) for b, f in zip(table.column("contexts").to_pylist(), firsts, strict=True)]
+    first, text = np.concatenate(firsts), np.concatenate(parts)
+    at = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
     del parts
-    gram = np.zeros(len(text), dtype=np.uint64)
-    for k in range(SIDE, SIDE + GRAM):
-        gram += mix64(_BYTE_CODES[text[:, k]] ^ _WEIGHTS[k])
-    by_gram = np.argsort(gram, kind="stable")
     mask = np.zeros(len(text), dtype=np.int64)
-    for a, b in batches(gram[by_gram]):
-        rows = by_gram[a:b]
-        mask[rows] = anchor_windows(text[rows], first[rows])
-    at = np.concatenate([[0], np.cumsum(size)])
+    if wide == WIDE:
+        gram = np.zeros(len(text), dtype=np.uint64)
+        for k in range(SIDE, SIDE + GRAM):
+            gram += mix64(_BYTE_CODES[text[:, k]] ^ _WEIGHTS[k])
+        by_gram = np.argsort(gram, kind="stable")
+        for a, b in batches(gram[by_gram]):
+            rows = by_gram[a:b]
+            mask[rows] = anchor_windows(text[rows], first[rows])
+    else:
+        order, new = grouped(text)
+        kind = np.empty(len(text), dtype=np.int64)
+        kind[order] = np.cumsum(new) - 1
+        least = np.full(int(new.sum()), np.iinfo(np.int64).max)
+        np.minimum.at(least, kind, first)
+        mask = (first > least[kind]).astype(np.int64)
     places, windows = [], []
-    for j, (owners, where) in enumerate(zip(table.column("owners").to_pylist(), table.column("places").to_pylist(), strict=True)):
+    for j, (owners, where, offsets) in enumerate(zip(*(table.column(c).to_pylist() for c in ("owners", "places", "offsets")), strict=True)):
         own = mask[at[j] : at[j + 1]][np.frombuffer(owners, dtype=np.int32)]
+        if wide == LENGTH:
+            own = own << np.frombuffer(offsets, dtype=np.uint8).astype(np.int64)
         some = np.flatnonzero(own)
         places.append(np.frombuffer(where, dtype=np.int32)[some].tobytes())
         windows.append(own[some].astype(np.uint32).tobytes())
@@ -420,21 +500,36 @@ def released(step):
     return run
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD, digests: bool = False) -> DataFrame:
+def numbered(docs: DataFrame, id_col: str) -> DataFrame:
+    """(id, number) of each distinct id that is not null; numbers grow with the ids."""
+    ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct()
+    return materialize(ids.repartitionByRange("id").sortWithinPartitions("id").withColumn("number", F.monotonically_increasing_id()), "numbers")
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD, digests: bool = False, hot: int = HOT) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept binary, spans array<int>) of every row; spans: begin and end of each removed run, in bytes.
 
     digests: one more column, text_md5 binary of the text before, which tells rows of one id apart."""
-    total = docs.select(F.sum(F.octet_length(text_col))).first()[0] or 0
+    id_type = docs.schema[id_col].dataType
+    whole = isinstance(id_type, (ByteType, ShortType, IntegerType, LongType))
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    numbers = None if whole else numbered(docs, id_col)
+    named = named.withColumn("id", F.col("id").cast("long")) if whole else named.join(numbers, "id", "left").select(F.col("number").alias("id"), "text")
+    total = named.select(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, math.ceil(total / shard_bytes))
-    dealt = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("shard", F.pmod(F.xxhash64(F.coalesce("id", F.xxhash64("text"))), F.lit(shards)).cast("int"))
-    dealt, ranges = dealt.repartition(shards, "shard"), shards * RANGES_EACH
-    hashes = dealt.groupBy("shard").applyInArrow(lambda key, t: released(send_hashes)(t, key[0].as_py(), ranges), "range int, shard int, hashes binary, several binary")
-    recurring = hashes.groupBy("range").applyInArrow(merge_hashes, "range int, shard int, recurring binary")
-    sent = dealt.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInArrow(lambda a, b: released(send_contexts)(a, b, ranges), "range int, shard int, contexts binary, firsts binary, owners binary, places binary")
+    # Rows that share an id don't depend on each other: the text deals them out too.
+    dealt = named.withColumn("shard", F.pmod(F.xxhash64("id", "text"), F.lit(shards)).cast("int")).repartition(shards, "shard")
+    ranges = shards * RANGES_EACH
+    hashes = dealt.groupBy("shard").applyInArrow(lambda key, t: released(send_hashes)(t, key[0].as_py(), ranges), "range int, shard int, hashes binary, several binary, times binary")
+    recurring = hashes.groupBy("range").applyInArrow(lambda t: merge_hashes(t, hot), "range int, shard int, recurring binary, hot binary")
+    sent = dealt.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInArrow(lambda a, b: released(send_contexts)(a, b, ranges), "range int, shard int, wide int, contexts binary, firsts binary, owners binary, places binary, offsets binary")
     covered = sent.groupBy("range").applyInArrow(lambda t: released(covered_windows)(t), "shard int, places binary, windows binary")
     columns = "id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<int>" + ", text_md5 binary" * digests
     cut = dealt.groupBy("shard").cogroup(covered.groupBy("shard")).applyInArrow(lambda a, b: released(cut_text)(a, b, pa.int64(), digests), columns)
-    return cut.withColumnRenamed("id", id_col)
+    rest = [c for c in cut.columns if c != "id"]
+    if whole:
+        return cut.select(F.col("id").cast(id_type).alias(id_col), *rest)
+    return cut.withColumnRenamed("id", "number").join(numbers, "number", "left").select(F.col("id").alias(id_col), *rest)
 
 
 def query_digest(cut: DataFrame) -> DataFrame:

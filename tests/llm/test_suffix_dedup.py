@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from tallyweave.llm import suffix_dedup
@@ -39,16 +41,39 @@ def random_rows(seed):
     return [*rows, (100, "ab" * 300), (101, "ab" * 200 + "c" + "ab" * 60), (5, "z" * 49), (6, "z" * 50), (7, "z" * 51), (None, "z" * 60), (102, passages[0] * 400)]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_equals_brute_force(spark, seed):
+@pytest.mark.parametrize("seed,hot", [(1, 2_000), (2, 3), (3, 1)])
+def test_equals_brute_force(spark, seed, hot):
     rows = random_rows(seed)
     docs = spark.createDataFrame([(*r, "x", 9) for r in rows], "doc_id long, text string, kept string, n_bytes int")
-    cut = suffix_dedup.dedup(docs, shard_bytes=8_000).collect()
+    cut = suffix_dedup.dedup(docs, shard_bytes=8_000, hot=hot).collect()
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in cut)
     assert got == brute(rows)
     assert all(len(r.spans) == 2 * r.n_spans and sum(r.spans[1::2]) - sum(r.spans[::2]) == r.n_removed for r in cut)
 
 
+def test_string_ids_equal_brute_force(spark):
+    rows = [(None if i is None else f"id{i:05d}", t) for i, t in random_rows(4)]
+    cut = suffix_dedup.dedup(spark.createDataFrame(rows, "name string, text string"), id_col="name", shard_bytes=8_000).collect()
+    got = sorted((-1 if r.name is None else int(r.name[2:]), r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in cut)
+    assert got == brute(random_rows(4))
+
+
+def test_a_common_phrase_is_spread_over_the_ranges():
+    r = random.Random(5)
+    phrase = "this phrase of fifty bytes less one is all we share"[:49]
+    other = lambda: "".join(r.choice("abcdefghij klmnop") for _ in range(60))
+    docs = [pa.table({"id": list(range(k, 2_000, 2)), "text": [other() + phrase + other() for _ in range(k, 2_000, 2)]}) for k in (0, 1)]
+    sizes = {}
+    for hot in (10**9, 500):
+        hashes = pa.concat_tables([suffix_dedup.send_hashes(t, k, 10) for k, t in enumerate(docs)])
+        told = pa.concat_tables([suffix_dedup.merge_hashes(hashes.filter(pc.equal(hashes["range"], i)), hot) for i in range(10) if i in hashes["range"].to_pylist()])
+        sent = pa.concat_tables([suffix_dedup.send_contexts(t, told.filter(pc.equal(told["shard"], k)), 10) for k, t in enumerate(docs)])
+        rows = list(zip(sent["range"].to_pylist(), (len(f) // 8 * w for f, w in zip(sent["firsts"].to_pylist(), sent["wide"].to_pylist(), strict=True)), strict=True))
+        sizes[hot] = sorted(sum(n for x, n in rows if x == i) for i in range(10))
+    assert sizes[10**9][-1] > 10 * sizes[10**9][5]
+    assert sizes[500][-1] < 1.5 * sizes[500][5]
+
+
 def test_suffix_array_and_common_prefixes():
     r = random.Random(3)
     for text in [bytes(r.choice(b"ab") for _ in range(r.randrange(1, 60))) for _ in range(100)] + [b"x" * 100, b"abcdefghij" * 9, b"\xff\x00" * 20]:
