@@ -6,7 +6,9 @@ repeats within one document are not. Consecutive shared chunks are removed where
 are the whole text: a stray phrase or ending that documents have in common stays. The chunks left, in order, are the kept text.
 
 Null texts count as empty; an empty text has no chunk. Rows with a null id take no part: they keep all of their text and
-take nothing from others. Rows that share an id are cut apart but never remove each other's chunks.
+take nothing from others. Rows that share an id are cut apart but never remove each other's chunks. Texts of any length are cut whole.
+Ties: of equal chunks the smallest id keeps its own. A chunk that very many documents hold is dealt over several tasks. An empty table gives no rows; other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import in_chunks, mix64
+from tallyweave.llm.common import hot_keys, in_chunks, materialize, mix64, salted_join
 
 #: Low bits of the rolling hash that end a chunk when zero, and the sizes in bytes between which chunks stay (a text may be smaller).
 MASK, LEAST, MOST = np.uint32(31), 16, 256
@@ -107,8 +109,9 @@ def chunk_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def shared_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, shared array<binary>, firsts array<id>): for each document that repeats chunks of smaller ids, those chunks and beside each the smallest id that holds it."""
     rows = chunk_rows(docs, id_col, text_col)
-    shared = rows.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("digest", "first")
-    found = rows.join(shared, "digest").where("first < id").groupBy("id").agg(F.collect_set(F.struct("digest", "first")).alias("found"))
+    shared = rows.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")).where("first < last").select("digest", "first", "n")
+    shared = materialize(shared, "shared")
+    found = salted_join(rows, shared.drop("n"), "digest", hot_keys(shared, "digest", "n")).where("first < id").groupBy("id").agg(F.collect_set(F.struct("digest", "first")).alias("found"))
     return found.select("id", F.col("found.digest").alias("shared"), F.col("found.first").alias("firsts"))
 
 

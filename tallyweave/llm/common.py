@@ -22,11 +22,13 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a local one only where none is set, as in tests."""
+    """The folder that all executors share, spark.checkpoint.dir. Without one nothing can be written that all would see."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
-    if not _own_dir:
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _own_dir:  # one machine, one process: any folder is shared
         _own_dir.append(f"file://{tempfile.mkdtemp(prefix='tallyweave-')}")
     return _own_dir[0]
 
@@ -38,6 +40,24 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key with more than one in HOT_PARTS of the rows is hot; so there are fewer hot keys than that, whatever the input.
+HOT_PARTS = 1_000
+
+
+def hot_keys(counts: DataFrame, key: str, n: str) -> DataFrame:
+    """(key, parts) of the hot keys of `counts` (key, n rows), each key standing there once; HOT_PARTS rows at most."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return counts.where(F.col(n) > max(1, total // HOT_PARTS)).select(key, F.ceil(F.col(n) * HOT_PARTS / F.lit(max(total, 1))).cast("int").alias("__parts"))
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """left JOIN right USING (key), with the rows of a hot key of `left` dealt over several tasks. A hot key's rows of `right` go to each of them."""
+    hot = F.broadcast(hot)  # bounded, see hot_keys
+    dealt = left.join(hot, key, "left").withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
+    every = right.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return dealt.join(every.hint("merge"), [key, "__salt"], how).drop("__salt")
+
+
 def held_out(id_col: str, parts: int, left_out: int):
     """True for rows whose crc32 of the id, as text, leaves `left_out` on division by `parts`; null ids are not held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % parts == left_out, F.lit(False))

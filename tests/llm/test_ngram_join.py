@@ -1,7 +1,9 @@
 import itertools
 import random
+import re
 
 from tallyweave.llm import ngram_join
+from tallyweave.llm.common import hot_keys, salted_join
 
 
 def fixture():
@@ -20,8 +22,14 @@ def fixture():
     return rows
 
 
+def shingle_set(text):
+    """All runs of five words (all words, where there are fewer), by the definition."""
+    words = re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").lower().encode())
+    return {tuple(words[k : k + 5]) for k in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set()
+
+
 def brute(rows, threshold=0.8):
-    sets = [set(s.tolist()) for s in ngram_join.shingles([t for _, t in rows])]
+    sets = [shingle_set(t) for _, t in rows]
     root, links = list(range(len(rows))), [0] * len(rows)
 
     def find(x):
@@ -45,12 +53,25 @@ def result(rows):
     return sorted((-1 if r.doc_id is None else r.doc_id, -1 if r.class_id is None else r.class_id, r.n_links) for r in rows)
 
 
-def test_equals_brute_force(spark, monkeypatch):
+def test_equals_brute_force(spark):
     rows = fixture()
     docs = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, key string")
     assert result(ngram_join.join(docs).collect()) == brute(rows)
-    monkeypatch.setattr(ngram_join, "BLOCK", 2)  # groups cut into many blocks give the same
-    assert result(ngram_join.join(docs).collect()) == brute(rows)
+    # groups cut into many blocks, and groups verified band by band, give the same
+    assert result(ngram_join.join(docs, block=2).collect()) == brute(rows)
+    assert result(ngram_join.join(docs, block=2, large=3).collect()) == brute(rows)
+
+
+def test_hot_keys_are_dealt_over_tasks(spark):
+    rows = [(i, "x" * 40 + " one text that very many rows share without a change") for i in range(3_000)] + [(i, f"text {i} a b c d e f") for i in range(3_000, 3_300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = result(ngram_join.join(docs).collect())
+    assert got == [(i, 0, 2_999) for i in range(3_000)] + [(i, i, 0) for i in range(3_000, 3_300)]
+    counts = docs.groupBy("text").count()
+    hot = hot_keys(counts.withColumnRenamed("text", "key"), "key", "count")
+    assert [r["__parts"] for r in hot.collect()] == [910]
+    joined = salted_join(docs.withColumnRenamed("text", "key"), counts.withColumnRenamed("text", "key"), "key", hot)
+    assert joined.count() == 3_300 and joined.agg({"count": "sum"}).first()[0] == 3_000**2 + 300
 
 
 def test_bands_reach_the_recall():
