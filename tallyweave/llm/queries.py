@@ -48,8 +48,8 @@ def op7_language_mixture(spark, sf_dir):
 def op8_quality_ranking(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.train(docs, labels.where(~held_out("doc_id", 5, 0)))
-    scored = quality.scores(docs, model)
-    return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "rank_score")
+    scored = quality.ranked(docs, model)
+    return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "rank_score", F.col("above").alias("above_quantile"))
 
 
 def op9_chunk_dedup(spark, sf_dir):

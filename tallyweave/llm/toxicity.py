@@ -4,11 +4,17 @@ The kernel of two words sums, over their common subsequences of ORDER characters
 gaps and inserted characters lower it a little and never break it. Landmarks are words that tell toxic training documents
 from clean ones and are unlike each other. A sentence is represented by the sums of its words' kernel values with the
 landmarks (each word once in a document), whitened by the landmarks' own kernel matrix (Nyström), and a linear squared-hinge machine is trained on
-sentences: those of clean documents against the most toxic sentence of each toxic one, chosen anew in each round. A
-logistic curve turns a document's three most toxic sentences into the likelihood of label 1.
+sentences: all those of clean documents against the most toxic sentence of each toxic one, chosen anew in each round. A
+logistic curve turns the margins of a document's most toxic sentences, and of its most toxic words as sentences of their own, into the
+likelihood of label 1; to miss a toxic document counts as MISSED false alarms.
 
-Null, empty and blank texts have no sentence and score as the zero vector. Tokens longer than WINDOW are covered by
-overlapping windows; runs of single characters ("i d i o t") are also read as one word. Repeated rows score alike.
+Values of the kernel under FLOOR count as 0, which keeps the many words that are a little like a landmark from adding up. So the features are an
+empirical kernel map; the landmarks' own matrix, which whitens them, is exact. Words that hold less than LETTERS of a landmark's characters are not
+compared with it: their value is under FLOOR (tested).
+
+Null, empty and blank texts have no sentence and score as the zero vector. Texts of any length count whole. Tokens longer than WINDOW are covered by
+overlapping windows; runs of single characters ("i d i o t") are also read as one word. Rows with a null id are scored, never learned from;
+repeated rows score alike. Ties (sentences or landmarks alike) go to the first in order. An empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,9 +31,9 @@ from tallyweave.llm.quality import labelled_sample, newton
 ORDER, LAMBDA = 3, 0.6
 LANDMARKS, CANDIDATES, UNLIKE = 48, 800, 0.7
 #: Normalized kernel values under FLOOR count as 0; so do words that hold less than LETTERS of a landmark's characters.
-FLOOR, LETTERS = 0.45, 0.6
-#: Labelled documents a model is fitted on at most, sentences kept of a training document, rounds of choosing sentences.
-MAX_LABELLED, SENTENCES_EACH, ROUNDS = 12_000, 6, 4
+FLOOR, LETTERS = 0.5, 0.6
+#: Labelled documents a model is fitted on at most (half of each label), rounds of choosing sentences, false alarms that a miss is worth.
+MAX_LABELLED, ROUNDS, MISSED = 4_000, 4, 3.0
 WINDOW, STRIDE = 32, 16
 _BEGIN, _END = 1, 2  # mark a word's ends; no text has them within words
 _ALNUM = np.ones(65536, dtype=bool)
@@ -180,16 +186,24 @@ class Machine:
     offset: float
 
     def margins(self, sums: np.ndarray) -> np.ndarray:
-        return sums @ (self.whiten @ self.weights) + self.bias
+        return (sums * (self.whiten @ self.weights)).sum(1) + self.bias  # row by row, so that equal rows score alike
+
+    def rows(self, texts: list[str | None], marks: Landmarks) -> tuple[np.ndarray, np.ndarray]:
+        """(what the curve reads of each document: margins of its sentences and of its words; the document of each sentence)."""
+        sums, doc, words, word_doc = sentence_vectors(texts, marks)
+        n = len(texts)
+        return np.concatenate([by_document(self.margins(sums), doc, n, self.bias), by_document(self.margins(words), word_doc, n, self.bias)], 1), doc
 
     def likelihood(self, rows: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(rows @ self.curve + self.offset, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip((rows * self.curve).sum(1) + self.offset, -30, 30)))
 
 
-def sentence_vectors(texts: list[str | None], marks: Landmarks) -> tuple[np.ndarray, np.ndarray]:
-    """(for each sentence, the sums of its words' kernel values with the landmarks, and the sentence's document)."""
+def sentence_vectors(texts: list[str | None], marks: Landmarks) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(for each sentence, the sums of its words' kernel values with the landmarks; the sentence's document; the values of each word that is like a
+    landmark, each once in a document; the word's document)."""
     data, spans, owner, doc_of, spelled = instances(texts)
     out = np.zeros((len(doc_of), len(marks.words)), dtype=np.float32)
+    words, word_doc = [np.zeros((0, len(marks.words)), dtype=np.float32)], [np.zeros(0, dtype=np.int64)]
     if len(spans) and marks.words:
         size = spans[:, 1] - spans[:, 0] + spans[:, 2] + spans[:, 3]
         key = unit_hashes(data, spans)
@@ -210,9 +224,14 @@ def sentence_vectors(texts: list[str | None], marks: Landmarks) -> tuple[np.ndar
         some = some[np.argsort(owner[some], kind="stable")]  # a word counts once in a document, in its first sentence
         some = some[np.unique(doc_of[owner[some]] * len(first) + which[some], return_index=True)[1]]
         np.add.at(out, owner[some], values[which[some]])
+        words.append(values[which[some]])
+        word_doc.append(doc_of[owner[some]])
     if spelled and marks.words:
-        np.add.at(out, np.array([s for _, s in spelled]), marks.of([w for w, _ in spelled]))
-    return out, doc_of
+        own, at = marks.of([w for w, _ in spelled]), np.array([s for _, s in spelled])
+        np.add.at(out, at, own)
+        words.append(own)
+        word_doc.append(doc_of[at])
+    return out, doc_of, np.concatenate(words), np.concatenate(word_doc)
 
 
 def unit_hashes(data: np.ndarray, spans: np.ndarray) -> np.ndarray:
@@ -265,63 +284,85 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = MAX_LABELLED) -> Machine:
     """A Machine fitted on labelled documents: `most` at most, SENTENCES_EACH sentences of each at most reach the driver."""
-    sample = labelled_sample(docs, labels, label_col, id_col, text_col, most)
+    sample, each = labelled_sample(docs, labels, label_col, id_col, text_col, most)
     words = sample.select("label", F.explode(F.array_distinct(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.regexp_replace(w, r"[^\p{L}]+", "")))).alias("word")).where(F.length("word").between(3, 24))
-    bags = sample.agg(F.sum((F.col("label") == 1).cast("long")).alias("bad"), F.count("*").alias("n")).first()
+    bags = sample.agg(F.sum(F.col("label").cast("long")).alias("bad"), F.count("*").alias("n")).first()
     bad, n = bags["bad"] or 0, bags["n"]
     if not bad or bad == n:
         return constant(float(np.log((bad + 1) / (n - bad + 1))))
-    tally = words.groupBy("word").agg(F.sum((F.col("label") == 1).cast("long")).alias("p"), F.count("*").alias("n")).where(F.col("p") >= 3)
+    tally = words.groupBy("word").agg(F.sum(F.col("label").cast("long")).alias("p"), F.count("*").alias("n")).where(F.col("p") >= 3)
     # the excess of toxic documents over what chance would give, in standard deviations of that chance
     expected = F.col("n") * (bad / n)
     ranked = tally.withColumn("z", (F.col("p") - expected) / F.sqrt(expected + 1.0)).where("z > 3").orderBy(F.desc("z"), "word").limit(CANDIDATES).toPandas()
     landmarks = choose_landmarks(ranked["word"].to_list())
     m = len(landmarks)
     if not m:
-        return constant(float(np.log(bad / (n - bad))))
-    value, vector = np.linalg.eigh((lambda g: (g + g.T) / 2)(Landmarks(landmarks).of(landmarks).astype(np.float64)) + 0.1 * np.eye(m))
+        return constant(float(np.log(each[1] * bad / (each[0] * (n - bad)))))
+    value, vector = np.linalg.eigh(gram(landmarks) + 0.1 * np.eye(m))
     whiten = vector @ np.diag(np.maximum(value, 0.05) ** -0.5) @ vector.T
 
     def work():
         marks = Landmarks(landmarks)
 
-        def top(texts):
-            sums, doc = sentence_vectors(texts, marks)
-            order = np.lexsort((-sums.sum(1), doc))
-            doc, sums = doc[order], sums[order]
-            keep = np.arange(len(doc)) - np.searchsorted(doc, doc) < SENTENCES_EACH
-            parts = np.split(sums[keep], np.searchsorted(doc[keep], np.arange(1, len(texts))))
-            return {"x": [p.tobytes() for p in parts]}
-
-        return top
-
-    bags = map_texts(sample.select(F.col("label").cast("int"), "text"), work, "x binary", "label", "text", 2_000_000).toPandas()
-    bags = [(int(y), np.frombuffer(x, dtype=np.float32).reshape(-1, m).astype(np.float64)) for y, x in zip(bags["label"], bags["x"], strict=True) if len(x)]
-    bags.sort(key=lambda b: (b[0], len(b[1]), b[1].sum()))  # the same model however Spark deals the rows
-    clean = np.concatenate([x for y, x in bags if y != 1] or [np.zeros((0, m))])
-    toxic = [x for y, x in bags if y == 1]
+        def vectors(texts):
+            sums, doc, _, _ = sentence_vectors(texts, marks)
+            some = sums.any(1)
+            plain = np.bincount(doc[~some], minlength=len(texts))
+            return {"x": by_text(sums[some], doc[some], len(texts)), "plain": plain}
+
+        return vectors
+
+    def by_text(rows, doc, n):
+        order = np.argsort(doc, kind="stable")
+        return [p.tobytes() for p in np.split(rows[order], np.searchsorted(doc[order], np.arange(1, n)))]
+
+    # Sentences without any word like a landmark are all the same vector, zero: they are counted.
+    bags = map_texts(sample.select("label", "text"), work, "x binary, plain long", "label", "text", 2_000_000).toPandas()
+    matrix = lambda raw: np.frombuffer(raw, dtype=np.float32).reshape(-1, m).astype(np.float64)
+    bags = [(int(y), matrix(x), int(z)) for y, x, z in zip(bags["label"], bags["x"], bags["plain"], strict=True)]
+    bags.sort(key=lambda b: (b[0], len(b[1]), b[2], b[1].sum()))  # the same model however Spark deals the rows
+    clean = np.concatenate([x for y, x, _ in bags if y != 1] + [np.zeros((1, m))])
+    times = np.append(np.ones(len(clean) - 1), sum(z for y, _, z in bags if y != 1))
+    toxic = [x if len(x) else np.zeros((1, m)) for y, x, _ in bags if y == 1]
     pick = [int(x.sum(1).argmax()) for x in toxic]
     w = np.zeros(m + 1)
     for _ in range(ROUNDS):
         positive = np.stack([x[i] for x, i in zip(toxic, pick, strict=True)])
         x = np.concatenate([positive, clean]) @ whiten
         y = np.concatenate([np.ones(len(positive)), -np.ones(len(clean))])
-        weight = np.where(y > 0, 0.5 / max(len(positive), 1), 0.5 / max(len(clean), 1)) * len(y) / 10
+        weight = np.concatenate([np.full(len(positive), 0.5 / len(positive)), 0.5 * times / max(times.sum(), 1)]) * (len(positive) + times.sum()) / 10
         w = squared_hinge(x, y, weight, 1.0)
         again = [int((b @ whiten @ w[:-1]).argmax()) for b in toxic]
         if again == pick:
             break
         pick = again
-    machine = Machine(landmarks, whiten, w[:-1], float(w[-1]), np.zeros(4), 0.0)
-    rows = np.concatenate([by_document(machine.margins(x), np.zeros(len(x), dtype=np.int64), 1, machine.bias) for _, x in bags])
-    curve = newton(np.concatenate([rows, np.ones((len(rows), 1))], 1), np.array([float(y == 1) for y, _ in bags]), 1e-2, np.ones(len(rows)))
+    machine = Machine(landmarks, whiten, w[:-1], float(w[-1]), np.zeros(8), 0.0)
+
+    def look():
+        marks = Landmarks(landmarks)
+        return lambda texts: {"x": machine.rows(texts, marks)[0].tolist()}
+
+    rows = map_texts(sample.select("label", "text"), look, "x array<double>", "label", "text", 2_000_000).toPandas()
+    x, y = np.stack(rows["x"].to_list()), rows["label"].to_numpy()
+    order = np.lexsort((*x.T, y))
+    x, y = x[order], y[order]
+    curve = newton(np.concatenate([x, np.ones((len(x), 1))], 1), y.astype(float), 1e-2, np.where(y == 1, MISSED * each[1], each[0]))
     machine.curve, machine.offset = curve[:-1], float(curve[-1])
     return machine
 
 
+def gram(words: list[np.ndarray]) -> np.ndarray:
+    """The normalized kernel of each two words, exact."""
+    t, n = padded(words, 0), len(words)
+    i, j = np.repeat(np.arange(n), n), np.tile(np.arange(n), n)
+    raw = kernel(np.where(t == 0, 65535, t)[i], t[j]).reshape(n, n).astype(np.float64)
+    own = np.sqrt(np.maximum(np.diag(raw), 1e-12))
+    return (raw + raw.T) / 2 / own[:, None] / own[None, :]
+
+
 def constant(offset: float) -> Machine:
     """Where there is nothing to tell the labels apart: the same likelihood for all."""
-    return Machine([], np.zeros((0, 0)), np.zeros(0), 0.0, np.zeros(4), offset)
+    return Machine([], np.zeros((0, 0)), np.zeros(0), 0.0, np.zeros(8), offset)
 
 
 def scores(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -331,8 +372,7 @@ def scores(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col:
         marks = Landmarks(machine.landmarks)
 
         def score(texts):
-            sums, doc = sentence_vectors(texts, marks)
-            rows = by_document(machine.margins(sums), doc, len(texts), machine.bias)
+            rows, doc = machine.rows(texts, marks)
             return {"score": machine.likelihood(rows), "margin": rows[:, 0], "n_sentences": np.bincount(doc, minlength=len(texts))}
 
         return score
