@@ -9,16 +9,20 @@ from pyspark.sql import functions as F
 from tallyweave.llm import byte_bpe, mixing, ngram_join, quality, suffix_dedup
 from tallyweave.llm.common import materialize, table
 
-#: Documents whose likelihood of good quality is under this are rejected.
+#: Documents are rejected that are under the quantile of the score and whose likelihood of good quality is under this.
 LEAST_QUALITY = 0.3
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the Bradley-Terry ranking, fitted on the labelled ones, holds good. Rows with a null id are kept."""
+    """Documents that the Bradley-Terry ranking, fitted on the labelled ones, holds good. Rows with a null id are judged like any other.
+
+    The threshold is the quantile of the score that parts off the share of bad documents among the labelled ones; a document under it stays
+    all the same where its likelihood is not low, so that a corpus better than its labels loses nothing good.
+    """
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     marked = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), F.col("text"))
-    scored = quality.scores(marked, model, id_col="row")
-    return scored.where(F.col("score") >= LEAST_QUALITY).select("row.*")
+    scored = quality.ranked(marked, model, id_col="row")
+    return scored.where(F.col("above") | (F.col("score") >= LEAST_QUALITY)).select("row.*")
 
 
 def text_digest(text: str = "text"):
