@@ -57,34 +57,73 @@ FUNCTIONS = {
 }
 
 
+TEXT = re.compile(r'("[^"]*")')
+
+
+def tree(formula: str):
+    """A formula's syntax tree. Texts in double quotes stay as they are; references become calls of _span and _cell."""
+    parts = TEXT.split(formula[1:])
+    for i in range(0, len(parts), 2):
+        p = re.sub(r"(?<![<>=])=(?!=)", "==", parts[i].replace("<>", "!=")).replace("^", "**")
+        p = SPAN.sub(lambda m: f"_span({number_of(m[1])},{m[2]},{number_of(m[3])},{m[4]})", p)
+        spans = re.split(r"(_span\([^)]*\))", p)
+        parts[i] = "".join(x if k % 2 else CELL.sub(lambda m: f"_cell({number_of(m[1])},{m[2]})", x) for k, x in enumerate(spans))
+    return ast.parse("".join(parts).strip(), mode="eval").body
+
+
 class Sheet:
-    """The cells of a sheet, {(row, column): value or text of a formula}."""
+    """The cells of a sheet, {(row, column): value or text of a formula}.
+
+    Formulas are evaluated in the order of what they refer to, whatever the length of a chain. A formula that leads back to itself, or
+    to one that does, has no value (None), and so has one that can't be evaluated: the result does not depend on the order of the cells.
+    """
 
     def __init__(self, cells: dict):
-        self.cells, self.known, self.open = cells, {}, set()
+        self.cells = cells
+        self.formulas = {at for at, raw in cells.items() if isinstance(raw, str) and raw.startswith("=")}
+        self.known: dict = dict.fromkeys(self.formulas)
+        trees, waits, users = {}, {}, {}
+        for at in self.formulas:
+            try:
+                trees[at] = tree(cells[at])
+            except (SyntaxError, ValueError, RecursionError, MemoryError):
+                trees[at] = None
+            needs = self.needed(trees[at]) if trees[at] is not None else set()
+            waits[at] = len(needs)
+            for other in needs:
+                users.setdefault(other, []).append(at)
+        ready = sorted(at for at in self.formulas if not waits[at])
+        while ready:
+            at = ready.pop()
+            if trees[at] is not None:
+                try:
+                    self.known[at] = self.walk(trees[at])
+                except (ArithmeticError, ValueError, TypeError, KeyError, RecursionError):
+                    self.known[at] = None
+            for user in users.get(at, ()):
+                waits[user] -= 1
+                if not waits[user]:
+                    ready.append(user)
+
+    def needed(self, node) -> set:
+        """The formula cells that a tree refers to."""
+        out = set()
+        for call in (n for n in ast.walk(node) if isinstance(n, ast.Call) and isinstance(n.func, ast.Name)):
+            where = [a.value for a in call.args if isinstance(a, ast.Constant)]
+            if call.func.id == "_cell" and (where[1], where[0]) in self.formulas:
+                out.add((where[1], where[0]))
+            if call.func.id == "_span":
+                c1, r1, c2, r2 = where
+                rows, cols = range(min(r1, r2), max(r1, r2) + 1), range(min(c1, c2), max(c1, c2) + 1)
+                if len(rows) * len(cols) > len(self.formulas):
+                    out.update(at for at in self.formulas if at[0] in rows and at[1] in cols)
+                else:
+                    out.update((r, c) for r in rows for c in cols if (r, c) in self.formulas)
+        return out
 
     def value(self, at):
-        """A cell's value; what can't be evaluated, or leads back to itself, is None."""
-        raw = self.cells.get(at)
-        if not (isinstance(raw, str) and raw.startswith("=")):
-            return raw
-        if at not in self.known:
-            if at in self.open:
-                return None
-            self.open.add(at)
-            try:
-                self.known[at] = self.evaluate(raw)
-            except (ArithmeticError, ValueError, TypeError, SyntaxError, KeyError, RecursionError):
-                self.known[at] = None
-            self.open.discard(at)
-        return self.known[at]
-
-    def evaluate(self, formula: str):
-        text = re.sub(r"(?<![<>=])=(?!=)", "==", formula[1:].replace("<>", "!=")).replace("^", "**")
-        text = SPAN.sub(lambda m: f"_span({number_of(m[1])},{m[2]},{number_of(m[3])},{m[4]})", text)
-        parts = re.split(r'("[^"]*"|_span\([^)]*\))', text)
-        text = "".join(p if i % 2 else CELL.sub(lambda m: f"_cell({number_of(m[1])},{m[2]})", p) for i, p in enumerate(parts))
-        return self.walk(ast.parse(text.strip(), mode="eval").body)
+        """A cell's value; None for an empty cell and for a formula without one."""
+        return self.known[at] if at in self.formulas else self.cells.get(at)
 
     def walk(self, node):
         if isinstance(node, ast.Constant) and isinstance(node.value, int | float | str | bool):

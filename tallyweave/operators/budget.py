@@ -179,3 +179,33 @@ def least_loaded(workers: list[tuple[str, int]], tasks: list[int]) -> Iterator[t
         w = min(load, key=load.__getitem__)
         load[w] += 1
         yield t, w
+
+
+#: Tags of the messages that eviction drops.
+EVICTED_TAGS = ("model_tool_call", "tool_result")
+
+
+def evicted(messages: DataFrame, requests: DataFrame, by: list[str], tags: tuple[str, ...] = EVICTED_TAGS) -> DataFrame:
+    """(by, request, first_round, last_round, n_rounds, n_messages, chars) that a request (by, request, before_round) drops: tool messages of rounds 1 to before_round - 1.
+
+    Messages (by, round, tag, chars) are summed by round first, so that requests meet a row for each round."""
+    rounds = messages.where(F.col("tag").isin(*tags) & (F.col("round") > 0)).groupBy(*by, "round").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    hit = requests.join(rounds, by).where(F.col("round") < F.col("before_round"))
+    return hit.groupBy(*by, "request").agg(F.min("round").alias("first_round"), F.max("round").alias("last_round"), F.count("*").alias("n_rounds"), F.sum("n").alias("n_messages"), F.sum("chars").alias("chars"))
+
+
+def model_slugs(model: str | Column, providers: list[tuple[str, str]]) -> Column:
+    """The ids under which a price list may name a model, first choice first: as it is, with a version's dash as a dot, each also with its provider.
+
+    providers: (beginning of a name, provider), first match first; names with a slash have theirs."""
+    name = F.col(model) if isinstance(model, str) else model
+    dotted = F.regexp_replace(name, r"-(\d+)-(\d+)$", r"-$1.$2")
+    owned = lambda c: F.when(~c.contains("/"), F.coalesce(*(F.when(c.startswith(p), F.concat(F.lit(f"{who}/"), c)) for p, who in providers))) if providers else F.lit(None).cast("string")
+    return F.array_distinct(F.array_compact(F.array(name, dotted, owned(name), F.when(dotted != name, owned(dotted)))))
+
+
+def priced(models: DataFrame, prices: DataFrame, providers: list[tuple[str, str]]) -> DataFrame:
+    """Models (model) with the slug and price of their first slug that the list (slug, price) names; null where none is."""
+    tried = models.select("model", F.posexplode(model_slugs("model", providers)).alias("place", "slug"))
+    best = tried.join(prices, "slug").groupBy("model").agg(F.min_by(F.struct("slug", "price"), "place").alias("best"))
+    return models.join(best, "model", "left").select("model", "best.slug", "best.price")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.operators.leaderboard import WEIGHTS
@@ -27,29 +27,29 @@ def coverage_state(mode: str = "judge_mode", keep_reduced: bool = False) -> Colu
 
 
 def report(matched: DataFrame, by: list[str], weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """Per group: expected rows and those of each state (column `state`), ids of rows that are not found, means over found rows only and their weighted total."""
+    """Per group: expected rows and those of each state (column `state`), means over found rows only and their weighted total. The rows that are not found: `not_found`."""
     found = F.col("state") == "found"
     mean = lambda c: F.avg(F.when(found, F.col(c)))
-    ids = lambda s: F.sort_array(F.collect_list(F.when(F.col("state") == s, F.col("attempt_id")))).alias(f"{s}_ids")
     return matched.groupBy(*by).agg(
         F.count("*").alias("expected"),
         *(F.count_if(F.col("state") == s).alias(f"n_{s}") for s in ("found", "missing", "context_reduced", "unknown")),
         *(mean(c).alias(f"avg_{c}") for c in weights),
         sum(F.lit(w) * mean(c) for c, w in weights.items()).alias("total_score"),
-        *(ids(s) for s in ("missing", "context_reduced", "unknown")),
     )
 
 
+def not_found(matched: DataFrame, by: list[str]) -> DataFrame:
+    """(by, state, attempt_id) of the rows that are not found: rows, so that no group is gathered."""
+    return matched.where("state <> 'found'").select(*by, "state", "attempt_id")
+
+
 def by_axes(rows: DataFrame, axes: list[list[str]], measures: list[Column]) -> DataFrame:
-    """`measures` for each set of axes in one pass (grouping sets): columns axis, one column for each name, measures. NULL keys are `<unknown>`."""
+    """`measures` for each set of axes in one pass (grouping sets): columns axis, one column for each name, measures. NULL keys are `<unknown>`; an empty set of axes is the axis `overall`."""
     names = list(dict.fromkeys(a for group in axes for a in group))
     filled = rows.withColumns({a: F.coalesce(F.col(a).cast("string"), F.lit("<unknown>")) for a in names})
-    label = F.concat_ws("+", *(F.when(F.grouping(a) == 0, F.lit(a)) for a in names)).alias("axis")
-    return filled.groupingSets([[F.col(a) for a in group] for group in axes], *names).agg(label, *measures).select("axis", *names, *[c for c in _names(measures)])
-
-
-def _names(measures: list[Column]) -> list[str]:
-    return [m._jc.toString().split(" AS ")[-1].strip("`") for m in measures]
+    label = F.concat_ws("+", *(F.when(F.grouping(a) == 0, F.lit(a)) for a in names))
+    out = filled.groupingSets([[F.col(a) for a in group] for group in axes], *names).agg(F.when(label == "", "overall").otherwise(label).alias("axis"), *measures)
+    return out.select("axis", *names, *(c for c in out.columns if c not in names and c != "axis"))
 
 
 def score_pivot(rows: DataFrame, row: str, column: str, values: list[str], score: str) -> DataFrame:
@@ -94,3 +94,23 @@ def primary_category(classification: str = "case_classification") -> Column:
     entries = F.transform(F.map_entries(as_map), lambda e: F.struct(e["key"].alias("name"), F.coalesce(e["value"], F.lit(0.0)).alias("weight")))
     best = F.array_max(F.transform(entries, lambda e, i: F.struct(e["weight"].alias("w"), (-i).alias("p"), e["name"].alias("name"))))["name"]
     return F.coalesce(F.when(F.get_json_object(classification, "$.involved_tasks").startswith("{"), best), F.try_element_at(as_list, F.lit(1)))
+
+
+def category_order(found: DataFrame, category: str = "category") -> DataFrame:
+    """(category, n_tasks, place): categories by their distinct tasks, most first, ties by name. Rows without a category are left out; see `uncategorised`."""
+    tasks = found.where(F.col(category).isNotNull()).groupBy(F.col(category).alias("category")).agg(F.count_distinct("task_id").alias("n_tasks"))
+    return tasks.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n_tasks"), "category")))  # a row for each category
+
+
+def uncategorised(found: DataFrame, category: str = "category") -> DataFrame:
+    return found.agg(F.count_if(F.col(category).isNull()).alias("n_uncategorised"))
+
+
+def plan_counts(plan: DataFrame, missing: DataFrame, n_tasks: int, n_agents: int) -> DataFrame:
+    """(kind, value, n) of a plan's report: rows by judge mode and by whether they are graded, missing cells by reason, and the cells expected."""
+    mode = F.coalesce("judge_mode", F.lit("unknown"))
+    modes = plan.groupBy(mode.alias("value")).agg(F.count("*").alias("n")).select(F.lit("judge_mode").alias("kind"), "value", "n")
+    graded = plan.groupBy(F.when(F.col("graded"), "graded").otherwise("to_grade").alias("value")).agg(F.count("*").alias("n")).select(F.lit("graded").alias("kind"), "value", "n")
+    reasons = missing.groupBy(F.col("reason").alias("value")).agg(F.count("*").alias("n")).select(F.lit("missing").alias("kind"), "value", "n")
+    expected = plan.sparkSession.createDataFrame([("cells", "expected", n_tasks * n_agents)], "kind string, value string, n long")
+    return modes.unionByName(graded).unionByName(reasons).unionByName(expected)

@@ -25,7 +25,9 @@ def cells(tasks: DataFrame, attempts: DataFrame, gradings: DataFrame, cohorts: D
     grid = live.join(F.broadcast(named)).select("task_id", "task_name", "task_source", "difficulty", F.inline("roster"))
     total = F.round(sum(F.lit(w) * F.col(k) for k, w in weights.items()), 5)
     status = F.when(F.col("attempt_id").isNull(), "needs_attempt").when(F.col("grading_id").isNull(), "needs_grading").otherwise("complete")
-    return grid.join(last, ["cohort", "task_id"], "left").join(clean, "attempt_id", "left").withColumn("total", total).withColumn("status", status)
+    # Gradings join the attempts first: cells without an attempt have no attempt_id that could be a hot NULL key.
+    graded = last.join(clean, "attempt_id", "left")
+    return grid.join(graded, ["cohort", "task_id"], "left").withColumn("total", total).withColumn("status", status)
 
 
 def summary(cell_rows: DataFrame, expected_tasks: int = EXPECTED_TASKS) -> DataFrame:
@@ -46,7 +48,7 @@ def ranking(summary_rows: DataFrame) -> DataFrame:
 
 
 def difficulty_breakdown(cell_rows: DataFrame, order: list[str], digits: int = 1) -> DataFrame:
-    """Per cohort and difficulty: cells, graded, means over all cells of the bucket, times over recorded ones, missing tasks.
+    """Per cohort and difficulty: cells, graded, means over all cells of the bucket, times over recorded ones. The missing tasks themselves are rows: see `missing_tasks`.
 
     Buckets are numbered by `order`; others come after, NULL as the text None.
     """
@@ -61,6 +63,10 @@ def difficulty_breakdown(cell_rows: DataFrame, order: list[str], digits: int = 1
             F.count("*").alias("n"), F.count_if(complete).alias("graded"), F.count_if(~complete).alias("missing"),
             mean("accuracy"), mean("formula"), mean("format"), mean("total"),
             F.count("minutes").alias("timed"), F.round(F.avg("minutes"), 2).alias("mean_minutes"), F.round(F.median("minutes"), 2).alias("median_minutes"),
-            F.sort_array(F.collect_list(F.when(~complete, F.struct("task_id", "status")))).alias("missing_tasks"),
         )
     )
+
+
+def missing_tasks(cell_rows: DataFrame) -> DataFrame:
+    """(cohort, difficulty, task_id, status) of every cell that is not complete: rows, so that no bucket is gathered. NULL difficulties are the text None."""
+    return cell_rows.where(F.col("status") != "complete").select("cohort", F.coalesce("difficulty", F.lit("None")).alias("difficulty"), "task_id", "status")

@@ -148,3 +148,46 @@ def render(template: str, values: dict, nullable: set[str] = frozenset()) -> str
 def uniform_weights(rubric: dict[str, list[str]]) -> list[tuple[str, str, float]]:
     """(category, check, weight): within a category all checks weigh the same, to four digits."""
     return [(category, check, round(1 / len(checks), 4)) for category, checks in rubric.items() for check in checks]
+
+
+def next_id(rows: DataFrame, id_col: str) -> int:
+    """One more than the greatest id; 1 for none."""
+    return (rows.agg(F.max(id_col)).first()[0] or 0) + 1
+
+
+def parsed_rubric(text: str, names: dict[str, str]) -> dict[str, list[dict[str, str]]]:
+    """The checks of a rubric's text by category: name, description, good, bad.
+
+    The text has sections under a header between two lines of `=`, and in them blocks between lines of `-`: a name, a description, and what
+    follows `Good:` and `Bad:`. `names` maps headers to categories. Unknown headers, blocks of another form and empty sections are errors.
+    """
+    out: dict[str, list[dict[str, str]]] = {}
+    lines = text.splitlines()
+    rule = lambda k, c: 0 <= k < len(lines) and len(lines[k]) >= 10 and set(lines[k]) == {c}
+    heads = [k for k in range(len(lines)) if rule(k - 1, "=") and rule(k + 1, "=") and lines[k].strip()]
+    for head, end in zip(heads, [*(h - 1 for h in heads[1:]), len(lines)], strict=True):
+        title = lines[head].strip()
+        if title not in names:
+            raise ValueError(f"unknown rubric section {title!r}")
+        blocks, block = [], []
+        for k in range(head + 2, end):
+            if rule(k, "-"):
+                blocks.append(block)
+                block = []
+            else:
+                block.append(lines[k].strip())
+        checks = [_rubric_check(b) for b in [*blocks, block] if any(b)]
+        if not checks:
+            raise ValueError(f"no checks in rubric section {title!r}")
+        out[names[title]] = checks
+    return out
+
+
+def _rubric_check(lines: list[str]) -> dict[str, str]:
+    lines = [x for x in lines if x]
+    good = next((k for k, x in enumerate(lines) if x.startswith("Good:")), None)
+    bad = next((k for k, x in enumerate(lines) if x.startswith("Bad:") and good is not None and k > good), None)
+    if bad is None or good < 2:
+        raise ValueError(f"not a check: {' '.join(lines)[:100]}")
+    flat = lambda a, b, cut=0: " ".join(" ".join(lines[a:b])[cut:].split())
+    return {"name": flat(0, 1), "description": flat(1, good), "good": flat(good, bad, 5), "bad": flat(bad, len(lines), 4)}

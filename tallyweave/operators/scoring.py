@@ -54,14 +54,12 @@ def total_scores(categories: DataFrame, category_weights: DataFrame, key: str =
 
 
 def warnings(items: DataFrame, counted_items: DataFrame, checks: DataFrame, key: str = "grading_id") -> DataFrame:
-    """(key, kind, category, name) of everything a scoring had to repair."""
-    return (
-        checks.where("unscored").select(key, F.lit("unscored_check").alias("kind"), "category", "name")
-        .unionByName(checks.where("times > 1").select(key, F.lit("duplicate_judgement").alias("kind"), "category", "name"))
-        .unionByName(counted_items.where("count_mismatch").select(key, F.lit("mistake_count_mismatch").alias("kind"), "category", "name"))
-        .unionByName(counted_items.where("fail_without_mistakes").select(key, F.lit("fail_without_mistakes").alias("kind"), "category", "name"))
-        .unionByName(items.where(F.size("items") == 0).select(key, F.lit("empty_category").alias("kind"), "category", F.lit(None).cast("string").alias("name")))
-    )
+    """(key, kind, category, name) of everything a scoring had to repair; each table is read once."""
+    kinds = lambda *named: F.explode(F.array_compact(F.array(*(F.when(F.col(flag) if isinstance(flag, str) else flag, kind) for flag, kind in named)))).alias("kind")
+    of_checks = checks.select(key, kinds(("unscored", "unscored_check"), (F.col("times") > 1, "duplicate_judgement")), "category", "name")
+    of_items = counted_items.select(key, kinds(("count_mismatch", "mistake_count_mismatch"), ("fail_without_mistakes", "fail_without_mistakes")), "category", "name")
+    empty = items.where(F.size("items") == 0).select(key, F.lit("empty_category").alias("kind"), "category", F.lit(None).cast("string").alias("name"))
+    return of_checks.unionByName(of_items).unionByName(empty)
 
 
 def failure_reason(success: str = "success", parse_failures: str = "parse_failures", scores: str = "scores_missing", n_warnings: str = "n_warnings") -> Column:
@@ -115,3 +113,21 @@ def fold_records(events: DataFrame, keys: list[str], step: str = "step") -> Data
 def pending(rubric_letters: DataFrame, records: DataFrame, keys: list[str]) -> DataFrame:
     """Checks without a record."""
     return rubric_letters.join(records, keys, "left_anti")
+
+
+def first_score(by_name: str | Column, *names: str) -> Column:
+    """The score of the first of the names (say, of a category that was renamed) that a map holds; null where it holds none."""
+    scores = F.col(by_name) if isinstance(by_name, str) else by_name
+    return F.coalesce(*(F.try_element_at(scores, F.lit(n)) for n in names))
+
+
+def named_items(items: DataFrame, letters: DataFrame) -> DataFrame:
+    """Items (.., category, check) with the name of their letter by the rubric (category, letter, name); an unmatched letter has no name, and its check stays unscored."""
+    names = letters.select("category", F.col("letter").alias("check"), "name")
+    return items.join(names, ["category", "check"], "left")
+
+
+def parse_outcomes(tries: DataFrame, keys: list[str], ok: str = "parsed") -> DataFrame:
+    """(keys, count, success) where a try failed to parse: how many did, and whether one parsed in the end. A category without success has no items."""
+    out = tries.groupBy(*keys).agg(F.count_if(~F.coalesce(F.col(ok), F.lit(False))).alias("count"), F.coalesce(F.max(ok), F.lit(False)).alias("success"))
+    return out.where(F.col("count") > 0)

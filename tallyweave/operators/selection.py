@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyweave.sources.logs import file_refs
+
 
 def not_true(c: str | Column) -> Column:
     """NULL counts as false."""
@@ -35,8 +37,8 @@ def latest_valid_attempts(attempts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def file_names(files: str = "files") -> Column:
-    """The list of files of a JSON text that holds a list; anything else, null too, is an empty list."""
-    return F.coalesce(F.from_json(files, "array<string>"), F.array().cast("array<string>"))
+    """The names of the files of a JSON text of any known shape (text, list of texts, list of objects, object); none for null."""
+    return F.filter(F.transform(file_refs(files), lambda x: x["name"]), lambda n: n.isNotNull())
 
 
 def no_files(files: str = "files") -> Column:
@@ -45,7 +47,7 @@ def no_files(files: str = "files") -> Column:
 
 
 def is_workbook(name: Column) -> Column:
-    return F.lower(name).endswith(".xlsx")
+    return F.lower(name).rlike(r"\.(xlsx|xlsm|xls)$")
 
 
 def valid_attempts(attempts: DataFrame, versions: DataFrame | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions.formulas import column_letters
@@ -72,7 +72,6 @@ def tokens(text: str | Column) -> Column:
 
 def keywords(sources: list[tuple[DataFrame, str, str, int]], most: int = 60) -> DataFrame:
     """(key, word, weight) of the heaviest words of each key over sources (rows, key, text, weight)."""
-    from pyspark.sql import Window
 
     every = None
     for rows, key, text, weight in sources:
@@ -117,7 +116,7 @@ def resolve_edits(edits: DataFrame) -> DataFrame:
 def blocks(cells: DataFrame) -> DataFrame:
     """(workbook, sheet, r1, c1, r2, c2) of contiguous blocks: right along the first row, then down while the whole width is filled.
 
-    Where a block begins depends on those found before it, so a sheet is one group.
+    No block crosses a row without any cell, so the rows between two such are a group of their own; only row numbers are ordered sheet by sheet.
     """
     import pandas as pd
 
@@ -135,4 +134,40 @@ def blocks(cells: DataFrame) -> DataFrame:
             out.append((rows["workbook"].iloc[0], rows["sheet"].iloc[0], r, c, down, right))
         return pd.DataFrame(out, columns=["workbook", "sheet", "r1", "c1", "r2", "c2"])
 
-    return filled(cells).select(*KEY, "row", "col").groupBy(*KEY).applyInPandas(find, "workbook string, sheet string, r1 int, c1 int, r2 int, c2 int")
+    some = filled(cells).select(*KEY, "row", "col")
+    by_row = Window.partitionBy(*KEY).orderBy("row")
+    begins = some.select(*KEY, "row").distinct().withColumn("band", F.when(F.coalesce(F.lag("row").over(by_row) == F.col("row") - 1, F.lit(False)), None).otherwise(F.col("row")))
+    bands = begins.withColumn("band", F.last("band", ignorenulls=True).over(by_row.rowsBetween(Window.unboundedPreceding, 0)))
+    return some.join(bands, [*KEY, "row"]).groupBy(*KEY, "band").applyInPandas(find, "workbook string, sheet string, r1 int, c1 int, r2 int, c2 int")
+
+
+#: Cells that one request may read.
+MOST_CELLS = 2_500
+
+
+def requested_ranges(cells: DataFrame, requests: DataFrame, most: int = MOST_CELLS) -> DataFrame:
+    """Requests (request_id, workbook, sheet, r1, c1, r2, c2) with the sheet's n_rows and n_cols, r2 clamped to n_rows, and the error of those that can't be read.
+
+    Rows and columns count from 1. The checks come in this order: null bounds, rows, columns, size, a sheet that is not there, a start beyond its end."""
+    size = filled(cells).groupBy(*KEY).agg(F.max("row").alias("n_rows"), F.max("col").alias("n_cols"))
+    span = lambda a, b: (F.col(b) - F.col(a) + 1).cast("long")
+    wanted = span("r1", "r2") * span("c1", "c2")
+    text = lambda c: F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
+    error = (
+        F.when(F.col("r1").isNull() | F.col("r2").isNull() | F.col("c1").isNull() | F.col("c2").isNull(), F.lit("Error: All range parameters are required: start_row, end_row, start_col, end_col."))
+        .when((F.col("r1") < 1) | (F.col("r2") < F.col("r1")), F.concat(F.lit("Error: Invalid row range "), text("r1"), F.lit("-"), text("r2"), F.lit(". Rows are 1-based and end_row must be >= start_row.")))
+        .when((F.col("c1") < 1) | (F.col("c2") < F.col("c1")), F.concat(F.lit("Error: Invalid column range "), column_letters("c1"), F.lit("-"), column_letters("c2"), F.lit(". end_col must be >= start_col.")))
+        .when(
+            wanted > most,
+            F.concat(F.lit("Error: requested range is "), text(wanted), F.lit(" cells ("), text(span("r1", "r2")), F.lit(" rows x "), text(span("c1", "c2")), F.lit(f" cols), which exceeds the {most}-cell per-call limit. Split the request into multiple smaller read_file calls.")),
+        )
+        .when(F.col("n_rows").isNull(), F.concat(F.lit("Error: Sheet '"), F.col("sheet"), F.lit("' not found.")))
+        .when(F.col("r1") > F.col("n_rows"), F.concat(F.lit("Error: start_row "), text("r1"), F.lit(" exceeds file row count ("), text("n_rows"), F.lit(").")))
+    )
+    return requests.join(size, KEY, "left").withColumn("error", error).withColumn("r2", F.when(F.col("error").isNull(), F.least("r2", "n_rows")).otherwise(F.col("r2")))
+
+
+def shows_something(raw: str = "raw", font: str = "font_rgb", fill: str = "fill_rgb") -> Column:
+    """Whether a cell holds more than blanks, or has a font or fill colour."""
+    coloured = lambda c: F.coalesce(F.col(c) != "00000000", F.lit(False))
+    return (F.length(F.trim(F.coalesce(raw, F.lit("")))) > 0) | coloured(font) | coloured(fill)

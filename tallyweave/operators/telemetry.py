@@ -50,11 +50,11 @@ def dangling(refs: DataFrame, known: DataFrame, key: str) -> DataFrame:
 def unexplained_shrinks(calls: DataFrame, evictions: DataFrame, by: list[str]) -> DataFrame:
     """Calls (by, step, size) smaller than the call before without an eviction (by, step) strictly between the two.
 
-    The last eviction before each call comes by forward fill over calls and evictions together: no range join.
+    Calls without a size say nothing about growth: they are passed over, and are no evictions. The last eviction before each call comes by forward fill over calls and evictions together: no range join.
     """
-    marks = calls.select(*by, "step", "size").unionByName(evictions.select(*by, "step").withColumn("size", F.lit(None).cast(calls.schema["size"].dataType)))
+    marks = calls.select(*by, "step", "size", F.lit(False).alias("evicts")).unionByName(evictions.select(*by, "step", F.lit(None).cast(calls.schema["size"].dataType).alias("size"), F.lit(True).alias("evicts")))
     upto = Window.partitionBy(*by).orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
-    seen = marks.withColumn("evicted_at", F.max(F.when(F.col("size").isNull(), F.col("step"))).over(upto)).where("size IS NOT NULL")
+    seen = marks.withColumn("evicted_at", F.max(F.when(F.col("evicts"), F.col("step"))).over(upto)).where("NOT evicts AND size IS NOT NULL")
     w = Window.partitionBy(*by).orderBy("step")
     out = seen.withColumns({"previous": F.lag("size").over(w), "previous_step": F.lag("step").over(w)})
     return out.where((F.col("size") < F.col("previous")) & ~F.coalesce(F.col("evicted_at") > F.col("previous_step"), F.lit(False))).select(*by, "step", "previous", "size")

@@ -74,8 +74,12 @@ def leaderboard_ranking(spark, sf_dir):
     "tasks", "attempts", "gradings",
 )
 def difficulty_breakdown(spark, sf_dir):
-    out = leaderboard.difficulty_breakdown(cells(spark, sf_dir), DIFFICULTIES, digits=5)  # sums in another order part at coarser ties
-    return out.drop("missing_tasks")
+    return leaderboard.difficulty_breakdown(cells(spark, sf_dir), DIFFICULTIES, digits=5)  # sums in another order part at coarser ties
+
+
+@query(f"{CELLS} SELECT cohort, coalesce(difficulty, 'None') AS difficulty, task_id, status FROM cells WHERE status <> 'complete'", "tasks", "attempts", "gradings")
+def missing_tasks(spark, sf_dir):
+    return leaderboard.missing_tasks(cells(spark, sf_dir))
 
 
 @query("SELECT task_id, agent, prompt_version, max(attempt_id) AS attempt_id FROM attempts WHERE failed IS NOT TRUE AND deprecated IS NOT TRUE GROUP BY ALL", "attempts")
@@ -195,18 +199,23 @@ def matched_plan(spark, sf_dir):
     "attempts", "gradings",
 )
 def coverage_report(spark, sf_dir):
-    out = coverage.report(matched_plan(spark, sf_dir), ["agent", "prompt_version"]).drop("missing_ids", "context_reduced_ids", "unknown_ids")
+    out = coverage.report(matched_plan(spark, sf_dir), ["agent", "prompt_version"])
     return out.withColumns({c: F.round(c, 6) for c in ("avg_accuracy", "avg_formula", "avg_format", "total_score")})
 
 
-AXES = [["agent"], ["judge_mode"], ["prompt_version"], ["agent", "judge_mode"], ["agent", "prompt_version"]]
+@query(PLAN + " SELECT agent, prompt_version, state, attempt_id FROM matched WHERE state <> 'found'", "attempts", "gradings")
+def coverage_not_found(spark, sf_dir):
+    return coverage.not_found(matched_plan(spark, sf_dir), ["agent", "prompt_version"])
+
+
+AXES = [[], ["agent"], ["judge_mode"], ["prompt_version"], ["agent", "judge_mode"], ["agent", "prompt_version"]]
 
 
 @query(
     PLAN.replace("SELECT agent, prompt_version, p.attempt_id", "SELECT coalesce(agent, '<unknown>') AS agent, CAST(prompt_version AS VARCHAR) AS prompt_version, coalesce(judge_mode, '<unknown>') AS judge_mode, p.attempt_id")
-    + """ SELECT concat_ws('+', CASE WHEN grouping(agent) = 0 THEN 'agent' END, CASE WHEN grouping(judge_mode) = 0 THEN 'judge_mode' END, CASE WHEN grouping(prompt_version) = 0 THEN 'prompt_version' END) AS axis,
+    + """ SELECT coalesce(nullif(concat_ws('+', CASE WHEN grouping(agent) = 0 THEN 'agent' END, CASE WHEN grouping(judge_mode) = 0 THEN 'judge_mode' END, CASE WHEN grouping(prompt_version) = 0 THEN 'prompt_version' END), ''), 'overall') AS axis,
       agent, judge_mode, prompt_version, count(*) AS n, count(*) FILTER (state = 'found') AS n_found, round(avg(CASE WHEN state = 'found' THEN accuracy END), 6) AS avg_accuracy
-      FROM matched GROUP BY GROUPING SETS ((agent), (judge_mode), (prompt_version), (agent, judge_mode), (agent, prompt_version))""",
+      FROM matched GROUP BY GROUPING SETS ((), (agent), (judge_mode), (prompt_version), (agent, judge_mode), (agent, prompt_version))""",
     "attempts", "gradings",
 )
 def performance_by_axes(spark, sf_dir):
@@ -230,7 +239,11 @@ def difficulty_pivot(spark, sf_dir):
     return a.join(t, "task_id").groupBy("agent").pivot("difficulty", DIFFICULTIES).agg(F.count("minutes")).fillna(0)
 
 
-@query(None)
+@query(
+    "SELECT agent, " + ", ".join(f"""CASE WHEN count(minutes) FILTER (difficulty = '{d}') > 0 THEN printf('%.1f', floor(avg(minutes) FILTER (difficulty = '{d}') * 10 + 0.5) / 10) || ' (' || count(minutes) FILTER (difficulty = '{d}') || ')' ELSE '-' END AS "{d}\"""" for d in DIFFICULTIES)
+    + " FROM attempts JOIN tasks USING (task_id) GROUP BY agent",
+    "tasks", "attempts",
+)
 def score_pivot(spark, sf_dir):
     a, t = evaluation(spark, sf_dir, "attempts").select("task_id", "agent", "minutes"), evaluation(spark, sf_dir, "tasks").select("task_id", "difficulty")
     return coverage.score_pivot(a.join(t, "task_id"), "agent", "difficulty", DIFFICULTIES, "minutes")

@@ -66,9 +66,9 @@ def blob_dedup(spark, sf_dir):
     return telemetry.blobs(table(spark, sf_dir, "documents"), "text").select("blob_id", "uses", "chars")
 
 
-@query("SELECT DISTINCT l_partkey AS partkey FROM lineitem WHERE l_partkey % 100 <> 7 EXCEPT SELECT p_partkey FROM part WHERE p_size < 40")
+@query("SELECT DISTINCT l_partkey AS partkey FROM lineitem EXCEPT SELECT p_partkey FROM part WHERE p_size < 40")
 def dangling_refs(spark, sf_dir):
-    refs = table(spark, sf_dir, "lineitem").where("l_partkey % 100 <> 7").select(F.col("l_partkey").alias("partkey")).distinct()
+    refs = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("partkey")).distinct()
     return telemetry.dangling(refs, table(spark, sf_dir, "part").where("p_size < 40").select(F.col("p_partkey").alias("partkey")), "partkey")
 
 
@@ -186,15 +186,15 @@ def scoring_warnings(spark, sf_dir):
     return scoring.warnings(*scored(spark, sf_dir)).groupBy("kind", "category").agg(F.count("*").alias("n"))
 
 
-@query("SELECT n_nationkey AS nation, n_name AS name, CASE WHEN n_nationkey < 26 THEN chr(65 + n_nationkey) END AS letter FROM nation")
+@query("SELECT c_custkey AS customer, CASE WHEN c_custkey % 702 < 26 THEN chr(CAST(65 + c_custkey % 702 AS INTEGER)) ELSE chr(CAST(64 + (c_custkey % 702) // 26 AS INTEGER)) || chr(CAST(65 + c_custkey % 26 AS INTEGER)) END AS letter FROM customer")
 def check_letters(spark, sf_dir):
-    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"), F.col("n_name").alias("name"), scoring.check_letter("n_nationkey").alias("letter"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer"), scoring.check_letter((F.col("c_custkey") % 702).cast("int")).alias("letter"))
 
 
-@query("SELECT p_partkey AS part, p_brand AS brand FROM part p WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'R') l WHERE l_partkey = p_partkey)")
+@query("SELECT p_partkey AS part, p_brand AS brand FROM part p WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 47) l WHERE l_partkey = p_partkey)")
 def pending_checks(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.col("p_brand").alias("brand"))
-    return scoring.pending(parts, table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("part")), ["part"])
+    return scoring.pending(parts, table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_quantity > 47").select(F.col("l_partkey").alias("part")), ["part"])
 
 
 @query(
@@ -248,6 +248,19 @@ def formula_batch_totals(spark, sf_dir):
     return part_formulas(spark, sf_dir).groupBy((F.col("p_partkey") % 5).alias("kind")).agg(F.count("*").alias("total"), F.count_if(wrong == 0).alias("valid"))
 
 
+@query(
+    f"""WITH p AS (SELECT p_partkey, p_partkey % 5 AS kind, p_partkey % 3 = 0 AS far, 'B' || (p_size + 1) AS own, p_partkey % 5 = 2 AND p_partkey % 7 = 1 AS plain, 'A' || p_size || ':B' || (p_size + 3) AS span FROM part)
+    SELECT p_partkey, kind IN (1, 2, 3) AND far AS valid,
+      concat_ws('|', CASE WHEN far THEN NULL WHEN kind = 1 AND own = 'B2' THEN 'Suggestion: Remove Sheet2!B2 from the formula or use a cell from a different worksheet (e.g., Assumptions!B2)' WHEN plain THEN 'Suggestion: Remove ' || own || ' from the formula or reference a different cell' ELSE 'Suggestion: Either exclude ' || own || ' from the range ' || span || ' or place the formula in a different cell' END,
+      CASE WHEN kind = 3 THEN 'Potential undefined name ''TAX_RATE'' - ensure it''s defined or use cell reference instead' END) AS warnings, CASE WHEN kind = 3 THEN 'TAX_RATE' ELSE '' END AS names FROM p"""
+)
+def formula_warnings(spark, sf_dir):
+    """A third of the formulas stand far from what they refer to, the others within it."""
+    f = part_formulas(spark, sf_dir).withColumn("cell", F.when(F.col("p_partkey") % 3 == 0, "Z1").otherwise(F.col("cell")))
+    v = f.withColumn("v", formulas.validation("formula", F.col("cell")))
+    return v.select("p_partkey", "v.valid", F.array_join("v.warnings", "|").alias("warnings"), F.array_join("v.potential_names", ",").alias("names"))
+
+
 def line_cells(spark, sf_dir):
     """Lines as cells: a workbook for each tenth order, a row for each order, a column for each line number."""
     kind = F.when(F.col("l_partkey") % 3 == 0, "string").otherwise("number")
@@ -312,16 +325,28 @@ def token_keywords(spark, sf_dir):
     return sheets.keywords([(docs, "lang", "text", 1), (bench, "key", "text", 3)])
 
 
-@query(None)
+@query(
+    # No two orders of a workbook have neighbouring keys (they differ by 10 or more), so its blocks are runs along one row.
+    CELLS + """, runs AS (SELECT workbook, sheet, row_, col_, col_ - row_number() OVER (PARTITION BY workbook, sheet, row_ ORDER BY col_) AS run FROM cells)
+    SELECT workbook, sheet, row_ AS r1, CAST(min(col_) AS INTEGER) AS c1, row_ AS r2, CAST(max(col_) AS INTEGER) AS c2 FROM runs GROUP BY workbook, sheet, row_, run"""
+)
 def contiguous_blocks(spark, sf_dir):
     return sheets.blocks(line_cells(spark, sf_dir))
 
 
-@query(None)
+@query(
+    CELLS + """, n AS (SELECT workbook, sheet, row_, CAST(sum(CASE WHEN v_type = 'number' THEN CAST(raw AS BIGINT) END) AS BIGINT) AS total FROM cells GROUP BY ALL),
+    v AS (SELECT workbook, sheet || '-' || (row_ // 1000) AS sheet, row_ AS "row", coalesce(total, 0) * 2 AS twice FROM n)
+    SELECT workbook, sheet, "row", 10 AS col, CAST(twice AS VARCHAR) AS value FROM v
+    UNION ALL SELECT workbook, sheet, "row", 11, CASE WHEN twice > 100000 THEN 'a=b' ELSE 'x<>y' END FROM v"""
+)
 def formula_evaluation(spark, sf_dir):
-    sums = line_cells(spark, sf_dir).groupBy("workbook", "sheet").agg(F.min("row").alias("row"), F.max("row").alias("last"))
-    sums = sums.select("workbook", "sheet", (F.col("last") + 1).alias("row"), F.lit(1).alias("col"), F.concat(F.lit("=SUM(A"), F.col("row").cast("string"), F.lit(":C"), (F.col("row") + 50).cast("string"), F.lit(")*2")).alias("raw"))
-    return evaluate(line_cells(spark, sf_dir).select("workbook", "sheet", "row", "col", "raw").unionByName(sums))
+    """Two formulas beside each row, the second over the first; a sheet holds the orders of a thousand keys, so sheets do not grow with the table."""
+    cells = line_cells(spark, sf_dir).withColumn("sheet", F.concat_ws("-", "sheet", (F.col("row") / 1000).cast("int").cast("string"))).select("workbook", "sheet", "row", "col", "raw")
+    rows, at = cells.where("raw <> ''").select("workbook", "sheet", "row").distinct(), F.col("row").cast("string")
+    sums = rows.select("*", F.lit(10).alias("col"), F.concat(F.lit("=SUM(A"), at, F.lit(":G"), at, F.lit(")*2")).alias("raw"))
+    tests = rows.select("*", F.lit(11).alias("col"), F.concat(F.lit("=IF(J"), at, F.lit('>100000,"a=b","x<>y")')).alias("raw"))
+    return evaluate(cells.unionByName(sums).unionByName(tests))
 
 
 # --- texts -------------------------------------------------------------------------------------------------------------------

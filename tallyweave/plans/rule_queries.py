@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions import formulas
-from tallyweave.operators import rules, selection, sheets
+from tallyweave.operators import budget, coverage, rules, scoring, selection, sheets
 from tallyweave.plans.log_queries import CELLS, line_cells
 from tallyweave.sources import logs
 from tallyweave.sources.tables import table
@@ -134,3 +134,88 @@ def event_sessions(spark, sf_dir):
 def running_context(spark, sf_dir):
     w = Window.partitionBy("conv_id").orderBy("turn", "text").rowsBetween(Window.unboundedPreceding, 0)
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.sum(F.length("text")).over(w).alias("context"))
+
+
+@query(
+    """WITH m AS (SELECT user_id, event_id % 40 AS round, event_type AS tag, length(props) AS chars FROM events),
+    q AS (SELECT DISTINCT user_id, CAST(user_id % 30 AS BIGINT) AS before_round FROM events)
+    SELECT user_id, before_round AS request, min(round) AS first_round, max(round) AS last_round, count(DISTINCT round) AS n_rounds, count(*) AS n_messages, CAST(sum(chars) AS BIGINT) AS chars
+    FROM m JOIN q USING (user_id) WHERE tag IN ('click', 'view') AND round > 0 AND round < before_round GROUP BY ALL"""
+)
+def evicted_rounds(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    messages = e.select("user_id", (F.col("event_id") % 40).alias("round"), F.col("event_type").alias("tag"), F.length("props").alias("chars"))
+    asked = e.select("user_id", (F.col("user_id") % 30).alias("before_round")).distinct().withColumn("request", F.col("before_round"))
+    return budget.evicted(messages, asked, ["user_id"], ("click", "view"))
+
+
+@query(
+    """WITH f AS (SELECT CASE WHEN l_suppkey % 7 <> 0 THEN l_returnflag END AS category, l_orderkey AS task_id FROM lineitem)
+    SELECT category, count(DISTINCT task_id) AS n_tasks, CAST(row_number() OVER (ORDER BY count(DISTINCT task_id) DESC, category) AS INTEGER) AS place FROM f WHERE category IS NOT NULL GROUP BY category"""
+)
+def category_order(spark, sf_dir):
+    return coverage.category_order(table(spark, sf_dir, "lineitem").select(F.when(F.col("l_suppkey") % 7 != 0, F.col("l_returnflag")).alias("category"), F.col("l_orderkey").alias("task_id")))
+
+
+@query(
+    """WITH p AS (SELECT CASE l_linenumber % 3 WHEN 0 THEN 'agentic' WHEN 1 THEN 'standard' END AS mode, l_returnflag = 'R' AS graded FROM lineitem)
+    SELECT 'judge_mode' AS kind, coalesce(mode, 'unknown') AS value, count(*) AS n FROM p GROUP BY 2
+    UNION ALL SELECT 'graded', CASE WHEN graded THEN 'graded' ELSE 'to_grade' END, count(*) FROM p GROUP BY 2
+    UNION ALL SELECT 'missing', o_orderstatus, count(*) FROM orders GROUP BY 2 UNION ALL SELECT 'cells', 'expected', 1200"""
+)
+def plan_report_counts(spark, sf_dir):
+    mode = F.when(F.col("l_linenumber") % 3 == 0, "agentic").when(F.col("l_linenumber") % 3 == 1, "standard")
+    plan = table(spark, sf_dir, "lineitem").select(mode.alias("judge_mode"), (F.col("l_returnflag") == "R").alias("graded"))
+    return coverage.plan_counts(plan, table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("reason")), 300, 4)
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE n_name END AS name FROM part LEFT JOIN nation ON n_nationkey = p_size AND n_regionkey = p_partkey % 5 WHERE p_partkey % 4 <> 0
+    UNION ALL SELECT p_partkey, NULL FROM part WHERE p_partkey % 4 = 0"""
+)
+def named_checks(spark, sf_dir):
+    letters = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("category"), F.col("n_nationkey").alias("letter"), F.col("n_name").alias("name"))
+    items = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 5).cast("int").alias("category"), F.when(F.col("p_partkey") % 4 != 0, F.col("p_size")).alias("check"))
+    return scoring.named_items(items, letters).select("p_partkey", "name")
+
+
+@query("SELECT user_id, event_type, count(*) FILTER (value < 60) AS count, bool_or(value >= 60) AS success FROM events GROUP BY ALL HAVING count(*) FILTER (value < 60) > 0")
+def parse_failure_summary(spark, sf_dir):
+    return scoring.parse_outcomes(table(spark, sf_dir, "events").withColumn("parsed", F.col("value") >= 60), ["user_id", "event_type"])
+
+
+@query("SELECT c_custkey, CASE WHEN c_nationkey % 3 = 0 THEN c_acctbal WHEN c_nationkey % 3 = 1 THEN c_acctbal + 1 END AS score FROM customer")
+def aliased_scores(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    scores = F.when(F.col("c_nationkey") % 3 == 0, F.create_map(F.lit("Formula"), "c_acctbal", F.lit("Formulas"), F.lit(0.0))).when(F.col("c_nationkey") % 3 == 1, F.create_map(F.lit("Formulas"), F.col("c_acctbal") + 1)).otherwise(F.create_map(F.lit("Other"), "c_acctbal"))
+    return c.select("c_custkey", scoring.first_score(scores, "Formula", "Formulas").alias("score"))
+
+
+@query(
+    CELLS + """, box AS (SELECT workbook, sheet, max(row_) AS n_rows FROM cells GROUP BY ALL),
+    q AS (SELECT CAST(s_suppkey AS INTEGER) AS request_id, CAST(s_suppkey % 11 AS VARCHAR) AS workbook, CASE WHEN s_suppkey % 2 = 0 THEN 'F' ELSE 'O' END AS sheet, CAST(s_suppkey * 30 AS INTEGER) AS r1,
+      CAST(s_suppkey * 30 + (s_suppkey % 5) * 400 - 100 AS INTEGER) AS r2, CAST(1 + s_suppkey % 2 AS INTEGER) AS c1, CAST(1 + s_suppkey % 3 AS INTEGER) AS c2 FROM supplier),
+    e AS (SELECT *, CASE WHEN r2 < r1 THEN 'rows' WHEN c2 < c1 THEN 'columns' WHEN (r2 - r1 + 1) * (c2 - c1 + 1) > 2500 THEN 'size' WHEN n_rows IS NULL THEN 'sheet' WHEN r1 > n_rows THEN 'start' END AS error FROM q LEFT JOIN box USING (workbook, sheet))
+    SELECT request_id, CAST(CASE WHEN error IS NULL THEN least(r2, n_rows) ELSE r2 END AS INTEGER) AS r2, error FROM e"""
+)
+def range_requests(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    key = F.col("s_suppkey")
+    asked = s.select(
+        key.cast("int").alias("request_id"), (key % 11).cast("string").alias("workbook"), F.when(key % 2 == 0, "F").otherwise("O").alias("sheet"), (key * 30).cast("int").alias("r1"),
+        (key * 30 + (key % 5) * 400 - 100).cast("int").alias("r2"), (1 + key % 2).cast("int").alias("c1"), (1 + key % 3).cast("int").alias("c2"),
+    )
+    kinds = F.when(F.col("error").contains("row range"), "rows").when(F.col("error").contains("column range"), "columns").when(F.col("error").contains("requested range"), "size").when(F.col("error").contains("not found"), "sheet").when(F.col("error").contains("exceeds file"), "start")
+    return sheets.requested_ranges(line_cells(spark, sf_dir), asked).select("request_id", "r2", kinds.alias("error"))
+
+
+@query(
+    """WITH m AS (SELECT DISTINCT 'brand-' || p_size || '-' || (p_partkey % 10) AS model, p_size, p_partkey % 10 AS k FROM part)
+    SELECT model, CASE WHEN k < 3 THEN model WHEN k < 6 THEN 'house/brand-' || p_size || '.' || k END AS slug, CASE WHEN k < 6 THEN CAST(p_size AS DOUBLE) END AS price FROM m"""
+)
+def priced_models(spark, sf_dir):
+    """Price lists that name some models as they are, some by provider and dotted version, and some not at all."""
+    m = table(spark, sf_dir, "part").select("p_size", (F.col("p_partkey") % 10).alias("k")).distinct().withColumn("model", F.concat_ws("-", F.lit("brand"), F.col("p_size").cast("string"), F.col("k").cast("string")))
+    dotted = F.concat(F.lit("house/brand-"), F.col("p_size").cast("string"), F.lit("."), F.col("k").cast("string"))
+    prices = m.where("k < 6").select(F.when(F.col("k") < 3, F.col("model")).otherwise(dotted).alias("slug"), F.col("p_size").cast("double").alias("price"))
+    return budget.priced(m.select("model"), prices, [("brand", "house")])

@@ -122,3 +122,10 @@ def config(defaults: dict, own: dict) -> dict:
         return a | {k: merge(a[k], v) if isinstance(a.get(k), dict) and isinstance(v, dict) else v for k, v in b.items()}
 
     return fill(merge(defaults, own))
+
+
+def result_rows(spark: SparkSession, path: str, labels: list[str], value: str, group: str) -> DataFrame:
+    """(label, group, value double) of the `rows` of JSON result files: of the given labels, with a group and a value that is a number."""
+    rows = spark.read.option("multiLine", "true").json(path).select(F.explode("rows").alias("r")).select("r.*")
+    out = rows.select(F.col("model_label").alias("label"), F.col(group).cast("string").alias("group"), F.col(value).cast("string").try_cast("double").alias("value"))
+    return out.where(F.col("label").isin(labels) & F.col("group").isNotNull() & F.col("value").isNotNull())

@@ -51,7 +51,16 @@ def cells_of(content: bytes, name: str) -> Iterator[tuple]:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Cells of all .xlsx files under a path; lock files (~$) and hidden files are passed over, files that are no workbook give no row."""
+    """Cells of all .xlsx files under a path; lock files (~$) and hidden files are passed over. Files that are no workbook give no cell: `broken` names them."""
+    return _parsed(spark, path).where("error IS NULL").drop("error")
+
+
+def broken(spark: SparkSession, path: str) -> DataFrame:
+    """(workbook, error) of the .xlsx files under a path that can't be read."""
+    return _parsed(spark, path).where("error IS NOT NULL").select("workbook", "error")
+
+
+def _parsed(spark: SparkSession, path: str) -> DataFrame:
     import pandas as pd
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").option("recursiveFileLookup", "true").load(path)
@@ -62,11 +71,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             for name, content in batch[["name", "content"]].itertuples(index=False):
                 try:
                     rows = list(cells_of(content, name))
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
-                    continue
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype({"row": "int32", "col": "int32"})
+                    out = pd.DataFrame(rows, columns=names).assign(error=None)
+                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as e:
+                    out = pd.DataFrame([(name, *[None] * (len(names) - 1))], columns=names).assign(row=0, col=0, error=f"{type(e).__name__}: {e}")
+                yield out.astype({"row": "int32", "col": "int32"})
 
-    return files.select("name", "content").mapInPandas(parse, SCHEMA)
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    return files.select("name", "content").mapInPandas(parse, SCHEMA + ", error string")
 
 
 def to_csv_text(cells: DataFrame) -> DataFrame:
