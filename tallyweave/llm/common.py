@@ -44,9 +44,9 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 HOT_PARTS = 1_000
 
 
-def hot_keys(counts: DataFrame, key: str, n: str) -> DataFrame:
-    """(key, parts) of the hot keys of `counts` (key, n rows), each key standing there once; HOT_PARTS rows at most."""
-    total = counts.agg(F.sum(n)).first()[0] or 0
+def hot_keys(counts: DataFrame, key: str, n: str, total: int | None = None) -> DataFrame:
+    """(key, parts) of the hot keys of `counts` (key, n rows), each key standing there once; HOT_PARTS rows at most. `total`, if known: the rows, or more."""
+    total = (counts.agg(F.sum(n)).first()[0] or 0) if total is None else total
     return counts.where(F.col(n) > max(1, total // HOT_PARTS)).select(key, F.ceil(F.col(n) * HOT_PARTS / F.lit(max(total, 1))).cast("int").alias("__parts"))
 
 

@@ -22,11 +22,10 @@ def components(links: DataFrame) -> DataFrame:
         if state == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
         before = state
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = materialize(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"), "least")
-        large = salted_join(both, least.drop("n"), "a", hot_keys(least, "a", "n")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = materialize(large, "large")
-        least = materialize(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
-        joined = salted_join(large, least.drop("n"), "a", hot_keys(least, "a", "n"))
+        both, total = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b"))), 2 * state[0]
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = materialize(salted_join(both, least.drop("n"), "a", hot_keys(least, "a", "n", total)).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")), "large")
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        joined = salted_join(large, least.drop("n"), "a", hot_keys(least, "a", "n", total))
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         now = materialize(small.where("a <> b").distinct(), "links")
