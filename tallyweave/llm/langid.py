@@ -6,7 +6,9 @@ proportions from its words; the set of languages is the one with the highest lik
 language after the first (half the logarithm of the number of words). The predicted language has the largest
 proportion in that set.
 
-Texts that are null or have no letter get `und`, score 0 and an empty mixture. Ties go to the language first in order.
+Texts that are null or have no letter get `und`, score 0 and an empty mixture. Ties go to the language first in order. Texts of any length count whole.
+Rows with a null id or language are not learned from, but predicted like any other; repeated rows count each time in learning and are predicted alike. An empty
+table gives no rows, a table without languages `und` for all. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,10 +20,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import map_texts, mix64, runs, utf8
+from tallyweave.llm.common import in_chunks, map_texts, mix64, runs, utf8
 
 #: Slots of the hashed trigram table, and documents of a language that the tables are learned from at most (taken by a hash of the id).
 SLOTS, MAX_DOCS = 1 << 18, 4_000
+#: Languages that are learned at most: those with most documents, ties by name. It bounds the tables that every task holds (SLOTS floats each).
+MAX_LANGUAGES = 200
 #: Rounds of expectation-maximisation; neighbouring trigrams overlap, so their evidence counts for less.
 STEPS, TEMPER = 12, 0.7
 
@@ -63,11 +67,13 @@ def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
     driver gets at most SLOTS counts a language.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
-    share = F.lit(1.0)
-    for name, n in sizes.items():
-        share = F.when(F.col(lang_col) == name, F.lit(min(1.0, most / n))).otherwise(share)
-    sample = known.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("lang")), F.lit(1_000_000)) < share * 1_000_000)
+    sizes = known.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    if not sizes:
+        return Languages([], np.zeros((SLOTS, 0), dtype=np.float32))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, most / r["count"])) for r in sizes], "lang string, share double")
+    part = F.xxhash64(F.col("id"), F.lit("lang")).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
+    named = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    sample = named.join(F.broadcast(shares), "lang").where(part < F.col("share"))
 
     def run(batches):
         import pyarrow as pa
@@ -75,13 +81,15 @@ def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
         for batch in batches:
             langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
             for name in sorted(set(langs)):
-                slot = trigrams([t for t, x in zip(texts, langs, strict=True) if x == name])[0]
-                counts = np.bincount(slot, minlength=SLOTS)
+                own = [t for t, x in zip(texts, langs, strict=True) if x == name]
+                counts = np.zeros(SLOTS, dtype=np.int64)
+                for a, b in in_chunks(own, 2_000_000):
+                    counts += np.bincount(trigrams(own[a:b])[0], minlength=SLOTS)
                 some = np.flatnonzero(counts)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array(counts[some], pa.int64())], ["lang", "slot", "n"])
 
-    counts = sample.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(run, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
-    names = sorted(sizes)
+    counts = sample.select("lang", "text").mapInArrow(run, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
+    names = sorted(r["lang"] for r in sizes)
     table = np.full((SLOTS, len(names)), 0.05)
     for k, name in enumerate(names):
         own = counts[counts["lang"] == name]

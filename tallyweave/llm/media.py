@@ -5,7 +5,9 @@ overlap, so that every sample is in FRAME / HOP of them and a passage shifted by
 keeps its strongest bins that are local maxima, and each peak is paired with the peaks of the frames that follow without overlap. A pair
 (bin, later bin, frames between) and the frame it begins at make one integer: frame << 32 | bin << 20 | later << 8 | gap.
 
-Null texts count as empty. Every payload is padded with zero bytes to a positive multiple of 64.
+Null texts count as empty. Every payload is padded with zero bytes to a positive multiple of 64. Silence before and after gives even the shortest
+payload pairs. Texts of any length are one file each (a WAV file holds 4 GB). Repeated texts give equal files and fingerprints; null ids pass by. Ties of strength go to the
+lower bin. An empty table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

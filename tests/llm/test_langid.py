@@ -1,4 +1,10 @@
+import math
+import re
+
+import numpy as np
+
 from tallyweave.llm import langid
+from tallyweave.llm.common import held_out
 
 WORDS = {"aa": "kala mina tolo rava suni", "bb": "schrumpf knacht pflicht dorf zwerg", "cc": "ñandu corazón señor año leña"}
 
@@ -37,3 +43,53 @@ def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "kala", None)], "doc_id long, text string, lang string")
     (r,) = langid.predict(docs, langid.train(docs)).collect()
     assert r.lang_pred == "und" and r.score == 0
+
+
+def plain_mixture(text, model):
+    """The definition by loops: words' likelihoods, expectation-maximisation of the chosen set, the set by penalised likelihood."""
+    k = len(model.names)
+    words = re.findall(rb"[a-z\x80-\xff]+", text.lower().encode())
+    logs = []
+    for w in words:
+        padded = b" " + w + b" "
+        slots = [langid.mix64(np.array([padded[i] << 16 | padded[i + 1] << 8 | padded[i + 2]], dtype=np.uint64))[0] >> np.uint64(46) for i in range(len(w))]
+        logs.append([langid.TEMPER * sum(float(model.table[int(s), j]) for s in slots) for j in range(k)])
+    like = [[math.exp(max(x - max(row), -50)) for x in row] for row in logs]
+
+    def em(members):
+        share = [1 / len(members) if j in members else 0.0 for j in range(k)]
+        for _ in range(langid.STEPS):
+            new = [0.0] * k
+            for row in like:
+                total = sum(p * x for p, x in zip(share, row, strict=True))
+                for j in range(k):
+                    new[j] += share[j] * row[j] / total / len(like)
+            share = new
+        return share, sum(math.log(sum(p * x for p, x in zip(share, row, strict=True))) for row in like)
+
+    penalty = 0.5 * math.log(len(words) + 1) + 2
+    full, _ = em(range(k))
+    order = sorted(range(k), key=lambda j: -full[j])
+    alone = [sum(max(row[j] - max(row), -50) for row in logs) for j in range(k)]
+    best = max(range(k), key=lambda j: alone[j])
+    chosen, value = [float(j == best) for j in range(k)], alone[best]
+    for m in range(2, k + 1):
+        share, total = em(order[:m])
+        if total - (m - 1) * penalty > value:
+            chosen, value = share, total - (m - 1) * penalty
+    return chosen
+
+
+def test_mixtures_equal_the_definition(spark):
+    model = langid.train(corpus(spark))
+    texts = [WORDS["aa"], " ".join([WORDS["aa"]] * 6 + [WORDS["bb"]] * 4), " ".join([WORDS["cc"]] * 3 + [WORDS["bb"]] * 3 + [WORDS["aa"]] * 3), "kala dorf", "unseen words only here"]
+    got = langid.mixtures(texts, model)
+    for t, row in zip(texts, got, strict=True):
+        assert np.allclose(row, plain_mixture(t, model), atol=1e-4), t
+
+
+def test_held_out_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(docs.where(~held_out("doc_id", 4, 2)))
+    rows = langid.predict(docs.where(held_out("doc_id", 4, 2)), model).join(docs.select("doc_id", "lang"), "doc_id").where("lang_pred <> 'und'").collect()
+    assert sum(r.lang == r.lang_pred for r in rows) >= 0.98 * len(rows) > 0
