@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import os
 import re
 from pathlib import Path
@@ -96,9 +98,22 @@ def context_files(files: DataFrame, by: str, name: str) -> DataFrame:
 
 
 def csv_dims(spark: SparkSession, path: str) -> DataFrame:
-    """(file, rows, cols) of CSV files."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), "value")
-    return lines.groupBy("file").agg(F.count("*").alias("rows"), F.max(F.size(F.split("value", ","))).alias("cols"))
+    """(file, rows, cols) of CSV files: their records and the most fields of one; both NULL for a file that can't be read as text. An empty file has no row."""
+    import pandas as pd
+
+    def measure(batches):
+        for batch in batches:
+            out = []
+            for name, content in zip(batch["file"], batch["content"], strict=True):
+                try:
+                    sizes = [len(r) for r in csv.reader(io.StringIO(content.decode("utf-8"), newline=""))]
+                    out.append((name, len(sizes), max(sizes, default=0)))
+                except (UnicodeDecodeError, csv.Error):
+                    out.append((name, None, None))
+            yield pd.DataFrame(out, columns=["file", "rows", "cols"]).astype({"rows": "Int64", "cols": "Int64"})
+
+    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "content")
+    return files.mapInPandas(measure, "file string, rows long, cols long")
 
 
 def jdbc(spark: SparkSession, url: str, query_table: str, **options: str) -> DataFrame:
