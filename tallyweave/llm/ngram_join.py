@@ -189,8 +189,8 @@ def join(
     named = sign.where("id IS NOT NULL AND octet_length(key) > 0")
     nodes = materialize(named.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n_docs"), F.first("bands").alias("bands")), "nodes")
     banded = nodes.select("key", F.explode("bands").alias("band"))
-    hubs = materialize(banded.groupBy("band").agg(F.min("key").alias("hub"), F.max("key").alias("last"), F.count("*").alias("n")).where("hub < last").select("band", "hub", "n"), "hubs")
-    starred = salted_join(banded, hubs.select("band", "hub"), "band", hot_keys(hubs, "band", "n"))
+    hubs = materialize(banded.groupBy("band").agg(F.min("key").alias("hub"), F.max("key").alias("last")).where("hub < last").select("band", "hub"), "hubs")
+    starred = banded.join(hubs.hint("merge"), "band")  # a hot band is the skewed side of a plain join, which Spark splits
     groups = components(starred.where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")))
     members = materialize(units(groups, nodes, block, large or block * bands), "units")
     verified = materialize(verified_links(docs, members, id_col, text_col, words, threshold), "verified")
