@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyweave.sources.tables import small
+
 
 def effective_limit(static: int, total: int, solution: Column) -> Column:
     """What an attempt may take: its own limit, or what the solution leaves of the total if that is more (no total: its own)."""
@@ -148,7 +150,7 @@ def estimated_tokens(name: Column, size: Column) -> Column:
 
 def costs(usage: DataFrame, prices: DataFrame, default: tuple[float, float], model: str = "model") -> DataFrame:
     """usage (model, prompt_tokens, completion_tokens) with prompt_cost, completion_cost and total_cost by prices (model, input_price, output_price) for a million tokens; unknown models at the default."""
-    joined = usage.join(F.broadcast(prices), model, "left")
+    joined = usage.join(small(prices), model, "left")
     p = F.col("prompt_tokens") / 1e6 * F.coalesce("input_price", F.lit(float(default[0])))
     c = F.col("completion_tokens") / 1e6 * F.coalesce("output_price", F.lit(float(default[1])))
     return joined.withColumns({"prompt_cost": p, "completion_cost": c, "total_cost": p + c}).drop("input_price", "output_price")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.operators.selection import latest_clean_gradings, latest_valid_attempts, not_true
+from tallyweave.sources.tables import one_row, small
 
 #: Fixed values of the first benchmark version: weights of the three grades, and the floor of the mean's denominator.
 WEIGHTS = {"accuracy": 0.50, "formula": 0.35, "format": 0.15}
@@ -19,10 +20,9 @@ def cells(tasks: DataFrame, attempts: DataFrame, gradings: DataFrame, cohorts: D
     """
     live = tasks.where(not_true("deprecated"))
     roster = cohorts.select("cohort", "agent", "prompt_version")
-    last = latest_valid_attempts(attempts.join(F.broadcast(roster), ["agent", "prompt_version"]), ["cohort", "task_id"]).select("cohort", "task_id", "attempt_id", "minutes")
+    last = latest_valid_attempts(attempts.join(small(roster), ["agent", "prompt_version"]), ["cohort", "task_id"]).select("cohort", "task_id", "attempt_id", "minutes")
     clean = latest_clean_gradings(gradings).select("attempt_id", "grading_id", "accuracy", "formula", "format")
-    named = roster.agg(F.collect_list(F.struct("cohort", "agent", "prompt_version")).alias("roster"))
-    grid = live.join(F.broadcast(named)).select("task_id", "task_name", "task_source", "difficulty", F.inline("roster"))
+    grid = live.join(one_row(roster, "roster")).select("task_id", "task_name", "task_source", "difficulty", F.inline("roster"))
     total = F.round(sum(F.lit(w) * F.col(k) for k, w in weights.items()), 5)
     status = F.when(F.col("attempt_id").isNull(), "needs_attempt").when(F.col("grading_id").isNull(), "needs_grading").otherwise("complete")
     # Gradings join the attempts first: cells without an attempt have no attempt_id that could be a hot NULL key.

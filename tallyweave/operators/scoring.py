@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyweave.sources.tables import one_row, small
+
 ITEM = "struct<name:string,check:string,decision:string,summary:string,mistakes:array<string>,total_mistakes:int>"
 
 
@@ -32,12 +34,12 @@ def check_scores(items: DataFrame, counted_items: DataFrame, check_weights: Data
     """A row for each key and weighted check: mistakes (the worst of duplicates, the most where the judge said nothing), score, unscored.
 
     keys holds every judgement's key. Categories present but without a list are skipped whole; absent ones score 0.
-    check_weights: (category, name, weight), a rubric; it meets every judgement, so it is broadcast once its size is known.
+    check_weights: (category, name, weight), a rubric; it meets every judgement, so more rows than `tables.SMALL` are an error.
     """
     worst = counted_items.groupBy(key, "category", "name").agg(F.max("n_mistakes").alias("n_mistakes"), F.count("*").alias("times"))
     skipped = items.where("items IS NULL").select(key, "category")
-    rubric = check_weights.agg(F.collect_list(F.struct("category", "name", "weight")).alias("rubric"))
-    grid = keys.select(key).distinct().join(F.broadcast(rubric)).select(key, F.inline("rubric"))
+    rubric = one_row(check_weights.select("category", "name", "weight"), "rubric")
+    grid = keys.select(key).distinct().join(rubric).select(key, F.inline("rubric"))
     joined = grid.join(skipped, [key, "category"], "left_anti").join(worst, [key, "category", "name"], "left")
     mistakes = F.coalesce("n_mistakes", F.lit(max_mistakes))
     return joined.select(key, "category", "name", "weight", mistakes.alias("mistakes"), check_score(mistakes, max_mistakes).alias("score"), F.col("n_mistakes").isNull().alias("unscored"), F.coalesce("times", F.lit(0)).alias("times"))
@@ -50,7 +52,7 @@ def category_scores(checks: DataFrame, key: str = "grading_id") -> DataFrame:
 
 
 def total_scores(categories: DataFrame, category_weights: DataFrame, key: str = "grading_id") -> DataFrame:
-    return categories.join(F.broadcast(category_weights), "category").groupBy(key).agg(F.sum(F.col("normalized") * F.col("category_weight")).alias("total_score"), F.sum("n_unscored").alias("n_unscored"))
+    return categories.join(small(category_weights), "category").groupBy(key).agg(F.sum(F.col("normalized") * F.col("category_weight")).alias("total_score"), F.sum("n_unscored").alias("n_unscored"))
 
 
 def warnings(items: DataFrame, counted_items: DataFrame, checks: DataFrame, key: str = "grading_id") -> DataFrame:

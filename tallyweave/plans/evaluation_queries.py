@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.operators import budget, coverage, leaderboard, selection, stats
 from tallyweave.sources.evaluation import evaluation, oracle_with
-from tallyweave.sources.tables import table
+from tallyweave.sources.tables import small, table
 
 QUERIES, ORACLE_SQL = {}, {}
 DIFFICULTIES = ["5-LOW", "4-NOT SPECIFIED", "3-MEDIUM", "2-HIGH", "1-URGENT"]
@@ -107,7 +107,8 @@ def newest_grading(spark, sf_dir):
 
 
 VALID = "failed = false AND deprecated = false AND files IS NOT NULL AND files NOT IN ('', 'null', '[]', '{}')"
-BOOKS = "CASE WHEN files LIKE '[%' THEN len(list_filter(CAST(files AS JSON)::VARCHAR[], lambda f: lower(f) LIKE '%.xlsx')) ELSE 0 END"
+#: Names of workbooks in a text of any shape: extensions before a quote or at the end.
+BOOKS = "len(regexp_extract_all(lower(coalesce(files, '')), '[.](xlsx|xlsm|xls)(\"|$)'))"
 REASON = f"""CASE WHEN failed THEN 'failed' WHEN deprecated THEN 'deprecated' WHEN files IS NULL OR files IN ('', 'null', '[]', '{{}}') THEN 'no files'
   WHEN {BOOKS} = 0 THEN 'no workbook' WHEN {BOOKS} > 1 THEN 'several workbooks' END"""
 
@@ -115,7 +116,7 @@ REASON = f"""CASE WHEN failed THEN 'failed' WHEN deprecated THEN 'deprecated' WH
 @query(f"SELECT attempt_id, task_id, agent, prompt_version FROM attempts WHERE {VALID} AND (agent <> 'agent1' OR prompt_version = 1)", "attempts")
 def valid_attempts_with_versions(spark, sf_dir):
     versions = spark.createDataFrame([("agent1", 1)], "agent string, required int")
-    return selection.valid_attempts(evaluation(spark, sf_dir, "attempts"), F.broadcast(versions)).select("attempt_id", "task_id", "agent", "prompt_version")
+    return selection.valid_attempts(evaluation(spark, sf_dir, "attempts"), small(versions)).select("attempt_id", "task_id", "agent", "prompt_version")
 
 
 @query(f"SELECT agent, reason, count(*) AS n FROM (SELECT agent, {REASON} AS reason FROM attempts) r WHERE reason IS NOT NULL GROUP BY ALL", "attempts")

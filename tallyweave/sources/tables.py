@@ -1,8 +1,24 @@
 """Parquet tables of a scale-factor directory."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows that a side may have to be broadcast.
+SMALL = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table `name` of `sf_dir`, read lazily; columns and filters reach the scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def small(rows: DataFrame, most: int = SMALL) -> DataFrame:
+    """`rows` to be broadcast where they are `most` at most; else as they are, and the join shuffles."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
+def one_row(rows: DataFrame, name: str, most: int = SMALL) -> DataFrame:
+    """All of `rows` as one array of structs, to meet every row of another table; more than `most` are an error, not a broadcast."""
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows are no {name}")
+    return F.broadcast(rows.agg(F.collect_list(F.struct(*rows.columns)).alias(name)))
