@@ -42,8 +42,8 @@ SIDE = LENGTH - GRAM
 SHARD, AT_ONCE = 8_000_000, 500_000
 #: Ranges of hashes for each shard, and contexts of one suffix array (more only where one anchor has more).
 RANGES_EACH, CONTEXTS = 5, 20_000
-#: Places from which on an anchor is hot.
-HOT = 2_000
+#: Places from which on an anchor is hot: it may have more contexts than one suffix array takes.
+HOT = 20_000
 #: Stands beyond the ends of documents; no UTF-8 text holds it.
 EDGE = 255
 

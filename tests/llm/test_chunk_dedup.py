@@ -13,17 +13,49 @@ def text(seed, n):
 ROWS = [(1, text(1, 3000)), (2, "moved " + text(1, 3000)), (3, text(2, 500) + text(1, 3000)[500:1500] + text(3, 500)), (4, None), (5, ""), (6, text(4, 900) * 2), (None, text(1, 3000)), (7, text(5, 200_000)), (8, text(6, 10)), (1, text(1, 3000))]
 
 
+def slow_chunks(raw):
+    """Chunks by one pass over the bytes: an end where the rolling hash says so, from LEAST bytes on, and after MOST at the latest; a short rest joins the chunk before."""
+    ends, last, h = [], 0, 0
+    for k, b in enumerate(raw, 1):
+        h = (h * 2 + int(chunk_dedup.GEAR[b])) % 2**32
+        if k - last > chunk_dedup.MOST:
+            last += chunk_dedup.MOST
+            ends.append(last)
+        if h & int(chunk_dedup.MASK) == 0 and k - last >= chunk_dedup.LEAST:
+            last = k
+            ends.append(k)
+    if last < len(raw):
+        if ends and len(raw) - last < chunk_dedup.LEAST:
+            ends.pop()
+            if len(raw) - (ends[-1] if ends else 0) > chunk_dedup.MOST:
+                ends.append(len(raw) - chunk_dedup.LEAST)
+        ends.append(len(raw))
+    return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def test_chunks_equal_one_pass_over_the_bytes():
+    for raw in [b"", b"a", b"x" * 1000, bytes(300), *(text(k, n).encode() for k, n in enumerate((15, 16, 17, 255, 256, 257, 270, 3_000, 20_000)))]:
+        assert [raw[a:b] for a, b, _ in chunk_dedup.chunks(raw)] == slow_chunks(raw)
+
+
+def test_a_chunk_that_all_hold_is_found_and_dealt_out(spark):
+    shared = text(50, 400)
+    rows = [(i, text(100 + i, 60) + shared) for i in range(1_500)]
+    got = {r.doc_id: r for r in chunk_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].n_removed == 0 and all(got[i].n_removed >= 250 and got[i].repeats_of == [0] for i in range(1, 1_500))
+
+
 def test_equals_brute_force(spark):
     docs = spark.createDataFrame([(*r, "x") for r in ROWS], "doc_id long, text string, digest string")
     got = sorted(((-1 if r.doc_id is None else r.doc_id), r.n_bytes, bytes(r.kept)) for r in chunk_dedup.dedup(docs).collect())
     first = {}
     for i, t in ROWS:
-        for _, _, d in chunk_dedup.chunks((t or "").encode()) if i is not None else ():
+        for d in slow_chunks((t or "").encode()) if i is not None else ():
             first[d] = min(first.get(d, i), i)
     want = []
     for i, t in ROWS:
         raw = (t or "").encode()
-        want.append((-1 if i is None else i, len(raw), b"".join(raw[a:b] for a, b, d in chunk_dedup.chunks(raw) if i is None or first[d] >= i)))
+        want.append((-1 if i is None else i, len(raw), b"".join(d for d in slow_chunks(raw) if i is None or first[d] >= i)))
     assert got == sorted(want)
     rows = {r.doc_id: r for r in chunk_dedup.dedup(docs).collect()}
     assert rows[2].n_removed > 2800 and rows[2].repeats_of == [1]  # an insertion shifts nothing but the first chunks

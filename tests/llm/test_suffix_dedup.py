@@ -41,7 +41,7 @@ def random_rows(seed):
     return [*rows, (100, "ab" * 300), (101, "ab" * 200 + "c" + "ab" * 60), (5, "z" * 49), (6, "z" * 50), (7, "z" * 51), (None, "z" * 60), (102, passages[0] * 400)]
 
 
-@pytest.mark.parametrize("seed,hot", [(1, 2_000), (2, 3), (3, 1)])
+@pytest.mark.parametrize("seed,hot", [(1, 20_000), (2, 3), (3, 1)])
 def test_equals_brute_force(spark, seed, hot):
     rows = random_rows(seed)
     docs = spark.createDataFrame([(*r, "x", 9) for r in rows], "doc_id long, text string, kept string, n_bytes int")
