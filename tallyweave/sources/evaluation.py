@@ -27,7 +27,7 @@ EVALUATION = {
              CASE WHEN l_returnflag = 'R' THEN TRUE WHEN l_tax = 0 THEN NULL ELSE FALSE END AS failed,
              CASE WHEN l_discount > 0.08 THEN TRUE WHEN l_discount = 0 THEN NULL ELSE FALSE END AS deprecated,
              CASE WHEN l_quantity < 5 THEN NULL ELSE l_extendedprice / 1000 END AS minutes,
-             CASE l_linenumber % 7 WHEN 0 THEN NULL WHEN 1 THEN '[]' WHEN 2 THEN '["notes.txt"]' WHEN 3 THEN '["a.xlsx", "b.XLSX"]' WHEN 4 THEN '[{"filename": "m.xlsm", "url": "u"}, {"name": "n.txt"}]' WHEN 5 THEN 'folder/old.xls' ELSE '["model.XLSX"]' END AS files,
+             CASE l_linenumber % 7 WHEN 0 THEN NULL WHEN 1 THEN '[]' WHEN 2 THEN '["notes.txt"]' WHEN 3 THEN '["a.xlsx", "b.XLSX"]' WHEN 4 THEN concat('[', chr(123), '"filename": "m.xlsm", "url": "u"', chr(125), ', ', chr(123), '"name": "n.txt"', chr(125), ']') WHEN 5 THEN 'folder/old.xls' ELSE '["model.XLSX"]' END AS files,
              l_shipdate AS created_at, l_quantity, l_discount, l_tax
            FROM (SELECT *, DATEDIFF_EXPR AS date_diff_days FROM lineitem) d""",
     ),
