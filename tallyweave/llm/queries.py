@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallyweave.llm import byte_bpe, chunk_dedup, langid, media, mixing, neighbours, ngram_join, quality, suffix_dedup, toxicity
+from tallyweave.llm import byte_bpe, chunk_dedup, fim, langid, media, mixing, neighbours, ngram_join, quality, suffix_dedup, toxicity
 from tallyweave.llm.common import held_out, table
 
 
@@ -63,6 +63,10 @@ def op10_byte_bpe(spark, sf_dir):
     )
 
 
+def op11_fill_in_middle(spark, sf_dir):
+    return fim.query_digest(fim.transform(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_media_columns": op2_media_columns,
@@ -74,5 +78,6 @@ QUERIES = {
     "op8_quality_ranking": op8_quality_ranking,
     "op9_chunk_dedup": op9_chunk_dedup,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 ORACLE_SQL = {"op4_mixing": mixing.decide_sql()}
