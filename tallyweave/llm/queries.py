@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallyweave.llm import byte_bpe, chunk_dedup, fim, langid, media, mixing, neighbours, ngram_join, quality, suffix_dedup, toxicity
+from tallyweave.llm import alignment, byte_bpe, chunk_dedup, fim, langid, media, mixing, neighbours, ngram_join, quality, suffix_dedup, toxicity
 from tallyweave.llm.common import held_out, table
 
 
@@ -67,6 +67,10 @@ def op11_fill_in_middle(spark, sf_dir):
     return fim.query_digest(fim.transform(table(spark, sf_dir, "documents")))
 
 
+def op12_token_alignment(spark, sf_dir):
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_media_columns": op2_media_columns,
@@ -79,5 +83,6 @@ QUERIES = {
     "op9_chunk_dedup": op9_chunk_dedup,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_token_alignment": op12_token_alignment,
 }
 ORACLE_SQL = {"op4_mixing": mixing.decide_sql()}
