@@ -30,10 +30,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from tallyweave.llm.common import give_back, in_chunks, map_texts, materialize
-from tallyweave.llm.units import ByteLevel, Pieces, units
+from tallyweave.llm.units import TOGETHER, ByteLevel, Pieces, byte_ends, spaced_units, units
 
 #: Characters of the documents of one block; units that a worker remembers.
-CHUNK, REMEMBERED = 6_000_000, 200_000
+CHUNK, REMEMBERED = 3_000_000, 350_000
 #: Labels by the bits "A ends here" and "B ends here".
 LABELS = np.frombuffer(b"nabx", dtype=np.uint8)
 SPAN = re.compile(rb"[^x]*x")
@@ -45,17 +45,18 @@ class Aligner:
 
     def __init__(self, path_a: str, path_b: str, remembered: int = REMEMBERED):
         self.a, self.b, self.remembered = ByteLevel(path_a, plain=True), Pieces(path_b), remembered
-        self.bytes_a, self.bytes_b = self.a.token_bytes(), self.b.token_bytes()
-        self.length_a, self.length_b = (np.array([len(x) for x in t], dtype=np.int64) for t in (self.bytes_a, self.bytes_b))
-        self.size_b = len(self.bytes_b)
+        self.size_b = len(self.b.tokens)
+        #: The text of each id with what follows it in a group's text.
+        self.written = [f"{i}{mark}" for i in range(max(len(self.a.tokens), self.size_b)) for mark in ",|;"]
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.pairs: dict[int, int] = {}
+        self.spans: dict[bytes, tuple[int, int]] = {}
         self.groups: list[str] = []
         self.links: list[bytes] = []
-        self.counts = np.zeros((0, 5), dtype=np.int64)  # of tokens of A and B, groups, links; whether the bytes are the text's
+        self.counted = [np.zeros((0, 5), dtype=np.int64)]  # of tokens of A and B, groups, links; whether the bytes are the text's
 
     def labels(self, ends_a: np.ndarray, ends_b: np.ndarray, n: int) -> np.ndarray:
         """The label of each of n bytes, from the places behind tokens' last bytes."""
@@ -65,37 +66,55 @@ class Aligner:
         return LABELS[bits]
 
     def learn(self, new: list[str]) -> None:
-        """Align units, each as if a space stood before it."""
-        tokens_a, tokens_b = self.a.encode([f" {u}" for u in new]), self.b.encode(new)
-        exact = [b"".join([self.bytes_a[t] for t in x]) == (raw := f" {u}".encode("utf-8", "surrogatepass")) == b"".join([self.bytes_b[t] for t in y]) for u, x, y in zip(new, tokens_a, tokens_b, strict=True)]
-        tokens_a, tokens_b = ([t if ok else [] for t, ok in zip(side, exact, strict=True)] for side in (tokens_a, tokens_b))
-        ids_a, ids_b = (np.array([t for x in side for t in x], dtype=np.int64) for side in (tokens_a, tokens_b))
-        n_a, n_b = (np.array([len(x) for x in side], dtype=np.int64) for side in (tokens_a, tokens_b))
-        ends_a = np.cumsum(self.length_a[ids_a])
-        labels = self.labels(ends_a, np.cumsum(self.length_b[ids_b]), int(ends_a[-1]) if len(ends_a) else 0)
-        # groups: spans of the label string
-        names_a, names_b, texts, i, j = ids_a.astype(str).tolist(), ids_b.astype(str).tolist(), [], 0, 0
-        for span in SPAN.findall(labels.tobytes()):
-            p, q = span.count(b"a") + 1, span.count(b"b") + 1
-            texts.append(f"{','.join(names_a[i : i + p])}|{','.join(names_b[j : j + q])}")
-            i, j = i + p, j + q
+        """Align units, each as if a space stood before it. Those without white space at an edge are encoded in one text; where that does not give back the bytes, one by one."""
+        together, alone = [u for u in new if u == u.strip()], [u for u in new if u != u.strip()]
+        for first in range(0, len(together), TOGETHER):
+            part = together[first : first + TOGETHER]
+            ends = byte_ends(part)
+            got = [spaced_units(v, part, ends) for v in (self.a, self.b)]
+            raw = f" {' '.join(part)}".encode("utf-8", "surrogatepass")
+            if any(g is None or b"".join(map(v.tokens.__getitem__, g[0].tolist())) != raw for g, v in zip(got, (self.a, self.b), strict=True)):
+                alone += part
+                continue
+            self._add(part, *got[0], *got[1], np.ones(len(part), dtype=np.int64), len(raw))
+        for first in range(0, len(alone), TOGETHER):
+            part = alone[first : first + TOGETHER]
+            tokens = [v.spaced(part) for v in (self.a, self.b)]
+            raw = [f" {u}".encode("utf-8", "surrogatepass") for u in part]
+            exact = [all(b"".join(map(v.tokens.__getitem__, x)) == r for v, x in ((self.a, x), (self.b, y))) for r, x, y in zip(raw, *tokens, strict=True)]
+            kept = [[x if ok else [] for x, ok in zip(side, exact, strict=True)] for side in tokens]
+            flat = [(np.array([t for x in side for t in x], dtype=np.int64), np.array([len(x) for x in side], dtype=np.int64)) for side in kept]
+            self._add(part, *flat[0], *flat[1], np.array(exact, dtype=np.int64), sum(len(r) for r, ok in zip(raw, exact, strict=True) if ok))
+
+    def _add(self, new: list[str], ids_a: np.ndarray, n_a: np.ndarray, ids_b: np.ndarray, n_b: np.ndarray, exact: np.ndarray, n_bytes: int) -> None:
+        """Remember units from their tokens, whose bytes are the units' where `exact`, and none elsewhere."""
+        labels = self.labels(np.cumsum(self.a.lengths[ids_a]), np.cumsum(self.b.lengths[ids_b]), n_bytes)
+        # groups: spans of the label string, each with its labels' counts
+        found = SPAN.findall(labels.tobytes())
+        for span in set(found) - self.spans.keys():
+            self.spans[span] = span.count(b"a") + 1, span.count(b"b") + 1
+        p, q = np.array([self.spans[s] for s in found], dtype=np.int64).reshape(-1, 2).T
+        order = np.zeros(len(ids_a) + len(ids_b), dtype=np.int64)
+        order[np.arange(len(ids_a)) + np.repeat(np.cumsum(q) - q, p)] = ids_a * 3
+        order[np.arange(len(ids_b)) + np.repeat(np.cumsum(p), q)] = ids_b * 3
+        last = np.cumsum(p + q)
+        order[last - q - 1] += 1
+        order[last - 1] += 2
+        texts = [self.written[k] for k in order.tolist()]
         # links: the tokens of both sides at each byte where one ends
         at = labels[labels != LABELS[0]]
         in_a, in_b = at != LABELS[2], at != LABELS[1]
         left, right = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
-        found, back = np.unique(ids_a[left] * self.size_b + ids_b[right], return_inverse=True)
-        places = np.array([self.pairs.setdefault(p, len(self.pairs)) for p in found.tolist()], dtype=np.int32)[back] if len(found) else np.zeros(0, dtype=np.int32)
+        names, back = np.unique(ids_a[left] * self.size_b + ids_b[right], return_inverse=True)
+        links = np.array([self.pairs.setdefault(k, len(self.pairs)) for k in names.tolist()], dtype=np.int32)[back].tobytes() if len(names) else b""
         # by unit
-        until = lambda flags, owner: np.bincount(owner[flags], minlength=len(new))
-        unit_of = np.repeat(np.arange(len(new)), n_a)[left]
-        n_groups, n_links = until(at == LABELS[3], unit_of), np.bincount(unit_of, minlength=len(new))
-        g, k = 0, 0
-        for u, groups, links in zip(new, n_groups.tolist(), n_links.tolist(), strict=True):
-            self.known[u] = len(self.groups)
-            self.groups.append(";".join(texts[g : g + groups]))
-            self.links.append(places[k : k + links].tobytes())
-            g, k = g + groups, k + links
-        self.counts = np.concatenate([self.counts, np.stack([n_a, n_b, n_groups, n_links, np.array(exact, dtype=np.int64)], axis=1)])
+        unit = np.repeat(np.arange(len(new)), n_a)[left]
+        n_links, n_groups = np.bincount(unit, minlength=len(new)), np.bincount(unit[at == LABELS[3]], minlength=len(new))
+        cuts = [[0, *np.cumsum(n).tolist()] for n in (n_a + n_b, 4 * n_links)]
+        self.known.update(zip(new, range(len(self.groups), len(self.groups) + len(new)), strict=True))
+        self.groups += ["".join(texts[x:y]) for x, y in zip(cuts[0][:-1], cuts[0][1:], strict=True)]
+        self.links += [links[x:y] for x, y in zip(cuts[1][:-1], cuts[1][1:], strict=True)]
+        self.counted.append(np.stack([n_a, n_b, n_groups, n_links, exact], axis=1))
 
     def of(self, texts: list[str | None]) -> list[list[int]]:
         """The numbers of each text's units; none for texts that have no tokens."""
@@ -105,15 +124,22 @@ class Aligner:
             self.forget()
         self.learn([u for u in held if u not in self.known])
         numbers = [[self.known[u] for u in s] for s in split]
-        doubtful = [i for i, own in enumerate(numbers) if own and not self.counts[own, 4].all()]
+        wrong = set(np.flatnonzero(self.counts[:, 4] == 0).tolist())
+        doubtful = [i for i, own in enumerate(numbers) if wrong and not wrong.isdisjoint(own)]
         self.learn([t for t in {texts[i] for i in doubtful} if t not in self.known])
         for i in doubtful:  # the whole text decides
             whole = self.known[texts[i]]
             numbers[i] = [whole] if self.counts[whole, 4] else []
         return numbers
 
+    @property
+    def counts(self) -> np.ndarray:
+        if len(self.counted) > 1:
+            self.counted = [np.concatenate(self.counted)]
+        return self.counted[0]
+
     def groups_of(self, own: list[int]) -> str:
-        return ";".join([self.groups[k] for k in own])
+        return "".join([self.groups[k] for k in own])[:-1]  # each ends with a semicolon
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
@@ -190,7 +216,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     n_best counts links whose pair is in as many documents as any of its A id, count_sum adds the documents of all links' pairs. `groups` gives the groups themselves.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    size_b = len(Pieces(path_b).names)
+    size_b = len(Pieces(path_b).tokens)
     written = materialize(_blocks(docs, path_a, path_b, id_col, text_col, chunk), "aligned")
     pairs = written.select("block", F.posexplode(F.arrays_zip("pairs", "held")).alias("place", "x")).select("block", "place", F.col("x.pairs").alias("pair"), F.col("x.held").alias("held"))
     told = pairs.select("block", "place", "pair").join(pair_counts(pairs.select("pair", "held"), size_b), "pair").select(F.col("block").alias("of_block"), "place", "n", "best")

@@ -7,6 +7,7 @@ another character (checked when a model is loaded; otherwise texts are not cut).
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 
@@ -31,6 +32,10 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+#: Units that are encoded at a time.
+TOGETHER = 8192
+
+
 class ByteLevel:
     """A byte-level vocabulary of the tokenizers library. `plain` reads the names of special tokens in a text as text."""
 
@@ -39,16 +44,18 @@ class ByteLevel:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = plain
+        letters, self.tokens = byte_letters(), [b""] * self.library.get_vocab_size()
+        for token, i in self.library.get_vocab().items():
+            self.tokens[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+        self.lengths = np.array([len(t) for t in self.tokens], dtype=np.int64)
+        self.divisible = True
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def token_bytes(self) -> list[bytes]:
-        """By id, the bytes of each token."""
-        letters, out = byte_letters(), [b""] * self.library.get_vocab_size()
-        for token, i in self.library.get_vocab().items():
-            out[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
-        return out
+    def spaced(self, texts: list[str]) -> list[list[int]]:
+        """The ids of texts behind a space."""
+        return self.encode([f" {t}" for t in texts])
 
 
 class Pieces:
@@ -59,14 +66,35 @@ class Pieces:
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
+        self.tokens = [bytes([int(n[3:5], 16)]) if self.library.is_byte(i) else n.replace(SPACE_MARK, " ").encode() for i, n in enumerate(names)]
+        self.lengths = np.array([len(t) for t in self.tokens], dtype=np.int64)
         self.divisible = not any(SPACE_MARK in n.lstrip(SPACE_MARK) for n in names)
-        self.names = names
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.library.encode(texts, num_threads=1)
 
-    def token_bytes(self) -> list[bytes]:
-        return [bytes([int(n[3:5], 16)]) if self.library.is_byte(i) else n.replace(SPACE_MARK, " ").encode() for i, n in enumerate(self.names)]
+    spaced = encode
+
+
+def spaced_units(vocabulary: ByteLevel | Pieces, new: list[str], ends: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """The ids of units that each stand behind a space, and how many each has; `ends` are the units' ends in the bytes of all. None where the tokens' bytes are of other lengths.
+
+    The tokenizers library is given one text of them all, which is fastest there, sentencepiece a list."""
+    if isinstance(vocabulary, Pieces):
+        each = vocabulary.spaced(new)
+        counts = np.fromiter(map(len, each), dtype=np.int64, count=len(new))
+        ids = np.fromiter(itertools.chain.from_iterable(each), dtype=np.int64, count=int(counts.sum()))
+    else:
+        ids = np.array(vocabulary.spaced([" ".join(new)])[0], dtype=np.int64)
+        counts = np.diff(np.searchsorted(np.cumsum(vocabulary.lengths[ids]), ends, side="right"), prepend=0)
+    until = np.concatenate([[0], np.cumsum(vocabulary.lengths[ids])])
+    at = np.cumsum(counts)
+    return (ids, counts) if at[-1] == len(ids) and np.array_equal(until[at], ends) else None
+
+
+def byte_ends(new: list[str]) -> np.ndarray:
+    """Where each unit ends in the bytes of all of them, each behind a space."""
+    return np.cumsum(np.fromiter((len(u.encode("utf-8", "surrogatepass")) + 1 for u in new), dtype=np.int64, count=len(new)))
 
 
 class Words:
@@ -77,10 +105,24 @@ class Words:
         self.first: dict[str, bytes] = {}  # units at the begin of a text
         self.spaced: dict[str, bytes] = {}  # units behind their space
 
-    def _learn(self, known: dict[str, bytes], new: set[str], before: str) -> None:
-        todo = [u for u in new if u not in known]
-        for u, ids in zip(todo, self.vocabulary.encode([before + u for u in todo]), strict=True):
-            known[u] = np.array(ids, dtype="<u4").tobytes()
+    def _learn_first(self, new: set[str]) -> None:
+        todo = [u for u in new if u not in self.first]
+        for u, ids in zip(todo, self.vocabulary.encode(todo), strict=True):
+            self.first[u] = np.array(ids, dtype="<u4").tobytes()
+
+    def _learn_spaced(self, new: set[str]) -> None:
+        todo = [u for u in new if u not in self.spaced]
+        together = [u for u in todo if u == u.strip()]
+        alone = [u for u in todo if u != u.strip()]
+        for a in range(0, len(together), TOGETHER):
+            part = together[a : a + TOGETHER]
+            if (got := spaced_units(self.vocabulary, part, byte_ends(part))) is None:
+                alone += part
+                continue
+            raw, at = got[0].astype("<u4").tobytes(), [0, *(np.cumsum(got[1]) * 4).tolist()]
+            self.spaced.update(zip(part, [raw[x:y] for x, y in zip(at[:-1], at[1:], strict=True)], strict=True))
+        for u, ids in zip(alone, self.vocabulary.spaced(alone), strict=True):
+            self.spaced[u] = np.array(ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids (little-endian, unsigned, 32 bits) of each text."""
@@ -88,8 +130,8 @@ class Words:
             self.first.clear()
             self.spaced.clear()
         split = [units(t) if t else [] for t in texts]
-        self._learn(self.first, {s[0] for s in split if s}, "")
-        self._learn(self.spaced, set().union(*(s[1:] for s in split)), " ")
+        self._learn_first({s[0] for s in split if s})
+        self._learn_spaced(set().union(*(s[1:] for s in split)))
         first, spaced = self.first, self.spaced
         out = [np.frombuffer(first[s[0]] + b"".join([spaced[u] for u in s[1:]]), dtype="<u4") if s else np.zeros(0, dtype="<u4") for s in split]
         for known in (first, spaced):  # long units seldom come again

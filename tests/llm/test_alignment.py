@@ -26,7 +26,7 @@ def libraries():
 
 def brute(texts, a, b):
     """The definition, text by text, without units."""
-    bytes_a, bytes_b = ByteLevel(A, plain=True).token_bytes(), Pieces(B).token_bytes()
+    bytes_a, bytes_b = ByteLevel(A, plain=True).tokens, Pieces(B).tokens
     rows, linked = [], []
     for t in texts:
         x, y = (a.encode(" " + t, add_special_tokens=False).ids, b.encode(t)) if t else ([], [])
