@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallyweave.llm import alignment, byte_bpe, chunk_dedup, fim, langid, media, mixing, neighbours, ngram_join, quality, suffix_dedup, toxicity
+from tallyweave.llm import alignment, byte_bpe, chunk_dedup, fim, langid, media, mixing, neighbours, ngram_join, quality, suffix_dedup, token_files, toxicity
 from tallyweave.llm.common import held_out, table
 
 
@@ -71,6 +71,10 @@ def op12_token_alignment(spark, sf_dir):
     return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_token_files(spark, sf_dir):
+    return token_files.read(token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")), arrays=False)
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_media_columns": op2_media_columns,
@@ -84,5 +88,6 @@ QUERIES = {
     "op10_byte_bpe": op10_byte_bpe,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_token_alignment": op12_token_alignment,
+    "op13_token_files": op13_token_files,
 }
 ORACLE_SQL = {"op4_mixing": mixing.decide_sql()}
