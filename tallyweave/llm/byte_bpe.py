@@ -9,8 +9,9 @@ aggregated in order of position.
 The rows of a recursive query grow with the square of a piece. A piece of more than BLOCK bytes is therefore cut into blocks
 that are contracted one by one, and so is a window around each seam. A sequence of tokens is what contraction gives
 wherever every two neighbours are what contraction gives for the two alone; neighbours in a contracted piece always are. So where the blocks and
-the window share a token on both sides of a seam, what follows the one and precedes the other is taken from the window. Pieces
-with a seam that shares none are cut into blocks twice as long, in the end into one.
+the window share a token on both sides of a seam, what follows the one and precedes the other is taken from the window. A seam that shares
+none is given up and its blocks become one: that is so in runs of few characters (dots, zeros, spaces), which have few different pairs. Such a block is contracted
+rank by rank: each step contracts all places of the pair of minimum rank, from the left up to the first that makes a pair of a lower rank, which is the order of one at a time.
 
 Null texts count as empty; empty texts have no tokens. Texts of any length are coded whole. Repeated rows are coded alike, null
 ids and columns of clashing names pass by or are left out (only the id is carried along). Ties of rank are the same pair: the leftmost goes first.
@@ -35,6 +36,8 @@ from tallyweave.llm.common import map_texts
 PIECES_AT_ONCE, REMEMBERED = 50_000, 800_000
 #: Bytes of a block of a long piece; the sum of squares of the pieces' bytes in one recursive query (its rows are half as many at most); tokens decoded by one query, and in one group.
 BLOCK, SQUARES, DECODED, SEGMENT = 128, 4_000_000, 500_000, 65_536
+#: Megabytes that DuckDB may take, and bytes for each row of a run that needs more.
+MEMORY, BYTES_A_ROW = 400, 1_500
 #: Characters of text that a task tokenizes at a time.
 CHUNK = 16_000_000
 
@@ -62,6 +65,31 @@ WITH RECURSIVE step(it, piece, pos, tok, next_pos, next_tok) AS (
 SELECT step.piece, step.pos, step.tok
 FROM step JOIN (SELECT piece, max(it) AS it FROM step GROUP BY piece) ended USING (piece, it)
 """
+#: The same, all places of a rank in one step. A step replaces the rows of the one before, so what is held grows with the piece alone.
+CONTRACT_RUNS = """
+CREATE OR REPLACE TEMP TABLE coded AS
+WITH RECURSIVE step(piece, pos, it, tok) USING KEY (piece, pos) AS (
+    SELECT piece, pos, 0, tok FROM tokens
+  UNION
+    (WITH pairs AS (
+        SELECT piece, pos, it, tok, id, row_number() OVER w AS n, lag(tok) OVER w AS before, lead(tok, 2) OVER w AS behind
+        FROM (SELECT piece, pos, it, tok, lead(tok) OVER (PARTITION BY piece ORDER BY pos) AS next_tok FROM step) s
+        LEFT JOIN merges ON pair = tok * 65536 + next_tok
+        WINDOW w AS (PARTITION BY piece ORDER BY pos)),
+    least AS (SELECT *, min(id) OVER (PARTITION BY piece) AS best FROM pairs),
+    hits AS (SELECT *, id IS NOT DISTINCT FROM best AS hit, n - row_number() OVER (PARTITION BY piece, id IS NOT DISTINCT FROM best ORDER BY pos) AS run FROM least WHERE best IS NOT NULL),
+    chosen AS (SELECT *, hit AND row_number() OVER (PARTITION BY piece, hit, run ORDER BY pos) % 2 = 1 AS taken FROM hits),
+    around AS (SELECT *, CASE WHEN lag(taken, 2, false) OVER w THEN best ELSE before END AS left_tok FROM chosen WINDOW w AS (PARTITION BY piece ORDER BY pos)),
+    judged AS (
+        SELECT a.*, min(CASE WHEN taken AND (l.id < best OR r.id < best) THEN pos END) OVER (PARTITION BY piece) AS last
+        FROM around a LEFT JOIN merges l ON taken AND l.pair = left_tok * 65536 + best LEFT JOIN merges r ON taken AND r.pair = best * 65536 + behind),
+    done AS (SELECT *, taken AND pos <= coalesce(last, pos) AS merged FROM judged)
+    SELECT piece, pos, it + 1, CASE WHEN merged THEN best ELSE tok END
+    FROM (SELECT *, lag(merged, 1, false) OVER (PARTITION BY piece ORDER BY pos) AS gone FROM done) d WHERE NOT gone)
+)
+SELECT step.piece, step.pos, step.tok
+FROM step JOIN (SELECT piece, max(it) AS it FROM step GROUP BY piece) ended USING (piece, it)
+"""
 #: Each piece's ids in order of position.
 COLLECT = "SELECT piece, string_agg(tok::VARCHAR, ' ' ORDER BY pos) AS ids FROM coded GROUP BY piece"
 #: The bytes (in hexadecimal) of each segment of each document, in order of position.
@@ -90,7 +118,7 @@ class Coder:
         ]
         self.db = duckdb.connect()
         self.db.execute("SET threads = 1")
-        self.db.execute("SET memory_limit = '400MB'")
+        self.db.execute(f"SET memory_limit = '{MEMORY}MB'")
         self.db.execute("SET temp_directory = ''")  # nothing is written beside the worker: what one query holds is bounded
         self._load("merges", pair=[m[0] for m in merges], id=[m[1] for m in merges])
         self._load("vocabulary", tok=list(self.ranks.values()), hex=[t.hex() for t in self.ranks])
@@ -102,25 +130,37 @@ class Coder:
         self.db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM incoming")
         self.db.unregister("incoming")
 
-    def contract(self, pieces: list[bytes]) -> list[str]:
+    def contract(self, pieces: list[bytes], query: str = CONTRACT) -> list[str]:
         """Each piece's ids, joined by spaces, from recursive queries over some pieces at a time."""
         out, begin = [""] * len(pieces), 0
-        squares = np.cumsum([len(raw) ** 2 for raw in pieces])
+        costs = np.cumsum([len(raw) ** 2 if query is CONTRACT else len(raw) * 64 for raw in pieces])
         while begin < len(pieces):
-            done = squares[begin - 1] if begin else 0
-            end = min(begin + self.pieces_at_once, max(begin + 1, int(np.searchsorted(squares, done + SQUARES, side="right"))))
+            done = costs[begin - 1] if begin else 0
+            end = min(begin + self.pieces_at_once, max(begin + 1, int(np.searchsorted(costs, done + SQUARES, side="right"))))
             part = pieces[begin:end]
             size = np.array([len(raw) for raw in part])
             first = np.cumsum(size) - size
             data = np.frombuffer(b"".join(part), dtype=np.uint8)
             self._load("tokens", piece=np.repeat(np.arange(len(part)), size), pos=np.arange(len(data)) - np.repeat(first, size), tok=self.byte_ids[data])
-            self.db.execute(CONTRACT)
+            self._run(query)
             got = self.db.sql(COLLECT).to_arrow_table()
             for i, ids in zip(got.column("piece").to_pylist(), got.column("ids").to_pylist(), strict=True):
                 out[begin + i] = ids
             begin = end
         return out
 
+    def _run(self, query: str) -> None:
+        """A query; where its memory does not do (one run of millions of bytes), again with as much as that run needs. Nothing is spilled to a folder."""
+        try:
+            self.db.execute(query)
+        except duckdb.OutOfMemoryException:
+            (n,) = self.db.execute("SELECT count(*) FROM tokens").fetchone()
+            self.db.execute(f"SET memory_limit = '{MEMORY + n * BYTES_A_ROW // 1_000_000}MB'")
+            try:
+                self.db.execute(query)
+            finally:
+                self.db.execute(f"SET memory_limit = '{MEMORY}MB'")
+
     def spans(self, ids: str, begin: int) -> list[tuple[int, int, str]]:
         """(begin, end, id) of each token, in bytes from `begin` on."""
         out = []
@@ -129,29 +169,56 @@ class Coder:
             begin = out[-1][1]
         return out
 
-    def long_piece(self, raw: bytes, block: int) -> str:
-        """The ids of a piece longer than a block, from its blocks and a window around each seam."""
-        if len(raw) <= block:
-            return self.contract([raw])[0]
-        seams = list(range(block, len(raw), block))
-        blocks = [self.spans(ids, at) for ids, at in zip(self.contract([raw[a : a + block] for a in [0, *seams]]), [0, *seams], strict=True)]
-        # a window goes from a token's begin, half a block before the seam, to a token's end half a block after it
-        around = [(next(a for a, _, _ in left if a >= seam - block // 2), next((b for _, b, _ in right if b >= seam + block // 2), len(raw))) for seam, left, right in zip(seams, blocks[:-1], blocks[1:], strict=True)]
-        windows = [self.spans(ids, a) for ids, (a, _) in zip(self.contract([raw[a:b] for a, b in around]), around, strict=True)]
-        out, left = [], blocks[0]
+    def long_pieces(self, pieces: list[bytes]) -> list[str]:
+        """The ids of pieces longer than a block, from their blocks and a window around each seam. Seams that can't be proved are given up, round by round."""
+        seams = {i: list(range(BLOCK, len(raw), BLOCK)) for i, raw in enumerate(pieces)}
+        out, known = [""] * len(pieces), {}
+        while seams:
+            spans = {i: list(zip([0, *own], [*own, len(pieces[i])], strict=True)) for i, own in seams.items()}
+            self._contract_spans(pieces, spans, known)
+            around = {i: [self._window(known[i, *left], known[i, *right], left[1]) for left, right in zip(own[:-1], own[1:], strict=True)] for i, own in spans.items()}
+            self._contract_spans(pieces, around, known)
+            for i in list(seams):
+                ids, unproved = self._assembled(seams[i], [known[i, *x] for x in spans[i]], [known[i, *x] for x in around[i]])
+                if unproved:
+                    seams[i] = [s for s in seams[i] if s not in unproved]
+                else:
+                    out[i] = ids
+                    del seams[i]
+        return out
+
+    def _contract_spans(self, pieces: list[bytes], wanted: dict[int, list[tuple[int, int]]], known: dict) -> None:
+        """Contract the spans that are not known yet: short ones pair by pair, the others rank by rank."""
+        new = [(i, a, b) for i, own in wanted.items() for a, b in own if (i, a, b) not in known]
+        for query, some in ((CONTRACT, [x for x in new if x[2] - x[1] <= 2 * BLOCK]), (CONTRACT_RUNS, [x for x in new if x[2] - x[1] > 2 * BLOCK])):
+            for (i, a, b), ids in zip(some, self.contract([pieces[i][a:b] for i, a, b in some], query), strict=True):
+                known[i, a, b] = self.spans(ids, a)
+
+    @staticmethod
+    def _window(left: list, right: list, seam: int) -> tuple[int, int]:
+        """From a token's begin, half a block before the seam at most, to a token's end half a block after it."""
+        begin = next((a for a, _, _ in left if a >= seam - BLOCK // 2), left[-1][0])
+        return begin, next((b for _, b, _ in right if b >= seam + BLOCK // 2), right[-1][1])
+
+    @staticmethod
+    def _assembled(seams: list[int], blocks: list[list], windows: list[list]) -> tuple[str, set[int]]:
+        """The ids of a piece, and the seams at which blocks and window share no token on either side."""
+        out, left, unproved = [], blocks[0], set()
         for seam, window, right in zip(seams, windows, blocks[1:], strict=True):
             on_left, on_right = set(left), set(right)
             before = [t for t in window if t[1] <= seam and t in on_left]
             after = [t for t in window if t[0] >= seam and t in on_right]
             if not before or not after:
-                return self.long_piece(raw, 2 * block)
+                unproved.add(seam)
+                left = right
+                continue
             x, y = before[0], after[-1]
             out += [t for t in left if t[1] <= x[1]] + [t for t in window if t[0] >= x[1] and t[1] <= y[1]]
             left = [t for t in right if t[0] >= y[1]]
             if not left:
                 left = [y]
                 out.pop()
-        return " ".join([t for _, _, t in [*out, *left]])
+        return " ".join([t for _, _, t in [*out, *left]]), unproved
 
     def learn(self, pieces: set[str]) -> None:
         """Contract the pieces that are not known yet."""
@@ -159,16 +226,13 @@ class Coder:
         if len(self.ids) + len(new) > self.remembered:
             self.ids.clear()
             new = pieces
-        todo = []
-        for p in new:
-            raw = p.encode("utf-8", "surrogatepass")
+        raws = {p: p.encode("utf-8", "surrogatepass") for p in new}
+        for p, raw in raws.items():
             if (whole := self.ranks.get(raw)) is not None:  # one token as it stands
                 self.ids[p] = str(whole)
-            elif len(raw) > BLOCK:
-                self.ids[p] = self.long_piece(raw, BLOCK)
-            else:
-                todo.append((p, raw))
-        self.ids.update(zip([p for p, _ in todo], self.contract([raw for _, raw in todo]), strict=True))
+        for long, by in ((False, self.contract), (True, self.long_pieces)):
+            todo = [p for p, raw in raws.items() if p not in self.ids and (len(raw) > BLOCK) == long]
+            self.ids.update(zip(todo, by([raws[p] for p in todo]), strict=True))
 
     def decode(self, rows: list[np.ndarray]) -> list[bytes]:
         """The bytes of each row of ids."""

@@ -62,3 +62,23 @@ def test_one_run_of_100_000_letters_is_bounded():
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert byte_bpe.encode_decode(docs, PATH, public_tokenizers.PATTERN).collect() == []
+
+
+def test_runs_of_any_length_equal_tiktoken():
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.ranks_of(PATH), special_tokens={})
+    coder = byte_bpe.Coder(PATH, public_tokenizers.PATTERN)
+    r = random.Random(9)
+    texts = [c * n for c in (".", "0", "=", "-", " ", "語", "ab", "=-") for n in (129, 200, 255, 257, 1_537, 2_049, 4_097, 8_193)] + ["." * 100_000, "0" * 99_999, "語" * 30_001]
+    texts += ["a" * 5_000 + "".join(r.choice("abcdefghij") for _ in range(3_000)) + "b" * 777, ("." * 777 + "x") * 9, "".join(r.choice(["..", ".-", "--", "."]) for _ in range(3_000))]
+    for text in texts:
+        before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+        ((_, ids, decoded),) = coder.code([text])
+        assert time.time() - began < 10 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000
+        assert ids.tolist() == own.encode_ordinary(text) and decoded == text.encode()
+
+
+def test_a_rank_at_a_time_equals_a_pair_at_a_time():
+    coder = byte_bpe.Coder(PATH, public_tokenizers.PATTERN)
+    r = random.Random(10)
+    pieces = ["".join(r.choice(some) for _ in range(r.randrange(2, 200))).encode() for some in ("ab", "thering", ["the", "re", "her", "e", "t"], ".-", "aaab", "0123456789", "語文é") for _ in range(30)]
+    assert coder.contract(pieces, byte_bpe.CONTRACT_RUNS) == coder.contract(pieces)
