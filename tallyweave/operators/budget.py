@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyweave.operators.scan import prefix_sums
 from tallyweave.sources.tables import small
 
 
@@ -39,12 +40,10 @@ def boundary_band(rows: DataFrame, size: str, limit: int, margin: float = 0.1) -
 def summarised_sheets(sheets: DataFrame, by: list[str], full: str, summary: str, order: str, budget: int) -> DataFrame:
     """Which sheets are replaced by their summaries, largest first, until the whole fits: flag `summarised`.
 
-    Sheet i is replaced while the total, less what the larger ones save, is over the budget: a running sum, no loop.
+    Sheet i is replaced while the total, less what the larger ones save, is over the budget: a running sum, no loop, over a group of any size. Ties go by `order`.
     """
-    group = Window.partitionBy(*by)
-    down = group.orderBy(F.desc(full), order).rowsBetween(Window.unboundedPreceding, -1)
-    saved = F.coalesce(F.sum(F.col(full) - F.col(summary)).over(down), F.lit(0))
-    return sheets.withColumn("summarised", F.sum(full).over(group) - saved > budget)
+    out = prefix_sums(sheets, by, [F.desc(full), order], {"__saved": F.col(full) - F.col(summary)}, {"__all": full}, inclusive=False)
+    return out.withColumn("summarised", F.col("__all") - F.col("__saved") > budget).drop("__saved", "__all")
 
 
 def redact_rows(text: str | Column, first: int = 60, last: int = 40, over: int = 100) -> Column:

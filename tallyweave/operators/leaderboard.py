@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyweave.operators.quantiles import with_quantiles
 from tallyweave.operators.selection import latest_clean_gradings, latest_valid_attempts, not_true
 from tallyweave.sources.tables import one_row, small
 
@@ -34,10 +35,11 @@ def summary(cell_rows: DataFrame, expected_tasks: int = EXPECTED_TASKS) -> DataF
     """Per cohort: status counts, the zero-imputed mean over at least `expected_tasks` cells, and times over recorded ones only."""
     counts = [F.count_if(F.col("status") == s).alias(s) for s in ("complete", "needs_grading", "needs_attempt")]
     denominator = F.greatest(F.col("cells"), F.lit(expected_tasks))
-    out = cell_rows.groupBy("cohort").agg(
+    aggregates = [
         *counts, F.count("*").alias("cells"), F.count("total").alias("scored"), F.coalesce(F.sum("total"), F.lit(0.0)).alias("sum_total"),
-        F.count("minutes").alias("timed"), F.round(F.avg("minutes"), 2).alias("mean_minutes"), F.round(F.median("minutes"), 2).alias("median_minutes"),
-    )
+        F.count("minutes").alias("timed"), F.round(F.avg("minutes"), 2).alias("mean_minutes"),
+    ]
+    out = with_quantiles(cell_rows, ["cohort"], "minutes", {"median_minutes": 0.5}, aggregates).withColumn("median_minutes", F.round("median_minutes", 2))
     return out.withColumn("imputed_zeros", denominator - F.col("scored")).withColumn("mean_total", F.round(F.col("sum_total") / denominator, 2)).drop("sum_total", "cells")
 
 
@@ -56,15 +58,14 @@ def difficulty_breakdown(cell_rows: DataFrame, order: list[str], digits: int = 1
     mean = lambda c: F.round(F.coalesce(F.sum(F.when(complete, F.col(c))), F.lit(0.0)) / F.count("*"), digits).alias(c)
     known = F.array(*map(F.lit, order))
     at = F.when(F.col("difficulty").isin(order), F.array_position(known, F.col("difficulty"))).otherwise(len(order) + 1).cast("int")
-    return (
-        cell_rows.withColumn("ordinal", at).withColumn("difficulty", F.coalesce("difficulty", F.lit("None")))
-        .groupBy("cohort", "difficulty", "ordinal")
-        .agg(
-            F.count("*").alias("n"), F.count_if(complete).alias("graded"), F.count_if(~complete).alias("missing"),
-            mean("accuracy"), mean("formula"), mean("format"), mean("total"),
-            F.count("minutes").alias("timed"), F.round(F.avg("minutes"), 2).alias("mean_minutes"), F.round(F.median("minutes"), 2).alias("median_minutes"),
-        )
-    )
+    buckets = cell_rows.withColumn("ordinal", at).withColumn("difficulty", F.coalesce("difficulty", F.lit("None")))
+    aggregates = [
+        F.count("*").alias("n"), F.count_if(complete).alias("graded"), F.count_if(~complete).alias("missing"),
+        mean("accuracy"), mean("formula"), mean("format"), mean("total"),
+        F.count("minutes").alias("timed"), F.round(F.avg("minutes"), 2).alias("mean_minutes"),
+    ]
+    out = with_quantiles(buckets, ["cohort", "difficulty", "ordinal"], "minutes", {"median_minutes": 0.5}, aggregates)
+    return out.withColumn("median_minutes", F.round("median_minutes", 2))
 
 
 def missing_tasks(cell_rows: DataFrame) -> DataFrame:

@@ -28,11 +28,14 @@ def header_rows(cells: DataFrame, share: float = 0.6, look: int = 3) -> DataFram
 
 
 def column_profile(cells: DataFrame) -> DataFrame:
-    """By column: filled cells, the commonest type (the type seen first on ties), and its first three values."""
+    """By column: filled cells, the commonest type (the type seen first on ties), and its first three values.
+
+    A task passes on three values of a column at most: Spark limits ranked groups before it shuffles them."""
     some = filled(cells)
     types = some.groupBy(*KEY, "col", "v_type").agg(F.count("*").alias("n"), F.min("row").alias("first"))
     kind = types.groupBy(*KEY, "col").agg(F.max_by("v_type", F.struct("n", -F.col("first"))).alias("type"), F.sum("n").alias("non_null"))
-    near = some.groupBy(*KEY, "col").agg(F.transform(F.slice(F.sort_array(F.collect_list(F.struct("row", "raw"))), 1, 3), lambda x: x["raw"]).alias("examples"))
+    ranked = some.withColumn("__n", F.row_number().over(Window.partitionBy(*KEY, "col").orderBy("row", "raw"))).where(F.col("__n") <= 3)
+    near = ranked.groupBy(*KEY, "col").agg(F.transform(F.sort_array(F.collect_list(F.struct("__n", "raw"))), lambda x: x["raw"]).alias("examples"))
     return kind.join(near, [*KEY, "col"])
 
 

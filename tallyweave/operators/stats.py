@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyweave.operators.quantiles import with_quantiles
+
 
 def stat_summary(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Per group: n, mean, standard error (0 for one value), median and quartiles (linear interpolation)."""
-    return rows.where(F.col(value).isNotNull()).groupBy(*by).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value) / F.sqrt(F.count(value)), F.lit(0.0)).alias("sem"),
-        F.median(value).alias("median"), F.percentile(value, F.lit(0.25)).alias("q25"), F.percentile(value, F.lit(0.75)).alias("q75"),
-    )
+    """Per group: n, mean, standard error (0 for one value), median and quartiles (linear interpolation). Groups may be of any size."""
+    sem = F.coalesce(F.stddev_samp(value) / F.sqrt(F.count(value)), F.lit(0.0))
+    return with_quantiles(rows.where(F.col(value).isNotNull()), by, value, {"median": 0.5, "q25": 0.25, "q75": 0.75}, [F.count(value).alias("n"), F.avg(value).alias("mean"), sem.alias("sem")])
 
 
 def error_bars(stats: DataFrame, robust: bool) -> DataFrame:

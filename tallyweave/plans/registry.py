@@ -1,6 +1,7 @@
 """All registered queries with their SQL, by name."""
 
-from tallyweave.plans import evaluation_queries, log_queries, rule_queries
+from tallyweave.plans import evaluation_queries, log_queries, rule_queries, sheet_queries
 
-QUERIES = {**evaluation_queries.QUERIES, **log_queries.QUERIES, **rule_queries.QUERIES}
-ORACLE_SQL = {**evaluation_queries.ORACLE_SQL, **log_queries.ORACLE_SQL, **rule_queries.ORACLE_SQL}
+_MODULES = (evaluation_queries, log_queries, rule_queries, sheet_queries)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
