@@ -183,15 +183,3 @@ def _half_away(x: float, digits: int) -> str:
 @F.pandas_udf(T.StringType())
 def rendered_number(value: pd.Series, number_format: pd.Series) -> pd.Series:
     return pd.Series([render_number(None if v is None or pd.isna(v) else float(v), f) for v, f in zip(value, number_format, strict=True)], dtype="object")
-
-
-def color_name(rgb: str | Column) -> Column:
-    """A plain name for RRGGBB: by hue, with black, white and grey by lightness and saturation."""
-    part = lambda i: F.conv(F.substring(_c(rgb), i, 2), 16, 10).cast("double") / 255
-    r, g, b = part(1), part(3), part(5)
-    top, low = F.greatest(r, g, b), F.least(r, g, b)
-    spread = top - low
-    hue = F.when(spread == 0, 0.0).when(top == r, 60 * ((g - b) / F.nullif(spread, F.lit(0.0)))).when(top == g, 60 * ((b - r) / F.nullif(spread, F.lit(0.0))) + 120).otherwise(60 * ((r - g) / F.nullif(spread, F.lit(0.0))) + 240)
-    hue = F.pmod(hue + 360, F.lit(360.0))
-    named = F.when(hue < 15, "red").when(hue < 45, "orange").when(hue < 70, "yellow").when(hue < 170, "green").when(hue < 260, "blue").when(hue < 320, "purple").when(hue < 345, "pink").otherwise("red")
-    return F.when(top < 0.15, "black").when((spread < 0.1) & (top > 0.9), "white").when(spread < 0.1, "grey").otherwise(named)

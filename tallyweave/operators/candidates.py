@@ -17,12 +17,12 @@ SALTS = 16
 
 
 def word_index(keywords: DataFrame, headers: DataFrame) -> DataFrame:
-    """(workbook, other, word, keyword, blocks): the words of each sheet, whether they are keywords of it, and the blocks whose headers hold them.
+    """(workbook, other, word, places): the words of each sheet, and where they stand, as bits: bit b for the headers of block b, bit OWN_BLOCKS for the sheet's keywords.
 
     keywords: (workbook, sheet, word); headers: (workbook, sheet, block, place, name), blocks and places counted from 0."""
-    of_sheet = keywords.select("workbook", F.col("sheet").alias("other"), "word", F.lit(True).alias("keyword"), F.lit(None).cast("int").alias("block"))
-    of_blocks = headers.where(F.col("block") < OWN_BLOCKS).select("workbook", F.col("sheet").alias("other"), F.explode(F.array_distinct(tokens("name"))).alias("word"), F.lit(False).alias("keyword"), F.col("block").cast("int"))
-    return of_sheet.unionByName(of_blocks).groupBy("workbook", "other", "word").agg(F.max("keyword").alias("keyword"), F.sort_array(F.collect_set("block")).alias("blocks"))
+    of_sheet = keywords.select("workbook", F.col("sheet").alias("other"), "word", F.lit(1 << OWN_BLOCKS).alias("bit"))
+    of_blocks = headers.where(F.col("block") < OWN_BLOCKS).select("workbook", F.col("sheet").alias("other"), F.explode(F.array_distinct(tokens("name"))).alias("word"), F.expr("shiftleft(1, CAST(block AS INT))").alias("bit"))
+    return of_sheet.unionByName(of_blocks).groupBy("workbook", "other", "word").agg(F.bit_or("bit").alias("places"))
 
 
 def _met(words: DataFrame, index: DataFrame) -> DataFrame:
@@ -33,9 +33,14 @@ def _met(words: DataFrame, index: DataFrame) -> DataFrame:
     return words.withColumn("__salt", F.pmod(F.xxhash64(*words.columns), F.lit(SALTS)).cast("int")).join(salted, ["workbook", "word", "__salt"]).drop("__salt")
 
 
+def _stands(found: Column, bit: Column) -> Column:
+    """Words of `found` (array of word and places) that stand at a bit."""
+    return F.filter(found, lambda x: F.getbit(x["places"], bit) == 1)
+
+
 def _block(found: Column, most: int) -> Column:
     """A struct of hits and minus the number of the block of `found` with most words, the first on ties; NULL without any."""
-    hits = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda b: F.struct(F.size(F.filter(found, lambda x: F.array_contains(x["blocks"], b))).alias("hits"), (-b).alias("minus")))
+    hits = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda b: F.struct(F.size(_stands(found, b)).alias("hits"), (-b).alias("minus")))
     return F.array_max(F.filter(hits, lambda x: x["hits"] > 0))
 
 
@@ -47,16 +52,18 @@ def task_candidates(texts: DataFrame, keywords: DataFrame, headers: DataFrame, i
     or whose workbook is NULL, have no candidates, and of texts that share workbook, sheet and id each has its own words only if the ids differ: they count as one text.
     """
     index = written(word_index(keywords, headers), "words")
-    words = texts.select("workbook", "sheet", id_col, F.explode(F.array_distinct(tokens("text"))).alias("word")).distinct()
+    words = texts.select("workbook", "sheet", id_col, F.explode(F.array_distinct(tokens("text"))).alias("word"))
     key = ["workbook", "sheet", id_col]
-    found = _met(words, index).groupBy(*key, "other").agg(F.collect_list(F.struct("word", "keyword", "blocks")).alias("found"))
+    # A text's words are of one row, so they are put together before anything is shuffled.
+    found = _met(words, index).groupBy(*key, "other").agg(F.collect_set(F.struct("word", "places")).alias("found"))
     is_own = F.col("other") == F.col("sheet")
-    hit = F.sort_array(F.transform(F.filter("found", lambda x: x["keyword"]), lambda x: x["word"]))
+    hit = F.sort_array(F.transform(_stands(F.col("found"), F.lit(OWN_BLOCKS)), lambda x: x["word"]))
     scored = found.withColumns({"own": is_own, "hit": hit, "best": F.when(is_own, _block(F.col("found"), OWN_BLOCKS)).otherwise(_block(F.col("found"), BLOCKS))})
+    block_words = F.transform(_stands(F.col("found"), -F.col("best.minus")), lambda x: x["word"])
     scored = scored.withColumn("score", F.when(F.col("own"), F.coalesce("best.hits", F.lit(0))).when(F.lower("other").isin(*LISTS), 0).otherwise(F.size("hit"))).where("score > 0")
-    shown = {"block": -F.col("best.minus"), "matched": F.when(~F.col("own"), F.slice("hit", 1, MATCHED)), "block_words": F.transform(F.filter("found", lambda x: F.array_contains(x["blocks"], -F.col("best.minus"))), lambda x: x["word"])}
+    scored = scored.select(*key, "other", "own", "score", F.when(~F.col("own"), F.slice("hit", 1, MATCHED)).alias("matched"), (-F.col("best.minus")).alias("block"), F.when(F.col("best").isNotNull(), block_words).alias("block_words"))
     order = Window.partitionBy(*key).orderBy(F.desc("score"), "own", "other")
-    top = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= MOST).withColumns(shown).drop("found", "hit", "best", "own")
+    top = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= MOST).drop("own")
     names = headers.where(F.col("block") < OWN_BLOCKS).groupBy("workbook", F.col("sheet").alias("other"), F.col("block").cast("int").alias("block")).agg(F.sort_array(F.collect_list(F.struct("place", "name"))).alias("names"))
     told = top.join(names, same(top, names, ["workbook", "other", "block"]), "left").select(*(top[c] for c in top.columns), "names")
     matches = F.transform(F.filter("names", lambda x: F.arrays_overlap(tokens(x["name"]), F.col("block_words"))), lambda x: x["name"])

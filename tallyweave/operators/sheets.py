@@ -57,6 +57,20 @@ def in_ranges(cells: DataFrame, ranges: DataFrame, block: int = 256) -> DataFram
     return hit.where("row BETWEEN r1 AND r2 AND col BETWEEN c1 AND c2").drop("blk", "r1", "r2", "c1", "c2")
 
 
+def with_merged(cells: DataFrame, merged: DataFrame, block: int = 256) -> DataFrame:
+    """Cells with the merged range (workbook, sheet, range_id, r1, c1, r2, c2) that they lie in, as `merged` (A1:C3) and `range_id`, and whether they are its first cell, which is the one shown.
+
+    Ranges are spread over blocks of rows and meet cells in one equi-join; a block's ranges are one array. Of ranges that overlap the least number counts. Cells outside have NULLs.
+    """
+    box = F.struct("range_id", "r1", "c1", "r2", "c2")
+    blocks = merged.select(*KEY, F.explode(F.sequence(F.floor(F.col("r1") / block), F.floor(F.col("r2") / block))).alias("__blk"), box.alias("box")).groupBy(*KEY, "__blk").agg(F.sort_array(F.collect_list("box")).alias("__boxes"))
+    met = cells.withColumn("__blk", F.floor(F.col("row") / block)).join(blocks, [*KEY, "__blk"], "left")
+    hit = F.try_element_at(F.filter("__boxes", lambda x: F.col("row").between(x["r1"], x["r2"]) & F.col("col").between(x["c1"], x["c2"])), F.lit(1))
+    corner = lambda r, c: F.concat(column_letters(F.col(f"__hit.{c}")), F.col(f"__hit.{r}").cast("string"))
+    told = met.withColumn("__hit", hit).withColumns({"merged": F.concat(corner("r1", "c1"), F.lit(":"), corner("r2", "c2")), "range_id": F.col("__hit.range_id"), "is_shown": (F.col("row") == F.col("__hit.r1")) & (F.col("col") == F.col("__hit.c1"))})
+    return told.select(*cells.columns, "range_id", "merged", "is_shown")
+
+
 def formula_refs(formulas: DataFrame, formula: str = "raw") -> DataFrame:
     """(…, ref_sheet, ref) of each formula: sheet-qualified references, then plain ones.
 

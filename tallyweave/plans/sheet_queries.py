@@ -84,3 +84,15 @@ def task_candidates(spark, sf_dir):
     headers = words.select("workbook", "sheet", (F.col("place") / 20).cast("int").alias("block"), "place", F.col("word").alias("name"))
     out = candidates.task_candidates(docs, words, headers, "doc_id")
     return out.withColumns({c: F.array_join(c, ",") for c in ("matched", "header_matches")})
+
+
+@query(
+    CELLS + """, ranges AS (SELECT CAST(s_suppkey AS INTEGER) AS range_id, CAST(s_suppkey % 10 AS VARCHAR) AS workbook, CASE WHEN s_suppkey % 2 = 0 THEN 'F' ELSE 'O' END AS sheet, CAST(s_suppkey * 20 AS INTEGER) AS r1, CAST(s_suppkey * 20 + 900 AS INTEGER) AS r2, CAST(2 + s_suppkey % 3 AS INTEGER) AS c1, CAST(3 + s_suppkey % 3 AS INTEGER) AS c2 FROM supplier),
+    hit AS (SELECT workbook, sheet, row_, col_, min(range_id) AS range_id FROM cells JOIN ranges USING (workbook, sheet) WHERE row_ BETWEEN r1 AND r2 AND col_ BETWEEN c1 AND c2 GROUP BY ALL)
+    SELECT c.workbook, c.sheet, c.row_ AS row, c.col_ AS col, h.range_id, chr(64 + c1) || r1 || ':' || chr(64 + c2) || r2 AS merged, c.row_ = r1 AND c.col_ = c1 AS is_shown
+    FROM cells c LEFT JOIN hit h USING (workbook, sheet, row_, col_) LEFT JOIN ranges r ON r.range_id = h.range_id"""
+)
+def merged_cells(spark, sf_dir):
+    k = F.col("s_suppkey").cast("int")
+    ranges = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 10).cast("string").alias("workbook"), F.when(k % 2 == 0, "F").otherwise("O").alias("sheet"), k.alias("range_id"), (k * 20).alias("r1"), (2 + k % 3).alias("c1"), (k * 20 + 900).alias("r2"), (3 + k % 3).alias("c2"))
+    return sheets.with_merged(sheets.filled(line_cells(spark, sf_dir)), ranges).drop("raw", "v_type")

@@ -8,18 +8,30 @@ import os
 import re
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: One superset of all kinds of trajectory records; `type` tells them apart.
 TRAJECTORY = "type string, step int, ts double, category string, model string, id string, chars long, content string, request string, response string, usage struct<prompt_tokens:long,completion_tokens:long>, latency_ms double, error string, tool string, pending array<string>"
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, value) of the lines of text files, packed or not, numbered from 1, however Spark splits the files.
+
+    A scan counts its rows as it reads them. Where each split begins in that count, and how many lines the splits before it hold, are a row for each
+    split, so that lines are numbered without being ordered."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at"))
+    splits = lines.groupBy("__path", "__block").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    earlier = Window.partitionBy("__path").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("__path", "__block", (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first") + 1).alias("__add"))
+    return lines.join(offsets, ["__path", "__block"]).select(F.regexp_extract("__path", "([^/]+)$", 1).alias("file"), (F.col("__at") + F.col("__add")).alias("line_no"), "value")
+
+
 def trajectory(spark: SparkSession, path: str, schema: str = TRAJECTORY) -> tuple[DataFrame, DataFrame]:
-    """(records, bad lines with file and text) of JSON lines, packed or not. Blank lines are skipped."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file")).where(F.trim("value") != "")
+    """(records, bad lines with file, number and text) of JSON lines, packed or not. Blank lines are skipped, but counted."""
+    lines = numbered_lines(spark, path).where(F.trim("value") != "")
     parsed = lines.withColumn("record", F.from_json("value", schema + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
-    return parsed.where("record._corrupt IS NULL").select("file", "record.*").drop("_corrupt"), parsed.where("record._corrupt IS NOT NULL").select("file", "value")
+    return parsed.where("record._corrupt IS NULL").select("file", "record.*").drop("_corrupt"), parsed.where("record._corrupt IS NOT NULL").select("file", "line_no", "value")
 
 
 def transcript(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -116,11 +128,24 @@ def csv_dims(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(measure, "file string, rows long, cols long")
 
 
-def jdbc(spark: SparkSession, url: str, query_table: str, **options: str) -> DataFrame:
-    """A table of a database; filters and columns are pushed down. Identifiers must be plain names."""
-    if not re.fullmatch(r"[A-Za-z_][\w.]*", query_table):
-        raise ValueError(f"{query_table!r} is no plain name")
-    return spark.read.format("jdbc").options(url=url, dbtable=query_table, **options).load()
+NAME = re.compile(r"[A-Za-z_]\w*")
+
+
+def jdbc(spark: SparkSession, url: str, table: str, columns: list[str], id_col: str, ids: list | None = None, equal: dict | None = None, bounds: tuple[int, int] | None = None, parts: int = 8, quote: str = '"', **options: str) -> DataFrame:
+    """Columns of a table of a database: of the rows with one of `ids` (None: all) that hold the values of `equal` (None: NULL).
+
+    The database filters: values go to it as literals that Spark escapes, never as text of the query. Names must be plain ones, and the table's are quoted by `quote`.
+    With `bounds` of a whole-number id the table is read in `parts` ranges at a time; rows outside the bounds are in the first and last."""
+    for name in (*table.split("."), *columns, id_col, *(equal or {})):
+        if not NAME.fullmatch(name):
+            raise ValueError(f"{name!r} is no plain name")
+    options |= dict(zip(("partitionColumn", "lowerBound", "upperBound", "numPartitions"), map(str, (id_col, *bounds, parts)), strict=True)) if bounds else {}
+    rows = spark.read.format("jdbc").options(url=url, dbtable=".".join(f"{quote}{part}{quote}" for part in table.split(".")), **options).load()
+    if ids is not None:
+        rows = rows.where(F.col(id_col).isin(ids) if ids else F.lit(False))
+    for name, value in (equal or {}).items():
+        rows = rows.where(F.col(name).isNull() if value is None else F.col(name) == value)
+    return rows.select(*columns)
 
 
 def config(defaults: dict, own: dict) -> dict:

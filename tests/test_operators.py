@@ -7,7 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from tallyweave.functions import evaluation, formulas, scalars
+from tallyweave.functions import evaluation, formats, formulas, scalars
 from tallyweave.operators import budget, coverage, leaderboard, scoring, selection, sheets, stats, telemetry
 from tallyweave.sources import logs, sinks, xlsx
 from tallyweave.streaming import jobs
@@ -205,8 +205,8 @@ def test_scalars(spark):
     assert json.loads(scalars.repair_json("```\n{a: 'b', c: True, // note\n d: [1,2,],}\n```")) == {"a": "b", "c": True, "d": [1, 2]}
     assert [json.loads(x) for x in scalars.split_objects('{"a": "}"}{"b": {"c": 1}} x {bad {"d": 2}')] == [{"a": "}"}, {"b": {"c": 1}}, {"d": 2}]
     df = spark.createDataFrame([(2.675, 2, "ff0000", "s3://b/k/x.csv", "Ab, C!")], "x double, n int, rgb string, uri string, t string")
-    r = df.select(scalars.python_round("x", "n"), F.round("x", 2), scalars.color_name("rgb"), scalars.s3_parts("uri"), scalars.slug("t")).first()
-    assert (r[0], r[1], r[2], tuple(r[3]), r[4]) == (2.67, 2.68, "red", ("b", "k/x.csv"), "ab-c")
+    r = df.select(scalars.python_round("x", "n"), F.round("x", 2), formats.colour_name("rgb"), scalars.s3_parts("uri"), scalars.slug("t")).first()
+    assert (r[0], r[1], r[2], tuple(r[3]), r[4]) == (2.67, 2.68, "bright_red (ff0000)", ("b", "k/x.csv"), "ab-c")
 
 
 def workbook(path):
