@@ -183,3 +183,50 @@ def _half_away(x: float, digits: int) -> str:
 @F.pandas_udf(T.StringType())
 def rendered_number(value: pd.Series, number_format: pd.Series) -> pd.Series:
     return pd.Series([render_number(None if v is None or pd.isna(v) else float(v), f) for v, f in zip(value, number_format, strict=True)], dtype="object")
+
+
+def run_stamp(ts: str | Column) -> Column:
+    """A time as a name of a folder, in UTC (the session's zone has to be UTC): 20250131T235959Z."""
+    return F.date_format(_c(ts), "yyyyMMdd'T'HHmmss'Z'")
+
+
+def elapsed_seconds(start: str | Column, end: str | Column) -> Column:
+    """Seconds between two times, with two decimals."""
+    return F.round((F.unix_micros(_c(end)) - F.unix_micros(_c(start))) / 1e6, 2)
+
+
+def duration_text(seconds: str | Column) -> Column:
+    """59s, 1m05s or 2h03m of whole seconds, cut off."""
+    s = _c(seconds).cast("long")
+    return F.when(s < 60, F.format_string("%ds", s)).when(s < 3600, F.format_string("%dm%02ds", F.floor(s / 60), s % 60)).when(s.isNotNull(), F.format_string("%dh%02dm", F.floor(s / 3600), F.floor(s % 3600 / 60)))
+
+
+def moved_bucket(uri: str | Column, old: str, new: str) -> Column:
+    """A URI of the bucket `old` as one of `new`; others as they are."""
+    return F.when(_c(uri).startswith(f"s3://{old}/"), F.concat(F.lit(f"s3://{new}/"), F.substring(_c(uri), len(old) + 7, 1 << 30))).otherwise(_c(uri))
+
+
+def flattened(config: dict, prefix: str = "") -> dict:
+    """A nested configuration as one level of PREFIX_KEY in upper case; None is left out."""
+    out = {}
+    for key, value in config.items():
+        name = f"{prefix}_{key.upper()}" if prefix else key.upper()
+        if isinstance(value, dict):
+            out |= flattened(value, name)
+        elif value is not None:
+            out[name] = value
+    return out
+
+
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
+def flattened_json(text: pd.Series) -> pd.Series:
+    """The same of JSON objects; values that are no text as JSON. NULL and what is no object give NULL."""
+
+    def one(t):
+        try:
+            config = json.loads(t)
+        except (TypeError, ValueError):
+            return None
+        return {k: v if isinstance(v, str) else json.dumps(v) for k, v in flattened(config).items()} if isinstance(config, dict) else None
+
+    return text.map(one)

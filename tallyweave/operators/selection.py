@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.sources.logs import file_refs
+from tallyweave.sources.tables import one_row
 
 
 def not_true(c: str | Column) -> Column:
@@ -120,8 +121,7 @@ def missing_cells(tasks: DataFrame, agents: DataFrame, attempts: DataFrame, requ
 
     The grid is tasks times the short roster of agents, made by exploding the roster within each task.
     """
-    roster = agents.agg(F.sort_array(F.collect_set("agent")).alias("agents"))
-    grid = tasks.select("task_id").join(F.broadcast(roster)).select("task_id", F.explode("agents").alias("agent"))
+    grid = tasks.select("task_id").join(one_row(agents.select("agent").distinct(), "agents")).select("task_id", F.inline("agents"))
     last = latest(attempts.select("task_id", "agent", "attempt_id", "prompt_version", "failed", "deprecated", "files"), ["task_id", "agent"], F.col("attempt_id"))
     books = F.size(F.filter(file_names(), is_workbook))
     reason = (
@@ -148,6 +148,33 @@ def ranked_matches(candidates: DataFrame, key: str, priority: str, tie: str) ->
 
 
 def first_seen(rows: DataFrame, keys: list[str], position: str) -> DataFrame:
-    """Of each key the row that comes first."""
-    w = Window.partitionBy(*keys).orderBy(position)
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """Of each key the row that comes first. Rows of a key with the same position: one of them."""
+    rest = [c for c in rows.columns if c not in keys]
+    first = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(F.col(position).isNotNull(), position)).alias("first"))
+    return first.select(*keys, "first.*").select(*rows.columns)
+
+
+def graded_attempts(gradings: DataFrame, attempts: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Gradings with the attempt and the task that they are of: (grading columns, agent, prompt_version, task_name, task_source). Those without either are left out.
+
+    Attempts meet their tasks first, a row each; gradings then meet the attempts. All three may be large: no side is broadcast unless Spark finds it small."""
+    known = attempts.select("attempt_id", "task_id", "agent", "prompt_version").join(tasks.select("task_id", "task_name", "task_source"), "task_id")
+    return gradings.join(known.drop("task_id"), "attempt_id")
+
+
+def results_of(results: DataFrame, attempts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Results (attempt_id, …) with their attempt's task, agent and version, and the results that no attempt has."""
+    known = attempts.select("attempt_id", "task_id", "agent", "prompt_version")
+    return results.join(known, "attempt_id"), results.join(known, "attempt_id", "left_anti")
+
+
+def tasks_by_name(wanted: DataFrame, tasks: DataFrame, normal: Column, name: str = "name") -> DataFrame:
+    """wanted (name) with the task_id of the first match, NULL without any: live tasks by the normalised name, then by the name as it is, then any task in the opposite order.
+
+    Live tasks are those known not to be deprecated. Of several tasks of one kind of match the least id counts. `normal` is the normalised name, a column of `wanted`."""
+    names = wanted.select(F.col(name).alias("__name"), normal.alias("__normal")).distinct()
+    tried = names.select("__name", F.posexplode(F.array("__normal", "__name")).alias("place", "task_name"))
+    live = F.coalesce(F.col("deprecated") == F.lit(False), F.lit(False))
+    rank = F.when(live, F.col("place")).otherwise(3 - F.col("place"))
+    best = tried.join(tasks.select("task_id", "task_name", "deprecated"), "task_name").groupBy("__name").agg(F.min_by("task_id", F.struct(rank, "task_id")).alias("task_id"))
+    return wanted.join(best, wanted[name] == best["__name"], "left").drop("__name")

@@ -9,7 +9,7 @@ from tallyweave.functions import formulas
 from tallyweave.operators import budget, coverage, rules, scoring, selection, sheets
 from tallyweave.plans.log_queries import CELLS, line_cells
 from tallyweave.sources import logs
-from tallyweave.sources.tables import table
+from tallyweave.sources.tables import small, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -113,7 +113,7 @@ def fallback_match(spark, sf_dir):
 )
 def reasons_by_priority(spark, sf_dir):
     reason = F.when(F.col("c_acctbal") < 0, "failed").when(F.col("c_acctbal") < 1000, "empty").otherwise("no_attempt")
-    joined = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    joined = table(spark, sf_dir, "customer").join(small(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
     order = F.array(F.lit("no_attempt"), F.lit("failed"), F.lit("empty"))
     return joined.groupBy(F.col("n_name").alias("nation"), reason.alias("reason")).agg(F.count("*").alias("n")).orderBy(F.array_position(order, F.col("reason")), "nation")
 

@@ -1,11 +1,12 @@
-"""Queries over whole workbooks: candidates of tasks, texts in segments, checks of solutions."""
+"""Queries over whole workbooks (candidates of tasks, texts in segments, checks of solutions) and reports over evaluation tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyweave.operators import candidates, grid, sheets
+from tallyweave.operators import candidates, grid, reports, selection, sheets
 from tallyweave.plans.log_queries import CELLS, line_cells
+from tallyweave.sources.evaluation import evaluation, oracle_with
 from tallyweave.sources.tables import table, written
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -96,3 +97,64 @@ def merged_cells(spark, sf_dir):
     k = F.col("s_suppkey").cast("int")
     ranges = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 10).cast("string").alias("workbook"), F.when(k % 2 == 0, "F").otherwise("O").alias("sheet"), k.alias("range_id"), (k * 20).alias("r1"), (2 + k % 3).alias("c1"), (k * 20 + 900).alias("r2"), (3 + k % 3).alias("c2"))
     return sheets.with_merged(sheets.filled(line_cells(spark, sf_dir)), ranges).drop("raw", "v_type")
+
+
+VALID = "a.failed IS NOT TRUE AND a.deprecated IS NOT TRUE"
+
+
+@query(
+    oracle_with("tasks", "attempts") + f""", done AS (SELECT a.agent, count(DISTINCT a.task_id) AS done FROM attempts a WHERE {VALID} AND a.task_id IN (SELECT task_id FROM tasks) GROUP BY 1)
+    SELECT r.agent, coalesce(done, 0) AS done, t.total, CAST(round_even(coalesce(done, 0) / t.total * 100, 0) AS INTEGER) AS rate FROM (SELECT DISTINCT agent FROM attempts) r LEFT JOIN done USING (agent), (SELECT count(DISTINCT task_id) AS total FROM tasks) t"""
+)
+def completion_matrix(spark, sf_dir):
+    tasks, attempts = evaluation(spark, sf_dir, "tasks"), evaluation(spark, sf_dir, "attempts")
+    return reports.completion_matrix(tasks, attempts, attempts.where(selection.not_true("failed") & selection.not_true("deprecated")))
+
+
+@query(
+    oracle_with("tasks", "attempts") + f""", bad AS (SELECT task_id, agent, CASE WHEN failed THEN 'failed' ELSE 'deprecated' END AS reason, min(attempt_id) AS first_at FROM attempts a WHERE NOT ({VALID}) GROUP BY 1, 2, 3),
+    reasons AS (SELECT task_id, agent, string_agg(reason, ', ' ORDER BY first_at, reason) AS reasons FROM bad GROUP BY 1, 2)
+    SELECT r.agent, t.task_id, coalesce(reasons, '') AS reasons FROM (SELECT DISTINCT task_id FROM tasks) t CROSS JOIN (SELECT DISTINCT agent FROM attempts) r LEFT JOIN reasons USING (task_id, agent)
+    WHERE NOT EXISTS (SELECT 1 FROM attempts a WHERE a.task_id = t.task_id AND a.agent = r.agent AND {VALID})"""
+)
+def missing_with_reasons(spark, sf_dir):
+    tasks, attempts = evaluation(spark, sf_dir, "tasks"), evaluation(spark, sf_dir, "attempts")
+    valid = selection.not_true("failed") & selection.not_true("deprecated")
+    invalid = attempts.where(~valid).withColumn("reason", F.when(F.col("failed"), "failed").otherwise("deprecated"))
+    return reports.missing_with_reasons(tasks, attempts, attempts.where(valid), invalid).withColumn("reasons", F.array_join("reasons", ", "))
+
+
+@query(
+    oracle_with("tasks", "attempts", "gradings") + """ SELECT agent, prompt_version, task_source, count(*) AS n, round(avg(accuracy), 6) AS accuracy, count(DISTINCT task_name) AS n_tasks
+    FROM gradings g JOIN attempts a USING (attempt_id) JOIN tasks t ON t.task_id = a.task_id GROUP BY ALL"""
+)
+def graded_attempts(spark, sf_dir):
+    rows = selection.graded_attempts(*(evaluation(spark, sf_dir, n) for n in ("gradings", "attempts", "tasks")))
+    return rows.groupBy("agent", "prompt_version", "task_source").agg(F.count("*").alias("n"), F.round(F.avg("accuracy"), 6).alias("accuracy"), F.count_distinct("task_name").alias("n_tasks"))
+
+
+BATCHES = "SELECT source AS batch, CAST(doc_id AS VARCHAR) AS workspace, CASE WHEN lang IS NULL THEN 'error' ELSE 'success' END AS status, n_chars % 7 AS iterations, n_chars AS tokens, n_chars // 100 AS cents, n_chars % 60 AS seconds, CASE WHEN lang IS NULL THEN 'no language' END AS error FROM documents"
+
+
+def batches(spark, sf_dir):
+    d, n = table(spark, sf_dir, "documents"), F.col("n_chars")
+    return d.select(F.col("source").alias("batch"), F.col("doc_id").cast("string").alias("workspace"), F.when(F.col("lang").isNull(), "error").otherwise("success").alias("status"), (n % 7).alias("iterations"), n.alias("tokens"), F.floor(n / 100).alias("cost"), (n % 60).alias("seconds"), F.when(F.col("lang").isNull(), "no language").alias("error"))
+
+
+@query(
+    f"""SELECT batch, count(*) AS workspaces, count(*) FILTER (status = 'success') AS successful, count(*) FILTER (status <> 'success') AS failed, coalesce(CAST(sum(iterations) AS BIGINT), 0) AS iterations, coalesce(CAST(sum(tokens) AS BIGINT), 0) AS tokens, coalesce(CAST(sum(cents) AS BIGINT), 0) AS cost, coalesce(CAST(sum(seconds) AS BIGINT), 0) AS seconds
+    FROM ({BATCHES}) b GROUP BY 1"""
+)
+def batch_totals(spark, sf_dir):
+    return reports.batch_totals(batches(spark, sf_dir), ["batch"])
+
+
+@query(
+    f"""WITH b AS ({BATCHES}), lines AS (SELECT batch, workspace, unnest(list_filter(['### ' || CASE WHEN status = 'success' THEN '✅' ELSE '❌' END || ' ' || workspace, '- **Status**: ' || status, '- **Iterations**: ' || coalesce(iterations, 0), '- **Tokens**: ' || format('{{:,}}', coalesce(tokens, 0)),
+      '- **Cost**: ' || printf('$%.4f', CAST(coalesce(cents, 0) AS DOUBLE)), '- **Duration**: ' || printf('%.2fs', CAST(coalesce(seconds, 0) AS DOUBLE)), '- **Error**: ' || error], lambda x: x IS NOT NULL)) AS line FROM b)
+    SELECT batch, line, count(*) AS n FROM lines GROUP BY ALL"""
+)
+def batch_report(spark, sf_dir):
+    """The lines of the workspaces' sections and how often each batch has them."""
+    rows = batches(spark, sf_dir)
+    return reports.batch_report(rows, reports.batch_totals(rows, ["batch"]), ["batch"]).where("place >= 0").groupBy("batch", "line").agg(F.count("*").alias("n"))
