@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 
 from tallyweave.llm.common import in_chunks, map_texts, mix64, runs, utf8
 
-#: Slots of the hashed trigram table, and documents of a language that the tables are learned from at most (taken by a hash of the id).
-SLOTS, MAX_DOCS = 1 << 18, 4_000
-#: Languages that are learned at most: those with most documents, ties by name. It bounds the tables that every task holds (SLOTS floats each).
-MAX_LANGUAGES = 200
+#: Bits of a slot of the hashed trigram tables, and documents of a language that they are learned from at most (taken by a hash of the id).
+SLOT_BITS, MAX_DOCS = 18, 4_000
+#: All languages are learned. Their tables together have so many entries at most: beyond 64 languages there are fewer slots for each, down to LEAST_BITS.
+TABLE_BITS, LEAST_BITS = 24, 12
 #: Rounds of expectation-maximisation; neighbouring trigrams overlap, so their evidence counts for less.
 STEPS, TEMPER = 12, 0.7
 
@@ -34,7 +34,12 @@ _LETTER[97:123] = _LETTER[128:] = True
 _any_letter = regex.compile(r"\p{L}").search
 
 
-def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def slot_bits(n_languages: int) -> int:
+    """Bits of a slot, so that the tables of so many languages stay small enough for every task to hold."""
+    return max(LEAST_BITS, min(SLOT_BITS, TABLE_BITS - (max(n_languages, 1) - 1).bit_length()))
+
+
+def trigrams(texts: list[str | None], bits: int = SLOT_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(slot of each letter byte's trigram, where each word's bytes begin among them, document of each word, words of each document)."""
     data, ends = utf8([t.lower() if t else t for t in texts])
     letter = _LETTER[data]
@@ -47,7 +52,7 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     before[begins] = 32
     after[stops - 1] = 32
     code = ((before << np.uint32(16)) | (kept << np.uint32(8)) | after)[letter]
-    slot = (mix64(code.astype(np.uint64)) >> np.uint64(64 - 18)).astype(np.int64)
+    slot = (mix64(code.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
     doc = np.searchsorted(ends, begins, side="right") - 1
     return slot, np.cumsum(stops - begins) - (stops - begins), doc, np.bincount(doc, minlength=n)
 
@@ -59,42 +64,45 @@ class Languages:
     names: list[str]
     table: np.ndarray
 
+    @property
+    def bits(self) -> int:
+        return len(self.table).bit_length() - 1
+
 
 def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", most: int = MAX_DOCS) -> Languages:
     """The tables of all languages that `docs` names; rows without a language or id are left out.
 
     Of a language with more than `most` documents, about `most` are taken. Trigrams are counted on the executors; the
-    driver gets at most SLOTS counts a language.
+    driver gets a row for each language and one for each entry of the tables that is not empty (2 ** TABLE_BITS at most, up to 4,096 languages).
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    sizes = known.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = known.groupBy(F.col(lang_col).alias("lang")).count().orderBy("lang").collect()
+    bits, names = slot_bits(len(sizes)), [r["lang"] for r in sizes]
+    slots = 1 << bits
     if not sizes:
-        return Languages([], np.zeros((SLOTS, 0), dtype=np.float32))
-    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, most / r["count"])) for r in sizes], "lang string, share double")
+        return Languages([], np.zeros((slots, 0), dtype=np.float32))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], i, min(1.0, most / r["count"])) for i, r in enumerate(sizes)], "lang string, number int, share double")
     part = F.xxhash64(F.col("id"), F.lit("lang")).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
     named = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sample = named.join(F.broadcast(shares), "lang").where(part < F.col("share"))
+    sample = named.join(shares, "lang").where(part < F.col("share"))
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
-            for name in sorted(set(langs)):
-                own = [t for t, x in zip(texts, langs, strict=True) if x == name]
-                counts = np.zeros(SLOTS, dtype=np.int64)
+            numbers, texts = batch.column("number").to_numpy(), batch.column("text").to_pylist()
+            for number in np.unique(numbers):
+                own = [texts[i] for i in np.flatnonzero(numbers == number)]
+                counts = np.zeros(slots, dtype=np.int64)
                 for a, b in in_chunks(own, 2_000_000):
-                    counts += np.bincount(trigrams(own[a:b])[0], minlength=SLOTS)
+                    counts += np.bincount(trigrams(own[a:b], bits)[0], minlength=slots)
                 some = np.flatnonzero(counts)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array(counts[some], pa.int64())], ["lang", "slot", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), number), pa.int32()), pa.array(some, pa.int32()), pa.array(counts[some], pa.int64())], ["number", "slot", "n"])
 
-    counts = sample.select("lang", "text").mapInArrow(run, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
-    names = sorted(r["lang"] for r in sizes)
-    table = np.full((SLOTS, len(names)), 0.05)
-    for k, name in enumerate(names):
-        own = counts[counts["lang"] == name]
-        table[own["slot"].to_numpy(), k] += own["n"].to_numpy()
-    return Languages(names, np.log(table / np.maximum(table.sum(0), 1)).astype(np.float32))
+    counts = sample.select("number", "text").mapInArrow(run, "number int, slot int, n long").groupBy("number", "slot").agg(F.sum("n").alias("n")).toPandas()
+    table = np.full((slots, len(names)), 0.05, dtype=np.float32)
+    table[counts["slot"].to_numpy(), counts["number"].to_numpy()] += counts["n"].to_numpy()
+    return Languages(names, np.log(table / np.maximum(table.sum(0, dtype=np.float64), 1)).astype(np.float32))
 
 
 def em(like: np.ndarray, doc: np.ndarray, first: np.ndarray, size: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +119,7 @@ def mixtures(texts: list[str | None], model: Languages) -> np.ndarray:
     """A row of language proportions for each text; all zero where a text has no letter."""
     n, k = len(texts), len(model.names)
     out = np.zeros((n, k))
-    slot, first_byte, doc, n_words = trigrams(texts)
+    slot, first_byte, doc, n_words = trigrams(texts, model.bits)
     if not len(slot) or not k:
         return out
     log = np.add.reduceat(model.table[slot], first_byte, axis=0).astype(np.float64) * TEMPER
@@ -137,12 +145,22 @@ def mixtures(texts: list[str | None], model: Languages) -> np.ndarray:
         full, _ = em(own, own_at, own_first, own_size, np.ones((len(open_), k)))
         order = np.argsort(-full, axis=1, kind="stable")
         for m in range(2, k + 1):
-            allowed = np.zeros((len(open_), k))
-            np.put_along_axis(allowed, order[:, :m], 1, axis=1)
-            share, total = em(own, own_at, own_first, own_size, allowed)
-            better = total - (m - 1) * penalty[open_] > value[open_]
-            value[open_] = np.where(better, total - (m - 1) * penalty[open_], value[open_])
-            chosen[open_] = np.where(better[:, None], share, chosen[open_])
+            # A set of m pays at most its likelihood of 0 less m - 1 penalties: documents that are better off already are done. The others' words meet their m languages only.
+            left = np.flatnonzero(-(m - 1) * penalty[open_] > value[open_])
+            if not len(left):
+                break
+            mine = np.isin(own_at, left)
+            local = np.searchsorted(left, own_at[mine])
+            own_left = own_size[left]
+            like_m = np.take_along_axis(own[mine], order[left, :m][local], axis=1)
+            share, total = em(like_m, local, np.cumsum(own_left) - own_left, own_left, np.ones((len(left), m)))
+            now = open_[left]
+            paid = total - (m - 1) * penalty[now]
+            better = paid > value[now]
+            value[now] = np.where(better, paid, value[now])
+            spread = np.zeros((len(left), k))
+            np.put_along_axis(spread, order[left, :m], share, axis=1)
+            chosen[now] = np.where(better[:, None], spread, chosen[now])
     out[rows] = chosen
     return out
 

@@ -3,7 +3,7 @@
 Documents are dealt into shards by a hash of their id.
 
 1. Anchors. Of every LENGTH-byte window the GRAM-byte gram with the smallest hash is its anchor, so equal windows have
-   equal anchors at equal places. A shard sends its anchors' hashes, sorted, cut into ranges.
+   equal anchors at equal places. They are found once, text by text, and dealt out with the texts. A shard sends its anchors' hashes, sorted, cut into ranges.
 2. A range's task merges the shards' sorted runs: by binary search in the merged run it finds the hashes that occur in
    more than one document, and tells each shard which of its own they are, and which are hot: those that stand in HOT places or more
    (counts are rounded up to powers of two). All other text is unique and goes no further.
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
-from tallyweave.llm.common import _BYTE_CODES, INVERSE, MULTIPLIER, give_back, materialize, mix64, powers, utf8
+from tallyweave.llm.common import _BYTE_CODES, INVERSE, MULTIPLIER, give_back, in_chunks, materialize, mix64, powers, utf8
 
 LENGTH, GRAM = 50, 26
 SIDE = LENGTH - GRAM
@@ -138,9 +138,9 @@ def repeated(text: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return out
 
 
-def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, 48-bit hashes) of the anchors of all windows inside documents (which end at `ends[1:]`)."""
-    places, hashes = [], []
+def anchor_places(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Places of the anchors of all windows inside documents (which end at `ends[1:]`), in order. Two of one document are never more than LENGTH - GRAM + 1 apart."""
+    places = []
     span = LENGTH - GRAM + 1
     for a in range(0, max(len(data) - LENGTH + 1, 0), AT_ONCE):
         part = data[a : a + AT_ONCE + LENGTH - 1 + 2 * SIDE]  # windows that start in this run, and those that share grams with them
@@ -152,20 +152,53 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         h = mix64((sums[GRAM:] - sums[:-GRAM]) * powers("down", INVERSE, n + 1)[: n - GRAM + 1]) >> np.uint64(16)
         least = sliding(h, span, np.minimum)
         # Windows that cross a document's end count for nothing.
-        stop = ends[np.searchsorted(ends, np.arange(a, a + len(least)), side="right")]
-        least[np.arange(a, a + len(least)) + LENGTH > stop] = 0
+        for end in ends[np.searchsorted(ends, a, side="right") : np.searchsorted(ends, a + len(least) + LENGTH, side="left")].tolist():
+            least[max(end - LENGTH + 1 - a, 0) : max(end - a, 0)] = 0
         if a + AT_ONCE < len(data) - LENGTH + 1:
             least[AT_ONCE:] = 0  # the next run's
         most = sliding(np.concatenate([np.zeros(span - 1, dtype=np.uint64), least, np.zeros(span - 1, dtype=np.uint64)]), span, np.maximum)
-        chosen = np.flatnonzero((most == h) & (h > 0))
-        places.append(chosen + a)
-        hashes.append(h[chosen])
-    if not places:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    place, h = np.concatenate(places), np.concatenate(hashes)
-    place, first = np.unique(place, return_index=True)
-    # Anchors are minima, so their hashes crowd at the low end; scrambled once more they spread evenly over the ranges.
-    return place, mix64(h[first]) >> np.uint64(16)
+        places.append(np.flatnonzero((most == h) & (h > 0)) + a)
+    return np.unique(np.concatenate(places)) if places else np.zeros(0, dtype=np.int64)
+
+
+def anchor_hashes(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """48-bit hashes of the grams at `places`. Anchors are minima of a hash, so these are scrambled once more and spread evenly over the ranges."""
+    out = np.zeros(len(places), dtype=np.uint64)
+    for a in range(0, len(data), AT_ONCE):
+        some = slice(*np.searchsorted(places, [a, a + AT_ONCE]))
+        at = places[some] - a
+        if len(at):
+            part = data[a : a + AT_ONCE + GRAM]
+            sums = np.zeros(len(part) + 1, dtype=np.uint64)
+            np.cumsum(_BYTE_CODES[part] * powers("up", MULTIPLIER, len(part)), out=sums[1:])
+            out[some] = mix64(mix64((sums[at + GRAM] - sums[at]) * powers("down", INVERSE, len(part) + 1)[at]) >> np.uint64(16)) >> np.uint64(16)
+    return out
+
+
+def steps_of(texts: list[str | None]) -> list[bytes]:
+    """For each text the steps from each of its anchors to the next, a byte each, the first from the text's begin."""
+    data, ends = utf8(texts)
+    places = anchor_places(data, ends)
+    doc = np.searchsorted(ends, places, side="right") - 1
+    steps = np.diff(places, prepend=0)
+    first = np.append(True, doc[1:] != doc[:-1]) if len(doc) else np.zeros(0, dtype=bool)
+    steps[first] = (places - ends[doc])[first]
+    raw, at = steps.astype(np.uint8).tobytes(), np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()
+    return [raw[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+
+
+def with_steps(docs: DataFrame) -> DataFrame:
+    """(id, text) with `steps`, so that anchors are looked for once, before texts are dealt out."""
+
+    def run(found):
+        for batch in found:
+            column = batch.column("text")
+            texts = column.to_pylist()
+            for a, b in in_chunks(texts, 4_000_000):
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), column.slice(a, b - a), pa.array(steps_of(texts[a:b]), pa.binary())], ["id", "text", "steps"])
+        give_back()
+
+    return docs.select("id", "text").mapInArrow(run, "id long, text string, steps binary")
 
 
 def sliding(x: np.ndarray, span: int, pick) -> np.ndarray:
@@ -181,12 +214,15 @@ class Shard:
     """The documents of one shard that have an id, in order of id and text."""
 
     def __init__(self, table: pa.Table):
-        ids, texts = table.column("id").to_pylist(), table.column("text").to_pylist()
-        rows = sorted((i, t or "") for i, t in zip(ids, texts, strict=True) if i is not None)
+        rows = sorted((i, t or "", s) for i, t, s in zip(*(table.column(c).to_pylist() for c in ("id", "text", "steps")), strict=True) if i is not None)
         self.ids = np.array([r[0] for r in rows], dtype=np.int64)
         self.data, self.ends = utf8([r[1] for r in rows])
-        self.place, self.hash = anchors(self.data, self.ends)
-        self.doc = np.searchsorted(self.ends, self.place, side="right") - 1
+        n = np.array([len(r[2]) for r in rows], dtype=np.int64)
+        self.doc = np.repeat(np.arange(len(rows)), n)
+        step = np.cumsum(np.frombuffer(b"".join([r[2] for r in rows]), dtype=np.uint8).astype(np.int64))
+        before = np.concatenate([[0], step])[np.cumsum(n) - n]  # what all texts before have stepped
+        self.place = step - before[self.doc] + self.ends[self.doc] if len(step) else np.zeros(0, dtype=np.int64)
+        self.hash = anchor_hashes(self.data, self.place)
         self.known, self.which = np.unique(self.hash, return_inverse=True)
 
     def several(self) -> np.ndarray:
@@ -518,7 +554,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     total = named.select(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, math.ceil(total / shard_bytes))
     # Rows that share an id don't depend on each other: the text deals them out too.
-    dealt = named.withColumn("shard", F.pmod(F.xxhash64("id", "text"), F.lit(shards)).cast("int")).repartition(shards, "shard")
+    dealt = with_steps(named).withColumn("shard", F.pmod(F.xxhash64("id", "text"), F.lit(shards)).cast("int")).repartition(shards, "shard")
     ranges = shards * RANGES_EACH
     hashes = dealt.groupBy("shard").applyInArrow(lambda key, t: released(send_hashes)(t, key[0].as_py(), ranges), "range int, shard int, hashes binary, several binary, times binary")
     recurring = hashes.groupBy("range").applyInArrow(lambda t: merge_hashes(t, hot), "range int, shard int, recurring binary, hot binary")

@@ -93,3 +93,15 @@ def test_held_out_languages(spark):
     model = langid.train(docs.where(~held_out("doc_id", 4, 2)))
     rows = langid.predict(docs.where(held_out("doc_id", 4, 2)), model).join(docs.select("doc_id", "lang"), "doc_id").where("lang_pred <> 'und'").collect()
     assert sum(r.lang == r.lang_pred for r in rows) >= 0.98 * len(rows) > 0
+
+
+def test_every_language_is_learned(spark):
+    assert [langid.slot_bits(k) for k in (0, 1, 4, 64, 65, 128, 4_096, 10_000)] == [18, 18, 18, 18, 17, 17, 12, 12]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = [f"l{i:03d}" for i in range(230)]
+    words = {n: [letters[i % 26] * 2 + letters[(i // 26) % 26] + letters[(i * 7 + j) % 26] + letters[(i * 3 + j * 5) % 26] for j in range(6)] for i, n in enumerate(names)}
+    docs = spark.createDataFrame([(k, " ".join(words[n] * 3), n) for k, n in enumerate(names)], "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert model.names == names and model.table.shape == (1 << 16, 230)
+    rows = langid.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert sum(r.lang == r.lang_pred for r in rows) >= 225

@@ -63,6 +63,7 @@ def test_a_common_phrase_is_spread_over_the_ranges():
     phrase = "this phrase of fifty bytes less one is all we share"[:49]
     other = lambda: "".join(r.choice("abcdefghij klmnop") for _ in range(60))
     docs = [pa.table({"id": list(range(k, 2_000, 2)), "text": [other() + phrase + other() for _ in range(k, 2_000, 2)]}) for k in (0, 1)]
+    docs = [t.append_column("steps", pa.array(suffix_dedup.steps_of(t.column("text").to_pylist()), pa.binary())) for t in docs]
     sizes = {}
     for hot in (10**9, 500):
         hashes = pa.concat_tables([suffix_dedup.send_hashes(t, k, 10) for k, t in enumerate(docs)])
