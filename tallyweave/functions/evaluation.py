@@ -37,7 +37,7 @@ def _sumproduct(*arrays):
     return sum(math.prod(t) for t in zip(*rows, strict=False))
 
 
-#: What formulas may call; text, booleans and blanks take no part in sums and means.
+#: What formulas may call; text, booleans and blanks take no part in sums and means. AND and OR take a range as one argument, true if it has cells, whatever they hold.
 FUNCTIONS = {
     "SUM": lambda *a: sum(numbers(a)),
     "AVERAGE": lambda *a: statistics.fmean(n) if (n := numbers(a)) else None,
@@ -53,7 +53,7 @@ FUNCTIONS = {
     "ABS": abs, "SQRT": math.sqrt, "POWER": lambda a, b: a**b, "EXP": math.exp, "LN": math.log,
     "LOG": lambda x, base=10: math.log(x, base), "ROUND": lambda x, n=0: round(x, int(n)),
     "IF": lambda test, yes=True, no=False: yes if test else no,
-    "AND": lambda *a: all(flat(a)), "OR": lambda *a: any(flat(a)),
+    "AND": lambda *a: all(a), "OR": lambda *a: any(a),
 }
 
 

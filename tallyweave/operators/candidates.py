@@ -16,13 +16,21 @@ BLOCKS, OWN_BLOCKS, MOST, MATCHED, HEADERS = 10, 20, 5, 10, 6
 SALTS = 16
 
 
-def word_index(keywords: DataFrame, headers: DataFrame) -> DataFrame:
-    """(workbook, other, word, places): the words of each sheet, and where they stand, as bits: bit b for the headers of block b, bit OWN_BLOCKS for the sheet's keywords.
+#: A posting is one number: the sheet's number from bit SHEET_BIT on, the word's from WORD_BIT on, and below the word's places in the sheet,
+#: bit b for the headers of block b and bit OWN_BLOCKS for the sheet's keywords.
+SHEET_BIT, WORD_BIT = 49, OWN_BLOCKS + 1
 
-    keywords: (workbook, sheet, word); headers: (workbook, sheet, block, place, name), blocks and places counted from 0."""
-    of_sheet = keywords.select("workbook", F.col("sheet").alias("other"), "word", F.lit(1 << OWN_BLOCKS).alias("bit"))
+
+def postings(keywords: DataFrame, headers: DataFrame) -> DataFrame:
+    """(workbook, word, other, posting): the words of each sheet of keywords (workbook, sheet, word) and headers (workbook, sheet, block, place, name).
+
+    Words and sheets are numbered within their workbook in order of their names. Sheets that only list tasks have headers only."""
+    listed = F.lower("sheet").isin(*LISTS)
+    of_sheet = keywords.where(~listed).select("workbook", F.col("sheet").alias("other"), "word", F.lit(1 << OWN_BLOCKS).alias("bit"))
     of_blocks = headers.where(F.col("block") < OWN_BLOCKS).select("workbook", F.col("sheet").alias("other"), F.explode(F.array_distinct(tokens("name"))).alias("word"), F.expr("shiftleft(1, CAST(block AS INT))").alias("bit"))
-    return of_sheet.unionByName(of_blocks).groupBy("workbook", "other", "word").agg(F.bit_or("bit").alias("places"))
+    placed = of_sheet.unionByName(of_blocks).groupBy("workbook", "other", "word").agg(F.bit_or("bit").cast("long").alias("places"))
+    number = lambda c: (F.dense_rank().over(Window.partitionBy("workbook").orderBy(c)) - 1).cast("long")
+    return placed.select("workbook", "word", "other", (F.shiftleft(number("other"), SHEET_BIT) + F.shiftleft(number("word"), WORD_BIT) + F.col("places")).alias("posting"))
 
 
 def _met(words: DataFrame, index: DataFrame) -> DataFrame:
@@ -33,14 +41,18 @@ def _met(words: DataFrame, index: DataFrame) -> DataFrame:
     return words.withColumn("__salt", F.pmod(F.xxhash64(*words.columns), F.lit(SALTS)).cast("int")).join(salted, ["workbook", "word", "__salt"]).drop("__salt")
 
 
-def _stands(found: Column, bit: Column) -> Column:
-    """Words of `found` (array of word and places) that stand at a bit."""
-    return F.filter(found, lambda x: F.getbit(x["places"], bit) == 1)
+def _sheet(posting: Column) -> Column:
+    return F.shiftright(posting, SHEET_BIT)
+
+
+def _words(found: Column, bit: Column) -> Column:
+    """The numbers of the words of some postings that stand at a bit, in order."""
+    return F.array_sort(F.transform(F.filter(found, lambda x: F.getbit(x, bit) == 1), lambda x: F.shiftright(x, WORD_BIT).bitwiseAND(F.lit((1 << (SHEET_BIT - WORD_BIT)) - 1))))
 
 
 def _block(found: Column, most: int) -> Column:
-    """A struct of hits and minus the number of the block of `found` with most words, the first on ties; NULL without any."""
-    hits = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda b: F.struct(F.size(_stands(found, b)).alias("hits"), (-b).alias("minus")))
+    """A struct of hits and minus the number of the block of some postings with most words, the first on ties; NULL without any."""
+    hits = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda b: F.struct(F.size(F.filter(found, lambda x: F.getbit(x, b) == 1)).alias("hits"), (-b).alias("minus")))
     return F.array_max(F.filter(hits, lambda x: x["hits"] > 0))
 
 
@@ -51,20 +63,37 @@ def task_candidates(texts: DataFrame, keywords: DataFrame, headers: DataFrame, i
     The text's own sheet scores the words among the headers of its best block. Best scores come first, then other sheets by name, the own sheet last. Texts without words,
     or whose workbook is NULL, have no candidates, and of texts that share workbook, sheet and id each has its own words only if the ids differ: they count as one text.
     """
-    index = written(word_index(keywords, headers), "words")
-    words = texts.select("workbook", "sheet", id_col, F.explode(F.array_distinct(tokens("text"))).alias("word"))
+    index = written(postings(keywords, headers), "words")
+    sheet_of = index.groupBy("workbook", "other").agg(_sheet(F.min("posting")).alias("number"))
     key = ["workbook", "sheet", id_col]
-    # A text's words are of one row, so they are put together before anything is shuffled.
-    found = _met(words, index).groupBy(*key, "other").agg(F.collect_set(F.struct("word", "places")).alias("found"))
-    is_own = F.col("other") == F.col("sheet")
-    hit = F.sort_array(F.transform(_stands(F.col("found"), F.lit(OWN_BLOCKS)), lambda x: x["word"]))
-    scored = found.withColumns({"own": is_own, "hit": hit, "best": F.when(is_own, _block(F.col("found"), OWN_BLOCKS)).otherwise(_block(F.col("found"), BLOCKS))})
-    block_words = F.transform(_stands(F.col("found"), -F.col("best.minus")), lambda x: x["word"])
-    scored = scored.withColumn("score", F.when(F.col("own"), F.coalesce("best.hits", F.lit(0))).when(F.lower("other").isin(*LISTS), 0).otherwise(F.size("hit"))).where("score > 0")
-    scored = scored.select(*key, "other", "own", "score", F.when(~F.col("own"), F.slice("hit", 1, MATCHED)).alias("matched"), (-F.col("best.minus")).alias("block"), F.when(F.col("best").isNotNull(), block_words).alias("block_words"))
-    order = Window.partitionBy(*key).orderBy(F.desc("score"), "own", "other")
-    top = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= MOST).drop("own")
+    words = texts.select(*key, F.explode(F.array_distinct(tokens("text"))).alias("word"))
+    # A text's words are of one row, so its postings are put together, a number each, before anything is shuffled.
+    found = _met(words, index.select("workbook", "word", "posting")).groupBy(*key).agg(F.collect_set("posting").alias("found"))
+    own = sheet_of.select("workbook", F.col("other").alias("sheet"), F.col("number").alias("own"))
+    found = found.join(own, same(found, own, ["workbook", "sheet"]), "left").select(*(found[c] for c in found.columns), F.coalesce("own", F.lit(-1)).alias("own"))
+
+    def candidate(number: Column) -> Column:
+        mine = F.filter("found", lambda x: _sheet(x) == number)
+        score = F.when(number == F.col("own"), F.coalesce(_block(mine, OWN_BLOCKS)["hits"], F.lit(0))).otherwise(F.size(F.filter(mine, lambda x: F.getbit(x, F.lit(OWN_BLOCKS)) == 1)))
+        return F.struct((-score).alias("minus"), (number == F.col("own")).alias("is_own"), number.alias("number"))
+
+    every = F.filter(F.transform(F.array_distinct(F.transform("found", _sheet)), candidate), lambda x: x["minus"] < 0)
+    top = found.select(*key, "found", F.posexplode(F.slice(F.array_sort(every), 1, MOST)).alias("place", "x"))
+    top = top.select(*key, (F.col("place") + 1).alias("rank"), (-F.col("x.minus")).alias("score"), "x.is_own", "x.number", F.filter("found", lambda y: _sheet(y) == F.col("x.number")).alias("mine"))
+    top = top.withColumn("best", F.when(F.col("is_own"), _block(F.col("mine"), OWN_BLOCKS)).otherwise(_block(F.col("mine"), BLOCKS)))
+    hit = F.when(~F.col("is_own"), F.slice(_words(F.col("mine"), F.lit(OWN_BLOCKS)), 1, MATCHED))
+    in_block = F.when(F.col("best").isNotNull(), _words(F.col("mine"), -F.col("best.minus")))
+    top = top.select(*key, "rank", "number", "score", hit.alias("hit"), (-F.col("best.minus")).alias("block"), in_block.alias("in_block"))
+
+    # Numbers become names again: of the words that are shown, and of the sheets.
+    word_of = index.groupBy("workbook", "word").agg(F.shiftright(F.min("posting"), WORD_BIT).bitwiseAND(F.lit((1 << (SHEET_BIT - WORD_BIT)) - 1)).alias("no"))
+    shown = top.withColumn("no", F.explode(F.array_distinct(F.concat(F.coalesce("hit", F.array().cast("array<bigint>")), F.coalesce("in_block", F.array().cast("array<bigint>"))))))
+    word_of = F.broadcast(word_of) if word_of.limit(SMALL + 1).count() <= SMALL else word_of
+    carried = ["number", "score", "block", "hit", "in_block"]
+    spelled = shown.join(word_of, ["workbook", "no"]).groupBy(*key, "rank").agg(*(F.first(c).alias(c) for c in carried), F.sort_array(F.collect_list(F.struct("no", "word"))).alias("spelled"))
+    names_of = lambda c: F.when(F.col(c).isNotNull(), F.transform(F.filter("spelled", lambda x: F.array_contains(F.col(c), x["no"])), lambda x: x["word"]))
     names = headers.where(F.col("block") < OWN_BLOCKS).groupBy("workbook", F.col("sheet").alias("other"), F.col("block").cast("int").alias("block")).agg(F.sort_array(F.collect_list(F.struct("place", "name"))).alias("names"))
-    told = top.join(names, same(top, names, ["workbook", "other", "block"]), "left").select(*(top[c] for c in top.columns), "names")
-    matches = F.transform(F.filter("names", lambda x: F.arrays_overlap(tokens(x["name"]), F.col("block_words"))), lambda x: x["name"])
-    return told.select(*key, "rank", F.col("other").alias("candidate"), "score", "matched", "block", F.slice(matches, 1, HEADERS).alias("header_matches"))
+    told = spelled.join(sheet_of, ["workbook", "number"])
+    told = told.join(names, same(told, names, ["workbook", "other", "block"]), "left").select(*(told[c] for c in told.columns), "names")
+    matches = F.transform(F.filter("names", lambda x: F.arrays_overlap(tokens(x["name"]), names_of("in_block"))), lambda x: x["name"])
+    return told.select(*key, "rank", F.col("other").alias("candidate"), "score", names_of("hit").alias("matched"), "block", F.slice(matches, 1, HEADERS).alias("header_matches"))

@@ -170,6 +170,7 @@ def requested_ranges(cells: DataFrame, requests: DataFrame, most: int = MOST_CEL
     span = lambda a, b: (F.col(b) - F.col(a) + 1).cast("long")
     wanted = span("r1", "r2") * span("c1", "c2")
     text = lambda c: F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
+    # These sentences, word by word.
     error = (
         F.when(F.col("r1").isNull() | F.col("r2").isNull() | F.col("c1").isNull() | F.col("c2").isNull(), F.lit("Error: All range parameters are required: start_row, end_row, start_col, end_col."))
         .when((F.col("r1") < 1) | (F.col("r2") < F.col("r1")), F.concat(F.lit("Error: Invalid row range "), text("r1"), F.lit("-"), text("r2"), F.lit(". Rows are 1-based and end_row must be >= start_row.")))

@@ -177,3 +177,9 @@ def test_sources_and_sinks_without_rows_of_their_own(spark, tmp_path):
     assert "task_source: x" in (tmp_path / "r.yaml").read_text()
     with pytest.raises(ValueError):
         sinks.report_yaml(rows.union(rows), str(tmp_path / "r.yaml"), most=1)
+
+
+def test_ranges_are_one_argument_of_and_and_or(spark):
+    cells = [(1, 1, "0"), (2, 1, "0"), (3, 1, "=AND(A1:A2)"), (4, 1, "=OR(A1:A2,0)"), (5, 1, "=AND(A1,1)"), (6, 1, "=OR(A1,A2)"), (7, 1, "=AND(1,2)"), (8, 1, "=OR(0,3)")]
+    df = spark.createDataFrame([("w", "s", *c) for c in cells], "workbook string, sheet string, row int, col int, raw string")
+    assert {r.row: r.value for r in evaluation.evaluate(df).collect()} == {3: "True", 4: "True", 5: "False", 6: "False", 7: "True", 8: "True"}
