@@ -245,6 +245,16 @@ def unpack(content: bytes, lanes: int = LANES) -> tuple[pa.Table, Iterator[np.nd
     return index, parts()
 
 
+_words: dict[str, Words] = {}
+
+
+def words_of(path: str) -> Words:
+    """This worker's encoder; a worker keeps it, and what it remembers, from task to task."""
+    if path not in _words:
+        _words[path] = Words(ByteLevel(path, plain=False))
+    return _words[path]
+
+
 def _store(uri: str):
     from pyarrow import fs
 
@@ -260,7 +270,7 @@ def write(docs: DataFrame, path: str, end_id: int = 2, folder: str | None = None
     folder = folder or f"{shared_dir(docs.sparkSession).rstrip('/')}/tokens-{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, task = Words(ByteLevel(path, plain=False)), TaskContext.get()
+        words, task = words_of(path), TaskContext.get()
         store, root = _store(folder)
         store.create_dir(root, recursive=True)
         ids, names, held, seq = [], [], 0, 0
