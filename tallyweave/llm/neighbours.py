@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from tallyweave.llm.common import materialize
 
 LEAST_PIVOTS, MOST_PIVOTS, LIST = 128, 65_536, 8_192
+#: Bytes of all pivots, which every task holds (a bound of MOST_PIVOTS for long vectors), and pivots that a batch of vectors is compared with at a time.
+PIVOT_BYTES, PIVOTS_AT_ONCE = 128_000_000, 4_096
 #: Pivots that represent a vector, those in whose files it is posted, those that a query visits.
 NEAREST, POSTED, VISITED = 64, 8, 24
 #: The part of a list that is ranked by exact distances, and how many of it at least.
@@ -40,10 +42,18 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(fine & F.exists("v", lambda x: x != 0)).distinct()
 
 
-def orders(v: np.ndarray, pivots: np.ndarray, most: int) -> np.ndarray:
-    """Each row's nearest pivots, nearest first."""
-    square = np.square(v).sum(1)[:, None] - 2 * v @ pivots.T + np.square(pivots).sum(1)[None, :]
-    return np.argsort(square, axis=1, kind="stable")[:, :most]
+def orders(v: np.ndarray, pivots: np.ndarray, most: int, at_once: int = PIVOTS_AT_ONCE) -> np.ndarray:
+    """Each row's nearest pivots, nearest first, ties by number. Pivots are compared `at_once` at a time, and only the nearest so far are kept and sorted."""
+    far, near = np.zeros((len(v), 0)), np.zeros((len(v), 0), dtype=np.int64)
+    for a in range(0, len(pivots), at_once):
+        part = pivots[a : a + at_once]
+        square = np.square(v).sum(1)[:, None] - 2 * v @ part.T + np.square(part).sum(1)[None, :]
+        far = np.concatenate([far, square], axis=1)
+        near = np.concatenate([near, np.broadcast_to(np.arange(a, a + len(part)), square.shape)], axis=1)
+        if far.shape[1] > most:
+            kept = np.sort(np.argpartition(far, most - 1, axis=1)[:, :most], axis=1)  # in order of numbers
+            far, near = np.take_along_axis(far, kept, axis=1), np.take_along_axis(near, kept, axis=1)
+    return np.take_along_axis(near, np.argsort(far, axis=1, kind="stable"), axis=1)
 
 
 def with_orders(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
@@ -106,7 +116,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
     copies = index.withColumn("copy", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("copy") <= k + 1)
     entries = materialize(copies.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")), "entries")
     size = entries.count()
-    n_pivots = min(MOST_PIVOTS, max(LEAST_PIVOTS, -(-size * POSTED // LIST)))
+    n_pivots = max(LEAST_PIVOTS, min(MOST_PIVOTS, PIVOT_BYTES // (8 * common["d"]), -(-size * POSTED // LIST)))
     pivots = np.array([r["v"] for r in entries.orderBy(F.xxhash64("v", F.lit("pivot")), "v").limit(n_pivots).select("v").collect()])
     posted = materialize(with_orders(entries, pivots), "posted")
     lists = posted.select(F.explode(F.slice("near", 1, POSTED)).alias("pivot")).groupBy("pivot").count().select("pivot", F.ceil(F.col("count") / LIST).cast("int").alias("parts"))

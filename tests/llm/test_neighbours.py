@@ -84,3 +84,12 @@ def test_few_rows_and_none(spark):
     rows = neighbours.nearest(table, table.where("vec_id = 100")).orderBy("rank").collect()
     assert [(r.rank, r.vec_id) for r in rows] == [(1, 1), (2, 2)]
     assert neighbours.nearest(table.limit(0), table.limit(0)).collect() == []
+
+
+def test_pivots_in_blocks_keep_the_order():
+    r = np.random.default_rng(4)
+    v, pivots = r.normal(size=(50, 8)), r.normal(size=(333, 8))
+    whole = np.argsort(((v[:, None, :] - pivots[None, :, :]) ** 2).sum(2), axis=1, kind="stable")
+    for at_once in (1, 7, 64, 332, 333, 4_096):
+        assert np.array_equal(neighbours.orders(v, pivots, 64, at_once), whole[:, :64])
+    assert neighbours.orders(v, pivots[:5], 64).shape == (50, 5)
