@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.operators import budget, coverage, leaderboard, selection, stats
 from tallyweave.sources.evaluation import evaluation, oracle_with
-from tallyweave.sources.tables import small, table
+from tallyweave.sources.tables import small, table, written
 
 QUERIES, ORACLE_SQL = {}, {}
 DIFFICULTIES = ["5-LOW", "4-NOT SPECIFIED", "3-MEDIUM", "2-HIGH", "1-URGENT"]
@@ -29,8 +29,8 @@ def query(sql: str | None, *tables: str):
 
 
 def cohorts(spark, sf_dir):
-    """The roster: every agent and version that attempted anything."""
-    roster = evaluation(spark, sf_dir, "attempts").select("agent", "prompt_version").distinct()
+    """The roster: every agent and version that attempted anything. Written once, for it is counted before it is broadcast."""
+    roster = written(evaluation(spark, sf_dir, "attempts").select("agent", "prompt_version").distinct(), "roster")
     return roster.withColumn("cohort", F.concat("agent", F.lit("@"), F.col("prompt_version").cast("string")))
 
 

@@ -81,9 +81,9 @@ def rendered_grid(spark, sf_dir):
     return sheets.rendered(line_cells(spark, sf_dir)).withColumn("grid", F.sha2("grid", 256))
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 26 < 26 THEN chr(CAST(65 + p_partkey % 26 AS INTEGER)) END AS letters, CAST(p_partkey % 26 + 1 AS INTEGER) AS number FROM part")
+@query("SELECT p_partkey, CASE WHEN n > 26 THEN chr(CAST(64 + (n - 1) // 26 AS INTEGER)) ELSE '' END || chr(CAST(65 + (n - 1) % 26 AS INTEGER)) AS letters, CAST(n AS INTEGER) AS number FROM (SELECT p_partkey, p_partkey % 702 + 1 AS n FROM part) p")
 def column_addresses(spark, sf_dir):
-    n = (F.col("p_partkey") % 26 + 1).cast("int")
+    n = (F.col("p_partkey") % 702 + 1).cast("int")
     p = table(spark, sf_dir, "part").select("p_partkey", formulas.column_letters(n).alias("letters"))
     return p.withColumn("number", formulas.column_number("letters"))
 

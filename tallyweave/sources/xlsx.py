@@ -11,6 +11,8 @@ from xml.etree import ElementTree
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyweave.operators.grid import ROWS, in_segments
+
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 SCHEMA = "workbook string, sheet string, row int, col int, raw string, cached string, v_type string, number_format string"
@@ -80,11 +82,13 @@ def _parsed(spark: SparkSession, path: str) -> DataFrame:
     return files.select("name", "content").mapInPandas(parse, SCHEMA + ", error string")
 
 
-def to_csv_text(cells: DataFrame) -> DataFrame:
-    """(workbook, sheet, csv): values row by row, rows and columns that are empty throughout left out."""
+def to_csv_text(cells: DataFrame, rows_of: int = ROWS) -> DataFrame:
+    """(workbook, sheet, segment, csv): values row by row, rows and columns that are empty throughout left out, `rows_of` rows at a time.
+
+    Put together by segment, with line ends between, they are the sheet's text, so no sheet is one row. A sheet's list of filled columns has 16,384 entries at most."""
     some = cells.where(F.coalesce("cached", F.lit("")) != "")
     columns = some.groupBy("workbook", "sheet").agg(F.sort_array(F.collect_set("col")).alias("cols"))
     rows = some.groupBy("workbook", "sheet", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "cached"))).alias("by_col"))
     line = F.array_join(F.transform("cols", lambda c: F.coalesce(F.try_element_at("by_col", c), F.lit(""))), ",")
-    lines = rows.join(columns, ["workbook", "sheet"]).select("workbook", "sheet", "row", line.alias("line"))
-    return lines.groupBy("workbook", "sheet").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n").alias("csv"))
+    lines = rows.join(columns, ["workbook", "sheet"]).select("workbook", "sheet", "row", F.concat(line, F.lit("\n")).alias("line"))
+    return in_segments(lines, "line", rows_of).select("workbook", "sheet", "segment", F.regexp_replace("text", "\n$", "").alias("csv"))

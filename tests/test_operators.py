@@ -228,6 +228,7 @@ def test_workbooks(spark, tmp_path):
     assert [(r.workbook, r.error.split(":")[0]) for r in xlsx.broken(spark, str(tmp_path)).collect()] == [("bad.xlsx", "BadZipFile")]
     assert evaluation.evaluate(cells).first().value == "5.0"
     assert xlsx.to_csv_text(cells).first().csv == "Name,2.5\n5,"
+    assert [r.csv for r in xlsx.to_csv_text(cells, 2).orderBy("segment").collect()] == ["Name,2.5", "5,"]
     box = sheets.used_range(cells).first()
     assert (box.min_row, box.max_row, box.min_col, box.max_col) == (1, 3, 1, 27)
     assert {(r.ref_sheet, r.ref) for r in sheets.formula_refs(cells).collect()} == {("In put", "AA1")}

@@ -130,3 +130,42 @@ def test_small_rules(spark):
     work = spark.createDataFrame([(10, 2, 60.0), (10, 3, 60.0), (10, 4, 80.0), (10, 10, 9.0), (10, 5, 0.0), (10, None, 1.0)], "total int, done int, elapsed double")
     eta = lambda workers: [r.e for r in work.select(rules.remaining_seconds(F.col("total"), F.col("done"), F.col("elapsed"), workers).alias("e")).collect()]
     assert eta(1) == [None, 140.0, 120.0, 0.0, None, None] and eta(4) == [None, None, 120.0, 0.0, None, None]
+
+
+def brute_shortened(files, target, steps):
+    """One directory, step by step: the largest file that the step's axis has not cut (ties by name)."""
+    texts, cut = dict(files), {"rows": set(), "columns": set()}
+    for step in steps:
+        if sum(map(len, texts.values())) < target:
+            break
+        left = sorted((n for n in texts if n not in cut[step] and texts[n]), key=lambda n: (-len(texts[n]), n))
+        if left:
+            lines = texts[left[0]].rstrip("\n").split("\n") if step == "rows" else texts[left[0]].split("\n")
+            if step == "rows" and len(lines) > 100:
+                new = "\n".join([*lines[:60], f"[Rows 61-{len(lines) - 40} redacted ({len(lines) - 100} rows)]", *lines[-40:]])
+            elif step == "columns":
+                gone = f"[Columns 51-{max(len(x.split(',')) for x in lines) - 25} redacted]"
+                new = "\n".join(x if len(x.split(",")) <= 75 or (x.startswith("[") and "redacted" in x) else ",".join([*x.split(",")[:50], gone, *x.split(",")[-25:]]) for x in lines)
+            else:
+                new = texts[left[0]]
+            if new != texts[left[0]]:
+                cut[step].add(left[0])
+                texts[left[0]] = new
+    return texts
+
+
+def test_shortened_sources_of_the_whole_table(spark, sf_dir):
+    """The registered query against the rule on every document, and the same on files of many rows."""
+    from tallyweave.plans import registry
+
+    rows = [(r.source, f"{r.doc_id:012d}", (r.text or "").replace(" ", ",")) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    want = {}
+    for source in {r[0] for r in rows}:
+        want[source] = brute_shortened([(n, t) for s, n, t in rows if s == source], 60_000, budget.SOLUTION_STEPS)
+    got = {r.source: (r.chars, r.files) for r in registry.QUERIES["shortened_sources"](spark, sf_dir).collect()}
+    assert got == {s: (sum(map(len, t.values())), len(t)) for s, t in want.items()}
+    made = [(d, f"f{k:02d}", "\n".join(",".join(str(k * c) for c in range(20 + 9 * k)) for _ in range(30 * k))) for d in ("a", "b", None) for k in range(1, 9)]
+    df = spark.createDataFrame(made, "dir string, name string, text string")
+    for target in (0, 50_000, 10**9):
+        out = {(r.dir, r.name): r.text for r in budget.shorten(df, "dir", target).collect()}
+        assert out == {(d, n): t for d in ("a", "b", None) for n, t in brute_shortened([(n, t) for x, n, t in made if x == d], target, budget.SOLUTION_STEPS).items()}
