@@ -23,6 +23,8 @@ from tallyweave.llm.common import map_texts, materialize, per_doc, runs, span_ha
 
 #: Labelled rows that a model is fitted on at most (taken by a hash of the id), and pairs for each row of the rarer label.
 MAX_LABELLED, PAIRS_EACH = 20_000, 8
+#: Labelled rows up to which their ids are broadcast; more (only a larger `most` gives them) are joined by a shuffle.
+MOST_BROADCAST = 100_000
 RIDGE = 1e-2
 
 #: Slots that words are hashed to; the share of a document's words in each slot is a feature whose weight is learned.
@@ -142,7 +144,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col:
     share = {y: min(1.0, most / 2 / n) for y, n in sizes.items()}
     part = (F.xxhash64(F.col(id_col), F.lit("sample")).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52)))
     taken = known.where(part < F.when(F.col("label") == 1, share.get(1, 1.0)).otherwise(share.get(0, 1.0)))
-    return docs.select(F.col(id_col), F.col(text_col).alias("text")).join(taken, id_col), {y: 1 / x for y, x in share.items()}
+    # About `most` rows: broadcast once they are counted, so that no text is shuffled, and the texts taken are written for all that is learned from them.
+    taken = F.broadcast(taken) if taken.count() <= MOST_BROADCAST else taken
+    sample = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(taken, id_col)
+    return materialize(sample, "labelled"), {y: 1 / x for y, x in share.items()}
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = MAX_LABELLED) -> Ranking:

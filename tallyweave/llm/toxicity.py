@@ -34,6 +34,8 @@ LANDMARKS, CANDIDATES, UNLIKE = 48, 800, 0.7
 FLOOR, LETTERS = 0.5, 0.6
 #: Labelled documents a model is fitted on at most (half of each label), rounds of choosing sentences, false alarms that a miss is worth.
 MAX_LABELLED, ROUNDS, MISSED = 4_000, 4, 3.0
+#: Sentences of a labelled document that are learned from at most, those most like landmarks; so what reaches the driver is bounded by MAX_LABELLED of them.
+SENTENCES = 1_000
 WINDOW, STRIDE = 32, 16
 _BEGIN, _END = 1, 2  # mark a word's ends; no text has them within words
 _ALNUM = np.ones(65536, dtype=bool)
@@ -283,7 +285,7 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = MAX_LABELLED) -> Machine:
-    """A Machine fitted on labelled documents: `most` at most, SENTENCES_EACH sentences of each at most reach the driver."""
+    """A Machine fitted on labelled documents: of `most` at most, SENTENCES sentences of each reach the driver at most, as numbers (one for each landmark). Scoring reads all sentences."""
     sample, each = labelled_sample(docs, labels, label_col, id_col, text_col, most)
     words = sample.select("label", F.explode(F.array_distinct(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.regexp_replace(w, r"[^\p{L}]+", "")))).alias("word")).where(F.length("word").between(3, 24))
     bags = sample.agg(F.sum(F.col("label").cast("long")).alias("bad"), F.count("*").alias("n")).first()
@@ -314,7 +316,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
 
     def by_text(rows, doc, n):
         order = np.argsort(doc, kind="stable")
-        return [p.tobytes() for p in np.split(rows[order], np.searchsorted(doc[order], np.arange(1, n)))]
+        own = np.split(rows[order], np.searchsorted(doc[order], np.arange(1, n)))
+        return [(p if len(p) <= SENTENCES else p[np.sort(np.argsort(-p.sum(1), kind="stable")[:SENTENCES])]).tobytes() for p in own]
 
     # Sentences without any word like a landmark are all the same vector, zero: they are counted.
     bags = map_texts(sample.select("label", "text"), work, "x binary, plain long", "label", "text", 2_000_000).toPandas()
