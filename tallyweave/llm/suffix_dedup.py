@@ -381,14 +381,16 @@ def batches(group: np.ndarray):
         begin = end
 
 
-_WEIGHTS = mix64(np.arange(1, WIDE + 1, dtype=np.uint64))
+_WEIGHTS = mix64(np.arange(1, -(-WIDE // 8) + 1, dtype=np.uint64))
 
 
 def row_hashes(text: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each row of bytes."""
+    """A 64-bit hash of each row of bytes, eight bytes at a time."""
+    padded = np.zeros((len(text), -(-text.shape[1] // 8) * 8), dtype=np.uint8)
+    padded[:, : text.shape[1]] = text
     h = np.zeros(len(text), dtype=np.uint64)
-    for k in range(text.shape[1]):
-        h += mix64(_BYTE_CODES[text[:, k]] ^ _WEIGHTS[k])
+    for word, weight in zip(padded.view(np.uint64).T, _WEIGHTS, strict=False):
+        h = mix64(h + (word ^ weight))
     return h
 
 
@@ -416,13 +418,11 @@ def covered_of(table: pa.Table, wide: int) -> pa.Table:
     del parts
     mask = np.zeros(len(text), dtype=np.int64)
     if wide == WIDE:
-        gram = np.zeros(len(text), dtype=np.uint64)
-        for k in range(SIDE, SIDE + GRAM):
-            gram += mix64(_BYTE_CODES[text[:, k]] ^ _WEIGHTS[k])
+        gram = row_hashes(text[:, SIDE : SIDE + GRAM])
         by_gram = np.argsort(gram, kind="stable")
         for a, b in batches(gram[by_gram]):
             rows = by_gram[a:b]
-            mask[rows] = anchor_windows(text[rows], first[rows])
+            mask[rows] = anchor_windows(text[rows], first[rows], gram[rows])
     else:
         order, new = grouped(text)
         kind = np.empty(len(text), dtype=np.int64)
@@ -441,8 +441,8 @@ def covered_of(table: pa.Table, wide: int) -> pa.Table:
     return pa.table({"shard": table.column("shard"), "places": pa.array(places, pa.binary()), "windows": pa.array(windows, pa.binary())})
 
 
-def anchor_windows(text: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The covered windows, as bits, of contexts and the smallest ids that hold them. All contexts of an anchor come together."""
+def anchor_windows(text: np.ndarray, first: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """The covered windows, as bits, of contexts, the smallest ids that hold them and their anchors' hashes. All contexts of an anchor come together."""
     order, new = grouped(text)
     kind = np.empty(len(text), dtype=np.int64)
     kind[order] = np.cumsum(new) - 1
@@ -452,9 +452,8 @@ def anchor_windows(text: np.ndarray, first: np.ndarray) -> np.ndarray:
     # Windows that lie inside a document.
     edges = np.concatenate([np.zeros((len(rep), 1), dtype=np.int16), np.cumsum(rep == EDGE, axis=1, dtype=np.int16)], axis=1)
     whole = edges[:, LENGTH : LENGTH + SIDE + 1] == edges[:, : SIDE + 1]
-    # Contexts whose anchor has others.
-    gram = np.ascontiguousarray(rep[:, SIDE : SIDE + GRAM]).view(f"V{GRAM}").ravel()
-    _, which, times = np.unique(gram, return_inverse=True, return_counts=True)
+    # Contexts whose anchor has others. Where two anchors' hashes are equal there is more to sort, and no other result.
+    _, which, times = np.unique(gram[order[new]], return_inverse=True, return_counts=True)
     many = np.flatnonzero(times[which] > 1)
     part = np.zeros_like(whole)
     if len(many):
