@@ -178,3 +178,10 @@ def tasks_by_name(wanted: DataFrame, tasks: DataFrame, normal: Column, name: str
     rank = F.when(live, F.col("place")).otherwise(3 - F.col("place"))
     best = tried.join(tasks.select("task_id", "task_name", "deprecated"), "task_name").groupBy("__name").agg(F.min_by("task_id", F.struct(rank, "task_id")).alias("task_id"))
     return wanted.join(best, wanted[name] == best["__name"], "left").drop("__name")
+
+
+def candidate_ids(listed: DataFrame, attempts: DataFrame, frontier: list[str]) -> DataFrame:
+    """(attempt_id, corrected): the listed attempts (attempt_id, corrected) and those of the agents `frontier` that are not known to be deprecated, each once; corrected if any listing says so."""
+    of_frontier = attempts.where(F.col("agent").isin(frontier) & not_true("deprecated")).select("attempt_id", F.lit(False).alias("corrected"))
+    both = listed.select("attempt_id", F.coalesce("corrected", F.lit(False)).alias("corrected")).unionByName(of_frontier)
+    return both.where(F.col("attempt_id").isNotNull()).groupBy("attempt_id").agg(F.max("corrected").alias("corrected"))

@@ -19,6 +19,20 @@ def used_range(cells: DataFrame) -> DataFrame:
     return filled(cells).groupBy(*KEY).agg(F.min("row").alias("min_row"), F.max("row").alias("max_row"), F.min("col").alias("min_col"), F.max("col").alias("max_col"), F.count("*").alias("n_cells"))
 
 
+def sheet_info(cells: DataFrame) -> DataFrame:
+    """(workbook, sheet, min_row, max_row, min_col, max_col, n_cells, n_formulas, used_range) of every sheet with a filled cell."""
+    box = ["min", "max"]
+    found = filled(cells).groupBy(*KEY).agg(*(getattr(F, f)(c).alias(f"{f}_{c}") for c in ("row", "col") for f in box), F.count("*").alias("n_cells"), F.count_if(F.col("raw").startswith("=")).alias("n_formulas"))
+    corner = lambda f: F.concat(column_letters(f"{f}_col"), F.col(f"{f}_row").cast("string"))
+    return found.withColumn("used_range", F.concat(corner("min"), F.lit(":"), corner("max")))
+
+
+def formulas_at(cells: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (workbook, sheet, row, col) with the cell's formula (NULL where it is none), value and type; NULLs where no cell is."""
+    there = cells.select(*KEY, "row", "col", F.when(F.col("raw").startswith("="), F.col("raw")).alias("formula"), F.col("raw").alias("value"), F.col("v_type").alias("data_type"))
+    return wanted.join(there, [*KEY, "row", "col"], "left")
+
+
 def header_rows(cells: DataFrame, share: float = 0.6, look: int = 3) -> DataFrame:
     """(sheet, header_row): the first of the first `look` used rows whose texts reach `share` of the used width (at least one)."""
     box = used_range(cells)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyweave.operators.scan import prefix_sums
+
 
 def consecutive(rows: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
     """Each row with the value of the row before it (`previous`) and whether it shrank."""
@@ -88,3 +90,8 @@ def reconcile(calls: DataFrame, telemetry: DataFrame, by: list[str], measure: st
     b = telemetry.groupBy(*by).agg(F.sum(measure).alias("from_telemetry"))
     both = a.join(b, by, "full_outer").fillna(0, ["from_calls", "from_telemetry"])
     return both.where("from_calls <> from_telemetry")
+
+
+def numbered(rows: DataFrame, by: list[str], order: list[str], to: str = "step") -> DataFrame:
+    """Rows numbered from 1 within their log, in `order` (which has to part them). A log may be of any size: numbers are running sums over ranges."""
+    return prefix_sums(rows, by, order, {to: F.lit(1)})

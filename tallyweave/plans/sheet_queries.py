@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyweave.operators import candidates, grid, reports, selection, sheets
+from tallyweave.operators import candidates, grid, reports, selection, sheets, telemetry
 from tallyweave.plans.log_queries import CELLS, line_cells
 from tallyweave.sources.evaluation import evaluation, oracle_with
 from tallyweave.sources.tables import table, written
@@ -158,3 +158,16 @@ def batch_report(spark, sf_dir):
     """The lines of the workspaces' sections and how often each batch has them."""
     rows = batches(spark, sf_dir)
     return reports.batch_report(rows, reports.batch_totals(rows, ["batch"]), ["batch"]).where("place >= 0").groupBy("batch", "line").agg(F.count("*").alias("n"))
+
+
+@query(
+    SOLUTION + """ SELECT workbook, sheet, min(row_) AS min_row, max(row_) AS max_row, CAST(min(col_) AS INTEGER) AS min_col, CAST(max(col_) AS INTEGER) AS max_col, count(*) AS n_cells, count(*) FILTER (raw LIKE '=%') AS n_formulas,
+      chr(CAST(64 + min(col_) AS INTEGER)) || min(row_) || ':' || chr(CAST(64 + max(col_) AS INTEGER)) || max(row_) AS used_range FROM solution GROUP BY workbook, sheet"""
+)
+def sheet_info(spark, sf_dir):
+    return sheets.sheet_info(solution_cells(spark, sf_dir))
+
+
+@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM events")
+def numbered_steps(spark, sf_dir):
+    return telemetry.numbered(table(spark, sf_dir, "events").select("user_id", "event_id", "ts"), ["user_id"], ["ts", "event_id"]).drop("ts")

@@ -148,6 +148,14 @@ def jdbc(spark: SparkSession, url: str, table: str, columns: list[str], id_col:
     return rows.select(*columns)
 
 
+def workspace_files(spark: SparkSession, path: str) -> DataFrame:
+    """(workspace, file, kind, bytes) of the workbooks (but solution.xlsx) and PDFs that stand in the folders under a path; files are listed, not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("bytes"))
+    named = files.select(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("workspace"), F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "bytes")
+    kind = F.when(F.col("file").endswith(".pdf"), "pdf").when(F.col("file").endswith(".xlsx") & (F.lower("file") != "solution.xlsx"), "excel")
+    return named.withColumn("kind", kind).where("kind IS NOT NULL").select("workspace", "file", "kind", "bytes")
+
+
 def config(defaults: dict, own: dict) -> dict:
     """`own` laid over `defaults`, dict by dict, with ${env:NAME:-default} filled in."""
 

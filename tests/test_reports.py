@@ -6,7 +6,8 @@ import itertools
 from pyspark.sql import functions as F
 
 from tallyweave.functions import scalars
-from tallyweave.operators import budget, coverage, reports, rules, selection, sheets
+from tallyweave.operators import budget, coverage, reports, rules, selection, sheets, telemetry
+from tallyweave.sources import logs
 
 
 def test_batches_and_runs(spark):
@@ -169,3 +170,20 @@ def test_shortened_sources_of_the_whole_table(spark, sf_dir):
     for target in (0, 50_000, 10**9):
         out = {(r.dir, r.name): r.text for r in budget.shorten(df, "dir", target).collect()}
         assert out == {(d, n): t for d in ("a", "b", None) for n, t in brute_shortened([(n, t) for x, n, t in made if x == d], target, budget.SOLUTION_STEPS).items()}
+
+
+def test_cells_by_address_ids_and_steps(spark, tmp_path):
+    cells = spark.createDataFrame([("w", "s", 1, 1, "=B1", "number"), ("w", "s", 2, 30, "x", "string"), ("w", "s", 9, 9, "", "string"), ("w", "e", 1, 1, None, "string")], "workbook string, sheet string, row int, col int, raw string, v_type string")
+    assert [tuple(r) for r in sheets.sheet_info(cells).collect()] == [("w", "s", 1, 2, 1, 30, 2, 1, "A1:AD2")] and sheets.sheet_info(cells.limit(0)).collect() == []
+    wanted = spark.createDataFrame([("w", "s", 1, 1), ("w", "s", 2, 30), ("w", "s", 7, 7), ("w", None, 1, 1)], "workbook string, sheet string, row int, col int")
+    assert sorted((tuple(r)[2:] for r in sheets.formulas_at(cells, wanted).collect()), key=repr) == sorted([(1, 1, "=B1", "=B1", "number"), (2, 30, None, "x", "string"), (7, 7, None, None, None), (1, 1, None, None, None)], key=repr)
+    listed = spark.createDataFrame([(1, True), (1, None), (2, False), (None, True)], "attempt_id int, corrected boolean")
+    attempts = spark.createDataFrame([(2, "m", False), (3, "m", None), (4, "m", True), (5, "x", False), (6, None, False)], "attempt_id int, agent string, deprecated boolean")
+    assert sorted(map(tuple, selection.candidate_ids(listed, attempts, ["m"]).collect())) == [(1, True), (2, False), (3, False)]
+    log = spark.createDataFrame([("a", i % 7, i) for i in range(50)] + [(None, 1, 99)], "run string, ts int, id int")
+    want = {i: k for k, i in enumerate(sorted(range(50), key=lambda i: (i % 7, i)), 1)} | {99: 1}
+    assert {r.id: r.step for r in telemetry.numbered(log, ["run"], ["ts", "id"]).collect()} == want
+    for name in ("w1/a.xlsx", "w1/Solution.xlsx", "w1/b.pdf", "w1/c.txt", "w2/d.pdf"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"12345")
+    assert sorted(map(tuple, logs.workspace_files(spark, str(tmp_path)).collect())) == [("w1", "a.xlsx", "excel", 5), ("w1", "b.pdf", "pdf", 5), ("w2", "d.pdf", "pdf", 5)]
