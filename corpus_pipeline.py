@@ -55,12 +55,12 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled by raked probabilities."""
+    """Documents sampled by raked probabilities. Null languages, sources and topics are values of their own; an id that stands twice is drawn alike, rows with a null id too; ties cannot arise, for a row is kept by its own draw alone."""
     return mixing.sample(docs)
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of the documents left."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of the documents left, a row each: null texts have no tokens, repeated rows and null ids are coded like any other."""
     coded = byte_bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, chunk=250_000, remembered=100_000, pieces_at_once=10_000)
     return coded.drop("decoded")
 

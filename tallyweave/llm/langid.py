@@ -26,6 +26,8 @@ from tallyweave.llm.common import in_chunks, map_texts, mix64, runs, utf8
 SLOT_BITS, MAX_DOCS = 18, 4_000
 #: All languages are learned. Their tables together have so many entries at most: beyond 64 languages there are fewer slots for each, down to LEAST_BITS.
 TABLE_BITS, LEAST_BITS = 24, 12
+#: Languages up to which the list of them is broadcast; a longer one is joined by a shuffle.
+MOST_BROADCAST = 100_000
 #: Rounds of expectation-maximisation; neighbouring trigrams overlap, so their evidence counts for less.
 STEPS, TEMPER = 12, 0.7
 
@@ -84,6 +86,7 @@ def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
     shares = docs.sparkSession.createDataFrame([(r["lang"], i, min(1.0, most / r["count"])) for i, r in enumerate(sizes)], "lang string, number int, share double")
     part = F.xxhash64(F.col("id"), F.lit("lang")).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
     named = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    shares = F.broadcast(shares) if len(sizes) <= MOST_BROADCAST else shares
     sample = named.join(shares, "lang").where(part < F.col("share"))
 
     def run(batches):

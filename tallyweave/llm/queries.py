@@ -46,6 +46,7 @@ def op7_language_mixture(spark, sf_dir):
 
 
 def op8_quality_ranking(spark, sf_dir):
+    """`predicted` goes by the score alone; the pipeline rejects a document only if it is under the quantile (not `above_quantile`) and under 0.3 as well."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.train(docs, labels.where(~held_out("doc_id", 5, 0)))
     scored = quality.ranked(docs, model)

@@ -57,3 +57,22 @@ def test_rows_that_share_an_id_are_judged_one_by_one(spark, sf_dir):
         assert sorted((r.doc_id, r.text, r.lang) for r in out.collect()) == sorted([(1, first, "en"), (2, others[0], "en"), (3, others[1], "de"), (3, others[2] + " " + first, "en")])
     left = sorted((r.doc_id, r.text.strip()) for r in stages["suffix-array dedup"](spark, out, sf_dir).collect())
     assert left == sorted([(1, first), (2, others[0]), (3, others[1]), (3, others[2])])
+
+
+def test_stages_take_a_very_long_text(spark, sf_dir):
+    import random
+
+    r = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    long = " ".join("".join(r.choice(letters) for _ in range(r.randrange(2, 9))) for _ in range(150_000)) + "." * 5_001 + "0" * 3_003
+    some = [" ".join("".join(r.choice(letters) for _ in range(5)) for _ in range(60)) for _ in range(20)]
+    rows = [(1, long, "en", "a", len(long)), (2, long + " more", "en", "a", 1)] + [(10 + i, t, "en", "a", len(t)) for i, t in enumerate(some)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    one = stages["n-gram Jaccard join"](spark, docs, sf_dir)
+    assert sorted(r.doc_id for r in one.collect()) == [1, *range(10, 30)]
+    cut = {r.doc_id: r.text for r in stages["suffix-array dedup"](spark, docs, sf_dir).collect()}
+    assert cut[1] == long and cut.get(2, "").strip() in ("", "more", "re")
+    assert stages["quality classifier"](spark, docs, sf_dir).count() <= len(rows) and stages["mixing sources to target weights"](spark, docs, sf_dir).count() <= len(rows)
+    coded = {r.doc_id: r.n_tokens for r in stages["byte-level BPE"](spark, docs.where("doc_id = 1 OR doc_id > 20"), sf_dir).collect()}
+    assert coded[1] > 150_000
