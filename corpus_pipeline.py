@@ -44,14 +44,15 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the text that the suffix-array dedup leaves; bytes cut within a character are dropped with it. Texts that are lost whole go.
 
-    The stage before leaves each pair of id and text once; a null id never has text removed.
+    Rows keep their other columns through the operator, so nothing is joined again; a null id never has text removed, a null text stays null.
     """
-    left = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))
-    cut = suffix_dedup.dedup(docs, digests=True).where("n_removed > 0").select("doc_id", F.col("text_md5").alias("__text_md5"), left.alias("__left_text"), F.lit(True).alias("__was_cut"))
-    joined = docs.withColumn("__text_md5", text_digest()).join(cut, ["doc_id", "__text_md5"], "left")
-    text = F.when(F.col("__was_cut"), F.col("__left_text")).otherwise(F.col("text"))
-    whole = joined.withColumn("text", text).where(F.col("__was_cut").isNull() | (F.length(F.trim("text")) > 0))
-    return whole.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    cut = suffix_dedup.dedup(docs.withColumn("__null", F.col("text").isNull()), carry=(*others, "__null"))
+    whole = F.col("kept").cast("string")
+    left = F.when(F.col("n_removed") > 0, F.replace(F.make_valid_utf8(whole), F.lit("\ufffd"), F.lit(""))).otherwise(whole)
+    rows = cut.select("doc_id", F.col("n_removed").alias("__removed"), F.when(~F.col(f"carry.c{len(others)}"), left).alias("text"), *(F.col(f"carry.c{i}").alias(c) for i, c in enumerate(others)))
+    kept = rows.where((F.col("__removed") == 0) | (F.length(F.trim("text")) > 0)).drop("__removed")
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -188,17 +188,18 @@ def steps_of(texts: list[str | None]) -> list[bytes]:
 
 
 def with_steps(docs: DataFrame) -> DataFrame:
-    """(id, text) with `steps`, so that anchors are looked for once, before texts are dealt out."""
+    """`docs` (id, text, what they carry) with `steps`, so that anchors are looked for once, before texts are dealt out."""
 
     def run(found):
         for batch in found:
-            column = batch.column("text")
-            texts = column.to_pylist()
+            texts = batch.column("text").to_pylist()
             for a, b in in_chunks(texts, 4_000_000):
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), column.slice(a, b - a), pa.array(steps_of(texts[a:b]), pa.binary())], ["id", "text", "steps"])
+                own = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(steps_of(texts[a:b]), pa.binary())], [*own.schema.names, "steps"])
         give_back()
 
-    return docs.select("id", "text").mapInArrow(run, "id long, text string, steps binary")
+    columns = ", ".join(f"{c} {kind}" for c, kind in docs.dtypes)
+    return docs.mapInArrow(run, f"{columns}, steps binary")
 
 
 def sliding(x: np.ndarray, span: int, pick) -> np.ndarray:
@@ -214,7 +215,9 @@ class Shard:
     """The documents of one shard that have an id, in order of id and text."""
 
     def __init__(self, table: pa.Table):
-        rows = sorted((i, t or "", s) for i, t, s in zip(*(table.column(c).to_pylist() for c in ("id", "text", "steps")), strict=True) if i is not None)
+        columns = [table.column(c).to_pylist() for c in ("id", "text", "steps")]
+        rows = sorted((i, t or "", s, k) for k, (i, t, s) in enumerate(zip(*columns, strict=True)) if i is not None)
+        self.row = [r[3] for r in rows]  # where each stands in the table
         self.ids = np.array([r[0] for r in rows], dtype=np.int64)
         self.data, self.ends = utf8([r[1] for r in rows])
         n = np.array([len(r[2]) for r in rows], dtype=np.int64)
@@ -494,7 +497,7 @@ def inside(shard: Shard) -> np.ndarray:
 
 
 def cut_text(docs: pa.Table, told: pa.Table, id_type: pa.DataType, digests: bool = False) -> pa.Table:
-    """Step 5: (id, n_bytes, n_removed, n_spans, kept, spans) of one shard's rows, with `digests` the texts' text_md5 too."""
+    """Step 5: (id, n_bytes, n_removed, n_spans, kept, spans) of one shard's rows, with `digests` the texts' text_md5 too, and what they carry."""
     shard = Shard(docs)
     start = inside(shard)
     for places, windows in zip(told.column("places").to_pylist(), told.column("windows").to_pylist(), strict=True):
@@ -517,6 +520,9 @@ def cut_text(docs: pa.Table, told: pa.Table, id_type: pa.DataType, digests: bool
     columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
     types = (id_type, pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()))
     out = pa.table({n: pa.array(c, t) for n, c, t in zip(("id", "n_bytes", "n_removed", "n_spans", "kept", "spans"), columns, types, strict=True)})
+    if "carry" in docs.column_names:
+        unnamed = [k for k, i in enumerate(docs.column("id").to_pylist()) if i is None]
+        out = out.append_column("carry", docs.column("carry").take(pa.array(shard.row + unnamed, pa.int64())))
     if digests:
         texts = [shard.data[a:b].tobytes() for a, b in zip(shard.ends[:-1], shard.ends[1:], strict=True)] + [r[4] for r in rows[len(shard.ids) :]]
         out = out.append_column("text_md5", pa.array([hashlib.md5(t).digest() for t in texts], pa.binary()))
@@ -541,15 +547,18 @@ def numbered(docs: DataFrame, id_col: str) -> DataFrame:
     return materialize(ids.repartitionByRange("id").sortWithinPartitions("id").withColumn("number", F.monotonically_increasing_id()), "numbers")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD, digests: bool = False, hot: int = HOT) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD, digests: bool = False, hot: int = HOT, carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept binary, spans array<int>) of every row; spans: begin and end of each removed run, in bytes.
 
-    digests: one more column, text_md5 binary of the text before, which tells rows of one id apart."""
+    digests: one more column, text_md5 binary of the text before, which tells rows of one id apart. carry: columns that each row keeps, in a
+    struct of that name with fields c0, c1, …, so that the result need not be joined with the rows again."""
     id_type = docs.schema[id_col].dataType
     whole = isinstance(id_type, (ByteType, ShortType, IntegerType, LongType))
-    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kept_by = [F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(carry))).alias("carry")] if carry else []
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *kept_by)
+    others = ["text", "carry"] if carry else ["text"]
     numbers = None if whole else numbered(docs, id_col)
-    named = named.withColumn("id", F.col("id").cast("long")) if whole else named.join(numbers, "id", "left").select(F.col("number").alias("id"), "text")
+    named = named.withColumn("id", F.col("id").cast("long")) if whole else named.join(numbers, "id", "left").select(F.col("number").alias("id"), *others)
     total = named.select(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, math.ceil(total / shard_bytes))
     # Rows that share an id don't depend on each other: the text deals them out too.
@@ -559,7 +568,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     recurring = hashes.groupBy("range").applyInArrow(lambda t: merge_hashes(t, hot), "range int, shard int, recurring binary, hot binary")
     sent = dealt.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInArrow(lambda a, b: released(send_contexts)(a, b, ranges), "range int, shard int, wide int, contexts binary, firsts binary, owners binary, places binary, offsets binary")
     covered = sent.groupBy("range").applyInArrow(lambda t: released(covered_windows)(t), "shard int, places binary, windows binary")
-    columns = "id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<int>" + ", text_md5 binary" * digests
+    columns = "id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<int>" + (f", carry {dict(named.dtypes)['carry']}" if carry else "") + ", text_md5 binary" * digests
     cut = dealt.groupBy("shard").cogroup(covered.groupBy("shard")).applyInArrow(lambda a, b: released(cut_text)(a, b, pa.int64(), digests), columns)
     rest = [c for c in cut.columns if c != "id"]
     if whole:

@@ -5,6 +5,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
 
+from pyspark.sql import functions as F
+
 from tallyweave.llm import suffix_dedup
 
 
@@ -90,3 +92,13 @@ def test_suffix_array_and_common_prefixes():
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_dedup.query_digest(suffix_dedup.dedup(docs)).collect() == []
+
+
+def test_rows_carry_their_columns(spark):
+    passage = "a passage of well over fifty bytes that stands in three of these rows "
+    rows = [(3, passage + "c", "x", 1), (1, "a " + passage, None, 2), (None, passage, "n", 3), (2, None, "y", 4), (2, "unlike", "z", 5), (2, passage, "w", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a b` string, kept int")
+    got = suffix_dedup.dedup(docs, carry=("a b", "kept"), shard_bytes=60).collect()
+    assert sorted(((r.doc_id, r.n_bytes, *r.carry) for r in got), key=repr) == sorted(((i, len(t or ""), x, k) for i, t, x, k in rows), key=repr)
+    assert {r.carry.c1: r.n_removed > 0 for r in got} == {1: True, 2: False, 3: False, 4: False, 5: False, 6: True}
+    assert [f for f in suffix_dedup.dedup(docs.withColumn("doc_id", F.concat(F.lit("id"), "doc_id")), carry=("kept",)).columns if f == "carry"] == ["carry"]
