@@ -128,10 +128,11 @@ def sheet_mentions(texts: DataFrame, sheets: DataFrame, text: str) -> DataFrame:
     return texts.join(names, "workbook", "left").withColumn("mentions", first["name"]).drop("names")
 
 
-def rendered(cells: DataFrame) -> DataFrame:
-    """(workbook, sheet, grid): every filled cell as `A1: raw`, row by row, as one text for each sheet."""
+def rendered(cells: DataFrame, rows_of: int = 256) -> DataFrame:
+    """(workbook, sheet, segment, grid): every filled cell as `A1: raw`, row by row, `rows_of` rows to a segment: a sheet's segments in order, with line ends between, are its text."""
     line = F.concat(column_letters("col"), F.col("row").cast("string"), F.lit(": "), F.col("raw"))
-    return filled(cells).groupBy(*KEY).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row", "col", line.alias("line")))), lambda x: x["line"]), "\n").alias("grid"))
+    segment = F.floor(F.col("row") / rows_of).cast("int").alias("segment")
+    return filled(cells).groupBy(*KEY, segment).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row", "col", line.alias("line")))), lambda x: x["line"]), "\n").alias("grid"))
 
 
 def enhanced(address: Column, value: Column, formula: Column, number_format: Column) -> Column:

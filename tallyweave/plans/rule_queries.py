@@ -76,7 +76,7 @@ def read_range(spark, sf_dir):
     return sheets.read_range(sheets.filled(line_cells(spark, sf_dir)), 5, 2, 400, 3).select("workbook", "sheet", "row", "col", "raw")
 
 
-@query(CELLS + " SELECT workbook, sheet, sha256(string_agg(chr(64 + col_) || row_ || ': ' || raw, chr(10) ORDER BY row_, col_)) AS grid FROM cells GROUP BY ALL")
+@query(CELLS + " SELECT workbook, sheet, CAST(row_ // 256 AS INTEGER) AS segment, sha256(string_agg(chr(64 + col_) || row_ || ': ' || raw, chr(10) ORDER BY row_, col_)) AS grid FROM cells GROUP BY workbook, sheet, row_ // 256")
 def rendered_grid(spark, sf_dir):
     return sheets.rendered(line_cells(spark, sf_dir)).withColumn("grid", F.sha2("grid", 256))
 
