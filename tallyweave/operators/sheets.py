@@ -145,32 +145,76 @@ def resolve_edits(edits: DataFrame) -> DataFrame:
     return edits.groupBy(*KEY, "row", "col").agg(F.max_by("raw", "seq").alias("raw"))
 
 
-def blocks(cells: DataFrame) -> DataFrame:
+#: Rows of a sheet among which a piece of it may begin.
+BLOCK = 4_096
+
+
+def pieces(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """rows (workbook, sheet, row, ...) with `piece`: pieces of a sheet in which no row is next to one of another piece.
+
+    A piece begins in each `block` rows at the first row that follows an empty one of them, if there is any. A row before that is of the piece that began last."""
+    at = F.floor(F.col("row") / block).alias("__at")
+    near = Window.partitionBy(*KEY, "__at").orderBy("row")
+    last = F.coalesce(F.lag("row").over(near), F.col("__at") * block - 1)
+    gaps = rows.select(*KEY, at, "row").distinct().withColumn("__gap", (F.col("row") > F.col("__at") * block) & (last < F.col("row") - 1))
+    begins = gaps.groupBy(*KEY, "__at").agg(F.min(F.when(F.col("__gap"), F.col("row"))).alias("__own"))
+    before = F.last("__own", ignorenulls=True).over(Window.partitionBy(*KEY).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1))
+    met = rows.withColumn("__at", at).join(begins.withColumn("__before", before), [*KEY, "__at"])
+    return met.select(*rows.columns, F.when(F.col("row") >= F.col("__own"), F.col("__own")).otherwise(F.col("__before")).alias("piece"))
+
+
+def blocks(cells: DataFrame, block: int = BLOCK) -> DataFrame:
     """(workbook, sheet, r1, c1, r2, c2) of contiguous blocks: right along the first row, then down while the whole width is filled.
 
-    No block crosses a row without any cell, so the rows between two such are a group of their own; only row numbers are ordered sheet by sheet.
+    No block crosses a row without any cell, so the pieces of a sheet between such rows are dealt over tasks. A task reads the runs of cells row by row and
+    holds only the blocks that are open in the row it is at, whatever the length of a piece. A run begins a block at its first cell that none from above covers.
     """
     import pandas as pd
 
-    def find(rows: pd.DataFrame) -> pd.DataFrame:
-        have, seen, out = set(zip(rows["row"], rows["col"], strict=True)), set(), []
-        for r, c in sorted(have):
-            if (r, c) in seen:
-                continue
-            right, down = c, r
-            while (r, right + 1) in have:
-                right += 1
-            while all((down + 1, k) in have for k in range(c, right + 1)):
-                down += 1
-            seen.update((i, k) for i in range(r, down + 1) for k in range(c, right + 1))
-            out.append((rows["workbook"].iloc[0], rows["sheet"].iloc[0], r, c, down, right))
-        return pd.DataFrame(out, columns=["workbook", "sheet", "r1", "c1", "r2", "c2"])
-
-    some = filled(cells).select(*KEY, "row", "col")
-    by_row = Window.partitionBy(*KEY).orderBy("row")
-    begins = some.select(*KEY, "row").distinct().withColumn("band", F.when(F.coalesce(F.lag("row").over(by_row) == F.col("row") - 1, F.lit(False)), None).otherwise(F.col("row")))
-    bands = begins.withColumn("band", F.last("band", ignorenulls=True).over(by_row.rowsBetween(Window.unboundedPreceding, 0)))
-    return some.join(bands, [*KEY, "row"]).groupBy(*KEY, "band").applyInPandas(find, "workbook string, sheet string, r1 int, c1 int, r2 int, c2 int")
+    def next_row(above: list, row: int, runs: list) -> tuple[list, list]:
+        """The open blocks (r1, c1, c2) after a row, by their first columns, and those that ended above it."""
+        going, ended, new, k = [], [], [], 0
+        for one in above:
+            while k < len(runs) and runs[k][1] < one[1]:
+                k += 1
+            (going if k < len(runs) and runs[k][0] <= one[1] and one[2] <= runs[k][1] else ended).append(one)
+        k = 0
+        for c1, c2 in runs:
+            while k < len(going) and going[k][1] <= c1:
+                c1, k = max(c1, going[k][2] + 1), k + 1
+            if c1 <= c2:
+                new.append((row, c1, c2))
+        return sorted(going + new, key=lambda x: x[1]) if going else new, ended
+
+    def find(parts):
+        sheet, row, runs, above, out = None, None, [], [], []
+
+        def closed(ended: list, down: int) -> None:
+            out.extend((*sheet, r1, c1, down, c2) for r1, c1, c2 in ended)
+
+        for part in parts:
+            for workbook, name, r, c1, c2 in zip(*(part[c].tolist() for c in ("workbook", "sheet", "row", "c1", "c2")), strict=True):
+                if r != row or (workbook, name) != sheet:
+                    if row is not None:
+                        above, ended = next_row(above, row, runs)
+                        closed(ended, row - 1)
+                        if r != row + 1 or (workbook, name) != sheet:
+                            closed(above, row)
+                            above = []
+                    sheet, row, runs = (workbook, name), r, []
+                runs.append((c1, c2))
+            yield pd.DataFrame(out, columns=["workbook", "sheet", "r1", "c1", "r2", "c2"])
+            out.clear()
+        if row is not None:
+            above, ended = next_row(above, row, runs)
+            closed(ended, row - 1)
+            closed(above, row)
+            yield pd.DataFrame(out, columns=["workbook", "sheet", "r1", "c1", "r2", "c2"])
+
+    run = F.col("col") - F.dense_rank().over(Window.partitionBy(*KEY, "row").orderBy("col"))
+    runs = filled(cells).select(*KEY, "row", "col").withColumn("__run", run).groupBy(*KEY, "row", "__run").agg(F.min("col").alias("c1"), F.max("col").alias("c2")).drop("__run")
+    dealt = pieces(runs, block).repartition(*KEY, "piece").sortWithinPartitions(*KEY, "row", "c1")
+    return dealt.select(*KEY, "row", "c1", "c2").mapInPandas(find, "workbook string, sheet string, r1 int, c1 int, r2 int, c2 int")
 
 
 #: Cells that one request may read.

@@ -261,12 +261,16 @@ def formula_warnings(spark, sf_dir):
     return v.select("p_partkey", "v.valid", F.array_join("v.warnings", "|").alias("warnings"), F.array_join("v.potential_names", ",").alias("names"))
 
 
-def line_cells(spark, sf_dir):
-    """Lines as cells: a workbook for each tenth order, a row for each order, a column for each line number."""
+def line_cells(spark, sf_dir, sheet=None):
+    """Lines as cells: a workbook for each tenth order, a row for each order, a column for each line number; sheets by their line status, or named by an expression over workbook, status and row.
+
+    Lines are shuffled once, by the row they lie in, before the last of a cell is picked: what is done row by row afterwards needs no other shuffle."""
     kind = F.when(F.col("l_partkey") % 3 == 0, "string").otherwise("number")
     raw = F.when(F.col("l_suppkey") % 9 == 0, "").when(F.col("l_partkey") % 3 == 0, F.col("l_returnflag")).otherwise(F.col("l_partkey").cast("string"))
     rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 10).cast("string").alias("workbook"), F.col("l_linestatus").alias("sheet"), F.col("l_orderkey").cast("int").alias("row"), F.col("l_linenumber").cast("int").alias("col"), raw.alias("raw"), kind.alias("v_type"), F.struct("l_partkey", "l_suppkey", "l_shipdate").alias("o"))
-    return rows.groupBy("workbook", "sheet", "row", "col").agg(F.max_by(F.struct("raw", "v_type"), "o").alias("x")).select("workbook", "sheet", "row", "col", "x.*")
+    if sheet is not None:
+        rows = rows.withColumn("sheet", sheet)
+    return rows.repartition("workbook", "sheet", "row").groupBy("workbook", "sheet", "row", "col").agg(F.max_by(F.struct("raw", "v_type"), "o").alias("x")).select("workbook", "sheet", "row", "col", "x.*")
 
 
 CELLS = """WITH one AS (SELECT CAST(l_orderkey % 10 AS VARCHAR) AS workbook, l_linestatus AS sheet, CAST(l_orderkey AS INTEGER) AS row_, CAST(l_linenumber AS INTEGER) AS col_,

@@ -161,3 +161,28 @@ def test_a_profile_passes_on_three_values_of_a_column(spark):
     out = sheets.column_profile(cells)
     assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, out.collect())) == [("b", "s", 0, "number", 2_500, ["0", "2", "4"]), ("b", "s", 1, "number", 2_500, ["1", "3", "5"])]
+
+
+@pytest.mark.parametrize("block", [4_096, 7, 1])
+def test_blocks_of_sheets_dealt_in_pieces(spark, block):
+    """Rows are read one after the other by few tasks, not a group for each band of rows; where pieces begin makes no difference."""
+
+    def plain(have):
+        seen, out = set(), []
+        for r, c in sorted(have):
+            if (r, c) not in seen:
+                right, down = c, r
+                while (r, right + 1) in have:
+                    right += 1
+                while all((down + 1, k) in have for k in range(c, right + 1)):
+                    down += 1
+                seen.update((i, k) for i in range(r, down + 1) for k in range(c, right + 1))
+                out.append((r, c, down, right))
+        return out
+
+    rng = random.Random(3)
+    held = {f"s{n}": {(rng.randint(0, 30), rng.randint(1, 8)) for _ in range(most)} for n, most in enumerate([5, 40, 120, 200] * 4)}
+    df = spark.createDataFrame([("w", s, r, c, "x") for s, have in held.items() for r, c in [*have, *list(have)[:2]]], "workbook string, sheet string, row int, col int, raw string")
+    found = sheets.blocks(df, block)
+    assert sorted(map(tuple, found.collect())) == sorted(("w", s, *b) for s, have in held.items() for b in plain(have))
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
