@@ -19,6 +19,22 @@ def used_range(cells: DataFrame) -> DataFrame:
     return filled(cells).groupBy(*KEY).agg(F.min("row").alias("min_row"), F.max("row").alias("max_row"), F.min("col").alias("min_col"), F.max("col").alias("max_col"), F.count("*").alias("n_cells"))
 
 
+def behind_rows(cells: DataFrame, *made: Column, where: Column | None = None) -> DataFrame:
+    """cells with those of `made` (structs of some of the cells' columns; others are NULL) after each row that holds a filled cell and of which `where` is true.
+
+    They are put behind the row's first filled cell, so that cells are read once. `where` and `made` may use workbook, sheet and row."""
+    own = [c for c in cells.columns if c not in (*KEY, "row")]
+    types = {f.name: f.dataType for f in cells.schema.fields}
+    given = [cells.select(m.alias("x")).schema["x"].dataType.names for m in made]
+    whole = lambda m, has: F.struct(*((m[c] if c in has else F.lit(None)).cast(types[c]).alias(c) for c in own))
+    some = F.coalesce(F.col("raw") != "", F.lit(False))
+    first = F.row_number().over(Window.partitionBy(*KEY, "row").orderBy(F.when(some, 0).otherwise(1), "col")) == 1
+    put = some & F.col("__first") & (F.lit(True) if where is None else where)
+    cell = F.struct(*(F.col(c).alias(c) for c in own))
+    told = cells.withColumn("__first", first).withColumn("__cells", F.when(put, F.array(cell, *map(whole, made, given))).otherwise(F.array(cell)))
+    return told.select(*KEY, "row", F.inline("__cells")).select(*cells.columns)
+
+
 def sheet_info(cells: DataFrame) -> DataFrame:
     """(workbook, sheet, min_row, max_row, min_col, max_col, n_cells, n_formulas, used_range) of every sheet with a filled cell."""
     box = ["min", "max"]

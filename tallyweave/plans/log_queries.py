@@ -346,11 +346,10 @@ def contiguous_blocks(spark, sf_dir):
 )
 def formula_evaluation(spark, sf_dir):
     """Two formulas beside each row, the second over the first; a sheet holds the orders of a thousand keys, so sheets do not grow with the table."""
-    cells = line_cells(spark, sf_dir).withColumn("sheet", F.concat_ws("-", "sheet", (F.col("row") / 1000).cast("int").cast("string"))).select("workbook", "sheet", "row", "col", "raw")
-    rows, at = cells.where("raw <> ''").select("workbook", "sheet", "row").distinct(), F.col("row").cast("string")
-    sums = rows.select("*", F.lit(10).alias("col"), F.concat(F.lit("=SUM(A"), at, F.lit(":G"), at, F.lit(")*2")).alias("raw"))
-    tests = rows.select("*", F.lit(11).alias("col"), F.concat(F.lit("=IF(J"), at, F.lit('>100000,"a=b","x<>y")')).alias("raw"))
-    return evaluate(cells.unionByName(sums).unionByName(tests))
+    cells = line_cells(spark, sf_dir, F.concat_ws("-", "sheet", (F.col("row") / 1000).cast("int").cast("string"))).select("workbook", "sheet", "row", "col", "raw")
+    made = lambda col, *raw: F.struct(F.lit(col).alias("col"), F.concat(*raw).alias("raw"))
+    at = F.col("row").cast("string")
+    return evaluate(sheets.behind_rows(cells, made(10, F.lit("=SUM(A"), at, F.lit(":G"), at, F.lit(")*2")), made(11, F.lit("=IF(J"), at, F.lit('>100000,"a=b","x<>y")'))))
 
 
 # --- texts -------------------------------------------------------------------------------------------------------------------
