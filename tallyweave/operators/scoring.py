@@ -80,15 +80,18 @@ def rubric_problems(check_weights: DataFrame, rubric: DataFrame) -> DataFrame:
     )
 
 
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: The first 702 letters, and for places from the sixth to the first: the least index that has it, and what a step of it counts.
+_SHORT = ",".join([*_ALPHABET, *(a + b for a in _ALPHABET for b in _ALPHABET)])
+_PLACES = [(sum(26**i for i in range(1, j + 1)), 26**j) for j in range(5, -1, -1)]
+
+
 def check_letter(index: str | Column) -> Column:
-    """A, B ... Z, AA, AB ... for 0, 1 ...: bijective base 26, up to six letters."""
+    """A, B ... Z, AA, AB ... for 0, 1 ...: bijective base 26, up to six letters; the empty text for NULL and below 0. Two letters at most are looked up in a list."""
     n = F.col(index) if isinstance(index, str) else index
-    out, left = F.lit(""), n + 1
-    for _ in range(6):
-        digit = F.pmod(left - 1, F.lit(26))
-        out = F.when(left > 0, F.concat(F.chr((digit + 65).cast("int")), out)).otherwise(out)
-        left = F.floor((left - 1 - digit) / 26)
-    return out
+    places = F.array(*(F.struct(F.lit(least).cast("long").alias("least"), F.lit(step).cast("long").alias("step")) for least, step in _PLACES))
+    digits = F.transform(F.filter(places, lambda p: n >= p["least"]), lambda p: F.chr((F.pmod(F.floor((n - p["least"]) / p["step"]), F.lit(26)) + 65).cast("int")))
+    return F.when(n < 702, F.coalesce(F.get(F.split(F.lit(_SHORT), ","), F.greatest(n, F.lit(-1)).cast("int")), F.lit(""))).otherwise(F.array_join(digits, ""))
 
 
 def lettered(rubric: DataFrame, category: str = "category", position: str = "position") -> DataFrame:

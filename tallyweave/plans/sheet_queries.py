@@ -23,12 +23,12 @@ def query(sql: str):
 
 def solution_cells(spark, sf_dir):
     """Lines as cells, with a formula behind each row of the sheets F; the sheets O are the unanswered questions."""
-    cells = line_cells(spark, sf_dir).withColumn("sheet", F.when(F.col("sheet") == "O", F.concat(F.lit("Q"), "workbook")).otherwise(F.col("sheet"))).withColumn("cached", F.lit(None).cast("string"))
-    rows = sheets.filled(cells).where("sheet = 'F'").select("workbook", "sheet", "row").distinct()
+    named = F.when(F.col("sheet") == "O", F.concat(F.lit("Q"), "workbook")).otherwise(F.col("sheet"))
+    cells = line_cells(spark, sf_dir, named).withColumn("cached", F.lit(None).cast("string"))
     row = F.col("row").cast("string")
     own = F.when(F.col("row") % 3 == 0, F.concat(F.lit("=A"), row, F.lit("+H"), row)).when(F.col("row") % 3 == 1, F.concat(F.lit("=F!H"), row)).otherwise(F.concat(F.lit("=SUM(A"), row, F.lit(":G"), row, F.lit(")")))
-    made = rows.select("workbook", "sheet", "row", F.lit(8).alias("col"), own.alias("raw"), F.lit("number").alias("v_type"), F.when(F.col("row") % 2 == 0, row).alias("cached"))
-    return cells.unionByName(made)
+    made = F.struct(F.lit(8).alias("col"), own.alias("raw"), F.lit("number").alias("v_type"), F.when(F.col("row") % 2 == 0, row).alias("cached"))
+    return sheets.behind_rows(cells, made, where=F.col("sheet") == "F")
 
 
 SOLUTION = CELLS + """, named AS (SELECT workbook, CASE sheet WHEN 'O' THEN 'Q' || workbook ELSE sheet END AS sheet, row_, col_, raw, v_type, CAST(NULL AS VARCHAR) AS cached FROM cells),
