@@ -41,12 +41,16 @@ def segments(cells: DataFrame, rows_of: int = ROWS) -> DataFrame:
     return used_range(cells).select(*KEY, F.lit(-1).alias("segment"), head.alias("text")).unionByName(in_segments(lines, "line", rows_of))
 
 
-def self_references(cells: DataFrame) -> DataFrame:
-    """Formulas that may refer to their own cell: by the sheet's name, quoted or not, or, in formulas without any sheet, by the plain address."""
+def _refers_to_itself() -> Column:
     own = address()
     by_name = F.col("raw").contains(F.concat(F.lit("'"), F.col("sheet"), F.lit("'!"), own)) | F.col("raw").contains(F.concat(F.col("sheet"), F.lit("!"), own))
     plain = ~F.col("raw").contains("!") & F.array_contains(F.regexp_extract_all("raw", F.lit(r"\b[A-Z]{1,3}[0-9]+\b"), F.lit(0)), own)
-    return cells.where(is_formula() & (by_name | plain)).withColumn("address", own)
+    return by_name | plain
+
+
+def self_references(cells: DataFrame) -> DataFrame:
+    """Formulas that may refer to their own cell: by the sheet's name, quoted or not, or, in formulas without any sheet, by the plain address."""
+    return cells.where(is_formula() & _refers_to_itself()).withColumn("address", address())
 
 
 def unanswered(sheets: DataFrame, cells: DataFrame) -> DataFrame:
@@ -56,9 +60,12 @@ def unanswered(sheets: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def solution_report(sheets: DataFrame, cells: DataFrame) -> DataFrame:
-    """(workbook, worksheets, formulas, self_references, unanswered) of every workbook of sheets (workbook, sheet)."""
-    count = lambda rows, name: rows.groupBy("workbook").agg(F.count("*").alias(name))
-    out = count(sheets, "worksheets")
-    for rows, name in ((cells.where(is_formula()), "formulas"), (self_references(cells), "self_references"), (unanswered(sheets, cells), "unanswered")):
-        out = out.join(count(rows, name), "workbook", "left")
-    return out.fillna(0, ["formulas", "self_references", "unanswered"])
+    """(workbook, worksheets, formulas, self_references, unanswered) of every workbook of sheets (workbook, sheet). Cells are read once, and counted by sheet."""
+    refers = F.coalesce(_refers_to_itself(), F.lit(False))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    listed = sheets.select(*KEY, one.alias("listed"), none.alias("formulas"), none.alias("self_references"))
+    counted = cells.where(is_formula()).groupBy(*KEY).agg(none.alias("listed"), F.count("*").alias("formulas"), F.count_if(refers).alias("self_references"))
+    by_sheet = listed.unionByName(counted).groupBy(*KEY).agg(*(F.sum(c).alias(c) for c in ("listed", "formulas", "self_references")))
+    unanswered = F.when(F.col("sheet").rlike("^Q[0-9]+$") & (F.col("formulas") == 0), F.col("listed")).otherwise(0)
+    out = by_sheet.groupBy("workbook").agg(F.sum("listed").alias("worksheets"), *(F.sum(c).alias(c) for c in ("formulas", "self_references")), F.sum(unanswered).alias("unanswered"))
+    return out.where("worksheets > 0")

@@ -186,3 +186,35 @@ def test_blocks_of_sheets_dealt_in_pieces(spark, block):
     found = sheets.blocks(df, block)
     assert sorted(map(tuple, found.collect())) == sorted(("w", s, *b) for s, have in held.items() for b in plain(have))
     assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+
+
+def test_formulas_that_differ_only_in_references_are_parsed_once(spark):
+    from tallyweave.functions import evaluation
+
+    one, other = evaluation.template('=SUM(A1:B1)*2&"A1"'), evaluation.template('=SUM($A$7:B9)*2&"A1"')
+    assert one[0] == other[0] == 'SUM(_ref(0))*2&"A1"' and (one[1], other[1]) == ([(1, 1, 1, 2)], [(7, 1, 9, 2)])
+    rows = [("w", f"s{n}", r, c, f"={'J' if c == 11 else 'A'}{r}*{2}" if c > 9 else str(n + r)) for n in range(40) for r in range(5) for c in (1, 10, 11)]
+    found = evaluation.evaluate(spark.createDataFrame([*rows, ("w", "s0", 9, 1, "=_ref(0)")], "workbook string, sheet string, row int, col int, raw string"))
+    want = {("w", f"s{n}", r, c): str((n + r) * (2 if c == 10 else 4)) for n in range(40) for r in range(5) for c in (10, 11)} | {("w", "s0", 9, 1): None}
+    assert {tuple(r)[:4]: r.value for r in found.collect()} == want and "FlatMapGroups" not in found._jdf.queryExecution().toString()
+
+
+def test_letters_are_a_short_expression(spark):
+    from tallyweave.operators.scoring import check_letter
+
+    letters = check_letter("i")
+    want = {None: "", -3: "", 0: "A", 25: "Z", 26: "AA", 701: "ZZ", 702: "AAA", 18277: "ZZZ", 18278: "AAAA", 12356630: "AAAAAA"}
+    df = spark.createDataFrame([(i,) for i in want], "i long")
+    assert {r.i: r.x for r in df.select("i", letters.alias("x")).collect()} == want
+    assert len(df.select(letters.alias("x"))._jdf.queryExecution().analyzed().toString()) < 20_000
+
+
+def test_formulas_behind_rows_and_report_read_cells_once(spark):
+    rows = [("w", "F", 3, 2, "", "a"), ("w", "F", 3, 4, "x", "b"), ("w", "F", 3, 5, "y", "c"), ("w", "F", 4, 1, "", "d"), ("w", "F", 6, 1, None, "e"), ("w", "Q1", 3, 1, "z", "f")]
+    cells = spark.createDataFrame(rows, "workbook string, sheet string, row int, col int, raw string, cached string")
+    made = F.struct(F.lit(8).alias("col"), F.concat(F.lit("=H"), F.col("row").cast("string")).alias("raw"))
+    got = sheets.behind_rows(cells, made, where=F.col("sheet") == "F")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([*rows, ("w", "F", 3, 8, "=H3", None)], key=repr)
+    report = grid.solution_report(cells.select("workbook", "sheet").distinct(), got)
+    assert sorted(map(tuple, report.collect())) == [("w", 2, 1, 1, 1)]
+    assert report._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
