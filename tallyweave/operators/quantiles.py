@@ -49,7 +49,8 @@ def with_quantiles(rows: DataFrame, by: list[str], value: str, quantiles: dict[s
                 F.sort_array(F.collect_list(F.when((v > low) & (v < high), v))).alias("inside"),
             ).alias(f"__q{i}")
         )
-    groups = met.groupBy(*by).agg(F.first("__own").alias("__own"), *counted)
+    # A group's own figures are a key, not an aggregate: where no quantile is asked for, an aggregate of structs would sort all rows.
+    groups = met.groupBy(*by, "__own").agg(*counted)
     n, out = F.col("__own.__n"), []
     for i, (name, p) in enumerate(quantiles.items()):
         place = F.lit(float(p)) * (n - 1)

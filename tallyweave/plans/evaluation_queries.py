@@ -265,9 +265,13 @@ STATS = """SELECT agent, difficulty, count(minutes) AS n, round(avg(minutes), 6)
   round(quantile_cont(minutes, 0.25), 8) AS q25, round(quantile_cont(minutes, 0.75), 8) AS q75 FROM attempts a JOIN tasks t ON a.task_id = t.task_id WHERE minutes IS NOT NULL GROUP BY ALL"""
 
 
-def minute_stats(spark, sf_dir):
+def minutes_of_tasks(spark, sf_dir):
     a, t = evaluation(spark, sf_dir, "attempts").select("task_id", "agent", "minutes"), evaluation(spark, sf_dir, "tasks").select("task_id", "difficulty")
-    return stats.stat_summary(a.join(t, "task_id"), ["agent", "difficulty"], "minutes").withColumns({c: F.round(c, n) for c, n in (("mean", 6), ("sem", 6), ("median", 8), ("q25", 8), ("q75", 8))})
+    return a.where("minutes IS NOT NULL").join(t, "task_id")
+
+
+def minute_stats(spark, sf_dir):
+    return stats.stat_summary(minutes_of_tasks(spark, sf_dir), ["agent", "difficulty"], "minutes").withColumns({c: F.round(c, n) for c, n in (("mean", 6), ("sem", 6), ("median", 8), ("q25", 8), ("q75", 8))})
 
 
 @query(STATS, "tasks", "attempts")
@@ -283,7 +287,8 @@ def iqr_bars(spark, sf_dir):
 
 @query(f"WITH s AS ({STATS}) SELECT round(least(max(mean + sem) * 1.1, 100), 4) AS upper, round(min(CASE WHEN mean > 0 THEN mean END) / 2, 4) AS log_floor FROM s", "tasks", "attempts")
 def axis_bounds(spark, sf_dir):
-    b = stats.axis_bounds(stats.error_bars(minute_stats(spark, sf_dir), robust=False))
+    means = stats.mean_summary(minutes_of_tasks(spark, sf_dir), ["agent", "difficulty"], "minutes").withColumns({c: F.round(c, 6) for c in ("mean", "sem")})
+    b = stats.axis_bounds(stats.error_bars(means, robust=False))
     return b.select(F.round("upper", 4).alias("upper"), F.round("log_floor", 4).alias("log_floor"))
 
 

@@ -218,3 +218,12 @@ def test_formulas_behind_rows_and_report_read_cells_once(spark):
     report = grid.solution_report(cells.select("workbook", "sheet").distinct(), got)
     assert sorted(map(tuple, report.collect())) == [("w", 2, 1, 1, 1)]
     assert report._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
+
+
+def test_means_without_quantiles_sort_nothing_but_the_join(spark):
+    rows = [(f"k{i % 3}" if i % 7 else None, float(i)) for i in range(200)] + [("k9", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    whole, means = stats.stat_summary(df, ["k"], "v").select("k", "n", "mean", "sem"), stats.mean_summary(df, ["k"], "v")
+    assert sorted(map(tuple, whole.collect()), key=repr) == sorted(map(tuple, means.collect()), key=repr)
+    for found in (whole, means):
+        assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
