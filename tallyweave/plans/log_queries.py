@@ -223,7 +223,8 @@ FORMULA_SQL = FORMULA.replace("AS STRING", "AS VARCHAR").replace('\\"', '"')
 
 
 def part_formulas(spark, sf_dir):
-    return table(spark, sf_dir, "part").selectExpr("p_partkey", f"{FORMULA} AS formula", "concat('B', CAST(p_size + 1 AS STRING)) AS cell")
+    """Parts as formulas. They are dealt over tasks first: their file is small, what is done with a formula is not."""
+    return table(spark, sf_dir, "part").select("p_partkey", "p_size").repartition("p_partkey").selectExpr("p_partkey", f"{FORMULA} AS formula", "concat('B', CAST(p_size + 1 AS STRING)) AS cell")
 
 
 @query(f"SELECT p_partkey, array_to_string(list_sort(list_distinct(regexp_extract_all(regexp_replace(f, '\"[^\"]*\"', '', 'g'), '\\b([A-Z][A-Z0-9_.]*)\\s*\\(', 1))), ',') AS functions FROM (SELECT p_partkey, {FORMULA_SQL} AS f FROM part) p")
