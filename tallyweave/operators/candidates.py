@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallyweave.operators.sheets import tokens
+from tallyweave.operators.sheets import split, tokens
 from tallyweave.sources.tables import SMALL, same, written
 
 #: Sheets that only list tasks are no candidates.
@@ -14,6 +17,10 @@ LISTS = ("tasks and questions", "tasks", "questions")
 BLOCKS, OWN_BLOCKS, MOST, MATCHED, HEADERS = 10, 20, 5, 10, 6
 #: Places that each entry of an index too large to be broadcast goes to, so that a word of many texts is spread over as many tasks.
 SALTS = 16
+#: Postings of texts that are scored at a time.
+TOGETHER = 1_000_000
+_TYPES = {"rank": T.IntegerType(), "number": T.LongType(), "score": T.IntegerType(), "block": T.IntegerType(), "hit": T.ArrayType(T.LongType()), "in_block": T.ArrayType(T.LongType())}
+CANDIDATES = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in _TYPES.items()]))
 
 
 #: A posting is one number: the sheet's number from bit SHEET_BIT on, the word's from WORD_BIT on, and below the word's places in the sheet,
@@ -33,27 +40,71 @@ def postings(keywords: DataFrame, headers: DataFrame) -> DataFrame:
     return placed.select("workbook", "word", "other", (F.shiftleft(number("other"), SHEET_BIT) + F.shiftleft(number("word"), WORD_BIT) + F.col("places")).alias("posting"))
 
 
-def _met(words: DataFrame, index: DataFrame) -> DataFrame:
-    """words JOIN index USING (workbook, word): the index is broadcast while it is small, and salted beyond."""
-    if index.limit(SMALL + 1).count() <= SMALL:
-        return words.join(F.broadcast(index), ["workbook", "word"])
+def _met(words: DataFrame, index: DataFrame, little: bool) -> DataFrame:
+    """words JOIN index USING (workbook, form): the index is broadcast while it is small, and salted beyond."""
+    if little:
+        return words.join(F.broadcast(index), ["workbook", "form"])
     salted = index.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return words.withColumn("__salt", F.pmod(F.xxhash64(*words.columns), F.lit(SALTS)).cast("int")).join(salted, ["workbook", "word", "__salt"]).drop("__salt")
-
-
-def _sheet(posting: Column) -> Column:
-    return F.shiftright(posting, SHEET_BIT)
-
-
-def _words(found: Column, bit: Column) -> Column:
-    """The numbers of the words of some postings that stand at a bit, in order."""
-    return F.array_sort(F.transform(F.filter(found, lambda x: F.getbit(x, bit) == 1), lambda x: F.shiftright(x, WORD_BIT).bitwiseAND(F.lit((1 << (SHEET_BIT - WORD_BIT)) - 1))))
-
-
-def _block(found: Column, most: int) -> Column:
-    """A struct of hits and minus the number of the block of some postings with most words, the first on ties; NULL without any."""
-    hits = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda b: F.struct(F.size(F.filter(found, lambda x: F.getbit(x, b) == 1)).alias("hits"), (-b).alias("minus")))
-    return F.array_max(F.filter(hits, lambda x: x["hits"] > 0))
+    return words.withColumn("__salt", F.pmod(F.xxhash64(*words.columns), F.lit(SALTS)).cast("int")).join(salted, ["workbook", "form", "__salt"]).drop("__salt")
+
+
+def _number(posting: str = "posting") -> Column:
+    """The number of a posting's word."""
+    return F.shiftright(posting, WORD_BIT).bitwiseAND(F.lit((1 << (SHEET_BIT - WORD_BIT)) - 1))
+
+
+def _rows(values: np.ndarray, owner: np.ndarray, n: int, null: np.ndarray | None = None) -> pa.Array:
+    """Values as lists by their owners, of which there are n; owners ascend, and those in null have no list."""
+    ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), values if isinstance(values, pa.Array) else pa.array(values), mask=None if null is None else pa.array(null))
+
+
+def _best(postings: np.ndarray, text: np.ndarray, own: np.ndarray) -> pa.Array:
+    """The candidates of each text by its postings, which ascend text by text; own has the number of each text's own sheet."""
+    fresh = np.ones(len(postings), dtype=bool)
+    fresh[1:] = (postings[1:] != postings[:-1]) | (text[1:] != text[:-1])
+    postings, text = postings[fresh], text[fresh]
+    sheet = postings >> SHEET_BIT
+    begin = np.flatnonzero(np.concatenate([[True], (sheet[1:] != sheet[:-1]) | (text[1:] != text[:-1])])[: len(sheet)])
+    length = np.diff(begin, append=len(postings))
+    of, sheet = text[begin], sheet[begin]
+    mine = sheet == own[of]
+    hits, block = np.zeros(len(begin), dtype=np.int64), np.full(len(begin), -1)
+    used = int(np.bitwise_or.reduce(postings, initial=0))
+    for b in range(OWN_BLOCKS):
+        if used >> b & 1:
+            n = np.add.reduceat((postings >> b) & 1, begin)
+            better = (n > hits) & (mine | (b < BLOCKS))
+            hits[better], block[better] = n[better], b
+    score = np.where(mine, hits, np.add.reduceat((postings >> OWN_BLOCKS) & 1, begin) if len(begin) else 0)
+
+    order = np.lexsort((sheet, mine, -score, of))
+    order = order[score[order] > 0]
+    place = np.arange(len(order)) - np.searchsorted(of[order], of[order])
+    order, place = order[place < MOST], place[place < MOST]
+    of, mine, block, length = of[order], mine[order], block[order], length[order]
+    owner = np.repeat(np.arange(len(order)), length)
+    shown = postings[np.repeat(begin[order] - (np.cumsum(length) - length), length) + np.arange(len(owner))]
+    word = (shown >> WORD_BIT) & ((1 << (SHEET_BIT - WORD_BIT)) - 1)
+    hit = np.flatnonzero(((shown >> OWN_BLOCKS) & 1).astype(bool) & ~mine[owner])
+    hit = hit[np.arange(len(hit)) - np.searchsorted(owner[hit], owner[hit]) < MATCHED]
+    in_block = np.flatnonzero((shown >> np.maximum(block[owner], 0)) & 1 & (block[owner] >= 0))
+    fields = {
+        "rank": pa.array(place + 1, pa.int32()), "number": pa.array(sheet[order]), "score": pa.array(score[order], pa.int32()), "block": pa.array(block, pa.int32(), mask=block < 0),
+        "hit": _rows(word[hit], owner[hit], len(order), mine), "in_block": _rows(word[in_block], owner[in_block], len(order), block < 0),
+    }
+    return _rows(pa.StructArray.from_arrays(list(fields.values()), list(fields)), of, len(own))
+
+
+@F.arrow_udf(CANDIDATES)
+def best_sheets(found: pa.Array, own: pa.Array) -> pa.Array:
+    """The best sheets of texts by their postings (each text's in order) and their own sheets' numbers, with the numbers of the words that are shown: TOGETHER postings or one text at a time."""
+    postings, ends, own, parts, row = found.flatten().to_numpy(), np.concatenate([[0], np.cumsum(found.value_lengths().to_numpy())]), own.to_numpy(), [], 0
+    while row < len(own) or not parts:
+        until = max(min(row + 1, len(own)), int(np.searchsorted(ends, ends[row] + TOGETHER, side="right")) - 1)
+        parts.append(_best(postings[ends[row] : ends[until]], np.repeat(np.arange(until - row), np.diff(ends[row : until + 1])), own[row:until]))
+        row = until
+    return pa.concat_arrays(parts)
 
 
 def task_candidates(texts: DataFrame, keywords: DataFrame, headers: DataFrame, id_col: str = "task_id") -> DataFrame:
@@ -64,36 +115,33 @@ def task_candidates(texts: DataFrame, keywords: DataFrame, headers: DataFrame, i
     or whose workbook is NULL, have no candidates, and of texts that share workbook, sheet and id each has its own words only if the ids differ: they count as one text.
     """
     index = written(postings(keywords, headers), "words")
-    sheet_of = index.groupBy("workbook", "other").agg(_sheet(F.min("posting")).alias("number"))
+    little = index.limit(SMALL + 1).count() <= SMALL
     key = ["workbook", "sheet", id_col]
-    words = texts.select(*key, F.explode(F.array_distinct(tokens("text"))).alias("word"))
+    # A word is met by itself and by its plural; so texts are split into words, and nothing is done to each of these.
+    plural = F.when(F.length("word") > 2, F.concat("word", F.lit("s")))
+    forms = index.select("workbook", F.explode(F.array("word", plural)).alias("form"), "posting").where(F.length("form") > 1)
+    forms = forms.groupBy("workbook", "form").agg(F.collect_list("posting").alias("postings"))
+    words = texts.select(*key, F.explode(F.array_distinct(split("text"))).alias("form"))
     # A text's words are of one row, so its postings are put together, a number each, before anything is shuffled.
-    found = _met(words, index.select("workbook", "word", "posting")).groupBy(*key).agg(F.collect_set("posting").alias("found"))
-    own = sheet_of.select("workbook", F.col("other").alias("sheet"), F.col("number").alias("own"))
+    found = _met(words, forms, little).groupBy(*key).agg(F.sort_array(F.flatten(F.collect_list("postings"))).alias("found"))
+    listed = F.sort_array(F.collect_list(F.when(F.getbit("posting", F.lit(OWN_BLOCKS)) == 1, F.struct(_number().alias("no"), "word"))))
+    sheets = index.groupBy("workbook", "other").agg(F.shiftright(F.min("posting"), SHEET_BIT).alias("number"), listed.alias("listed"))
+    sheets = written(sheets.select("workbook", "other", "number", F.col("listed.no").alias("nos"), F.col("listed.word").alias("words")), "sheets")
+    own = sheets.select("workbook", F.col("other").alias("sheet"), F.col("number").alias("own"))
+    own = F.broadcast(own) if little else own
     found = found.join(own, same(found, own, ["workbook", "sheet"]), "left").select(*(found[c] for c in found.columns), F.coalesce("own", F.lit(-1)).alias("own"))
-
-    def candidate(number: Column) -> Column:
-        mine = F.filter("found", lambda x: _sheet(x) == number)
-        score = F.when(number == F.col("own"), F.coalesce(_block(mine, OWN_BLOCKS)["hits"], F.lit(0))).otherwise(F.size(F.filter(mine, lambda x: F.getbit(x, F.lit(OWN_BLOCKS)) == 1)))
-        return F.struct((-score).alias("minus"), (number == F.col("own")).alias("is_own"), number.alias("number"))
-
-    every = F.filter(F.transform(F.array_distinct(F.transform("found", _sheet)), candidate), lambda x: x["minus"] < 0)
-    top = found.select(*key, "found", F.posexplode(F.slice(F.array_sort(every), 1, MOST)).alias("place", "x"))
-    top = top.select(*key, (F.col("place") + 1).alias("rank"), (-F.col("x.minus")).alias("score"), "x.is_own", "x.number", F.filter("found", lambda y: _sheet(y) == F.col("x.number")).alias("mine"))
-    top = top.withColumn("best", F.when(F.col("is_own"), _block(F.col("mine"), OWN_BLOCKS)).otherwise(_block(F.col("mine"), BLOCKS)))
-    hit = F.when(~F.col("is_own"), F.slice(_words(F.col("mine"), F.lit(OWN_BLOCKS)), 1, MATCHED))
-    in_block = F.when(F.col("best").isNotNull(), _words(F.col("mine"), -F.col("best.minus")))
-    top = top.select(*key, "rank", "number", "score", hit.alias("hit"), (-F.col("best.minus")).alias("block"), in_block.alias("in_block"))
-
-    # Numbers become names again: of the words that are shown, and of the sheets.
-    word_of = index.groupBy("workbook", "word").agg(F.shiftright(F.min("posting"), WORD_BIT).bitwiseAND(F.lit((1 << (SHEET_BIT - WORD_BIT)) - 1)).alias("no"))
-    shown = top.withColumn("no", F.explode(F.array_distinct(F.concat(F.coalesce("hit", F.array().cast("array<bigint>")), F.coalesce("in_block", F.array().cast("array<bigint>"))))))
-    word_of = F.broadcast(word_of) if word_of.limit(SMALL + 1).count() <= SMALL else word_of
-    carried = ["number", "score", "block", "hit", "in_block"]
-    spelled = shown.join(word_of, ["workbook", "no"]).groupBy(*key, "rank").agg(*(F.first(c).alias(c) for c in carried), F.sort_array(F.collect_list(F.struct("no", "word"))).alias("spelled"))
-    names_of = lambda c: F.when(F.col(c).isNotNull(), F.transform(F.filter("spelled", lambda x: F.array_contains(F.col(c), x["no"])), lambda x: x["word"]))
-    names = headers.where(F.col("block") < OWN_BLOCKS).groupBy("workbook", F.col("sheet").alias("other"), F.col("block").cast("int").alias("block")).agg(F.sort_array(F.collect_list(F.struct("place", "name"))).alias("names"))
-    told = spelled.join(sheet_of, ["workbook", "number"])
-    told = told.join(names, same(told, names, ["workbook", "other", "block"]), "left").select(*(told[c] for c in told.columns), "names")
-    matches = F.transform(F.filter("names", lambda x: F.arrays_overlap(tokens(x["name"]), names_of("in_block"))), lambda x: x["name"])
-    return told.select(*key, "rank", F.col("other").alias("candidate"), "score", names_of("hit").alias("matched"), "block", F.slice(matches, 1, HEADERS).alias("header_matches"))
+    top = found.select(*key, F.explode(best_sheets("found", "own")).alias("x")).select(*key, "x.*")
+
+    # Numbers become names again: of the sheets, of the words that are shown, and of the headers that hold one of them.
+    told = top.join(F.broadcast(sheets) if little else sheets, ["workbook", "number"])
+    header = ["workbook", "other", "block", "place", "name"]
+    named = headers.where(F.col("block") < OWN_BLOCKS).groupBy("workbook", F.col("sheet").alias("other"), F.col("block").cast("int").alias("block"), "place", "name").agg(F.count("*").cast("int").alias("times"))
+    word_of = index.groupBy("workbook", "word").agg(_number(F.min("posting")).alias("no"))
+    named = named.select(*header, "times", F.explode(tokens("name")).alias("word")).join(word_of, ["workbook", "word"]).groupBy(*header, "times").agg(F.collect_set("no").alias("nos"))
+    named = written(named.groupBy(*header[:3]).agg(F.count("*").alias("n"), F.sort_array(F.flatten(F.collect_list(F.array_repeat(F.struct("place", "name", "nos"), F.col("times"))))).alias("names")), "headers")
+    few = (named.agg(F.sum("n")).first()[0] or 0) <= SMALL
+    names = F.broadcast(named.drop("n")) if few else named.drop("n")
+    told = told.join(names, same(told, names, header[:3]), "left").select(*(told[c] for c in told.columns), "names")
+    matched = F.transform("hit", lambda no: F.get("words", (F.array_position("nos", no) - 1).cast("int")))
+    matches = F.transform(F.filter("names", lambda x: F.arrays_overlap(x["nos"], F.col("in_block"))), lambda x: x["name"])
+    return told.select(*key, "rank", F.col("other").alias("candidate"), "score", matched.alias("matched"), "block", F.slice(matches, 1, HEADERS).alias("header_matches"))

@@ -111,9 +111,14 @@ def formula_refs(formulas: DataFrame, formula: str = "raw") -> DataFrame:
     return formulas.where(F.col(formula).startswith("=")).select("*", F.inline(F.array_distinct(F.concat(qualified, plain))))
 
 
+def split(text: str | Column) -> Column:
+    """Lower-case runs of letters and digits, and the empty text before or behind them."""
+    return F.split(F.lower(text), "[^a-z0-9]+")
+
+
 def tokens(text: str | Column) -> Column:
     """Lower-case runs of letters and digits of two or more characters, with the singular of plurals added."""
-    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: F.length(w) >= 2)
+    words = F.filter(split(text), lambda w: F.length(w) >= 2)
     return F.flatten(F.transform(words, lambda w: F.when(w.endswith("s") & (F.length(w) > 3), F.array(w, F.substring(w, F.lit(1), F.length(w) - 1))).otherwise(F.array(w))))
 
 
@@ -122,7 +127,10 @@ def keywords(sources: list[tuple[DataFrame, str, str, int]], most: int = 60) ->
 
     every = None
     for rows, key, text, weight in sources:
-        part = rows.select(F.col(key).alias("key"), F.explode(tokens(text)).alias("word"), F.lit(weight).alias("weight"))
+        # The words of `tokens`, row by row: functions over arrays would be interpreted for each word.
+        part = rows.select(F.col(key).alias("key"), F.explode(split(text)).alias("word"), F.lit(weight).alias("weight")).where(F.length("word") >= 2)
+        singular = F.expr("substring(word, 1, length(word) - 1)")
+        part = part.select("key", F.explode(F.when(F.col("word").endswith("s") & (F.length("word") > 3), F.array("word", singular)).otherwise(F.array("word"))).alias("word"), "weight")
         every = part if every is None else every.unionByName(part)
     total = every.groupBy("key", "word").agg(F.sum("weight").alias("weight"))
     return total.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "word"))).where(F.col("_n") <= most).drop("_n")
