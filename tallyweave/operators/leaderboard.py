@@ -23,12 +23,16 @@ def cells(tasks: DataFrame, attempts: DataFrame, gradings: DataFrame, cohorts: D
     roster = cohorts.select("cohort", "agent", "prompt_version")
     last = latest_valid_attempts(attempts.join(small(roster), ["agent", "prompt_version"]), ["cohort", "task_id"]).select("cohort", "task_id", "attempt_id", "minutes")
     clean = latest_clean_gradings(gradings).select("attempt_id", "grading_id", "accuracy", "formula", "format")
-    grid = live.join(one_row(roster, "roster")).select("task_id", "task_name", "task_source", "difficulty", F.inline("roster"))
     total = F.round(sum(F.lit(w) * F.col(k) for k, w in weights.items()), 5)
     status = F.when(F.col("attempt_id").isNull(), "needs_attempt").when(F.col("grading_id").isNull(), "needs_grading").otherwise("complete")
     # Gradings join the attempts first: cells without an attempt have no attempt_id that could be a hot NULL key.
-    graded = last.join(clean, "attempt_id", "left")
-    return grid.join(graded, ["cohort", "task_id"], "left").withColumn("total", total).withColumn("status", status)
+    graded = last.where("cohort IS NOT NULL").join(clean, "attempt_id", "left")
+    # A task meets its attempts by its id alone, and the grid is made behind that join: a row for each cell would be sorted otherwise.
+    shown = ["attempt_id", "minutes", "grading_id", "accuracy", "formula", "format"]
+    by_task = graded.groupBy("task_id").agg(F.map_from_entries(F.collect_list(F.struct("cohort", F.struct(*shown).alias("x")))).alias("graded"))
+    tasks_met = live.select("task_id", "task_name", "task_source", "difficulty").join(by_task, "task_id", "left").join(one_row(roster, "roster"))
+    grid = tasks_met.select("task_id", "task_name", "task_source", "difficulty", "graded", F.inline("roster")).withColumn("x", F.try_element_at("graded", F.col("cohort"))).drop("graded")
+    return grid.select("cohort", "task_id", "task_name", "task_source", "difficulty", "agent", "prompt_version", *(f"x.{c}" for c in shown)).withColumn("total", total).withColumn("status", status)
 
 
 def summary(cell_rows: DataFrame, expected_tasks: int = EXPECTED_TASKS) -> DataFrame:

@@ -39,6 +39,8 @@ def with_quantiles(rows: DataFrame, by: list[str], value: str, quantiles: dict[s
     own = [c for c in sketched.columns if c not in by]
     values = plain.select(*by, "__v")
     met = values.join(sketched, same(values, sketched, by)).select(*(values[c] for c in by), "__v", F.struct(*own).alias("__own"))
+    # Rows without a value count nowhere; a group of such rows alone keeps them, so that it is one.
+    met = met.where("__v IS NOT NULL OR __own.__n = 0")
     v, counted = F.col("__v"), []
     for i in range(len(quantiles)):
         low, high = F.col("__own.__edges")[2 * i], F.col("__own.__edges")[2 * i + 1]

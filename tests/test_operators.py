@@ -72,6 +72,17 @@ def test_leaderboard(spark):
     assert d["A", "EASY"].total == 72.0 and d["A", "None"].ordinal == 3
 
 
+def test_cells_are_made_behind_the_join_of_tasks(spark):
+    cohorts = spark.createDataFrame([("A", "a", 1), ("B", "b", 2), (None, "c", 1), ("A", "x", 9)], "cohort string, agent string, prompt_version int")
+    cells = leaderboard.cells(tasks(spark), attempts(spark), gradings(spark), cohorts)
+    got = [(r.cohort, r.agent, r.task_id, r.status) for r in cells.collect()]
+    own = {(r.cohort, r.task_id): r.status for r in leaderboard.cells(tasks(spark), attempts(spark), gradings(spark), cohorts.limit(2)).collect()}
+    # A cohort that stands twice in the roster has its cells twice, one without a name has no attempts.
+    assert sorted(got, key=repr) == sorted([(c, a, t, own.get((c, t), "needs_attempt")) for c, a in (("A", "a"), ("B", "b"), (None, "c"), ("A", "x")) for t in {t for _, t in own}], key=repr)
+    plan = cells._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert "hashpartitioning(cohort" not in plan.split("Generate inline")[0] and "SortMergeJoin [cohort" not in plan and "Join [cohort" not in plan
+
+
 def rubric(spark):
     return spark.createDataFrame([("X", "p", 0.5), ("X", "q", 0.5), ("Y", "r", 1.0)], "category string, name string, weight double")
 
