@@ -37,10 +37,11 @@ def with_quantiles(rows: DataFrame, by: list[str], value: str, quantiles: dict[s
     edges = [min(1.0, max(0.0, p + side * 3 / accuracy)) for p in quantiles.values() for side in (-1, 1)]
     sketched = plain.groupBy(*by).agg(*(aggregates or []), F.count("__v").alias("__n"), F.percentile_approx("__v", F.array(*map(F.lit, edges)), accuracy).alias("__edges"))
     own = [c for c in sketched.columns if c not in by]
-    values = plain.select(*by, "__v")
-    met = values.join(sketched, same(values, sketched, by)).select(*(values[c] for c in by), "__v", F.struct(*own).alias("__own"))
-    # Rows without a value count nowhere; a group of such rows alone keeps them, so that it is one.
-    met = met.where("__v IS NOT NULL OR __own.__n = 0")
+    sketched = sketched.select(*by, F.struct(*own).alias("__own"))
+    # Rows without a value count nowhere; the groups of such rows alone are added from the first pass, which has the same columns here, so that it is not made twice.
+    values = plain.where("__v IS NOT NULL").select(*by, "__v")
+    empty = sketched.where("__own.__n = 0 AND (__own.__edges IS NULL OR size(__own.__edges) >= 0)")
+    met = values.join(sketched, same(values, sketched, by)).select(*(values[c] for c in by), "__v", "__own")
     v, counted = F.col("__v"), []
     for i in range(len(quantiles)):
         low, high = F.col("__own.__edges")[2 * i], F.col("__own.__edges")[2 * i + 1]
@@ -53,6 +54,7 @@ def with_quantiles(rows: DataFrame, by: list[str], value: str, quantiles: dict[s
         )
     # A group's own figures are a key, not an aggregate: where no quantile is asked for, an aggregate of structs would sort all rows.
     groups = met.groupBy(*by, "__own").agg(*counted)
+    groups = groups.unionByName(empty.select(*by, "__own", *(F.lit(None).cast(groups.schema[f"__q{i}"].dataType).alias(f"__q{i}") for i in range(len(quantiles)))))
     n, out = F.col("__own.__n"), []
     for i, (name, p) in enumerate(quantiles.items()):
         place = F.lit(float(p)) * (n - 1)

@@ -83,6 +83,14 @@ def test_running_sums_have_no_window_over_the_group(spark):
     assert [w for w in over if "n_chars" in w] and all("__part" in w for w in over if "n_chars" in w)  # the others are over the ranges' sums
 
 
+def test_rows_without_a_value_stay_out_of_the_second_pass(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("a", None), ("a", 3.0), (None, None), ("b", None), ("b", None)], "k string, v double")
+    got = with_quantiles(rows, ["k"], "v", {"median": 0.5}, [F.count("*").alias("n")])
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([("a", 3, 2.0), ("b", 2, None), (None, 1, None)], key=repr)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter isnotnull(v#" in plan or "Filter (isnotnull(v#" in plan
+
+
 def words_of(text):
     out = []
     for w in re.split(r"[^A-Za-z0-9]+", (text or "").lower()):
