@@ -23,186 +23,278 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import give_back, in_chunks, materialize, shared_dir
-from tallyweave.llm.units import ByteLevel, Words
-
-#: Ids of a block; blocks coded side by side; ids from which on a file is full; characters of text encoded at a time.
-BLOCK, LANES, FILE_IDS, CHUNK = 2048, 2048, 4_000_000, 4_000_000
-MAGIC = b"TWTOKEN1"
-#: Entries of the tables of order 2 and 1, by powers of two. Order 0 has 256.
-ORDER2, ORDER1 = 11, 10
-#: The four cases are likely by shares of ONE; tables and weights learn by 2 ** -RATE of the difference.
-ONE_BITS, RATE = 12, 4
-LEAST = np.uint64(1 << 32)
+from tallyweave.llm.common import give_back, materialize, shared_dir
+from tallyweave.llm.units import ArrowWords, ByteLevel
+
+#: Ids of a block; blocks coded side by side; ids from which on a file is full; bytes of text encoded at a time; ids of the longest block.
+BLOCK, LANES, FILE_IDS, CHUNK, LONGEST = 2048, 4096, 8_000_000, 8_000_000, 1 << 20
+MAGIC = b"TWTOKEN2"
+#: Entries of the table of order 2, by powers of two; bits of the numbers of the most frequent ids.
+ORDER2, FEW = 11, 6
+#: The four cases are likely by shares of 1 << ONE_BITS; shares and scores learn by a sixteenth of the difference.
+ONE_BITS, FOUR, SIXTEEN, HALF = np.uint64(12), np.uint64(4), np.uint64(16), np.uint64(32)
+SETTLED, PLACES = np.uint64(1 << 32), np.array([[0], [16], [32]], dtype=np.uint64)
+
+
+def fields(*values: int) -> np.uint64:
+    """Values of 16 bits in one word, the first lowest."""
+    return np.uint64(sum(v << (16 * k) for k, v in enumerate(values)))
+
+
+FIELD, FIELDS, WHOLE = fields(0xFFFF), fields(0xFFF, 0xFFF, 0xFFF), fields(0, 0, 0, 1 << 12)
+#: Shares at first; what keeps a case possible; what shares strive for, times 16, by the case that came true. The sum of all is below the whole.
+EVEN, LEAST = fields(1_024, 2_048, 3_072), fields(8, 16, 24)
+TARGETS = np.array([fields(253, 253, 253), fields(0, 253, 253), fields(0, 0, 253), fields(0, 0, 0)])
+#: Steps from one weighing of the tables to the next; scores learn by an eighth, and their highest 3 bits count.
+WEIGHED, THREE, HIGH = 4, np.uint64(3), np.uint64(9)
+
+
+def _weights() -> np.ndarray:
+    """The weights of three tables, sixteen in all, by their scores: as the squares of these."""
+    out = []
+    for k in range(512):
+        squares = [(2 * (k >> shift & 7) + 1) ** 2 for shift in (0, 3, 6)]
+        own = [16 * x // sum(squares) for x in squares]
+        own[squares.index(max(squares))] += 16 - sum(own)
+        out.append(own)
+    return np.ascontiguousarray(np.array(out, dtype=np.uint64).T)
+
+
+WEIGHTS = _weights()
 TABLE = np.dtype([("ids", "<u4"), ("bytes", "<u4"), ("raw", "u1"), ("crc", "<u4")])
 
 
 class Model:
-    """What the lanes have learned: predicted ids with confidences, and the shares of the four cases."""
-
-    def __init__(self, lanes: int):
-        self.lane = np.arange(lanes, dtype=np.int64)
-        self.order2, self.order1, self.order0 = (np.zeros(lanes << b, dtype=np.int64) for b in (ORDER2, ORDER1, 8))
-        self.base2, self.base1, self.base0 = (self.lane << b for b in (ORDER2, ORDER1, 8))
-        self.shares = [np.full((lanes * n, 4), 1 << (ONE_BITS - 2), dtype=np.int32) for n in (16, 8, 4)]
-        self.rows_of = [self.lane * n for n in (16, 8, 4)]
-        self.weight = [np.full((lanes, 1), (1 << ONE_BITS) // 3, dtype=np.int32) for _ in range(3)]
-        self.one, self.two, self.case = (np.zeros(lanes, dtype=np.int64) for _ in range(3))
-        self.add = np.eye(4, dtype=np.int32) << (ONE_BITS - RATE)
-        self.flat = self.lane * 4
+    """What the lanes have learned: predicted numbers with confidences, and the shares of the cases.
+
+    The four cases' shares are three sums (of the first case, the first two, the first three) in fields of 16 bits of one word, so that all are mixed and taught at once.
+    """
+
+    def __init__(self, lanes: int, numbers: int, block: int):
+        self.lane = np.arange(lanes)
+        self.kind = kind_of(block)
+        bits1 = max(1, (numbers - 1).bit_length())
+        self.table = np.zeros((lanes << ORDER2) + (lanes << bits1), dtype=self.kind)  # order 2, then order 1
+        self.begins = np.stack([self.lane << ORDER2, (lanes << ORDER2) + (self.lane << bits1)])
+        self.shares = np.full(lanes * 28, EVEN, dtype=np.uint64)
+        self.first_rows = np.stack([self.lane * 16, lanes * 16 + self.lane * 8, lanes * 24 + self.lane * 4])
+        self.at, self.rows = np.zeros((2, lanes), dtype=np.int64), np.zeros((3, lanes), dtype=np.int64)
+        self.scores, self.step = np.full((3, lanes), 1_024, dtype=np.uint64), 0
+        self.two = self.one = np.zeros(lanes, dtype=self.kind)
+        self.case = np.zeros(lanes, dtype=np.int64)
+        self._weigh()
+
+    def _weigh(self) -> None:
+        high = (self.scores >> HIGH).view(np.int64)
+        self.weights = WEIGHTS.take(high[0] + (high[1] << 3) + (high[2] << 6), axis=1)
 
     def predict(self) -> np.ndarray:
-        """Upper bounds of the cases' intervals, by lane and case."""
-        self.at2 = self.base2 + (((self.two * 40_503 + self.one * 2_654_435_761) >> 12) & ((1 << ORDER2) - 1))
-        self.at1 = self.base1 + (((self.one * 2_654_435_761) >> 16) & ((1 << ORDER1) - 1))
-        self.entry2, self.entry1 = self.order2[self.at2], self.order1[self.at1]
-        self.sure2, self.sure1 = self.entry2 & 7, self.entry1 & 7
-        self.id2, self.id1 = (self.entry2 >> 3) - 1, (self.entry1 >> 3) - 1  # -1: nothing yet
-        self.rows = [self.rows_of[0] + self.sure2 * 2 + (self.id2 == self.id1), self.rows_of[1] + self.sure1, self.rows_of[2] + self.case]
-        self.share = [s.take(r, axis=0) for s, r in zip(self.shares, self.rows, strict=True)]
-        mixed = self.share[0] * self.weight[0]
-        mixed += self.share[1] * self.weight[1]
-        mixed += self.share[2] * self.weight[2]
-        mixed >>= ONE_BITS
-        mixed += 4
-        for k in (1, 2, 3):
-            mixed[:, k] += mixed[:, k - 1]
+        """Sums of the cases' shares of ONE, in fields."""
+        at, rows = self.at, self.rows
+        at[0] = self.two
+        at[0] *= 1_597
+        at[0] += self.one
+        at[0] &= (1 << ORDER2) - 1
+        at[1] = self.one
+        at += self.begins
+        self.entry = self.table.take(at)
+        self.sure, self.guess = self.entry & 7, self.entry >> 3
+        rows[0] = self.sure[0] * 2 + (self.guess[0] == self.guess[1])
+        rows[1], rows[2] = self.sure[1], self.case
+        rows += self.first_rows
+        self.share = self.shares.take(rows)
+        each = self.share * self.weights
+        mixed = each[0]
+        mixed += each[1]
+        mixed += each[2]
+        mixed >>= FOUR
+        mixed &= FIELDS
+        mixed += LEAST
         return mixed
 
-    def learn(self, ids: np.ndarray, case: np.ndarray) -> None:
-        hit = self.flat + case
-        for k in range(3):
-            s, w = self.share[k], self.weight[k]
-            w += (s.ravel().take(hit)[:, None] - w) >> RATE
-            s -= s >> RATE
-            s += self.add.take(case, axis=0)
-            self.shares[k][self.rows[k]] = s
-        fresh = (ids + 1) << 3
-        for table, at, entry, sure, guess in ((self.order2, self.at2, self.entry2, self.sure2, self.id2), (self.order1, self.at1, self.entry1, self.sure1, self.id1)):
-            table[at] = np.where(guess == ids, entry + (sure < 7), np.where(sure > 1, entry - sure + (sure >> 1), fresh))
-        self.order0[self.base0 + (ids & 255)] = ids + 1
-        self.two, self.one, self.case = self.one, ids, case
-
-
-class Coder:
-    """Ranges of 64 bits by lane, read and written in words of 16. A range that would carry over a word's edge is cut there."""
-
-    def __init__(self, lanes: int, words: np.ndarray):
-        self.low, self.range = np.zeros(lanes, dtype=np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
-        self.words, self.place = words, np.zeros(lanes, dtype=np.int64)
-
-    def narrow(self, begin: np.ndarray, width: np.ndarray, unit: np.ndarray) -> None:
-        self.low += unit * begin
-        self.range = unit * width
-
-    def settled(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(lanes, their first words) as long as words are settled; each is shifted out."""
-        while True:
-            same = ((self.low ^ (self.low + self.range)) >> np.uint64(48)) == 0
-            lanes = np.flatnonzero(same | (self.range < LEAST))
-            if not len(lanes):
-                return
-            low = self.low[lanes]
-            width = np.where(same[lanes], self.range[lanes], (~low + np.uint64(1)) & (LEAST - np.uint64(1)))
-            yield lanes, low >> np.uint64(48)
-            self.low[lanes], self.range[lanes] = low << np.uint64(16), width << np.uint64(16)
-
-    def write(self) -> None:
-        for lanes, word in self.settled():
-            self.words[lanes, self.place[lanes]] = word
-            self.place[lanes] += 1
-
-    def flush(self) -> None:
-        for shift in (48, 32, 16, 0):
-            self.words[np.arange(len(self.low)), self.place] = (self.low >> np.uint64(shift)) & np.uint64(0xFFFF)
-            self.place += 1
-
-    def begin(self) -> None:
-        self.code = np.zeros(len(self.low), dtype=np.uint64)
-        for k in range(4):
-            self.code = (self.code << np.uint64(16)) | self.words[:, k]
-        self.place += 4
-
-    def read(self) -> None:
-        last = self.words.shape[1] - 1
-        for lanes, _ in self.settled():
-            self.code[lanes] = (self.code[lanes] << np.uint64(16)) | self.words[lanes, np.minimum(self.place[lanes], last)]
-            self.place[lanes] += 1
-
-
-def _encode(ids: np.ndarray, bits: int) -> list[bytes]:
-    """The words of each row of `ids` (a block each)."""
-    lanes, steps = ids.shape
-    coder, model = Coder(lanes, np.zeros((lanes, steps * 5 + 8), dtype=np.uint16)), Model(lanes)
-    length = np.array([0, 0, 8, bits], dtype=np.uint64)
-    for now in np.ascontiguousarray(ids.T.astype(np.int64)):
-        bounds = model.predict()
-        case = np.where(now == model.id2, 0, np.where(now == model.id1, 1, np.where(model.order0[model.base0 + (now & 255)] == now + 1, 2, 3)))
-        upper = bounds.ravel().take(model.flat + case).astype(np.uint64)
-        lower = np.where(case > 0, bounds.ravel().take(np.maximum(model.flat + case - 1, 0)), 0).astype(np.uint64)
-        coder.narrow(lower, upper - lower, coder.range // bounds[:, 3].astype(np.uint64))
-        if bits > 16:
-            coder.write()
-        rest = np.where(case == 3, now, np.where(case == 2, now & 255, 0)).astype(np.uint64)
-        coder.narrow(rest, np.uint64(1), coder.range >> length[case])
-        coder.write()
-        model.learn(now, case)
-    coder.flush()
-    return [row[:n].astype("<u2").tobytes() for row, n in zip(coder.words, coder.place.tolist(), strict=True)]
-
-
-def _decode(coded: list[bytes], steps: int, bits: int) -> np.ndarray:
-    """The ids of blocks of `steps` ids each."""
+    def learn(self, now: np.ndarray, case: np.ndarray, same: np.ndarray) -> None:
+        """`now` came true, as `case`; `same`: where a context had foretold it."""
+        share, entry, sure = self.share, self.entry, self.sure
+        if self.step % WEIGHED == 0:
+            hit = (share | WHOLE) - (share << SIXTEEN)
+            hit >>= (case << 4).view(np.uint64)
+            hit &= FIELD
+            self.scores -= self.scores >> THREE
+            self.scores += hit >> THREE
+            self._weigh()
+        self.step += 1
+        share -= (share >> FOUR) & FIELDS
+        share += TARGETS.take(case)
+        self.shares[self.rows] = share
+        self.table[self.at] = np.where(same, entry + (sure < 7), np.where(sure > 1, entry - ((sure + 1) >> 1), now << 3))
+        self.two, self.one, self.case = self.one, now, case
+
+
+def _encode(numbers: np.ndarray, bits: np.ndarray, distinct: int, block: int) -> list[bytes]:
+    """The words of each row of `numbers` (a block each), whose numbers have so many bits."""
+    lanes, steps = numbers.shape
+    model, room = Model(lanes, distinct, block), steps + 3
+    words, place = np.zeros(lanes * room, dtype=np.uint64), np.arange(lanes) * room
+    low, width = np.zeros(lanes, dtype=np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+    length, lane = lengths(bits), model.lane
+    shown = np.ascontiguousarray(numbers.T)
+    unseen = np.where(shown < 1 << FEW, np.uint8(2), np.uint8(3))
+    for now, case in zip(shown, unseen, strict=True):
+        sums = model.predict()
+        same = model.guess == now
+        np.putmask(case, same[1], 1)
+        np.putmask(case, same[0], 0)
+        case = case.astype(np.int64)
+        field, below = (case << 4).view(np.uint64), sums << SIXTEEN
+        unit = width >> ONE_BITS
+        add = below >> field
+        add &= FIELD
+        add *= unit
+        sums |= WHOLE
+        sums -= below
+        sums >>= field
+        sums &= FIELD
+        width = unit * sums
+        width >>= length.take(case * lanes + lane)
+        add += width * (now * (case > 1)).astype(np.uint64)
+        low += add
+        over = np.flatnonzero(low < add)  # carried into the word before
+        words[place[over] - 1] += np.uint64(1)
+        full = np.flatnonzero(width < SETTLED)
+        begin = low[full]
+        words[place[full]] = begin >> HALF
+        place[full] += 1
+        low[full] = begin << HALF
+        width[full] <<= HALF
+        model.learn(now, case, same)
+    for part in (low >> HALF, low & (SETTLED - np.uint64(1))):
+        words[place] = part
+        place += 1
+    words, sizes = words.reshape(lanes, room), place - lane * room
+    words = words[:, : sizes.max()].copy()
+    while (carry := words >> HALF).any():
+        words &= SETTLED - np.uint64(1)
+        words[:, :-1] += carry[:, 1:]
+    return [row[:n].astype("<u4").tobytes() for row, n in zip(words, sizes.tolist(), strict=True)]
+
+
+def _decode(coded: list[bytes], steps: int, bits: np.ndarray, distinct: int, block: int) -> np.ndarray:
+    """The numbers of blocks of `steps` ids each."""
     lanes = len(coded)
-    words = np.zeros((lanes, max(len(c) for c in coded) // 2 + 4), dtype=np.uint64)
-    for row, c in zip(words, coded, strict=True):
-        row[: len(c) // 2] = np.frombuffer(c, dtype="<u2")
-    coder, model = Coder(lanes, words), Model(lanes)
-    coder.begin()
-    length, out = np.array([0, 0, 8, bits], dtype=np.uint64), np.zeros((steps, lanes), dtype=np.int64)
-    most = (np.uint64(1) << length) - np.uint64(1)
-    for step in range(steps):
-        bounds = model.predict()
-        total = bounds[:, 3].astype(np.uint64)
-        unit = coder.range // total
-        point = np.minimum((coder.code - coder.low) // unit, total - np.uint64(1)).astype(np.int32)
-        case = (point >= bounds[:, 0]).astype(np.int64) + (point >= bounds[:, 1]) + (point >= bounds[:, 2])
-        upper = bounds.ravel().take(model.flat + case).astype(np.uint64)
-        lower = np.where(case > 0, bounds.ravel().take(np.maximum(model.flat + case - 1, 0)), 0).astype(np.uint64)
-        coder.narrow(lower, upper - lower, unit)
-        if bits > 16:
-            coder.read()
-        unit = coder.range >> length[case]
-        rest = np.minimum((coder.code - coder.low) // unit, most[case])
-        coder.narrow(rest, np.uint64(1), unit)
-        coder.read()
-        rest = rest.astype(np.int64)
-        now = np.where(case == 0, model.id2, np.where(case == 1, model.id1, np.where(case == 2, model.order0[model.base0 + (rest & 255)] - 1, rest)))
-        out[step] = now
-        model.learn(now, case)
+    words = np.frombuffer(b"".join([*coded, bytes(8)]), dtype="<u4").astype(np.uint64)
+    place = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])])[:-1]
+    model, out = Model(lanes, distinct, block), np.zeros((steps, lanes), dtype=kind_of(block))
+    rest, width = (words.take(place, mode="clip") << HALF) | words.take(place + 1, mode="clip"), np.full(lanes, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+    place = place + 2
+    length, lane, most = lengths(bits), model.lane, np.uint64(distinct - 1)
+    bounds, told = np.zeros((5, lanes), dtype=np.uint64), np.zeros((4, lanes), dtype=out.dtype)
+    for now in out:
+        sums = model.predict()
+        unit = width >> ONE_BITS
+        inner = bounds[1:4]
+        np.right_shift(sums, PLACES, out=inner)
+        inner &= FIELD
+        inner *= unit
+        np.left_shift(unit, ONE_BITS, out=bounds[4])
+        over = (rest >= inner).view(np.uint8)
+        case = (over[0] + over[1] + over[2]).astype(np.int64)
+        at = case * lanes
+        at += lane
+        begin = bounds.take(at)
+        rest -= begin
+        width = bounds.take(at + lanes)
+        width -= begin
+        width >>= length.take(at)
+        number = rest // width
+        rest -= number * width
+        told[:2], told[2:] = model.guess, np.minimum(number, most)
+        told.take(at, out=now, mode="clip")
+        full = np.flatnonzero(width < SETTLED)
+        next_word = place[full]
+        rest[full] = (rest[full] << HALF) | words.take(next_word, mode="clip")
+        place[full] = next_word + 1
+        width[full] <<= HALF
+        model.learn(now, case, model.guess == now)
     return out.T
 
 
+def kind_of(block: int) -> type:
+    """What holds a number and three bits of confidence."""
+    return np.uint16 if block <= 1 << 13 else np.uint32
+
+
+def lengths(bits: np.ndarray) -> np.ndarray:
+    """The bits that follow each case, by case and lane."""
+    return np.concatenate([bits * 0, bits * 0, np.minimum(bits, FEW), bits])
+
+
+def bits_of(sizes: list[int]) -> np.ndarray:
+    """The bits of numbers below each of `sizes`."""
+    return np.array([(n - 1).bit_length() for n in sizes], dtype=np.uint64)
+
+
+class Names:
+    """The ids of a block numbered in ascending order, which is by and large that of their frequency in vocabularies of merges: as bytes, their number and the steps between them."""
+
+    def __init__(self, ids: np.ndarray):
+        top = int(ids.max(initial=0))
+        self.direct = top < 1 << 17
+        if self.direct:
+            self.seen, self.at = np.zeros(top + 1, dtype=bool), np.zeros(top + 1, dtype=np.int64)
+
+    def number(self, ids: np.ndarray) -> tuple[np.ndarray, int, bytes]:
+        """(the number of each id, how many there are, bytes)."""
+        if self.direct:
+            self.seen[ids] = True
+            own = np.flatnonzero(self.seen)
+            self.seen[own] = False
+            self.at[own] = np.arange(len(own))
+            numbers = self.at.take(ids)
+        else:
+            own, numbers = np.unique(ids, return_inverse=True)
+            own = own.astype(np.int64)
+        steps = own.copy()
+        steps[1:] -= own[:-1]
+        short = np.minimum(steps, 255).astype("u1").tobytes()
+        return numbers, len(own), struct.pack("<I", len(own)) + short + steps[steps > 254].astype("<u4").tobytes()
+
+    @staticmethod
+    def read(body: bytes) -> tuple[np.ndarray, bytes]:
+        """The ids by their numbers, and what follows them."""
+        (n,) = struct.unpack_from("<I", body)
+        steps = np.frombuffer(body, dtype="u1", count=n, offset=4).astype(np.int64)
+        far = np.flatnonzero(steps == 255)
+        if len(far):
+            steps[far] = np.frombuffer(body, dtype="<u4", count=len(far), offset=4 + n)
+        return np.cumsum(steps), body[4 + n + 4 * len(far) :]
+
+
 def pack(ids: np.ndarray, index: pa.Table, block: int = BLOCK, lanes: int = LANES) -> bytes:
     """A file: header, table of blocks, index (what the ids belong to, with a column n of their numbers), blocks.
 
     A block that would be longer than its ids themselves is stored as they are.
     """
-    bits = max(8, int(ids.max(initial=0)).bit_length())
+    if not 0 < block <= LONGEST:
+        raise ValueError(f"a block has 1 to {LONGEST} ids")
     n_blocks = -(-len(ids) // block)
-    table, bodies = np.zeros(n_blocks, dtype=TABLE), []
+    table, bodies, names = np.zeros(n_blocks, dtype=TABLE), [], Names(ids)
     for first in range(0, n_blocks, lanes):
         part = ids[first * block : (first + lanes) * block]
         rows = -(-len(part) // block)
         steps = min(block, len(part))
-        full = np.zeros(rows * steps, dtype=np.uint32)  # the last block is filled up
-        full[: len(part)] = part
-        for k, body in enumerate(_encode(full.reshape(rows, steps), bits)):
-            own = np.ascontiguousarray(part[k * block : (k + 1) * block], dtype="<u4").tobytes()
+        full, sizes, heads = np.zeros(rows * steps, dtype=kind_of(block)), [], []  # the last block is filled up
+        for at in range(0, len(part), block):
+            own = part[at : at + block]
+            full[at : at + len(own)], n, head = names.number(own)
+            sizes.append(n)
+            heads.append(head)
+        for k, words in enumerate(_encode(full.reshape(rows, steps), bits_of(sizes), max(sizes), block)):
+            body, own = heads[k] + words, np.ascontiguousarray(part[k * block : (k + 1) * block], dtype="<u4").tobytes()
             raw = len(body) >= len(own)
             bodies.append(own if raw else body)
             table[first + k] = (len(own) // 4, len(bodies[-1]), raw, zlib.crc32(own))
@@ -210,16 +302,36 @@ def pack(ids: np.ndarray, index: pa.Table, block: int = BLOCK, lanes: int = LANE
     with pa.ipc.new_stream(sink, index.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
         w.write_table(index)
     about = table.tobytes() + sink.getvalue().to_pybytes()
-    header = struct.pack("<IIQQ", block, bits, n_blocks, len(about))
+    header = struct.pack("<IQQ", block, n_blocks, len(about))
     return b"".join([MAGIC, header, struct.pack("<I", zlib.crc32(about, zlib.crc32(header))), about, *bodies])
 
 
+def _blocks(bodies: list[bytes], first: int, steps: int, block: int) -> np.ndarray:
+    """The ids of coded blocks, a row each."""
+    names, words = [], []
+    for k, body in enumerate(bodies):
+        try:
+            own, rest = Names.read(body)
+        except (ValueError, struct.error):  # sizes beyond the body
+            own, rest = np.zeros(0), b""
+        if not 0 < len(own) <= steps or len(rest) % 4:
+            raise ValueError(f"block {first + k} is damaged")
+        names.append(own)
+        words.append(rest)
+    sizes = [len(n) for n in names]
+    every = np.zeros((len(names), max(sizes)), dtype="<u4")
+    for row, own in zip(every, names, strict=True):
+        row[: len(own)] = own
+    numbers = _decode(words, steps, bits_of(sizes), max(sizes), block)
+    return np.take_along_axis(every, numbers, axis=1)
+
+
 def unpack(content: bytes, lanes: int = LANES) -> tuple[pa.Table, Iterator[np.ndarray]]:
     """The index of a file and its ids, some blocks at a time. Damage is an error that names the block."""
-    size = struct.calcsize("<IIQQI")
+    size = struct.calcsize("<IQQI")
     if content[:8] != MAGIC or len(content) < 8 + size:
         raise ValueError("no file of token ids")
-    block, bits, n_blocks, n_about, crc = struct.unpack("<IIQQI", content[8 : 8 + size])
+    block, n_blocks, n_about, crc = struct.unpack("<IQQI", content[8 : 8 + size])
     about = content[8 + size : 8 + size + n_about]
     if len(about) != n_about or zlib.crc32(about, zlib.crc32(content[8 : 4 + size])) != crc:
         raise ValueError("the table of blocks is damaged")
@@ -233,7 +345,7 @@ def unpack(content: bytes, lanes: int = LANES) -> tuple[pa.Table, Iterator[np.nd
             steps = block if len(own) > 1 else int(own["ids"][0])  # a block alone is not filled up
             bodies = [content[a:b] for a, b in zip(begins[first:], begins[first + 1 : first + 1 + len(own)], strict=False)]
             coded = [k for k in range(len(own)) if not own["raw"][k]]
-            rows = dict(zip(coded, _decode([bodies[k] for k in coded], steps, bits), strict=True)) if coded else {}
+            rows = dict(zip(coded, _blocks([bodies[k] for k in coded], first, steps, block), strict=True)) if coded else {}
             out = []
             for k, (n, _, raw, crc) in enumerate(own.tolist()):
                 ids = np.frombuffer(bodies[k], dtype="<u4") if raw else rows[k][:n].astype("<u4")
@@ -245,16 +357,22 @@ def unpack(content: bytes, lanes: int = LANES) -> tuple[pa.Table, Iterator[np.nd
     return index, parts()
 
 
-_words: dict[str, Words] = {}
+_words: dict[str, ArrowWords] = {}
 
 
-def words_of(path: str) -> Words:
+def words_of(path: str) -> ArrowWords:
     """This worker's encoder; a worker keeps it, and what it remembers, from task to task."""
     if path not in _words:
-        _words[path] = Words(ByteLevel(path, plain=False))
+        _words[path] = ArrowWords(ByteLevel(path, plain=False))
     return _words[path]
 
 
+def runs_of(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """(begin, end) of runs of rows that begin in the same `limit` bytes."""
+    edges = np.flatnonzero(np.diff((np.cumsum(sizes, dtype=np.int64) - sizes) // limit)) + 1
+    yield from zip([0, *edges.tolist()], [*edges.tolist(), len(sizes)], strict=True)
+
+
 def _store(uri: str):
     from pyarrow import fs
 
@@ -286,9 +404,9 @@ def write(docs: DataFrame, path: str, end_id: int = 2, folder: str | None = None
             return row
 
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in in_chunks(texts, CHUNK):
-                for k, own in enumerate(words.encode(texts[a:b])):
+            texts = batch.column("text")
+            for a, b in runs_of(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), CHUNK):
+                for k, own in enumerate(words.encode(texts.slice(a, b - a))):
                     ids.append(np.concatenate([own, np.array([end_id], dtype="<u4")]))
                     names.append(batch.column("id").slice(a + k, 1))
                     held += len(own) + 1

@@ -8,10 +8,14 @@ another character (checked when a model is loaded; otherwise texts are not cut).
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import re
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share the cores already
 
@@ -138,3 +142,136 @@ class Words:
             for u in [u for u in known if len(u) > self.longest]:
                 del known[u]
         return out
+
+
+#: White space beside a space or at a text's end, as Python sees it (Arrow's own classes are ASCII only).
+_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_UNSAFE_ARROW = f"(?: {_SPACE}|{_SPACE} |^ | $)"
+#: Letters, then nothing or an ASCII character that is none: the byte-level pattern ends a piece between the two, whatever follows.
+_HEAD = r"^(?P<head>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<rest>[\x00-@\[-`{-\x7f](?s:.*))?$"
+
+
+def ragged(values: np.ndarray, begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """values[begin : begin + count] of all one after the other."""
+    ends = np.cumsum(counts)
+    return values.take(np.repeat(begins - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0))
+
+
+def strings_of(texts: pa.Array) -> list[str]:
+    """As to_pylist, without an Arrow object for each text."""
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
+class Memory:
+    """What `learn` (ids and how many each, of an array of strings) gave for strings. Beyond `remembered` strings only those of the last call stay."""
+
+    def __init__(self, learn: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], remembered: int, longest: int):
+        self.learn, self.remembered, self.longest = learn, remembered, longest
+        self.known: dict[str, int] = {}
+        self.ids, (self.begins, self.counts, self.last) = np.zeros(0, dtype="<u4"), (np.zeros(0, dtype=np.int64) for _ in range(3))
+
+    def _forget(self) -> None:
+        strings = list(self.known)
+        keep = np.sort(self.last)
+        keep = keep[np.fromiter((len(strings[k]) <= self.longest for k in keep.tolist()), dtype=bool, count=len(keep))]  # long strings seldom come again
+        self.ids, self.counts = ragged(self.ids, self.begins[keep], self.counts[keep]), self.counts[keep]
+        self.begins, self.known = np.cumsum(self.counts) - self.counts, {strings[k]: i for i, k in enumerate(keep.tolist())}
+
+    def find(self, wanted: pa.Array) -> np.ndarray:
+        """The places in `begins` and `counts` of distinct strings; they hold until the next call."""
+        if len(self.known) > self.remembered:
+            self._forget()
+        strings = strings_of(wanted)
+        at = np.fromiter(map(self.known.get, strings, itertools.repeat(-1)), dtype=np.int64, count=len(strings))
+        fresh = np.flatnonzero(at < 0)
+        if len(fresh):
+            ids, counts = self.learn(wanted.take(pa.array(fresh)))
+            at[fresh] = len(self.known) + np.arange(len(fresh))
+            self.begins = np.concatenate([self.begins, len(self.ids) + np.cumsum(counts) - counts])
+            self.known.update(zip([strings[k] for k in fresh.tolist()], at[fresh].tolist(), strict=True))
+            self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
+        self.last = at
+        return at
+
+
+def _flat(each: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    counts = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
+    return np.fromiter(itertools.chain.from_iterable(each), dtype="<u4", count=int(counts.sum())), counts
+
+
+class ArrowWords:
+    """Ids of an Arrow array of texts by a byte-level vocabulary. Units are split and told apart by Arrow, each distinct one is encoded once and gathered by numpy.
+
+    A unit's letters up to a character that is none are a piece of their own, so they are encoded and remembered without what follows.
+    """
+
+    def __init__(self, vocabulary: ByteLevel, remembered: int = 700_000, longest: int = 200):
+        self.vocabulary = vocabulary
+        about = json.loads(vocabulary.library.to_str())
+        before = about["pre_tokenizer"] or {}
+        plain = about["model"]["type"] == "BPE" and not about["normalizer"] and not about["truncation"] and before.get("type") == "ByteLevel" and before.get("use_regex") and not before["add_prefix_space"]
+        self.divisible = bool(plain) and not any(t["normalized"] or t["lstrip"] or t["single_word"] or t["content"][:1].isalnum() for t in about["added_tokens"])
+        self.units, self.heads, self.rests = (Memory(learn, remembered, longest) for learn in (self._units, self._heads, self._rests))
+
+    def _heads(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return self._whole(strings_of(new))
+
+    def _rests(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Encoded behind a letter, which is left out again: units of a kind go to the library in one text."""
+        ids, counts = self._whole([f"a{u}" for u in strings_of(new)])
+        lead = len(self.vocabulary.encode([" a"])[0])
+        return ragged(ids, np.cumsum(counts) - counts + lead, counts - lead), counts - lead
+
+    def _whole(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Units of any kind, each behind its space."""
+        bare = np.fromiter(map(str.__eq__, new, map(str.strip, new)), dtype=bool, count=len(new))
+        together, alone = ([new[k] for k in np.flatnonzero(own).tolist()] for own in (bare, ~bare))
+        parts = []
+        for a in range(0, len(together), TOGETHER):
+            part = together[a : a + TOGETHER]
+            parts.append(spaced_units(self.vocabulary, part, byte_ends(part)) or _flat(self.vocabulary.spaced(part)))
+        parts.append(_flat(self.vocabulary.spaced(alone)))
+        ids, each, counts = np.concatenate([p[0] for p in parts]).astype("<u4"), np.concatenate([p[1] for p in parts]), np.zeros(len(new), dtype=np.int64)
+        counts[bare], counts[~bare] = each[: len(together)], each[len(together) :]
+        if not alone:
+            return ids, counts
+        begins = np.zeros(len(new), dtype=np.int64)
+        begins[bare], begins[~bare] = np.split(np.cumsum(each) - each, [len(together)])
+        return ragged(ids, begins, counts), counts
+
+    def _units(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        cut = pc.extract_regex(new, _HEAD) if self.divisible else pa.nulls(len(new))
+        divided = cut.is_valid().to_numpy(zero_copy_only=False)
+        other_ids, other_counts = self._whole(strings_of(new.filter(pa.array(~divided))))
+        values, begins, counts = [other_ids], np.zeros((len(new), 2), dtype=np.int64), np.zeros((len(new), 2), dtype=np.int64)
+        begins[~divided, 0], counts[~divided, 0] = np.cumsum(other_counts) - other_counts, other_counts
+        if divided.any():
+            cut = cut.filter(pa.array(divided))
+            for k, (name, memory) in enumerate((("head", self.heads), ("rest", self.rests))):
+                told = cut.field(name).dictionary_encode()
+                at = memory.find(told.dictionary)[told.indices.to_numpy()]
+                begins[divided, k], counts[divided, k] = memory.begins[at] + sum(map(len, values)), memory.counts[at]
+                values.append(memory.ids)
+        return ragged(np.concatenate(values), begins.ravel(), counts.ravel()), counts.sum(axis=1)
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids (little-endian, unsigned, 32 bits) of each text; null: none."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        unsafe = pc.match_substring_regex(texts, _UNSAFE_ARROW).to_numpy(zero_copy_only=False)
+        order = np.concatenate([np.flatnonzero(~unsafe), np.flatnonzero(unsafe)])
+        split = [pc.split_pattern(texts.filter(pa.array(~unsafe)), " "), pa.array([units(t) for t in strings_of(texts.filter(pa.array(unsafe)))], pa.list_(pa.string()))]
+        sizes, flat = np.concatenate([pc.list_value_length(s).to_numpy(zero_copy_only=False) for s in split]), pa.concat_arrays([s.flatten() for s in split])
+        leads = np.zeros(len(flat), dtype=bool)  # no space stands before a text's first unit
+        leads[np.cumsum(sizes) - sizes] = True
+        lead_ids, lead_counts = _flat(self.vocabulary.encode(strings_of(flat.filter(pa.array(leads)))))
+        told = flat.filter(pa.array(~leads)).dictionary_encode()
+        at = self.units.find(told.dictionary)[told.indices.to_numpy()]
+        begins, counts = np.zeros(len(flat), dtype=np.int64), np.zeros(len(flat), dtype=np.int64)
+        begins[~leads], counts[~leads] = self.units.begins[at], self.units.counts[at]
+        begins[leads], counts[leads] = len(self.units.ids) + np.cumsum(lead_counts) - lead_counts, lead_counts
+        ids = ragged(np.concatenate([self.units.ids, lead_ids]), begins, counts)
+        ends = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(sizes)])]
+        out: list[np.ndarray] = [ids[:0]] * len(texts)
+        for k, a, b in zip(order.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            out[k] = ids[a:b]
+        return out

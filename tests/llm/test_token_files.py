@@ -9,6 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tallyweave.llm import token_files
+from tallyweave.llm.units import ArrowWords, ByteLevel
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, start string, part int"
@@ -97,3 +98,36 @@ def test_damage_is_found():
 def test_empty_table(spark):
     manifest = token_files.write(spark.createDataFrame([], SCHEMA), PATH)
     assert manifest.collect() == [] and token_files.read(manifest).collect() == []
+
+
+@pytest.mark.parametrize("remembered", [700_000, 3])
+def test_units_taken_apart_by_arrow_have_the_ids_of_whole_texts(remembered):
+    library, words = Tokenizer.from_file(PATH), ArrowWords(ByteLevel(PATH, plain=False), remembered=remembered)
+    spaces = ["\t", "\n", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", " ", " ", " ", " ", " ", "　", "​"]
+    odd = ["don't", "I'll", "naïve.", "été,\nOn", "x1", "a_b", "ªb", "aªb.", "áb", "word<|endoftext|>more", "<|endoftext|>", "日本語。", "ʼn", "ſs's", "Ⅷ", "a²", "×÷", "a×b", "\x00", "a\x00b", "🙂!", "...", "x" * 500]
+    r = random.Random(4)
+    found = texts() + [f"a{s}b {s}c{s} d{s}" for s in spaces] + [f"{a} {b}" for a in odd for b in odd] + [f" {a}  {b}\n" for a in odd for b in odd[:4]]
+    found += ["".join(r.choice([*odd, *spaces, " ", " ", "ab", "."]) for _ in range(r.randrange(30))) for _ in range(1_500)]
+    for a in range(0, len(found), 300):
+        got = words.encode(pa.array(found[a : a + 300], pa.string()))
+        want = [library.encode(t or "", add_special_tokens=False).ids for t in found[a : a + 300]]
+        assert [g.tolist() for g in got] == want
+    assert words.encode(pa.array([], pa.string())) == [] and [len(x) for x in words.encode(pa.array([None, None], pa.string()))] == [0, 0]
+
+
+def test_words_are_encoded_once_and_without_their_punctuation(monkeypatch):
+    vocabulary = ByteLevel(PATH, plain=False)
+    words, asked = ArrowWords(vocabulary), []
+    encode = vocabulary.encode
+    monkeypatch.setattr(vocabulary, "encode", lambda texts: asked.extend(texts) or encode(texts))
+    words.encode(pa.array(["x anblewh, anblewh. anblewh", "x anblewh.\nOn anblewh"]))
+    assert sum(t.count("anblewh") for t in asked) == 1
+
+
+def test_the_model_takes_few_bits_and_blocks_are_coded_in_few_steps():
+    r = np.random.default_rng(5)
+    ids = np.concatenate([(r.zipf(1.4, 2_048) % 400) * 97 + 1_000 for _ in range(64)]).astype("<u4")
+    content = token_files.pack(ids, pa.table({"n": [len(ids)]}))
+    assert 8 * len(content) < 9 * len(ids)  # 16 as they are
+    with pytest.raises(ValueError, match="a block has"):
+        token_files.pack(ids, pa.table({"n": [len(ids)]}), block=0)
