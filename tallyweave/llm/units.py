@@ -163,9 +163,9 @@ def strings_of(texts: pa.Array) -> list[str]:
 
 
 class Memory:
-    """What `learn` (ids and how many each, of an array of strings) gave for strings. Beyond `remembered` strings only those of the last call stay."""
+    """What `learn` (ids and how many each, of a list of strings) gave for strings. Beyond `remembered` strings only those of the last call stay."""
 
-    def __init__(self, learn: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], remembered: int, longest: int):
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], remembered: int, longest: int):
         self.learn, self.remembered, self.longest = learn, remembered, longest
         self.known: dict[str, int] = {}
         self.ids, (self.begins, self.counts, self.last) = np.zeros(0, dtype="<u4"), (np.zeros(0, dtype=np.int64) for _ in range(3))
@@ -185,10 +185,11 @@ class Memory:
         at = np.fromiter(map(self.known.get, strings, itertools.repeat(-1)), dtype=np.int64, count=len(strings))
         fresh = np.flatnonzero(at < 0)
         if len(fresh):
-            ids, counts = self.learn(wanted.take(pa.array(fresh)))
+            new = [strings[k] for k in fresh.tolist()]
+            ids, counts = self.learn(new)
             at[fresh] = len(self.known) + np.arange(len(fresh))
             self.begins = np.concatenate([self.begins, len(self.ids) + np.cumsum(counts) - counts])
-            self.known.update(zip([strings[k] for k in fresh.tolist()], at[fresh].tolist(), strict=True))
+            self.known.update(zip(new, at[fresh].tolist(), strict=True))
             self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
         self.last = at
         return at
@@ -200,25 +201,22 @@ def _flat(each: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class ArrowWords:
-    """Ids of an Arrow array of texts by a byte-level vocabulary. Units are split and told apart by Arrow, each distinct one is encoded once and gathered by numpy.
+    """Ids of an Arrow array of texts by a byte-level vocabulary. Units are split and told apart by Arrow, ids of the distinct ones are gathered by numpy.
 
-    A unit's letters up to a character that is none are a piece of their own, so they are encoded and remembered without what follows.
+    A unit's letters up to a character that is none are a piece of their own, so they are encoded and remembered without what follows; units of other kinds are so whole.
     """
 
-    def __init__(self, vocabulary: ByteLevel, remembered: int = 700_000, longest: int = 200):
+    def __init__(self, vocabulary: ByteLevel, remembered: int = 1_000_000, longest: int = 200):
         self.vocabulary = vocabulary
         about = json.loads(vocabulary.library.to_str())
         before = about["pre_tokenizer"] or {}
         plain = about["model"]["type"] == "BPE" and not about["normalizer"] and not about["truncation"] and before.get("type") == "ByteLevel" and before.get("use_regex") and not before["add_prefix_space"]
         self.divisible = bool(plain) and not any(t["normalized"] or t["lstrip"] or t["single_word"] or t["content"][:1].isalnum() for t in about["added_tokens"])
-        self.units, self.heads, self.rests = (Memory(learn, remembered, longest) for learn in (self._units, self._heads, self._rests))
+        self.whole, self.heads, self.rests = (Memory(learn, remembered, longest) for learn in (self._whole, self._whole, self._rests))
 
-    def _heads(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        return self._whole(strings_of(new))
-
-    def _rests(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def _rests(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Encoded behind a letter, which is left out again: units of a kind go to the library in one text."""
-        ids, counts = self._whole([f"a{u}" for u in strings_of(new)])
+        ids, counts = self._whole([f"a{u}" for u in new])
         lead = len(self.vocabulary.encode([" a"])[0])
         return ragged(ids, np.cumsum(counts) - counts + lead, counts - lead), counts - lead
 
@@ -239,12 +237,12 @@ class ArrowWords:
         begins[bare], begins[~bare] = np.split(np.cumsum(each) - each, [len(together)])
         return ragged(ids, begins, counts), counts
 
-    def _units(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        cut = pc.extract_regex(new, _HEAD) if self.divisible else pa.nulls(len(new))
+    def _units(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        cut = pc.extract_regex(distinct, _HEAD) if self.divisible else pa.nulls(len(distinct))
         divided = cut.is_valid().to_numpy(zero_copy_only=False)
-        other_ids, other_counts = self._whole(strings_of(new.filter(pa.array(~divided))))
-        values, begins, counts = [other_ids], np.zeros((len(new), 2), dtype=np.int64), np.zeros((len(new), 2), dtype=np.int64)
-        begins[~divided, 0], counts[~divided, 0] = np.cumsum(other_counts) - other_counts, other_counts
+        at = self.whole.find(distinct.filter(pa.array(~divided)))
+        values, begins, counts = [self.whole.ids], np.zeros((len(distinct), 2), dtype=np.int64), np.zeros((len(distinct), 2), dtype=np.int64)
+        begins[~divided, 0], counts[~divided, 0] = self.whole.begins[at], self.whole.counts[at]
         if divided.any():
             cut = cut.filter(pa.array(divided))
             for k, (name, memory) in enumerate((("head", self.heads), ("rest", self.rests))):
@@ -265,11 +263,12 @@ class ArrowWords:
         leads[np.cumsum(sizes) - sizes] = True
         lead_ids, lead_counts = _flat(self.vocabulary.encode(strings_of(flat.filter(pa.array(leads)))))
         told = flat.filter(pa.array(~leads)).dictionary_encode()
-        at = self.units.find(told.dictionary)[told.indices.to_numpy()]
+        unit_ids, unit_counts = self._units(told.dictionary)
+        at = told.indices.to_numpy()
         begins, counts = np.zeros(len(flat), dtype=np.int64), np.zeros(len(flat), dtype=np.int64)
-        begins[~leads], counts[~leads] = self.units.begins[at], self.units.counts[at]
-        begins[leads], counts[leads] = len(self.units.ids) + np.cumsum(lead_counts) - lead_counts, lead_counts
-        ids = ragged(np.concatenate([self.units.ids, lead_ids]), begins, counts)
+        begins[~leads], counts[~leads] = (np.cumsum(unit_counts) - unit_counts)[at], unit_counts[at]
+        begins[leads], counts[leads] = len(unit_ids) + np.cumsum(lead_counts) - lead_counts, lead_counts
+        ids = ragged(np.concatenate([unit_ids, lead_ids]), begins, counts)
         ends = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(sizes)])]
         out: list[np.ndarray] = [ids[:0]] * len(texts)
         for k, a, b in zip(order.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
