@@ -1,10 +1,10 @@
 """Token ids of a corpus as binary files, by an adaptive context-mixing range coder.
 
 Ids are coded in blocks of equal length. A block begins with an untrained model, so any one can be read without the others, and carries the CRC-32 of its ids.
-Within a block an order-2 and an order-1 context each predict one id, with a confidence; the order-0 context predicts the last id seen of each of
-256 classes. An id is coded as right for order 2, else for order 1, else for order 0 (then its class follows), else written out. How likely the four
+It lists its ids in ascending order and codes their numbers. An order-2 and an order-1 context each predict one number, with a confidence; the order-0 case is one of the
+64 lowest. A number is coded as right for order 2, else for order 1, else as one of the lowest (it follows in 6 bits), else written out. How likely the four
 cases are is mixed from three adaptive tables (by the confidence of order 2 and whether order 1 agrees, by that of order 1, and by the case before), each
-weighted by how likely it lately held what came true. Arithmetic is on integers alone, so all machines agree.
+weighted by how likely it lately held what came true, weighed anew at every fourth step. Arithmetic is on integers alone, so all machines agree.
 
 Blocks do not know of each other, so many are coded side by side: a step codes one id of each in numpy, decoding as well as encoding.
 
@@ -96,10 +96,7 @@ class Model:
     def predict(self) -> np.ndarray:
         """Sums of the cases' shares of ONE, in fields."""
         at, rows = self.at, self.rows
-        at[0] = self.two
-        at[0] *= 1_597
-        at[0] += self.one
-        at[0] &= (1 << ORDER2) - 1
+        at[0] = (self.two * 1_597 + self.one) & ((1 << ORDER2) - 1)  # what overflows is masked anyway
         at[1] = self.one
         at += self.begins
         self.entry = self.table.take(at)
@@ -241,11 +238,11 @@ def bits_of(sizes: list[int]) -> np.ndarray:
 class Names:
     """The ids of a block numbered in ascending order, which is by and large that of their frequency in vocabularies of merges: as bytes, their number and the steps between them."""
 
-    def __init__(self, ids: np.ndarray):
+    def __init__(self, ids: np.ndarray, block: int = BLOCK):
         top = int(ids.max(initial=0))
         self.direct = top < 1 << 17
         if self.direct:
-            self.seen, self.at = np.zeros(top + 1, dtype=bool), np.zeros(top + 1, dtype=np.int64)
+            self.seen, self.at = np.zeros(top + 1, dtype=bool), np.zeros(top + 1, dtype=kind_of(block))
 
     def number(self, ids: np.ndarray) -> tuple[np.ndarray, int, bytes]:
         """(the number of each id, how many there are, bytes)."""
@@ -282,7 +279,7 @@ def pack(ids: np.ndarray, index: pa.Table, block: int = BLOCK, lanes: int = LANE
     if not 0 < block <= LONGEST:
         raise ValueError(f"a block has 1 to {LONGEST} ids")
     n_blocks = -(-len(ids) // block)
-    table, bodies, names = np.zeros(n_blocks, dtype=TABLE), [], Names(ids)
+    table, bodies, names = np.zeros(n_blocks, dtype=TABLE), [], Names(ids, block)
     for first in range(0, n_blocks, lanes):
         part = ids[first * block : (first + lanes) * block]
         rows = -(-len(part) // block)

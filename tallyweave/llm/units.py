@@ -163,11 +163,12 @@ def strings_of(texts: pa.Array) -> list[str]:
 
 
 class Memory:
-    """What `learn` (ids and how many each, of a list of strings) gave for strings. Beyond `remembered` strings only those of the last call stay."""
+    """What `learn` (ids and how many each, of a list of strings) gave for strings. Beyond `remembered` strings, or 16 times as many characters, only those of the last call stay that are no longer than `longest`."""
 
     def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], remembered: int, longest: int):
         self.learn, self.remembered, self.longest = learn, remembered, longest
         self.known: dict[str, int] = {}
+        self.size = 0
         self.ids, (self.begins, self.counts, self.last) = np.zeros(0, dtype="<u4"), (np.zeros(0, dtype=np.int64) for _ in range(3))
 
     def _forget(self) -> None:
@@ -176,10 +177,11 @@ class Memory:
         keep = keep[np.fromiter((len(strings[k]) <= self.longest for k in keep.tolist()), dtype=bool, count=len(keep))]  # long strings seldom come again
         self.ids, self.counts = ragged(self.ids, self.begins[keep], self.counts[keep]), self.counts[keep]
         self.begins, self.known = np.cumsum(self.counts) - self.counts, {strings[k]: i for i, k in enumerate(keep.tolist())}
+        self.size = sum(map(len, self.known))
 
     def find(self, wanted: pa.Array) -> np.ndarray:
         """The places in `begins` and `counts` of distinct strings; they hold until the next call."""
-        if len(self.known) > self.remembered:
+        if len(self.known) > self.remembered or self.size > 16 * self.remembered:
             self._forget()
         strings = strings_of(wanted)
         at = np.fromiter(map(self.known.get, strings, itertools.repeat(-1)), dtype=np.int64, count=len(strings))
@@ -187,6 +189,7 @@ class Memory:
         if len(fresh):
             new = [strings[k] for k in fresh.tolist()]
             ids, counts = self.learn(new)
+            self.size += sum(map(len, new))
             at[fresh] = len(self.known) + np.arange(len(fresh))
             self.begins = np.concatenate([self.begins, len(self.ids) + np.cumsum(counts) - counts])
             self.known.update(zip(new, at[fresh].tolist(), strict=True))

@@ -131,3 +131,12 @@ def test_the_model_takes_few_bits_and_blocks_are_coded_in_few_steps():
     assert 8 * len(content) < 9 * len(ids)  # 16 as they are
     with pytest.raises(ValueError, match="a block has"):
         token_files.pack(ids, pa.table({"n": [len(ids)]}), block=0)
+
+
+def test_long_words_are_forgotten():
+    words = ArrowWords(ByteLevel(PATH, plain=False), remembered=2_000)
+    for k in range(12):
+        words.encode(pa.array([f"on {chr(97 + k) * 9_000} 7{k}{'0' * 9_000} word on.{k}{'-' * 9_000}"]))
+    for memory in (words.heads, words.whole, words.rests):
+        assert sum(map(len, memory.known)) < 16 * 2_000 + 10_000
+    assert "word" in words.heads.known
